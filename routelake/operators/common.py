@@ -52,5 +52,10 @@ def unit_interval(seed: int, *cols) -> Column:
 
 
 def r6(c) -> Column:
-    """Round doubles to 6 places (engines differ in the last bits of sums)."""
-    return F.round(c if isinstance(c, Column) else F.col(c), 6)
+    """Round doubles to 6 places as ``round(x * 1e6) / 1e6``.
+
+    ``round(x, 6)`` rounds the shortest decimal text of ``x`` in Spark but the
+    binary value in DuckDB, so they disagree on near-ties; rounding the scaled
+    value to an integer agrees in both (half away from zero)."""
+    x = c if isinstance(c, Column) else F.col(c)
+    return F.round(x * F.lit(1e6)) / F.lit(1e6)

@@ -67,6 +67,11 @@ SELECT l_partkey AS task_id, l_orderkey, l_linenumber, l_returnflag = 'R' AS pas
 }
 
 
+def R6(expr: str) -> str:
+    """SQL twin of ``operators.common.r6``."""
+    return f"(round(({expr}) * 1000000.0) / 1000000.0)"
+
+
 def with_(*names: str, extra: dict | None = None) -> str:
     """``WITH`` clause defining the named fixtures (plus extra named CTEs, in order)."""
     parts = [f"{n} AS ({CTES[n]})" for n in names]
