@@ -32,4 +32,4 @@ def load_all() -> None:
         importlib.import_module(f"routelake.plans.{m}")
 
 
-MODULES = ["q_labels"]
+MODULES = ["q_labels", "q_ranking", "q_text"]
