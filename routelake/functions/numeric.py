@@ -64,8 +64,8 @@ def judge_score(reply) -> Column:
     """``<answer>x</answer>`` on one line -> double clamped to [0, 1]; else NULL."""
     raw = F.regexp_extract(_c(reply), r"(?d)<answer>(.*?)</answer>", 1)
     raw = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    v = F.when(raw.rlike(_NUM_RE), raw.try_cast("double"))
-    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    v = F.when(raw.rlike(_NUM_RE) | raw.rlike(_SPECIAL_RE), raw.try_cast("double"))
+    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
 
 
 def parse_vector(text) -> Column:

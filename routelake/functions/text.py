@@ -145,10 +145,15 @@ def concat_fields(*cols) -> Column:
     return F.concat(*[_c(c) for c in cols])
 
 
+# Chat markers of the local-inference prompt format.
+CHAT_SYSTEM = "You are a helpful AI assistant. Please provide clear and accurate responses."
+
+
 def chat_template(system, user) -> Column:
-    """system/user/assistant markers around a prompt."""
-    return F.concat(F.lit("<|im_start|>system\n"), _c(system), F.lit("<|im_end|>\n<|im_start|>user\n"),
-                    _c(user), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    """system/user/assistant header markers around a prompt."""
+    return F.concat(F.lit("<|start_header_id|>system<|end_header_id|>\n"), _c(system),
+                    F.lit("\n<|eot_id|>\n<|start_header_id|>user<|end_header_id|>\n"), _c(user),
+                    F.lit("\n<|eot_id|>\n<|start_header_id|>assistant<|end_header_id|>\n"))
 
 
 def extract_code(pred, humaneval=None) -> Column:

@@ -201,11 +201,12 @@ def t26_concat_fields(spark, sf_dir):
 
 
 @register("t25_chat_template", """
-SELECT conv_id, turn, '<|im_start|>system' || chr(10) || 'You are a helpful assistant.' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10)
-  || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM conversations WHERE role = 'user'""")
+SELECT conv_id, turn, '<|start_header_id|>system<|end_header_id|>' || chr(10) || 'You are a helpful AI assistant. Please provide clear and accurate responses.'
+  || chr(10) || '<|eot_id|>' || chr(10) || '<|start_header_id|>user<|end_header_id|>' || chr(10) || text || chr(10) || '<|eot_id|>' || chr(10)
+  || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) AS prompt FROM conversations WHERE role = 'user'""")
 def t25_chat_template(spark, sf_dir):
     c = fx.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    return c.select("conv_id", "turn", T.chat_template(F.lit("You are a helpful assistant."), "text").alias("prompt"))
+    return c.select("conv_id", "turn", T.chat_template(F.lit(T.CHAT_SYSTEM), "text").alias("prompt"))
 
 
 # ---------------------------------------------------------------- scoring
