@@ -135,9 +135,13 @@ def truncate_tokens(x, n: int = 3000) -> Column:
     return F.when(F.size(toks) > n, F.array_join(F.slice(toks, 1, n), " ")).otherwise(_c(x))
 
 
+# Letters/digits/underscore runs, or single other non-space characters.
+TOKEN_PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
 def token_count_estimate(x) -> Column:
     """T22 (re-aimed): word and punctuation pieces, an estimate of tokenizer length."""
-    return F.size(F.regexp_extract_all(_c(x), F.lit(r"(?U)\w+|[^\w\s]"), 0)).cast("bigint")
+    return F.size(F.regexp_extract_all(_c(x), F.lit(TOKEN_PIECE), 0)).cast("bigint")
 
 
 def concat_fields(*cols) -> Column:

@@ -7,7 +7,7 @@ queries x models work list is a single narrow stage: no join, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelake.operators.common import small_rows
@@ -27,3 +27,218 @@ def work_list(queries: DataFrame, catalogue: DataFrame, max_models: int = 4096)
         return queries.select("*", *[F.lit(None).cast(types[f]).alias(f) for f in fields]).limit(0)
     return queries.select("*", F.explode(F.array(*lits)).alias("__m")).select(
         *[c for c in queries.columns], *[F.col(f"__m.{f}").alias(f) for f in fields])
+
+
+# ---------------------------------------------------------------- catalogue
+def catalogue_lookup(df: DataFrame, catalogue: DataFrame, on: str = "llm",
+                     max_rows: int = 100_000) -> DataFrame:
+    """Attach price/model/feature columns by model name (broadcast after a size check)."""
+    from routelake.operators.common import join_dim
+    return join_dim(df, catalogue, on, "left")
+
+
+# ---------------------------------------------------------------- unpivot / first-row
+def unpivot_think(df: DataFrame, plain_cols: dict, think_cols: dict, llm: str = "llm") -> DataFrame:
+    """One wide row (plain and think results side by side) -> two rows;
+    the think row's model name gets the ``_think`` suffix.
+
+    ``plain_cols`` / ``think_cols`` map output names to source columns."""
+    names = list(plain_cols)
+    plain = F.struct(F.lit(False).alias("is_think"), F.col(llm).alias("__llm"),
+                     *[F.col(plain_cols[n]).alias(n) for n in names])
+    think = F.struct(F.lit(True).alias("is_think"), F.concat(F.col(llm), F.lit("_think")).alias("__llm"),
+                     *[F.col(think_cols[n]).alias(n) for n in names])
+    keep = [c for c in df.columns if c not in set(plain_cols.values()) | set(think_cols.values()) | {llm}]
+    x = df.select(*keep, F.inline(F.array(plain, think)))
+    return x.withColumnRenamed("__llm", llm)
+
+
+def keep_on_first_row(df: DataFrame, col: str, by: str = "query_id", order: str = "pos") -> DataFrame:
+    """P8 (write side): keep ``col`` only on the first row of each group."""
+    w = Window.partitionBy(by).orderBy(order)
+    return df.withColumn(col, F.when(F.row_number().over(w) == 1, F.col(col)))
+
+
+def fill_from_first(df: DataFrame, col: str, by: str = "query_id", order: str = "pos") -> DataFrame:
+    """P8 (read side): every row of the group reads the group's first non-NULL value."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.withColumn(col, F.first(col, ignorenulls=True).over(w))
+
+
+# ---------------------------------------------------------------- E11
+def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings: DataFrame | None = None,
+                 max_models: int = 4096, partitions: int | None = None) -> DataFrame:
+    """Queries x models (J1) -> plain/think prompts (P7) -> model calls
+    (B1) -> token estimates (T22), cost (T21), score (E9) -> embeddings (J11).
+
+    ``queries``: query_id, task_name, task_id, task_description, query,
+    query_think, ground_truth, metric.  ``catalogue``: llm, llm_idx,
+    input_price, output_price, llm_description (base models; think variants
+    are the ``_think`` rows).  ``respond(llm, prompt, ground_truth)`` is the
+    model call.  ``embeddings``: query_id plus vector columns (J11).
+    """
+    from routelake.functions import text as T
+    from routelake.functions.numeric import token_cost
+    from routelake.operators.batch import fan_out
+    from routelake.operators.scoring import score_by_metric
+    wl = work_list(queries, catalogue, max_models)
+    wide = wl.withColumn("__llm_base", F.col("llm"))
+    long = unpivot_think(wide, {"prompt": "query"}, {"prompt": "query_think"})
+    long = long.withColumn("query", F.col("prompt"))
+    called = fan_out(long, respond, ["__llm_base", "prompt", "ground_truth"], "response", partitions)
+    out = (called
+           .withColumn("input_tokens_num", T.token_count_estimate("prompt"))
+           .withColumn("output_tokens_num", T.token_count_estimate("response"))
+           .withColumn("cost", token_cost("input_tokens_num", "output_tokens_num", "input_price", "output_price"))
+           .withColumn("performance", F.when(F.col("success"),
+                                             score_by_metric("response", "ground_truth", "metric", "task_name")))
+           .drop("prompt", "__llm_base"))
+    if embeddings is not None:
+        out = out.join(embeddings, "query_id", "left")
+    return out
+
+
+# ---------------------------------------------------------------- adapters
+def _query_row(task: str, df: DataFrame, id_col: str, query, query_think, gt, metric: str,
+               task_id=None) -> DataFrame:
+    from routelake.functions.prompts import TASK_DESCRIPTIONS
+    return df.select(
+        F.col(id_col).cast("string").alias("source_id"), F.lit(task).alias("task_name"),
+        F.lit(TASK_DESCRIPTIONS[task]).alias("task_description"),
+        (task_id if task_id is not None else F.lit(None)).cast("string").alias("task_id"),
+        query.alias("query"), query_think.alias("query_think"), gt.cast("string").alias("ground_truth"),
+        F.lit(metric).alias("metric"))
+
+
+def _think(c):
+    from routelake.functions.prompts import THINK
+    return F.concat(c, F.lit("\n" + THINK))
+
+
+def adapt_natural_qa(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """A1: question (+ think line), first golden answer."""
+    q = F.col("question")
+    return _query_row("natural_qa", src, id_col, q, _think(q), F.element_at("golden_answers", 1), "cem")
+
+
+def adapt_trivia_qa(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """A2: question, first normalized alias."""
+    q = F.col("question")
+    return _query_row("trivia_qa", src, id_col, q, _think(q),
+                      F.element_at(F.col("answer.normalized_aliases"), 1), "cem")
+
+
+def adapt_squad(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """A3: context prompt, first answer text."""
+    from routelake.functions import prompts as P
+    return _query_row("squad", src, id_col, P.qa_prompt("context", "question"),
+                      P.qa_prompt("context", "question", True), F.element_at(F.col("answers.text"), 1), "cem")
+
+
+def adapt_boolq(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """A4: true/false prompt; truth is Python ``str(bool)`` (True/False)."""
+    from routelake.functions import prompts as P
+    gt = F.when(F.col("answer"), F.lit("True")).when(~F.col("answer"), F.lit("False"))
+    return _query_row("boolq", src, id_col, P.bool_prompt("passage", "question"),
+                      P.bool_prompt("passage", "question", True), gt, "cem")
+
+
+def adapt_mmlu(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """A5: four-option prompt, answer index -> letter."""
+    from routelake.functions import prompts as P
+    from routelake.functions.text import index_to_letter
+    q = P.mc_prompt("question", "choices")
+    return _query_row("mmlu", src, id_col, q, _think(q), index_to_letter(F.col("answer")), "em_mc")
+
+
+def adapt_gpqa(src: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
+    """The four options in a seeded per-row order; the truth is the
+    letter where the correct option landed (D1: computed from the shuffled
+    array itself)."""
+    from routelake.functions import prompts as P
+    opts = F.array(F.col("Correct Answer"), F.col("Incorrect Answer 1"), F.col("Incorrect Answer 2"),
+                   F.col("Incorrect Answer 3"))
+    keyed = F.transform(opts, lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col(id_col), i).alias("k"),
+                                                    i.alias("i"), x.alias("x")))
+    shuffled = F.array_sort(keyed)
+    texts = F.transform(shuffled, lambda e: e["x"])
+    pos = F.array_position(F.transform(shuffled, lambda e: e["i"]), F.lit(0))
+    q = P.mc_prompt(F.col("Question"), texts)
+    return _query_row("gpqa", src, id_col, q, _think(q), F.char(F.lit(64) + pos), "em_mc")
+
+
+def adapt_mbpp(src: DataFrame, id_col: str = "task_id") -> DataFrame:
+    """Code prompt with its tests; truth is the test list (as text)."""
+    from routelake.functions import prompts as P
+    q = P.mbpp_prompt("text", "test_list")
+    return _query_row("mbpp", src, id_col, q, _think(q), F.to_json("test_list"), "code_eval",
+                      task_id=F.col("task_id"))
+
+
+def adapt_human_eval(src: DataFrame, id_col: str = "task_id") -> DataFrame:
+    """Completion prompt; truth is the test code."""
+    from routelake.functions import prompts as P
+    q = P.humaneval_prompt("prompt")
+    return _query_row("human_eval", src, id_col, q, _think(q), F.col("test"), "code_eval",
+                      task_id=F.col("task_id"))
+
+
+def adapt_gsm8k(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """Word problem; truth is the full answer (``#### n`` tail)."""
+    from routelake.functions import prompts as P
+    return _query_row("gsm8k", src, id_col, P.gsm8k_prompt("question"), P.gsm8k_prompt("question", True),
+                      F.col("answer"), "GSM8K")
+
+
+def adapt_labelled_choice(task: str, src: DataFrame, id_col: str = "id", question: str = "question") -> DataFrame:
+    """Labelled options ``(L) text``; truth is answerKey."""
+    from routelake.functions import prompts as P
+    lab, txt = F.col("choices.label"), F.col("choices.text")
+    return _query_row(task, src, id_col, P.choice_prompt(question, lab, txt),
+                      P.choice_prompt(question, lab, txt, True), F.col("answerKey"), "em_mc")
+
+
+def adapt_math(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """Boxed-answer prompt; truth is the full solution."""
+    from routelake.functions import prompts as P
+    return _query_row("math", src, id_col, P.math_prompt("problem"), P.math_prompt("problem", True),
+                      F.col("solution"), "MATH")
+
+
+def adapt_hellaswag(src: DataFrame, id_col: str = "id") -> DataFrame:
+    """``activity: ctx_a + ' ' + Capitalized(ctx_b)`` and endings, all
+    bracket-cleaned (T3); labels A-D; truth = letter of ``label``."""
+    from routelake.functions import prompts as P
+    from routelake.functions import text as T
+    ctx = F.concat(F.col("ctx_a"), F.lit(" "), T.capitalize(F.col("ctx_b")))
+    query = T.clean_brackets(F.concat(F.col("activity_label"), F.lit(": "), ctx))
+    texts = F.transform("endings", lambda e: T.clean_brackets(e))
+    labels = F.array(*[F.lit(x) for x in "ABCD"])
+    gt = F.char(F.lit(65) + F.col("label").cast("int"))
+    return _query_row("hellaswag", src, id_col, P.hellaswag_prompt(query, labels, texts),
+                      P.hellaswag_prompt(query, labels, texts, True), gt, "em_mc")
+
+
+def unify_config_source(src: DataFrame, task: str, query_fields, gt_field: str, gt_subfield: str | None = None,
+                        gt_index: int | None = None, metric: str = "f1_score", id_col: str = "id",
+                        task_description: str = "") -> DataFrame:
+    """Config-driven unify: query = concat of ``query_fields``; truth is
+    ``field``, ``field.subfield`` and/or ``[index]``."""
+    gt = F.col(gt_field)
+    if gt_subfield:
+        gt = gt.getField(gt_subfield)
+    if gt_index is not None:
+        gt = F.element_at(gt, gt_index + 1)
+    q = F.concat(*[F.col(c).cast("string") for c in query_fields])
+    return src.select(F.col(id_col).cast("string").alias("source_id"), F.lit(task).alias("task_name"),
+                      F.lit(task_description).alias("task_description"), F.lit(None).cast("string").alias("task_id"),
+                      q.alias("query"), q.alias("query_think"), gt.cast("string").alias("ground_truth"),
+                      F.lit(metric).alias("metric"))
+
+
+def union_sources(*frames: DataFrame) -> DataFrame:
+    """Union of adapter outputs (by name, missing columns NULL)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -22,20 +21,22 @@ from routelake.functions.numeric import judge_score
 from routelake.session import cut_lineage
 
 
-def fan_out(df: DataFrame, fn: Callable[[str], str], input_col: str, output_col: str = "output",
+def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str = "output",
             partitions: int | None = None) -> DataFrame:
-    """B1: apply ``fn`` to each value of ``input_col``; an exception gives an
-    empty output and ``success = False``.  ``partitions`` sets the
-    parallelism of the calls (the reference's thread-pool size)."""
+    """B1: apply ``fn`` to the value(s) of ``input_col`` (a name or a list of
+    names, passed positionally); an exception gives an empty output and
+    ``success = False``.  ``partitions`` sets the parallelism of the calls
+    (the reference's thread-pool size)."""
+    cols = [input_col] if isinstance(input_col, str) else list(input_col)
     schema = StructType(df.schema.fields + [StructField(output_col, StringType()),
                                             StructField("success", BooleanType())])
 
     def run(batches):
         for pdf in batches:
             outs, oks = [], []
-            for v in pdf[input_col]:
+            for vals in zip(*[pdf[c] for c in cols]):
                 try:
-                    r = fn(v)
+                    r = fn(*vals)
                     outs.append("" if r is None else str(r))
                     oks.append(True)
                 except Exception:  # noqa: BLE001 - a failed call is data, not a task failure
@@ -166,6 +167,3 @@ def merge_results(base: DataFrame, new: DataFrame, key, cols) -> DataFrame:
                              else F.col(f"__new_{c}")).drop(f"__new_{c}")
     return out
 
-
-def pandas_identity(pdf: pd.DataFrame) -> pd.DataFrame:  # pragma: no cover - helper for tests
-    return pdf

@@ -122,7 +122,7 @@ def score_by_metric(pred="prediction", gt="ground_truth", metric="metric", task=
     Four QA/reading tasks always use ``cem``; unknown metrics score 0; a NULL
     prediction or truth gives NULL (the reference drops such rows from
     means).  ``code_pass`` is a column with pass@1 from an execution results
-    table (E8); ``math_score`` a column from E7.
+    table (E8); ``math_score`` defaults to E7 on (pred, gt).
     """
     p, g, m, t = _c(pred), _c(gt), _c(metric), _c(task)
     m = F.when(t.isin(*CEM_TASKS), F.lit("cem")).otherwise(m)
@@ -131,8 +131,10 @@ def score_by_metric(pred="prediction", gt="ground_truth", metric="metric", task=
           .when(m == "em_mc", choice_match(p, g))
           .when(m == "GSM8K", gsm8k_score(p, g))
           .when(m == "f1_score", token_f1(p, g)["f1"]))
-    if math_score is not None:
-        e = e.when(m == "MATH", _c(math_score))
+    if math_score is None:
+        from routelake.functions.mathtext import math_score as _math
+        math_score = _math(p, g)
+    e = e.when(m == "MATH", _c(math_score))
     if code_pass is not None:
         e = e.when(m == "code_eval", _c(code_pass))
     else:
