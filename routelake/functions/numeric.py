@@ -65,7 +65,9 @@ def judge_score(reply) -> Column:
     raw = F.regexp_extract(_c(reply), r"(?d)<answer>(.*?)</answer>", 1)
     raw = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
     v = F.when(raw.rlike(_NUM_RE) | raw.rlike(_SPECIAL_RE), raw.try_cast("double"))
-    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+    # greatest/least skip NULLs, so an unparsable reply must stay NULL explicitly.
+    return (F.when(v.isNull() | F.isnan(v), F.lit(None).cast("double"))
+             .otherwise(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))))
 
 
 def parse_vector(text) -> Column:

@@ -173,7 +173,7 @@ def j10_merge_results(spark, sf_dir):
 
 @register("t11_judge_parse", with_("fevt", extra={"x": """
 SELECT event_id, trim(regexp_extract(reply, '<answer>(.*?)</answer>', 1)) AS raw FROM fevt"""}) + """
-SELECT event_id, least(greatest(TRY_CAST(raw AS DOUBLE), 0.0), 1.0) AS judge FROM x""")
+SELECT event_id, CASE WHEN TRY_CAST(raw AS DOUBLE) IS NULL THEN NULL ELSE least(greatest(TRY_CAST(raw AS DOUBLE), 0.0), 1.0) END AS judge FROM x""")
 def t11_judge_parse(spark, sf_dir):
     ev = fx.f_evt(spark, sf_dir)
     return ev.select("event_id", judge_score("reply").alias("judge"))
