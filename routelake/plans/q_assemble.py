@@ -299,12 +299,46 @@ def _scored_pairs(spark, sf_dir):
                     S.score_by_metric("prediction", "ground_truth", "metric", "task_name").alias("score"))
 
 
-@register("e9_metric_dispatch")
+def _e9_sql() -> str:
+    from routelake.plans.q_text import last_paren_sql, norm_sql, strip_sql
+    p, g = "prediction", "ground_truth"
+    cem = f"CASE WHEN {norm_sql(p)} = {norm_sql(g)} OR contains({norm_sql(p)}, {norm_sql(g)}) THEN 1.0 ELSE 0.0 END"
+    choice = f"CAST(contains(lower({strip_sql(last_paren_sql(p))}), lower({strip_sql(g)})) AS DOUBLE)"
+    runs = f"regexp_extract_all({p}, '(-?[0-9.,]+)', 1)"
+    gp = strip_sql(f"translate(coalesce(list_filter({runs}, lambda r: r NOT IN ('', '.'))[-1], {runs}[1]), ',$.', '')")
+    gg = strip_sql(f"translate(string_split({g}, '####')[-1], ',$.', '')")
+    gsm = f"CASE WHEN {gp} IS NULL THEN 0.0 WHEN {gp} = {gg} THEN 1.0 ELSE 0.0 END"
+    # MATH: no F-PAIR truth holds a boxed answer, so E7 leaves every MATH row NULL.
+    return f"""
+SELECT conv_id, turn, task_name, CASE WHEN {p} IS NULL OR {g} IS NULL THEN NULL
+  WHEN m = 'cem' THEN {cem} WHEN m = 'em_mc' THEN {choice} WHEN m = 'GSM8K' THEN {gsm}
+  WHEN m IN ('MATH', 'code_eval', 'bert_score') THEN NULL ELSE 0.0 END::DOUBLE AS score
+FROM (SELECT *, CASE WHEN task_name IN ('natural_qa', 'trivia_qa', 'squad', 'boolq') THEN 'cem' ELSE metric END AS m FROM fpair) t"""
+
+
+@register("e9_metric_dispatch", with_("fpair", extra={"sc": _e9_sql()}) + f"""
+SELECT conv_id, turn, task_name, {R6('score')} AS score FROM sc""")
 def e9_metric_dispatch(spark, sf_dir):
     return _scored_pairs(spark, sf_dir).select("conv_id", "turn", "task_name", r6("score").alias("score"))
 
 
-@register("e16_evaluation_report")
+@register("e16_evaluation_report", with_("fpair", extra={"sc": _e9_sql(), "c": """
+SELECT task_name, score, CASE WHEN task_name IN ('gsm8k','math') THEN 'math' WHEN task_name IN ('mbpp','human_eval') THEN 'code'
+  WHEN task_name IN ('commonsense_qa','openbook_qa','arc_challenge','hellaswag') THEN 'commonsense'
+  WHEN task_name IN ('natural_qa','trivia_qa') THEN 'world_knowledge' WHEN task_name IN ('squad','boolq') THEN 'reading'
+  WHEN task_name IN ('mmlu','gpqa') THEN 'popular' END AS category FROM sc WHERE score IS NOT NULL"""}) + f"""
+SELECT CASE WHEN grouping(task_name) = 0 THEN 'task' WHEN grouping(category) = 0 THEN 'category' ELSE 'total' END AS level,
+       coalesce(task_name, category, 'all') AS name, {R6('avg(score)')} AS mean_score, count(*) AS n
+FROM c GROUP BY GROUPING SETS ((task_name), (category), ()) HAVING grouping(category) = 1 OR category IS NOT NULL""")
 def e16_evaluation_report(spark, sf_dir):
     rep = S.evaluation_report(_scored_pairs(spark, sf_dir))
     return rep.select("level", "name", r6("mean_score").alias("mean_score"), "n")
+
+
+@register("j11_log_embeddings", with_("fgrid", "fvec") + """
+SELECT g.query_id, g.llm, len(v.embedding) AS dims FROM fgrid g LEFT JOIN fvec v ON g.query_id = v.vec_id""")
+def j11_log_embeddings(spark, sf_dir):
+    """The assembled log joined with the query-embedding table (QUERY_EMB)."""
+    emb = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    log = fx.f_grid(spark, sf_dir).select("query_id", "llm")
+    return log.join(emb, "query_id", "left").select("query_id", "llm", F.size("embedding").cast("bigint").alias("dims"))
