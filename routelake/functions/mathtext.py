@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from routelake.operators.common import let
+
 BOXED = "\\boxed"
 BOXED_SP = "\\boxed "
 FBOX = "\\fbox"
@@ -26,15 +28,6 @@ def _rindex(s: Column, sub: str) -> Column:
     return F.when(r == 0, F.lit(-1)).otherwise(F.length(s) - r - F.lit(len(sub) - 1))
 
 
-def let(expr: Column, fn) -> Column:
-    """Evaluate ``expr`` once and pass it to ``fn`` as a lambda variable.
-
-    Column trees are trees, not DAGs: a value used several times is copied
-    each time, and a chain of such steps grows exponentially.  Binding it as
-    the element of a one-item array keeps the expression linear."""
-    return F.try_element_at(F.transform(F.array(expr), fn), F.lit(1))
-
-
 def _lit_split(s: Column, sep: str) -> Column:
     """Python ``s.split(sep)`` for a literal separator (keeps empty pieces)."""
     import re

@@ -31,20 +31,18 @@ def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str =
     schema = StructType(df.schema.fields + [StructField(output_col, StringType()),
                                             StructField("success", BooleanType())])
 
+    def call(vals):
+        try:
+            r = fn(*vals)
+            return ("" if r is None else str(r)), True
+        except Exception:  # noqa: BLE001 - a failed call is data, not a task failure
+            return "", False
+
     def run(batches):
         for pdf in batches:
-            outs, oks = [], []
-            for vals in zip(*[pdf[c] for c in cols]):
-                try:
-                    r = fn(*vals)
-                    outs.append("" if r is None else str(r))
-                    oks.append(True)
-                except Exception:  # noqa: BLE001 - a failed call is data, not a task failure
-                    outs.append("")
-                    oks.append(False)
-            pdf = pdf.copy()
-            pdf[output_col] = outs
-            pdf["success"] = oks
+            res = [call(v) for v in zip(*[pdf[c].tolist() for c in cols])]
+            pdf[output_col] = [r[0] for r in res]
+            pdf["success"] = [r[1] for r in res]
             yield pdf
 
     src = df.repartition(partitions) if partitions else df

@@ -30,6 +30,19 @@ def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
     return fact.join(dim, on, how)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """A derived table (e.g. per-task statistics) to be joined back to its source.
+
+    The table is cached (recomputable from lineage if an executor is lost),
+    its size proven with a bounded count, and only then broadcast.  Without
+    this, the join is planned as a sort-merge join and the large side is
+    shuffled on the (possibly hot) key before AQE can switch to a broadcast."""
+    c = df.cache()
+    if row_count_at_most(c, max_rows):
+        return F.broadcast(c)
+    return c
+
+
 def small_rows(df: DataFrame, max_rows: int):
     """Collect a configuration-sized dimension (e.g. the model catalogue).
 
@@ -51,6 +64,16 @@ def unit_interval(seed: int, *cols) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1_000_000)).cast("double") / F.lit(1_000_000.0)
 
 
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
+
+    Column trees are trees, not DAGs: a value referenced several times (or a
+    struct whose fields are selected separately) is recomputed per
+    reference.  Binding it as the only element of a one-item array keeps the
+    expression linear and computes it once per row."""
+    return F.try_element_at(F.transform(F.array(expr), fn), F.lit(1))
+
+
 def r6(c) -> Column:
     """Round doubles to 6 places as ``round(x * 1e6) / 1e6``.
 

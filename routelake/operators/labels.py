@@ -38,15 +38,16 @@ def minmax_normalise(df: DataFrame, cols, by) -> DataFrame:
     """``(x - min) / (max - min)`` per group; a constant group gives NULL.
 
     Group stats come from a partial+final aggregate and are joined back; the
-    stats side has one row per group, which AQE broadcasts when small.  This
-    avoids a window partitioned by task, where one hot task would land in a
-    single task slot.
+    stats side has one row per group and is broadcast once its size is
+    proven.  This avoids a window partitioned by task (one hot task would land
+    in a single task slot) and any shuffle of the log on the task key.
     """
+    from routelake.operators.common import broadcast_if_small
     by = [by] if isinstance(by, str) else list(by)
     aggs = []
     for c in cols:
         aggs += [F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}")]
-    stats = df.groupBy(*by).agg(*aggs)
+    stats = broadcast_if_small(df.groupBy(*by).agg(*aggs))
     out = df.join(stats, by, "left")
     for c in cols:
         mn, mx = F.col(f"__min_{c}"), F.col(f"__max_{c}")

@@ -74,11 +74,13 @@ def first_k_keys_per_group(df: DataFrame, by, key: str, k: int) -> DataFrame:
     Distinct (group, key) pairs are computed first (partial aggregation), then
     ranked; the selected keys are semi-joined back.
     """
+    from routelake.operators.common import broadcast_if_small
     by = _cols(by)
     keys = df.select(*by, key).distinct()
     w = Window.partitionBy(*by).orderBy(key)
     top = keys.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
-    return df.join(top, by + [key], "left_semi")
+    # k keys per group: broadcast once proven small, so the log is not shuffled on (group, key).
+    return df.join(broadcast_if_small(top), by + [key], "left_semi")
 
 
 def ratio_split(df: DataFrame, by, key: str, ratios=(0.9, 0.0, 0.1),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelake.functions import text as T
+from routelake.operators.common import let
 
 
 def _c(x) -> Column:
@@ -34,8 +35,9 @@ def choice_match(pred, gt, strict: bool = False) -> Column:
 
 def contains_match(pred, gt) -> Column:
     """Normalised truth equal to or contained in the normalised prediction."""
-    p, g = T.normalize_answer(pred), T.normalize_answer(gt)
-    return F.when((p == g) | F.contains(p, g), F.lit(1.0)).otherwise(F.lit(0.0))
+    both = F.struct(T.normalize_answer(pred).alias("p"), T.normalize_answer(gt).alias("g"))
+    return let(both, lambda t: F.when((t["p"] == t["g"]) | F.contains(t["p"], t["g"]), F.lit(1.0))
+               .otherwise(F.lit(0.0)))
 
 
 def multiset_overlap(a, b) -> Column:
@@ -67,9 +69,12 @@ def token_f1(pred, gt) -> Column:
     A yes/no/noanswer answer on either side that differs from the other side
     scores 0; no common token scores 0.
     """
-    pt, gtok = T.answer_tokens(pred), T.answer_tokens(gt)
+    toks = F.struct(T.answer_tokens(pred).alias("p"), T.answer_tokens(gt).alias("g"))
+    return let(toks, lambda t: let(multiset_overlap(t["p"], t["g"]), lambda same: _f1(t["p"], t["g"], same)))
+
+
+def _f1(pt, gtok, same) -> Column:
     pn, gn = F.array_join(pt, " "), F.array_join(gtok, " ")
-    same = multiset_overlap(pt, gtok)
     special = F.array(F.lit("yes"), F.lit("no"), F.lit("noanswer"))
     zero_case = ((F.array_contains(special, pn) | F.array_contains(special, gn)) & (pn != gn)) | (same == 0)
     prec = F.try_divide(same.cast("double"), F.size(pt).cast("double"))

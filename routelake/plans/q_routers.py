@@ -172,16 +172,23 @@ def r4_pair_dataset(spark, sf_dir):
 
 
 @register("g13_predicted_vs_golden", with_("fgrid", extra={"e": """
-SELECT query_id, llm_idx * 2 + CAST(is_think AS INTEGER) AS idx, performance - cost / 100.0::DOUBLE AS reward, cost, performance,
-       -cost AS pred FROM fgrid""", "r": """
+SELECT query_id, llm_idx * 2 + CAST(is_think AS INTEGER) AS idx,
+       round((performance - cost / 100.0::DOUBLE) * 1000000.0) AS reward, round(cost * 1000000.0) AS cost,
+       round(performance * 1000000.0) AS performance, -cost AS pred FROM fgrid""", "r": """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pred DESC, idx) AS rp,
           row_number() OVER (PARTITION BY query_id ORDER BY reward DESC, idx) AS rg FROM e"""}) + f"""
-SELECT {R6('avg(reward) FILTER (WHERE rp = 1)')} AS result_predict, {R6('avg(reward) FILTER (WHERE rg = 1)')} AS result_golden,
-       {R6('avg(cost) FILTER (WHERE rp = 1)')} AS predict_cost, {R6('avg(performance) FILTER (WHERE rp = 1)')} AS predict_performance FROM r""")
+SELECT {R6('avg(reward) FILTER (WHERE rp = 1) / 1000000.0')} AS result_predict,
+       {R6('avg(reward) FILTER (WHERE rg = 1) / 1000000.0')} AS result_golden,
+       {R6('avg(cost) FILTER (WHERE rp = 1) / 1000000.0')} AS predict_cost,
+       {R6('avg(performance) FILTER (WHERE rp = 1) / 1000000.0')} AS predict_performance FROM r""")
 def g13_predicted_vs_golden(spark, sf_dir):
+    """Features in integer micro-units, so sums (and means) are exact in any
+    summation order; rescaled at the end."""
     g = fx.f_grid(spark, sf_dir)
+    micro = lambda c: F.round(c * F.lit(1e6))
     e = g.select("query_id", (F.col("llm_idx") * 2 + F.col("is_think").cast("int")).alias("idx"),
-                 (F.col("performance") - F.col("cost") / F.lit(100.0)).alias("reward"), "cost", "performance",
+                 micro(F.col("performance") - F.col("cost") / F.lit(100.0)).alias("reward"),
+                 micro(F.col("cost")).alias("cost"), micro(F.col("performance")).alias("performance"),
                  (-F.col("cost")).alias("pred"))
     m = RT.predicted_vs_golden(e, "pred", "reward", pos="idx")
-    return m.select(*[r6(c).alias(c) for c in m.columns])
+    return m.select(*[r6(F.col(c) / F.lit(1e6)).alias(c) for c in m.columns])
