@@ -342,3 +342,23 @@ def j11_log_embeddings(spark, sf_dir):
     emb = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
     log = fx.f_grid(spark, sf_dir).select("query_id", "llm")
     return log.join(emb, "query_id", "left").select("query_id", "llm", F.size("embedding").cast("bigint").alias("dims"))
+
+
+@register("t10_judge_prompt", with_("flog") + """
+SELECT query_id, llm, """ + lit_sql(__import__("routelake.operators.batch", fromlist=["x"]).JUDGE_HEAD + "Query: ")
+          + """ || query || chr(10) || 'Ground Truth: ' || ground_truth || chr(10) || 'Response: ' || response || """
+          + lit_sql(__import__("routelake.operators.batch", fromlist=["x"]).JUDGE_TAIL) + """ AS prompt FROM flog""")
+def t10_judge_prompt(spark, sf_dir):
+    from routelake.operators.batch import judge_prompt
+    return fx.f_log(spark, sf_dir).select("query_id", "llm", judge_prompt().alias("prompt"))
+
+
+@register("t24_cosine_similarity", with_("fvec") + f"""
+SELECT a.vec_id, {R6("CASE WHEN sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding)) = 0 THEN 0.0 ELSE list_dot_product(a.embedding, b.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(b.embedding, b.embedding))) END")} AS cosine
+FROM fvec a JOIN fvec b ON b.vec_id = a.vec_id + 1""")
+def t24_cosine_similarity(spark, sf_dir):
+    """T24 on consecutive vector pairs (an equi join on id + 1)."""
+    from routelake.functions.numeric import cosine
+    v = fx.f_vec(spark, sf_dir)
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2"))
+    return v.join(nxt, "vec_id").select("vec_id", r6(cosine("embedding", "e2")).alias("cosine"))

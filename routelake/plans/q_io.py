@@ -246,10 +246,15 @@ def b6_batch_infer(spark, sf_dir):
 _PAIR_SCHEMA = "conv_id bigint, turn bigint, ground_truth string, prediction string, task_name string, metric string"
 
 
-@register("x1_incremental_scoring")
+def _x1_sql():
+    from routelake.plans.q_assemble import _e9_sql
+    return with_("fpair", extra={"sc": _e9_sql()}) + f"SELECT conv_id, turn, task_name, {R6('score')} AS score FROM sc"
+
+
+@register("x1_incremental_scoring", _x1_sql())
 def x1_incremental_scoring(spark, sf_dir):
-    """F-PAIR rows land as JSON files (one folder per task); a streaming
-    query scores them batch by batch; the result equals the batch E9 scores."""
+    """F-PAIR rows land as JSON files; a streaming query scores them one
+    file per micro-batch; the result equals the batch E9 scores (same oracle)."""
     from routelake.operators.scoring import score_by_metric
     land, sink, ck = _scratch(spark, "land"), _scratch(spark, "scored"), _scratch(spark, "ckpt-x1")
     fx.f_pair(spark, sf_dir).repartition(4, "task_name").write.json(land)

@@ -73,21 +73,29 @@ def g11_query_groups(spark, sf_dir):
 
 
 def fake_template(prompt: str) -> str:
-    """Deterministic stand-in for the template model: first solution line."""
+    """Deterministic stand-in for the template model: the first line of
+    solution 1 (at most 80 characters)."""
     lines = prompt.split("\n")
     i = lines.index("Solution 1:") if "Solution 1:" in lines else -1
     return "Template: " + (lines[i + 1][:80] if 0 <= i < len(lines) - 1 else "")
 
 
-@register("e14_template_dataset")
+_E14_DATASET_SQL = with_("flog", extra={**_E14_CTES, "t": """
+SELECT task_name, nq, 'Template: ' || substr(response, 1, 80) AS thought_template FROM b WHERE rank = 1""", "f": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_name, nq ORDER BY pos) AS rn FROM x) y WHERE rn = 1"""}) + """
+SELECT f.task_name, f.query, f.ground_truth, t.thought_template FROM f JOIN t ON f.task_name = t.task_name AND f.nq = t.nq"""
+
+
+@register("e14_template_dataset", _E14_DATASET_SQL)
 def e14_template_dataset(spark, sf_dir):
-    """E14 end to end with a deterministic generator (rows-only check)."""
+    """E14 end to end with a deterministic generator standing in for the model."""
     out = TH.thought_templates(_log_gpos(spark, sf_dir), fake_template, k_queries=5, top_n=3,
                                small_models=_small(spark, sf_dir))
     return out.select("task_name", "query", "ground_truth", "thought_template")
 
 
-@register("g10_templates_per_task")
+@register("g10_templates_per_task", with_("flog", extra=_E14_CTES) + """
+SELECT task_name, count(DISTINCT nq) AS n_templates FROM b GROUP BY task_name""")
 def g10_templates_per_task(spark, sf_dir):
     """Queries per task after the success filter."""
     out = TH.thought_templates(_log_gpos(spark, sf_dir), fake_template, k_queries=5, top_n=3,
