@@ -18,6 +18,31 @@ def _cols(x):
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
+# ---------------------------------------------------------------- numbering
+def number_within_groups(df: DataFrame, by, order, name: str = "rn", partitions: int | None = None) -> DataFrame:
+    """1-based row number within each group, skew-safe.
+
+    ``repartitionByRange(by, order)`` splits even a hot group over many
+    partitions (equal keys stay together).  Each (partition, group) slice is
+    numbered locally; its offset is the running sum of the slice counts of
+    the same group in earlier partitions (one row per slice, so that window
+    holds at most #partitions rows per group).  ``order`` must make rows
+    unique within a group for a deterministic numbering.
+    """
+    by, order = _cols(by), _cols(order)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *by, *order).withColumn("__pid", F.spark_partition_id())
+    counts = r.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__n"))
+    prior = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
+    local = Window.partitionBy("__pid", *by).orderBy(*order)
+    from routelake.operators.common import broadcast_if_small
+    out = (r.withColumn("__local", F.row_number().over(local))
+            .join(broadcast_if_small(offs), ["__pid", *by])
+            .withColumn(name, (F.col("__off") + F.col("__local")).cast("bigint")))
+    return out.drop("__pid", "__local", "__off")
+
+
 # ---------------------------------------------------------------- sampling
 def hash_order(seed: int, id_cols):
     """Seeded order key list: hash of (seed, ids), ids as tie-break."""
@@ -88,14 +113,16 @@ def ratio_split(df: DataFrame, by, key: str, ratios=(0.9, 0.0, 0.1),
     """M7: per group, contiguous split of the sorted distinct keys.
 
     Sizes are ``int(q * ratio)`` each, in order; the remainder is ``none``.
-    Works on one row per key (distinct first), then joins the label back.
+    Works on one row per key (distinct first), numbers keys with the
+    skew-safe ``number_within_groups``, then joins the label back.
     """
     by = _cols(by)
     keys = df.select(*by, key).distinct()
-    w = Window.partitionBy(*by).orderBy(key)
-    cnt = Window.partitionBy(*by)
-    k = (keys.withColumn("__r", F.row_number().over(w) - 1)
-             .withColumn("__q", F.count(F.lit(1)).over(cnt)))
+    sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("__q"))
+    from routelake.operators.common import broadcast_if_small
+    k = (number_within_groups(keys, by, key, "__r")
+         .withColumn("__r", F.col("__r") - 1)
+         .join(broadcast_if_small(sizes), by))
     bounds, acc = [], F.lit(0)
     label = None
     for name, r in zip(names, ratios):
@@ -132,15 +159,17 @@ def chunk_by_position(df: DataFrame, size: int = 40, by="split", group: str = "q
 
     The default elsewhere is to group by ``query_id`` (see D3); this mode
     reproduces positional slicing.  Positions are built from per-group row
-    counts (one row per query, ~40x fewer rows than the log): a running sum
-    gives each group's offset, which is joined back, so the full log is never
-    sorted in one window partition.  ``keep_partial=False`` drops a short tail
-    chunk (the SFT exporters do).
+    counts (one row per query, ~40x fewer rows than the log) with a
+    range-partitioned prefix sum, joined back; no window ever holds a whole
+    split.  ``keep_partial=False`` drops a short tail chunk (the SFT
+    exporters do).
     """
     by = _cols(by)
     counts = df.groupBy(*by, group).agg(F.count(F.lit(1)).alias("__n"))
-    run = Window.partitionBy(*by).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(run), F.lit(0)))
+    # Offset of each group = rows of all earlier groups in the same ``by``:
+    # number the per-group count rows skew-safely, then prefix-sum them per
+    # range slice (see number_within_groups) instead of one window per ``by``.
+    offs = _prefix_sum(counts, by, group, "__n", "__off")
     total = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     w = Window.partitionBy(*by, group).orderBy(pos)
     out = (df.withColumn("__p", F.row_number().over(w))
@@ -154,6 +183,23 @@ def chunk_by_position(df: DataFrame, size: int = 40, by="split", group: str = "q
     return out.drop("__off", "__p")
 
 
+def _prefix_sum(df: DataFrame, by, order: str, value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Exclusive running sum of ``value`` within ``by`` in ``order``, skew-safe:
+    range slices are summed locally and offset by the totals of earlier slices."""
+    by = _cols(by)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *by, order).withColumn("__pid", F.spark_partition_id())
+    tot = r.groupBy("__pid", *by).agg(F.sum(value).alias("__t"))
+    prior = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.withColumn("__base", F.coalesce(F.sum("__t").over(prior), F.lit(0))).drop("__t")
+    local = Window.partitionBy("__pid", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    from routelake.operators.common import broadcast_if_small
+    out = (r.withColumn("__in", F.coalesce(F.sum(value).over(local), F.lit(0)))
+            .join(broadcast_if_small(offs), ["__pid", *by])
+            .withColumn(name, F.col("__base") + F.col("__in")))
+    return out.drop("__pid", "__in", "__base")
+
+
 def first_per_group(df: DataFrame, by, order) -> DataFrame:
     """The first row of each group in ``order``."""
     w = Window.partitionBy(*_cols(by)).orderBy(*_cols(order))
