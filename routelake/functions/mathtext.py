@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from routelake.operators.common import let
+from routelake.operators.common import let, memo_column
 
 BOXED = "\\boxed"
 BOXED_SP = "\\boxed "
@@ -34,6 +34,7 @@ def _lit_split(s: Column, sep: str) -> Column:
     return F.split(s, re.escape(sep), -1)
 
 
+@memo_column
 def last_boxed(text) -> Column:
     """The last ``\\boxed{...}`` / ``\\fbox{...}`` with balanced braces,
     or ``\\boxed `` + text up to the next ``$``; NULL if none or unbalanced."""
@@ -69,6 +70,7 @@ def _braced_tail(s: Column, sp: Column, idx: Column, tail: Column) -> Column:
              .otherwise(braced))
 
 
+@memo_column
 def remove_boxed(boxed) -> Column:
     """Content of ``\\boxed ...`` / ``\\boxed{...}``; NULL where the reference asserts."""
     return let(_c(boxed), _remove_boxed)
@@ -143,6 +145,7 @@ def _fix_a_slash_b_v(s: Column) -> Column:
              .otherwise(F.lit(None).cast("string")))
 
 
+@memo_column
 def canonical_answer(x) -> Column:
     """The reference's 14 ordered rewrites; NULL where it would raise."""
     s = _c(x)
@@ -171,6 +174,7 @@ def _canonical_rest(s: Column) -> Column:
     return F.when(empty, F.lit("")).otherwise(t)
 
 
+@memo_column
 def math_equiv(a, b) -> Column:
     """``is_equiv``: canonical forms equal; raw equality where either raises."""
     return let(F.struct(_c(a).alias("a"), _c(b).alias("b")), lambda ab: _equiv(ab["a"], ab["b"]))
@@ -184,6 +188,7 @@ def _equiv(a: Column, b: Column) -> Column:
              .otherwise(ca == cb))
 
 
+@memo_column
 def math_score(pred, gt) -> Column:
     """1.0 when the last boxed answers are equivalent, else 0.0; NULL when
     the truth has no usable boxed answer (the reference drops such rows)."""

@@ -64,6 +64,28 @@ def unit_interval(seed: int, *cols) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1_000_000)).cast("double") / F.lit(1_000_000.0)
 
 
+def memo_column(fn):
+    """Memoise a Column builder when it is called with plain values (column
+    names, literals).  Large expressions (math canonicalisation, metric
+    dispatch) cost many py4j calls to build; the built Column is immutable
+    and can be reused by any DataFrame of the same JVM."""
+    import functools
+
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args, **kwargs):
+        plain = (str, int, float, bool, type(None))
+        if all(isinstance(a, plain) for a in args) and all(isinstance(v, plain) for v in kwargs.values()):
+            key = (args, tuple(sorted(kwargs.items())))
+            if key not in cache:
+                cache[key] = fn(*args, **kwargs)
+            return cache[key]
+        return fn(*args, **kwargs)
+
+    return wrapper
+
+
 def let(expr: Column, fn) -> Column:
     """Evaluate ``expr`` once and hand it to ``fn`` as a lambda variable.
 

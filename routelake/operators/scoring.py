@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelake.functions import text as T
-from routelake.operators.common import let
+from routelake.operators.common import let, memo_column
 
 
 def _c(x) -> Column:
@@ -19,11 +19,13 @@ def _c(x) -> Column:
 
 
 # ---------------------------------------------------------------- metrics
+@memo_column
 def exact_match(pred, gt) -> Column:
     """Normalised equality, as 0/1 double."""
     return (T.normalize_answer(pred) == T.normalize_answer(gt)).cast("double")
 
 
+@memo_column
 def choice_match(pred, gt, strict: bool = False) -> Column:
     """Trimmed, lower-cased truth contained in the last ``(X)`` of the
     prediction.  ``strict`` is the variant that needs equal letters on both."""
@@ -33,6 +35,7 @@ def choice_match(pred, gt, strict: bool = False) -> Column:
     return F.contains(hay, F.lower(T.py_strip(_c(gt)))).cast("double")
 
 
+@memo_column
 def contains_match(pred, gt) -> Column:
     """Normalised truth equal to or contained in the normalised prediction."""
     both = F.struct(T.normalize_answer(pred).alias("p"), T.normalize_answer(gt).alias("g"))
@@ -63,6 +66,7 @@ def multiset_overlap(a, b) -> Column:
     return F.aggregate(tagged, init, step, lambda acc: acc["tot"] + F.least(acc["cp"], acc["cg"]))
 
 
+@memo_column
 def token_f1(pred, gt) -> Column:
     """E5: struct(f1, precision, recall) of normalised tokens.
 
@@ -85,11 +89,13 @@ def _f1(pt, gtok, same) -> Column:
                   ).otherwise(F.struct(f1.alias("f1"), prec.alias("precision"), rec.alias("recall")))
 
 
+@memo_column
 def cem_f1(pred, gt) -> Column:
     """1.0 on contains-match, else token F1."""
     return F.when(contains_match(pred, gt) == 1.0, F.lit(1.0)).otherwise(token_f1(pred, gt)["f1"])
 
 
+@memo_column
 def gsm8k_score(pred, gt) -> Column:
     """Last number of the prediction equals the number after ``####``."""
     p = T.gsm8k_prediction(pred)
@@ -120,6 +126,7 @@ def register_metric(name: str, builder) -> None:
     _EXTRA_METRICS[name] = builder
 
 
+@memo_column
 def score_by_metric(pred="prediction", gt="ground_truth", metric="metric", task="task_name",
                     code_pass=None, math_score=None) -> Column:
     """Per-row metric dispatch.
