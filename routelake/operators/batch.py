@@ -25,8 +25,14 @@ def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str =
             partitions: int | None = None) -> DataFrame:
     """B1: apply ``fn`` to the value(s) of ``input_col`` (a name or a list of
     names, passed positionally); an exception gives an empty output and
-    ``success = False``.  ``partitions`` sets the parallelism of the calls
-    (the reference's thread-pool size)."""
+    ``success = False``.
+
+    ``partitions`` sets the parallelism of the calls (the reference's
+    thread-pool size); by default ``spark.sql.shuffle.partitions``.  The rows
+    are spread round-robin first (deterministic on retry: Spark sorts
+    before a round-robin repartition), so expensive calls never pile up in
+    the few tasks of a small or row-multiplied input.  ``0`` keeps the input
+    partitioning."""
     cols = [input_col] if isinstance(input_col, str) else list(input_col)
     schema = StructType(df.schema.fields + [StructField(output_col, StringType()),
                                             StructField("success", BooleanType())])
@@ -45,14 +51,21 @@ def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str =
             pdf["success"] = [r[1] for r in res]
             yield pdf
 
-    src = df.repartition(partitions) if partitions else df
-    return src.mapInPandas(run, schema)
+    return _spread(df, partitions).mapInPandas(run, schema)
+
+
+def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    if partitions == 0:
+        return df
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
 
 
 def batch_infer(df: DataFrame, fn: Callable[[list], list], input_col: str, output_col: str = "output",
-                batch_size: int = 2048) -> DataFrame:
+                batch_size: int = 2048, partitions: int | None = None) -> DataFrame:
     """Batched local inference; ``fn`` maps a list of prompts to a list of
-    outputs.  Batches are Arrow record batches of ``batch_size`` rows."""
+    outputs, called on slices of ``batch_size`` rows of each Arrow batch.
+    Rows are spread over ``partitions`` tasks first (see ``fan_out``)."""
     schema = StructType(df.schema.fields + [StructField(output_col, StringType())])
 
     def run(batches):
@@ -62,7 +75,7 @@ def batch_infer(df: DataFrame, fn: Callable[[list], list], input_col: str, outpu
                 part[output_col] = [str(x) for x in fn(part[input_col].tolist())]
                 yield part
 
-    return df.mapInPandas(run, schema)
+    return _spread(df, partitions).mapInPandas(run, schema)
 
 
 def chat_prompts(df: DataFrame, query_col: str = "query", system: str = T.CHAT_SYSTEM) -> DataFrame:

@@ -78,14 +78,19 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str,
     smaller item id; a zero vector has similarity 0.  ``key`` restricts
     neighbours to items with the same key value (equi join on the key).
     """
+    from routelake.session import cut_lineage
     key_cols = [] if key is None else ([key] if isinstance(key, str) else list(key))
-    n_q = queries.count()
-    n_i = items.count()
+    # Both sides are materialised once (reliable checkpoint in the shared
+    # folder): the counts that size the cells then read the checkpoint, the
+    # cogroup does not recompute the inputs, and a lost executor restarts
+    # from here.
+    q = cut_lineage(queries.select(*key_cols, F.col(qid).alias("qid"),
+                                   F.col(qvec).cast("array<double>").alias("qvec")))
+    it = cut_lineage(items.select(*key_cols, F.col(iid).alias("iid"),
+                                  F.col(ivec).cast("array<double>").alias("ivec"), *extra_cols))
+    n_q, n_i = q.count(), it.count()
     T = max(1, math.ceil(n_q / tile_rows))
     B = max(1, math.ceil(n_i / block_rows))
-    q = queries.select(*key_cols, F.col(qid).alias("qid"), F.col(qvec).cast("array<double>").alias("qvec"))
-    it = items.select(*key_cols, F.col(iid).alias("iid"), F.col(ivec).cast("array<double>").alias("ivec"),
-                      *extra_cols)
     q = (q.withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(T)))
           .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
     it = (it.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(B)))
