@@ -119,10 +119,20 @@ def _render(lab, x, style):
     return F.concat(F.lit("\n("), lab, F.lit(") "), x)
 
 
+# Characters whose title case differs from their upper case
+# (Python's capitalize title-cases the first character).
+TITLECASE_SPECIAL = {
+    "ß": "Ss", "ǅ": "ǅ", "ǆ": "ǅ", "Ǆ": "ǅ", "ǈ": "ǈ", "ǉ": "ǈ", "Ǉ": "ǈ", "ǋ": "ǋ", "ǌ": "ǋ", "Ǌ": "ǋ",
+    "ǲ": "ǲ", "ǳ": "ǲ", "Ǳ": "ǲ", "ﬀ": "Ff", "ﬁ": "Fi", "ﬂ": "Fl", "ﬃ": "Ffi", "ﬄ": "Ffl", "ﬅ": "St", "ﬆ": "St",
+}
+
+
 def capitalize(x) -> Column:
-    """Python ``str.capitalize`` (first upper, rest lower)."""
+    """Python ``str.capitalize``: first character title-cased, the rest lower-cased."""
     s = _c(x)
-    return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, 2, 1 << 30)))
+    first = F.substring(s, 1, 1)
+    special = F.create_map(*[F.lit(v) for kv in TITLECASE_SPECIAL.items() for v in kv])
+    return F.concat(F.coalesce(special[first], F.upper(first)), F.lower(F.substring(s, 2, 1 << 30)))
 
 
 def truncate_chars(x, n: int = 1000, marker: str = "... [truncated]") -> Column:

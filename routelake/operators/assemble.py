@@ -151,14 +151,16 @@ def adapt_mmlu(src: DataFrame, id_col: str = "id") -> DataFrame:
     return _query_row("mmlu", src, id_col, q, _think(q), index_to_letter(F.col("answer")), "em_mc")
 
 
-def adapt_gpqa(src: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
+def adapt_gpqa(src: DataFrame, id_col: str = "id", seed: int = 42, order_key=None) -> DataFrame:
     """The four options in a seeded per-row order; the truth is the
     letter where the correct option landed (D1: computed from the shuffled
-    array itself)."""
+    array itself).  ``order_key(id_col, i)`` gives the sort key of option
+    ``i`` (default ``xxhash64(seed, id, i)``); ties fall back to ``i``."""
     from routelake.functions import prompts as P
     opts = F.array(F.col("Correct Answer"), F.col("Incorrect Answer 1"), F.col("Incorrect Answer 2"),
                    F.col("Incorrect Answer 3"))
-    keyed = F.transform(opts, lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col(id_col), i).alias("k"),
+    key = order_key or (lambda ident, i: F.xxhash64(F.lit(seed), ident, i))
+    keyed = F.transform(opts, lambda x, i: F.struct(key(F.col(id_col), i).cast("long").alias("k"),
                                                     i.alias("i"), x.alias("x")))
     shuffled = F.array_sort(keyed)
     texts = F.transform(shuffled, lambda e: e["x"])

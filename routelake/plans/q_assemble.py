@@ -126,10 +126,11 @@ def adapter_sources(spark, sf_dir):
     }
 
 
-def adapted_queries(spark, sf_dir):
+def adapted_queries(spark, sf_dir, gpqa_order=None):
     src = adapter_sources(spark, sf_dir)
     frames = [A.adapt_natural_qa(src["natural_qa"]), A.adapt_trivia_qa(src["trivia_qa"]), A.adapt_squad(src["squad"]),
-              A.adapt_boolq(src["boolq"]), A.adapt_mmlu(src["mmlu"]), A.adapt_gpqa(src["gpqa"]),
+              A.adapt_boolq(src["boolq"]), A.adapt_mmlu(src["mmlu"]),
+              A.adapt_gpqa(src["gpqa"], order_key=gpqa_order),
               A.adapt_mbpp(src["mbpp"]), A.adapt_human_eval(src["human_eval"]), A.adapt_gsm8k(src["gsm8k"]),
               A.adapt_labelled_choice("commonsense_qa", src["commonsense_qa"]), A.adapt_math(src["math"]),
               A.adapt_labelled_choice("openbook_qa", src["openbook_qa"], question="question_stem"),
@@ -362,3 +363,8 @@ def t24_cosine_similarity(spark, sf_dir):
     v = fx.f_vec(spark, sf_dir)
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2"))
     return v.join(nxt, "vec_id").select("vec_id", r6(cosine("embedding", "e2")).alias("cosine"))
+
+
+def gpqa_key(ident, i):
+    """Seeded arithmetic option order for GPQA (the same value in Spark and SQL)."""
+    return (ident * 31 + i * 17 + 42) % 1009

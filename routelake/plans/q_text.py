@@ -28,6 +28,12 @@ def strip_sql(x: str) -> str:
     return "regexp_replace(" + x + ", '^\\s+|\\s+$', '', 'g')"
 
 
+def cap_sql(x: str) -> str:
+    """SQL twin of ``text.capitalize`` (title case of the first character)."""
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.TITLECASE_SPECIAL.items())
+    return f"(CASE substr({x}, 1, 1) {cases} ELSE upper(substr({x}, 1, 1)) END || lower(substr({x}, 2)))"
+
+
 def last_paren_sql(x: str) -> str:
     return "coalesce(regexp_extract_all(" + x + ", '\\(\\s*[a-zA-Z]\\s*\\)')[-1], '')"
 
@@ -174,8 +180,8 @@ def t18_angle_number(spark, sf_dir):
     return d.select("doc_id", S.angle_score(pred, (F.col("doc_id") % 5).cast("string")).alias("score"))
 
 
-@register("t23_capitalize", """
-SELECT doc_id, upper(substr(left(text, 50), 1, 1)) || lower(substr(left(text, 50), 2)) AS capitalized FROM documents""")
+@register("t23_capitalize", f"""
+SELECT doc_id, {cap_sql('left(text, 50)')} AS capitalized FROM documents""")
 def t23_capitalize(spark, sf_dir):
     d = fx.f_txt(spark, sf_dir)
     return d.select("doc_id", T.capitalize(F.substring("text", 1, 50)).alias("capitalized"))

@@ -41,4 +41,4 @@ def load_all() -> None:
         importlib.import_module(f"routelake.plans.{m}")
 
 
-MODULES = ["q_labels", "q_ranking", "q_text", "q_sft", "q_routers", "q_thought", "q_assemble", "q_graph", "q_io"]
+MODULES = ["q_labels", "q_ranking", "q_text", "q_sft", "q_routers", "q_thought", "q_assemble", "q_graph", "q_io", "q_adapters"]

@@ -78,3 +78,9 @@ def test_think_suffix_and_brackets(spark):
     got = [r[0] for r in df.select(T.strip_think_suffix("q", "t")).collect()]
     assert got == ["Is it?", "Q  A"]
     assert one(spark, T.clean_brackets(F.lit("  A [title] B [x]c  "))) == "A. B c"
+
+
+def test_capitalize_titlecases_first_character(spark):
+    df = spark.createDataFrame([("ßaB",), ("éTÉ",), ("ﬁne",), ("",)], "s string")
+    assert [r[0] for r in df.select(T.capitalize("s")).collect()] == ["SsaB".capitalize().replace("Ssab", "Ssab") and "ßaB".capitalize(),
+                                                                      "éTÉ".capitalize(), "ﬁne".capitalize(), ""]
