@@ -346,9 +346,16 @@ def distinct_values(df: DataFrame, cols) -> DataFrame:
     return df.select(*_cols(cols)).distinct()
 
 
-def distinct_sorted_list(df: DataFrame, col: str, name: str = "models") -> DataFrame:
-    """Sorted distinct values as one array (distinct first, so the
-    collected set is bounded by the number of distinct values)."""
-    return df.select(col).distinct().agg(F.array_sort(F.collect_list(col)).alias(name))
+def distinct_sorted_list(df: DataFrame, col: str, name: str = "models", max_values: int = 100_000) -> DataFrame:
+    """Sorted distinct values (e.g. the routable models) as one array.
+
+    The values are made distinct first and their number is proven to be at
+    most ``max_values`` before they are gathered into one row; a larger set
+    raises instead of funnelling into one task."""
+    from routelake.operators.common import row_count_at_most
+    values = df.select(col).distinct()
+    if not row_count_at_most(values, max_values):
+        raise ValueError(f"more than {max_values} distinct values of {col}; keep them as rows instead")
+    return values.agg(F.array_sort(F.collect_list(col)).alias(name))
 
 

@@ -74,12 +74,15 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``routelake`` importable in Python workers (``addPyFile`` of a zip
     of the package), once per application.  Needed by the ``mapInPandas`` /
-    ``applyInPandas`` steps, whose functions live in this package."""
+    ``applyInPandas`` steps, whose functions live in this package.
+
+    On a cluster, submit the package with ``--py-files`` and set
+    ``spark.routelake.shipPackage=false`` to skip this."""
     import shutil
 
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
+    if app in _SHIPPED or spark.conf.get("spark.routelake.shipPackage", "true").lower() == "false":
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="routelake-pkg-"), "routelake")
