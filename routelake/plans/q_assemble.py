@@ -368,3 +368,25 @@ def t24_cosine_similarity(spark, sf_dir):
 def gpqa_key(ident, i):
     """Seeded arithmetic option order for GPQA (the same value in Spark and SQL)."""
     return (ident * 31 + i * 17 + 42) % 1009
+
+
+@register("g1_mean_per_task", with_("fpair", extra={"sc": _e9_sql()}) + f"""
+SELECT task_name, {R6('avg(score)')} AS mean_score, count(*) AS n FROM sc WHERE score IS NOT NULL GROUP BY task_name""")
+def g1_mean_per_task(spark, sf_dir):
+    """G1: mean score per task; rows without a score are left out."""
+    s = _scored_pairs(spark, sf_dir).where(F.col("score").isNotNull())
+    return s.groupBy("task_name").agg(r6(F.avg("score")).alias("mean_score"), F.count(F.lit(1)).alias("n"))
+
+
+@register("g2_mean_per_category", with_("fpair", extra={"sc": _e9_sql()}) + f"""
+SELECT category, {R6('avg(score)')} AS mean_score, count(*) AS n FROM (
+  SELECT score, CASE WHEN task_name IN ('gsm8k','math') THEN 'math' WHEN task_name IN ('mbpp','human_eval') THEN 'code'
+    WHEN task_name IN ('commonsense_qa','openbook_qa','arc_challenge','hellaswag') THEN 'commonsense'
+    WHEN task_name IN ('natural_qa','trivia_qa') THEN 'world_knowledge' WHEN task_name IN ('squad','boolq') THEN 'reading'
+    WHEN task_name IN ('mmlu','gpqa') THEN 'popular' END AS category FROM sc WHERE score IS NOT NULL) t
+WHERE category IS NOT NULL GROUP BY category""")
+def g2_mean_per_category(spark, sf_dir):
+    """Mean score per category; categories without scored rows are omitted."""
+    s = _scored_pairs(spark, sf_dir).where(F.col("score").isNotNull()).withColumn("category", S.category_of("task_name"))
+    return (s.where(F.col("category").isNotNull()).groupBy("category")
+             .agg(r6(F.avg("score")).alias("mean_score"), F.count(F.lit(1)).alias("n")))

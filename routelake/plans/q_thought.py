@@ -172,3 +172,27 @@ def t15_parse_vector(spark, sf_dir):
     p = v.select("vec_id", parse_vector(txt).alias("e"))
     return p.select("vec_id", F.size("e").cast("bigint").alias("dims"),
                     r6(F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@register("j4_same_description_templates", with_("ftxt", "fvec", extra={k: _E15_CTES[k] for k in ("c", "t", "q")}) + """
+SELECT q.qid AS query_id, count(t.tid) AS n_templates FROM q LEFT JOIN t ON q.qdesc = t.tdesc GROUP BY q.qid""")
+def j4_same_description_templates(spark, sf_dir):
+    """Templates sharing the query's task description (equi join), counted per query."""
+    queries, templates = e15_inputs(spark, sf_dir)
+    t = templates.select(F.col("task_description"), F.col("template_id"))
+    j = queries.select("query_id", "task_description").join(t, "task_description", "left")
+    return j.groupBy("query_id").agg(F.count("template_id").alias("n_templates"))
+
+
+@register("j6_top3_similar_templates", with_("ftxt", "fvec", extra={k: _E15_CTES[k] for k in ("c", "t", "q", "qd", "td", "m", "s", "top")}) + """
+SELECT qid AS query_id, tid AS template_id, CAST(rn AS INTEGER) AS rank FROM top""")
+def j6_top3_similar_templates(spark, sf_dir):
+    """Top-3 templates by cosine within the matched descriptions (exact tiled top-k)."""
+    from routelake.operators.vectors import knn_topk
+    queries, templates = e15_inputs(spark, sf_dir)
+    m = TH.description_map(queries, templates)
+    t = templates.join(m, F.col("task_description") == F.col("t_desc")).select(
+        F.col("q_desc").alias("__key"), "template_id", "embedding")
+    q = queries.select(F.col("task_description").alias("__key"), "query_id", "embedding")
+    nb = knn_topk(q, t, 3, "query_id", "embedding", "template_id", "embedding", key="__key")
+    return nb.select(F.col("qid").alias("query_id"), F.col("iid").alias("template_id"), "rank")
