@@ -39,22 +39,35 @@ def sft_train_set(log: DataFrame, setting: str = "perf", k: int = 5, small_model
     order.  ``small_models`` (one column ``llm``) restricts the candidates
     (``_think`` variants included).  Setting ``baseline`` emits only the
     ground-truth examples, each replicated K+1 times (P9), with ``copy``.
+
+    One window pass per query (rank and the running count of zero
+    performances share one sort), and every row yields its ground-truth
+    and/or response example through one ``explode``: a single shuffle and a
+    single scan of the log.
     """
     df = with_processed(log)
     if small_models is not None:
         df = allow_list(df, small_models)
     order = R.setting_order(setting, pos)
-    ranked = R.rank_within(df, group, order, "rank")
-    gt = ranked.where(F.col("rank") == 1).select(
-        group, F.lit(0).alias("seq"), F.lit(INSTRUCTION).alias("instruction"),
+    w = Window.partitionBy(group).orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.when(F.col("performance_processed") == 0, 1).otherwise(0)
+    x = df.withColumn("__rank", F.row_number().over(w)).withColumn("__stopped", F.sum(zero).over(run))
+    instr = F.lit(INSTRUCTION)
+    gt = F.when(F.col("__rank") == 1, F.struct(
+        F.lit(0).alias("seq"), instr.alias("instruction"),
         T.remove_think_phrase(F.col("query").cast("string")).alias("input"),
-        T.reformat_ground_truth("ground_truth", "task_name").alias("output"))
+        T.reformat_ground_truth("ground_truth", "task_name").alias("output")))
     if setting == "baseline":
-        return gt.select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("copy"))
-    resp = R.take_while_top_k(df, group, order, k).select(
-        group, F.col("rank").alias("seq"), F.lit(INSTRUCTION).alias("instruction"),
-        F.col("query").cast("string").alias("input"), F.col("response").cast("string").alias("output"))
-    return R.union_all(gt, resp)
+        out = x.where(F.col("__rank") == 1).select(group, gt.alias("e"))
+        return (out.select(group, "e.*")
+                   .select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("copy")))
+    resp = F.when((F.col("__stopped") == 0) & (F.col("__rank") <= k), F.struct(
+        F.col("__rank").alias("seq"), instr.alias("instruction"),
+        F.col("query").cast("string").alias("input"), F.col("response").cast("string").alias("output")))
+    keep = (F.col("__rank") == 1) | ((F.col("__stopped") == 0) & (F.col("__rank") <= k))
+    out = x.where(keep).select(group, F.explode(F.filter(F.array(gt, resp), lambda e: e.isNotNull())).alias("e"))
+    return out.select(group, "e.*")
 
 
 def sft_test_set(log: DataFrame, mode: str = "query", size: int = 40, group: str = "query_id",
