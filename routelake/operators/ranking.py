@@ -29,9 +29,12 @@ def number_within_groups(df: DataFrame, by, order, name: str = "rn", partitions:
     holds at most #partitions rows per group).  ``order`` must make rows
     unique within a group for a deterministic numbering.
     """
+    from routelake.session import cut_lineage
     by, order = _cols(by), _cols(order)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *by, *order).withColumn("__pid", F.spark_partition_id())
+    # The slice id is materialised once: a range exchange executed twice may
+    # sample different bounds, so both uses below must read the same ids.
+    r = cut_lineage(df.repartitionByRange(n, *by, *order).withColumn("__pid", F.spark_partition_id()))
     counts = r.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__n"))
     prior = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(prior), F.lit(0))).drop("__n")
@@ -186,9 +189,10 @@ def chunk_by_position(df: DataFrame, size: int = 40, by="split", group: str = "q
 def _prefix_sum(df: DataFrame, by, order: str, value: str, name: str, partitions: int | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` within ``by`` in ``order``, skew-safe:
     range slices are summed locally and offset by the totals of earlier slices."""
+    from routelake.session import cut_lineage
     by = _cols(by)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *by, order).withColumn("__pid", F.spark_partition_id())
+    r = cut_lineage(df.repartitionByRange(n, *by, order).withColumn("__pid", F.spark_partition_id()))
     tot = r.groupBy("__pid", *by).agg(F.sum(value).alias("__t"))
     prior = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.withColumn("__base", F.coalesce(F.sum("__t").over(prior), F.lit(0))).drop("__t")
