@@ -43,6 +43,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return c
 
 
+def spread_if_narrow(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a narrow input (fewer partitions than the configured
+    parallelism, e.g. one large row group) round-robin, so the row-local
+    work after the scan runs in parallel.  Inputs that are already wide
+    (the usual case on a cluster) are left untouched: no extra shuffle."""
+    n = min_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
 def small_rows(df: DataFrame, max_rows: int):
     """Collect a configuration-sized dimension (e.g. the model catalogue).
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from routelake.operators.common import spread_if_narrow
+
 # The 14 benchmark tasks in adapter order, and their metric.
 TASKS = ["natural_qa", "trivia_qa", "squad", "boolq", "mmlu", "gpqa", "mbpp",
          "human_eval", "gsm8k", "commonsense_qa", "math", "openbook_qa",
@@ -30,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def f_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-LOG: one row per (query = part, model = nation) with real-valued scores."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_discount", "l_extendedprice", "l_tax", "l_quantity")
+    li = spread_if_narrow(table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_discount", "l_extendedprice", "l_tax", "l_quantity"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -121,7 +123,7 @@ def f_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-TXT: documents as queries, task = language."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread_if_narrow(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def f_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
