@@ -126,15 +126,13 @@ def ratio_split(df: DataFrame, by, key: str, ratios=(0.9, 0.0, 0.1),
     k = (number_within_groups(keys, by, key, "__r")
          .withColumn("__r", F.col("__r") - 1)
          .join(broadcast_if_small(sizes), by))
-    bounds, acc = [], F.lit(0)
-    label = None
+    acc, label = F.lit(0), None
     for name, r in zip(names, ratios):
         size = F.floor(F.col("__q") * F.lit(float(r))).cast("bigint")
         lo, hi = acc, acc + size
         cond = (F.col("__r") >= lo) & (F.col("__r") < hi)
         label = F.when(cond, F.lit(name)) if label is None else label.when(cond, F.lit(name))
         acc = hi
-        bounds.append(hi)
     k = k.withColumn("split_role", label.otherwise(F.lit("none"))).drop("__r", "__q")
     return df.join(k, by + [key], "left")
 

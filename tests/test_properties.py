@@ -7,7 +7,6 @@ from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from routelake.functions import text as T
 from routelake.operators import ranking as R
