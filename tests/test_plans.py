@@ -56,3 +56,25 @@ def test_scan_prunes_columns(spark, sf_dir):
     p = plan(Q["w4_first_per_query"](spark, sf_dir))
     lineitem_schema = [line for line in p.splitlines() if "ReadSchema" in line and "l_partkey" in line]
     assert lineitem_schema and all("l_shipdate" not in line for line in lineitem_schema)
+
+
+def test_split_and_run_filters_prune_partitions(spark, sf_dir):
+    """S11/S13 on a log partitioned by split / run_id: the literal filter
+    reaches the scan as a partition filter (only that folder is read)."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from routelake.plans import fixtures as fx
+    from routelake.session import scratch_path
+    from routelake.sources import io as sio
+
+    base = scratch_path(spark, f"partitioned-{uuid.uuid4().hex[:8]}")
+    fx.f_log(spark, sf_dir).write.partitionBy("split").parquet(base + "/log")
+    p = plan(sio.split_source(spark.read.parquet(base + "/log"), "test"))
+    assert "PartitionFilters" in p and "test" in p.split("PartitionFilters")[1].splitlines()[0]
+    ev = fx.f_evt(spark, sf_dir).select("event_id", (~F.col("failed")).alias("success"))
+    for day in (1, 2):
+        sio.write_run(ev, base + "/runs", day)
+    p = plan(sio.latest_run(spark, base + "/runs"))
+    assert "PartitionFilters" in p and "run_id" in p.split("PartitionFilters")[1].splitlines()[0]
