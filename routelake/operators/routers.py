@@ -44,11 +44,12 @@ def knn_scores(train: DataFrame, test: DataFrame, k: int = 50, qid: str = "query
     whose best model is each label.  Returns ``(query_id, model, score)`` for
     labels that received votes."""
     nb = knn_topk(test, train, k, qid, vec, qid, vec, extra_cols=[label])
-    n = nb.groupBy("qid").agg(F.count(F.lit(1)).alias("__n"))
+    # One branch over the neighbours: votes per (query, label), then the
+    # share via a window over the (small) per-query vote rows, so the kNN
+    # cogroup is not evaluated twice.
     v = nb.groupBy("qid", label).agg(F.count(F.lit(1)).alias("__c"))
-    return (v.join(n, "qid")
-             .select(F.col("qid").alias(qid), F.col(label).alias("model"),
-                     (F.col("__c") / F.col("__n")).alias("score")))
+    total = F.sum("__c").over(Window.partitionBy("qid"))
+    return v.select(F.col("qid").alias(qid), F.col(label).alias("model"), (F.col("__c") / total).alias("score"))
 
 
 def knn_router(train: DataFrame, test: DataFrame, candidates: DataFrame, k: int = 50,
@@ -90,21 +91,23 @@ def accuracy_macro_f1(pred: DataFrame, truth: DataFrame, qid: str = "query_id",
     """Accuracy and macro-F1 (rows ``metric, value``) of predicted vs true argmax labels.
 
     F1 is averaged over every class present on either side (precision or
-    recall with an empty denominator count as 0)."""
+    recall with an empty denominator count as 0).  Each (query) row
+    contributes one "predicted" and one "true" record per class through one
+    explode, so per-class counts, accuracy and macro-F1 come from a single
+    pass over the predictions (which may be expensive, e.g. kNN)."""
     x = pred.select(qid, p).join(truth.select(qid, t), qid)
-    acc = x.agg(F.avg((F.col(p) == F.col(t)).cast("double")).alias("value")).select(
-        F.lit("accuracy").alias("metric"), "value")
-    pc = x.groupBy(F.col(p).alias("cls")).agg(F.count(F.lit(1)).alias("np"),
-                                              F.count_if(F.col(p) == F.col(t)).alias("tp"))
-    tc = x.groupBy(F.col(t).alias("cls")).agg(F.count(F.lit(1)).alias("nt"))
-    per = pc.join(tc, "cls", "full").select(
-        "cls", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("np", F.lit(0)).alias("np"),
-        F.coalesce("nt", F.lit(0)).alias("nt"))
+    hit = (F.col(p) == F.col(t)).cast("long")
+    rec = F.explode(F.array(
+        F.struct(F.col(p).alias("cls"), F.lit(1).cast("long").alias("np"), hit.alias("tp"), F.lit(0).cast("long").alias("nt")),
+        F.struct(F.col(t).alias("cls"), F.lit(0).cast("long").alias("np"), F.lit(0).cast("long").alias("tp"),
+                 F.lit(1).cast("long").alias("nt"))))
+    per = x.select(rec.alias("r")).groupBy(F.col("r.cls").alias("cls")).agg(
+        F.sum("r.np").alias("np"), F.sum("r.tp").alias("tp"), F.sum("r.nt").alias("nt"))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("np").cast("double")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("nt").cast("double")), F.lit(0.0))
-    f1 = F.when(prec + rec > 0, F.lit(2.0) * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
-    mf1 = per.agg(F.avg(f1).alias("value")).select(F.lit("macro_f1").alias("metric"), "value")
-    return acc.unionByName(mf1)
+    recall = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("nt").cast("double")), F.lit(0.0))
+    f1 = F.when(prec + recall > 0, F.lit(2.0) * prec * recall / (prec + recall)).otherwise(F.lit(0.0))
+    both = per.agg((F.sum("tp") / F.sum("np")).alias("accuracy"), F.avg(f1).alias("macro_f1"))
+    return both.selectExpr("stack(2, 'accuracy', accuracy, 'macro_f1', macro_f1) as (metric, value)")
 
 
 def predicted_vs_golden(edges: DataFrame, pred_score: str, reward: str = "reward", qid: str = "query_id",
