@@ -120,12 +120,12 @@ def ratio_split(df: DataFrame, by, key: str, ratios=(0.9, 0.0, 0.1),
     skew-safe ``number_within_groups``, then joins the label back.
     """
     by = _cols(by)
-    keys = df.select(*by, key).distinct()
-    sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("__q"))
     from routelake.operators.common import broadcast_if_small
-    k = (number_within_groups(keys, by, key, "__r")
-         .withColumn("__r", F.col("__r") - 1)
-         .join(broadcast_if_small(sizes), by))
+    numbered = number_within_groups(df.select(*by, key).distinct(), by, key, "__r")
+    # Group size = largest number in the group (a partial aggregate over the
+    # numbered keys; the log itself is not read again).
+    sizes = numbered.groupBy(*by).agg(F.max("__r").alias("__q"))
+    k = numbered.withColumn("__r", F.col("__r") - 1).join(broadcast_if_small(sizes), by)
     acc, label = F.lit(0), None
     for name, r in zip(names, ratios):
         size = F.floor(F.col("__q") * F.lit(float(r))).cast("bigint")
