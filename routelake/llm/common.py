@@ -107,9 +107,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs, not null): one row (id, component) per vertex, the
     component being its smallest vertex id.
 
-    Each round hooks every vertex to its smallest neighbour and contracts the edges; a vertex that was hooked
-    leaves the graph, so at least every second vertex of a component goes per round. The recorded parent
-    pointers form a forest that pointer doubling then flattens. Every round is written to the shared folder; the driver
+    Each round hooks every vertex to its smallest neighbour and contracts the edges, until none is left. A vertex
+    may be hooked in several rounds (if others were hooked to it); every pointer leads to a smaller vertex of the same
+    component, so one of them is enough. The pointers form a forest that pointer doubling then flattens. Every round is written to the shared folder; the driver
     sees only counts."""
     spark = edges.sparkSession
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
@@ -128,7 +128,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(contracted, "edges")
         if edges.isEmpty():
             break
-    pointers = written(hooked, "pointers")
+    pointers = written(hooked.groupBy("id").agg(F.min("to").alias("to")), "pointers")
     while True:
         up = pointers.select(F.col("id").alias("to"), F.col("to").alias("up"))
         step = written(pointers.join(up, "to", "left").select("id", F.coalesce("up", "to").alias("to"),
