@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from routelake.llm.common import written
 
 SEGMENT_TOKENS = 65_536  # a segment ends with the document that reaches this; a longer document is a segment of its own
-CACHE = 300_000          # space-separated pieces that a worker remembers
+CACHE = 1_000_000        # space-separated pieces that a worker remembers (about 200 MB); then it starts anew
 CACHED_CHARS = 64
 
 SEGMENT = ("shard int, seq int, first long, n_tokens long, doc_ids array<bigint>, starts array<bigint>, "
