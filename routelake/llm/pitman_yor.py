@@ -10,10 +10,11 @@ last sweep's totals per restaurant. Predictive probabilities are averaged over t
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import discard, whole_groups, written
+from routelake.llm.common import discard, group_bounds, whole_groups, written
 
 CONTEXTS = 62           # frequent words with a restaurant of their own
 OTHER, START = 0, CONTEXTS + 1
@@ -31,7 +32,7 @@ RESTAURANTS = CONTEXTS + 2
 SWEEPS, BURN_IN = 3, 1
 DISCOUNT, STRENGTH = 0.75, 1.0          # of context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-BLOCK_CHARS = 24_000_000  # text of one block of documents with a vocabulary of its own
+BLOCK_CHARS = 30_000_000  # text of one block of documents with a vocabulary of its own
 END = "\n"              # the end token as a word: no word holds white space
 SINGLE_STEPS = 48       # customers of a word seated one by one; later ones in runs of a sixteenth of those seated
 
@@ -132,7 +133,6 @@ class Totals:
     tables: np.ndarray
     root_tables: float
     vocabulary: int
-    samples: list = field(default_factory=list)  # per recorded sample: (weight of the parent by restaurant, unknown word's probability)
 
     def root(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
         """Predictive probability of words in the parent."""
@@ -163,52 +163,92 @@ def seat(rng: np.random.Generator, n: np.ndarray, new: np.ndarray, discount: flo
     return out
 
 
-_STATE = "word string, n long, ctx array<int>, c array<bigint>, t array<bigint>, t0 long, p0 array<double>, p array<double>"
+_STATE = "word string, n long, ctx array<int>, c array<bigint>, t array<bigint>, t0 long"
+_TABLES = ", t{0} array<bigint>, t0{0} long"  # of a recorded sample
 
 
-def _sweep(totals: Totals, number: int, record: bool, sample: bool = True):
-    """One Gibbs sweep over rows of words; ``record`` first adds the present seating's predictive probabilities."""
+def _state_sql(samples: int) -> str:
+    return _STATE + "".join(_TABLES.format(f"_{k}") for k in range(samples))
+
+
+def _flat(col) -> np.ndarray:
+    return col.flatten().to_numpy()
+
+
+def _sweep(totals: Totals, number: int, samples: int, record: bool):
+    """One Gibbs sweep over rows of words with ``samples`` recorded seatings; ``record`` first records the present one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            col = {k: b.column(k) for k in b.schema.names}
-            offsets = col["ctx"].offsets.to_numpy()
+            offsets = b.column("ctx").offsets.to_numpy()
             offsets = offsets - offsets[0]
-            lens = np.diff(offsets)
-            of = np.repeat(np.arange(len(lens)), lens)
-            ctx, c, t = (col[k].flatten().to_numpy() for k in ("ctx", "c", "t"))
-            t0 = col["t0"].to_numpy()
-            c0 = np.bincount(of, weights=t, minlength=len(lens))
-            root = totals.root(c0, t0)
-            p0, p = col["p0"], col["p"]
-            if record:
-                mine = (c - DISCOUNT * t) / (STRENGTH + totals.customers[ctx]) + totals.weight()[ctx] * root[of]
-                p = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(p.flatten().to_numpy() + mine))
-                before = p0.flatten().to_numpy().reshape(len(lens), -1)
-                p0 = np.hstack([before, root[:, None]])
-                p0 = pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1) * p0.shape[1], pa.int32()), pa.array(p0.ravel()))
-            if sample:
-                rng = np.random.default_rng([number, zlib.crc32((col["word"][0].as_py() or "").encode()), b.num_rows])
-                others = np.maximum(totals.tables[ctx] - t, 0)
-                t = seat(rng, c, (STRENGTH + DISCOUNT * others) * root[of], DISCOUNT)
-                c0 = np.bincount(of, weights=t, minlength=len(lens)).astype(np.int64)
-                others = max(totals.root_tables, 1.0)
-                t0 = seat(rng, c0, np.full(len(lens), (ROOT_STRENGTH + ROOT_DISCOUNT * others) / (totals.vocabulary + 1)), ROOT_DISCOUNT)
+            of = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            ctx, c, t = (_flat(b.column(k)) for k in ("ctx", "c", "t"))
+            t0 = b.column("t0").to_numpy()
+            root = totals.root(np.bincount(of, weights=t, minlength=b.num_rows), t0)
+            rng = np.random.default_rng([number, zlib.crc32((b.column("word")[0].as_py() or "").encode()), b.num_rows])
+            others = np.maximum(totals.tables[ctx] - t, 0)
+            new = seat(rng, c, (STRENGTH + DISCOUNT * others) * root[of], DISCOUNT).astype(np.int64)
+            c0 = np.bincount(of, weights=new, minlength=b.num_rows).astype(np.int64)
+            base = (ROOT_STRENGTH + ROOT_DISCOUNT * max(totals.root_tables, 1.0)) / (totals.vocabulary + 1)
+            new0 = seat(rng, c0, np.full(b.num_rows, base), ROOT_DISCOUNT).astype(np.int64)
+            kept = [b.column(k) for k in b.schema.names[6:]] + ([b.column("t"), b.column("t0")] if record else [])
+            names = [f"t0_{k // 2}" if k % 2 else f"t_{k // 2}" for k in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
-                [col["word"], col["n"], col["ctx"], col["c"], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(t.astype(np.int64))),
-                 pa.array(t0.astype(np.int64)), p0, p], names=b.schema.names)
+                [*(b.column(k) for k in ("word", "n", "ctx", "c")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(new)), pa.array(new0), *kept],
+                names=["word", "n", "ctx", "c", "t", "t0", *names])
+
+    return run
+
+
+def _pack(samples: int):
+    """(word, data): n, the root tables of each sample, then ctx, c and the tables of each sample for every restaurant; as
+    bytes if all are below 256 (first byte 0), else as 64-bit integers (first byte 1)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            offsets = b.column("ctx").offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            lens, width = np.diff(offsets), 2 + samples
+            size = 1 + samples + lens * width
+            start = np.concatenate([[0], np.cumsum(size)])
+            values = np.empty(int(start[-1]), np.int64)
+            values[start[:-1]] = b.column("n").to_numpy()
+            at = np.repeat(start[:-1] + 1 + samples - offsets[:-1] * width, lens) + np.arange(offsets[-1]) * width
+            values[at], values[at + 1] = _flat(b.column("ctx")), _flat(b.column("c"))
+            for k in range(samples):
+                values[start[:-1] + 1 + k] = b.column(f"t0_{k}").to_numpy()
+                values[at + 2 + k] = _flat(b.column(f"t_{k}"))
+            small = np.maximum.reduceat(values, start[:-1]) < 256
+            data = [b"\0" + v.astype(np.uint8).tobytes() if ok else b"\1" + v.astype("<i8").tobytes()
+                    for ok, v in zip(small.tolist(), np.split(values, start[1:-1]))]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(data, pa.binary())], names=["word", "data"])
 
     return run
 
 
-def _totals(state: DataFrame, customers: np.ndarray, vocabulary: int, samples: list) -> Totals:
+def _unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All packed integers of a list of words, and where each word's begin (with the end appended)."""
+    big = [d[0] == 1 for d in data]
+    size = np.array([(len(d) - 1) // 8 if x else len(d) - 1 for d, x in zip(data, big)])
+    start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    values = np.empty(int(start[-1]), np.int64)
+    big = np.array(big)
+    of = np.repeat(big, size)
+    values[~of] = np.frombuffer(b"".join([d[1:] for d, x in zip(data, big) if not x]), np.uint8)
+    values[of] = np.frombuffer(b"".join([d[1:] for d, x in zip(data, big) if x]), "<i8")
+    return values, start
+
+
+def _totals(state: DataFrame, customers: np.ndarray, vocabulary: int) -> Totals:
     rows = state.select(F.explode(F.arrays_zip("ctx", "t")).alias("e")).groupBy("e.ctx").agg(F.sum("e.t").alias("t")).collect()  # a row per restaurant
     tables = np.zeros(RESTAURANTS)
     for r in rows:
         tables[r["ctx"]] = r["t"]
     root = state.agg(F.coalesce(F.sum("t0"), F.lit(0))).first()[0]
-    return Totals(customers, tables, float(root), vocabulary, samples)
+    return Totals(customers, tables, float(root), vocabulary)
 
 
 _LOOKUP = "block long, lid int, word string"
@@ -226,45 +266,52 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(totals: Totals, train_tokens: int, frequent: dict[bytes, int]):
-    """Rows sorted by block and local id: first (-1) the block itself, then its known words' parameters."""
+def _score(samples: list[Totals], train_tokens: int, frequent: dict[bytes, int]):
+    """Rows (block, lid, data) sorted by block and local id: first (-1) the block itself, then its known words."""
+    vocabulary = samples[0].vocabulary
+
+    def probabilities(lid: np.ndarray, data: list[bytes], words: int):
+        """Count and parent probabilities (words, samples) by local id; sorted (word, restaurant) codes and their averages."""
+        n = np.zeros(words, np.int64)
+        p0 = np.tile([float(s.root(np.zeros(1), np.zeros(1))[0]) for s in samples], (words, 1))
+        if not len(lid):
+            return n, p0, np.empty(0, np.int64), np.empty(0)
+        values, start = _unpack(data)
+        width, first = 2 + len(samples), start[:-1]
+        lens = (np.diff(start) - 1 - len(samples)) // width
+        n[lid] = values[first]
+        at = np.concatenate([[0], np.cumsum(lens)[:-1]])
+        at = np.repeat(first + 1 + len(samples) - at * width, lens) + np.arange(lens.sum()) * width
+        of, ctx, c = np.repeat(np.arange(len(lid)), lens), values[at], values[at + 1]
+        p = np.zeros(len(at))
+        for k, s in enumerate(samples):
+            t = values[at + 2 + k]
+            root = s.root(np.bincount(of, weights=t, minlength=len(lid)), values[first + 1 + k])
+            p0[lid, k] = root
+            p += (c - DISCOUNT * t) / (STRENGTH + s.customers[ctx]) + s.weight()[ctx] * root[of]
+        return n, p0, lid[of].astype(np.int64) * RESTAURANTS + ctx, p / len(samples)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = len(totals.samples)
-        weights = np.stack([w for w, _ in totals.samples], axis=1)      # (restaurants, samples)
-        unknown = np.array([u for _, u in totals.samples])
-        for table in whole_groups(batches, ["block"]):
-            t = table.combine_chunks()
-            block = t.column("block").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                row = t.slice(lo, 1).select(["doc_id", "held", "size", "vocab", "ids"]).to_pylist()[0]
-                known = t.slice(lo + 1, hi - lo - 1).combine_chunks()
+        weights = np.stack([s.weight() for s in samples], axis=1)      # (restaurants, samples)
+        for t in whole_groups(batches, ["block"]):
+            bounds = group_bounds(t, ["block"])
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                row = pickle.loads(t.column("data")[lo].as_py())
                 words = _vocab(row)
-                n = np.zeros(len(words), np.int64)
-                p0 = np.tile(unknown, (len(words), 1))
-                codes, p = np.empty(0, np.int64), np.empty(0)
-                if known.num_rows:
-                    lid = known.column("lid").to_numpy()
-                    n[lid] = known.column("n").to_numpy()
-                    chunk = lambda k: known.column(k).chunk(0)
-                    p0[lid] = chunk("p0").flatten().to_numpy().reshape(len(lid), s)
-                    lens = np.diff(chunk("ctx").offsets.to_numpy())
-                    codes = np.repeat(lid.astype(np.int64), lens) * RESTAURANTS + chunk("ctx").flatten().to_numpy()
-                    p = chunk("p").flatten().to_numpy() / s
-                    order = np.argsort(codes)
-                    codes, p = codes[order], p[order]
+                lid = t.column("lid").slice(lo + 1, hi - lo - 1).to_numpy()
+                n, p0, codes, p = probabilities(lid, t.column("data").slice(lo + 1, hi - lo - 1).to_pylist(), len(words))
                 ids, size = _expand(row["ids"]), np.array(row["size"])
                 ctx = _contexts(ids, size, words, frequent)
-                base = np.log10((n + 1) / (train_tokens + totals.vocabulary + 1))
+                base = np.log10((n + 1) / (train_tokens + vocabulary + 1))
                 logs = np.empty(len(ids))
-                for a in range(0, len(ids), 1_000_000):
-                    w, u = ids[a:a + 1_000_000], ctx[a:a + 1_000_000]
-                    prob = (weights[u] * p0[w]).sum(axis=1) / s
+                for a in range(0, len(ids), 500_000):
+                    w, u = ids[a:a + 500_000], ctx[a:a + 500_000]
+                    prob = (weights[u] * p0[w]).mean(axis=1)
                     if len(codes):
                         code = w.astype(np.int64) * RESTAURANTS + u
                         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
                         prob = np.where(codes[at] == code, p[at], prob)
-                    logs[a:a + 1_000_000] = np.log10(prob)
+                    logs[a:a + 500_000] = np.log10(prob)
                 starts = np.concatenate([[0], np.cumsum(size)[:-1]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size, pa.int64()),
@@ -274,6 +321,11 @@ def _score(totals: Totals, train_tokens: int, frequent: dict[bytes, int]):
     return run
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([-1], pa.int32()), pa.array([pickle.dumps(row)], pa.binary())], names=["block", "lid", "data"])
+
+
 def score(docs: DataFrame, held_out) -> DataFrame:
     """Learns from the rows of ``docs(doc_id, text)`` where the Column ``held_out`` is false and scores all: doc_id, held_out,
     n_tokens (words and one end token), n_known, train_tokens, base_score (add-one unigram) and score (the model), both log10
@@ -290,30 +342,27 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     per_ctx = blocks.select("held", "size", "vocab", "ids").mapInArrow(_customers(frequent), "word string, ctx int, n long").groupBy("word", "ctx").agg(F.sum("n").alias("c"))
     state = written(per_ctx.groupBy("word").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("e"))
                     .select("word", "n", F.col("e.ctx").alias("ctx"), F.col("e.c").alias("c"), F.transform("e", lambda x: F.lit(1).cast("long")).alias("t"),
-                            F.lit(1).cast("long").alias("t0"), F.array().cast("array<double>").alias("p0"), F.transform("e", lambda x: F.lit(0.0)).alias("p")), "seating")
+                            F.lit(1).cast("long").alias("t0")), "seating")
     customers = np.zeros(RESTAURANTS)
     for r in state.select(F.explode(F.arrays_zip("ctx", "c")).alias("e")).groupBy("e.ctx").agg(F.sum("e.c").alias("c")).collect():
         customers[r["ctx"]] = r["c"]
     vocabulary, train_tokens = state.count(), int(customers.sum())
-    totals = _totals(state, customers, vocabulary, [])
-
-    def recorded(t: Totals) -> None:
-        t.samples.append((t.weight(), float(t.root(np.zeros(1), np.zeros(1))[0])))
+    totals = _totals(state, customers, vocabulary)
+    samples: list[Totals] = []  # the totals of each recorded seating
 
-    for k in range(SWEEPS):
+    for k in range(SWEEPS + 1):  # the first seating is one table per word; the last sweep only records
         record = k > BURN_IN
         if record:
-            recorded(totals)
-        old, state = state, written(state.mapInArrow(_sweep(totals, k, record), _STATE), "seating")
+            samples.append(totals)
+        old, sql = state, _state_sql(len(samples))
+        state = written(state.mapInArrow(_sweep(totals, k, len(samples), record), sql), "seating")
         discard(old)
-        totals = _totals(state, customers, vocabulary, totals.samples)
-    recorded(totals)
-    final = state.mapInArrow(_sweep(totals, SWEEPS, True, sample=False), _STATE).select("word", "n", "ctx", "p0", "p")
+        if k < SWEEPS:
+            totals = _totals(state, customers, vocabulary)
+    final = state.mapInArrow(_pack(len(samples)), "word string, data binary")
     words = blocks.select("vocab", "block").mapInArrow(_block_words, _LOOKUP)
-    empty = {"doc_id": "array<bigint>", "held": "array<boolean>", "size": "array<int>", "vocab": "binary", "ids": "binary"}
-    known = words.join(final, "word").select("block", "lid", "n", "ctx", "p0", "p", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
-    heads = blocks.select("block", F.lit(-1).alias("lid"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("array<int>").alias("ctx"),
-                          F.lit(None).cast("array<double>").alias("p0"), F.lit(None).cast("array<double>").alias("p"), *empty)
+    known = words.join(final, "word").select("block", "lid", "data")
+    heads = blocks.drop("train").mapInArrow(_heads, "block long, lid int, data binary")
     scored = (heads.unionByName(known).repartition("block").sortWithinPartitions("block", "lid")
-              .mapInArrow(_score(totals, train_tokens, frequent), _SCORE))
+              .mapInArrow(_score(samples, train_tokens, frequent), _SCORE))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
