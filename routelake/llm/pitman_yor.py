@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import discard, group_bounds, whole_groups, written
+from routelake.llm.common import discard, free_shuffles, group_bounds, whole_groups, written
 
 CONTEXTS = 62           # frequent words with a restaurant of their own
 OTHER, START = 0, CONTEXTS + 1
@@ -32,7 +32,7 @@ RESTAURANTS = CONTEXTS + 2
 SWEEPS, BURN_IN = 3, 1
 DISCOUNT, STRENGTH = 0.75, 1.0          # of context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-BLOCK_CHARS = 30_000_000  # text of one block of documents with a vocabulary of its own
+BLOCK_CHARS = 14_000_000  # text of one block of documents with a vocabulary of its own
 END = "\n"              # the end token as a word: no word holds white space
 SINGLE_STEPS = 48       # customers of a word seated one by one; later ones in runs of a sixteenth of those seated
 
@@ -343,6 +343,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     state = written(per_ctx.groupBy("word").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("e"))
                     .select("word", "n", F.col("e.ctx").alias("ctx"), F.col("e.c").alias("c"), F.transform("e", lambda x: F.lit(1).cast("long")).alias("t"),
                             F.lit(1).cast("long").alias("t0")), "seating")
+    del per_ctx
+    free_shuffles(docs.sparkSession)
     customers = np.zeros(RESTAURANTS)
     for r in state.select(F.explode(F.arrays_zip("ctx", "c")).alias("e")).groupBy("e.ctx").agg(F.sum("e.c").alias("c")).collect():
         customers[r["ctx"]] = r["c"]
