@@ -3,7 +3,6 @@ connected components."""
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -32,12 +31,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark) -> None:
-    """Have the driver collect its garbage, upon which Spark deletes the shuffle files of steps that are written and done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,8 @@ text start, or any other word. All context restaurants share one parent, the uni
 uniform over the vocabulary and one unknown word. Every training token is a customer. Seatings are sampled by
 blocked Gibbs sweeps: all customers of a (restaurant, word) are seated anew, one by one, given everyone else's tables;
 tables are the customers of the parent, which is seated next. Sweeps run on all words at once, given the
-last sweep's totals per restaurant. Predictive probabilities are averaged over the samples after burn-in.
+last sweep's totals per restaurant. The vocabulary is dealt into buckets; blocks of documents send their words to the buckets and get
+the customers and tables back, as compressed columns. Predictive probabilities are averaged over the samples after burn-in.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import discard, free_shuffles, group_bounds, whole_groups, written
+from routelake.llm.common import discard, written
 
 CONTEXTS = 62           # frequent words with a restaurant of their own
 OTHER, START = 0, CONTEXTS + 1
@@ -33,12 +34,13 @@ SWEEPS, BURN_IN = 3, 1
 DISCOUNT, STRENGTH = 0.75, 1.0          # of context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BLOCK_CHARS = 14_000_000  # text of one block of documents with a vocabulary of its own
-END = "\n"              # the end token as a word: no word holds white space
+END = b""               # the end token as a word: no word is empty
+BUCKET_WORDS = 400_000  # words that blocks send to one bucket of the vocabulary, over all blocks
 SINGLE_STEPS = 48       # customers of a word seated one by one; later ones in runs of a sixteenth of those seated
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32())),
-                    ("vocab", pa.binary()), ("ids", pa.binary()), ("train", pa.binary())])
-_BLOCK_SQL = "block long, doc_id array<bigint>, held array<boolean>, size array<int>, vocab binary, ids binary, train binary"
+                    ("vocab", pa.binary()), ("words", pa.int64()), ("ids", pa.binary()), ("train", pa.binary())])
+_BLOCK_SQL = "block long, doc_id array<bigint>, held array<boolean>, size array<int>, vocab binary, words long, ids binary, train binary"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -59,7 +61,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate(parts)
         size = [len(p) for p in parts]
         train = np.bincount(ids[np.repeat(~np.array(held), size)], minlength=len(vocab) + 1)
-        row = {"block": (at << 32) + seq, "doc_id": docs, "held": held, "size": size, "vocab": b"\n".join(vocab),
+        row = {"block": (at << 32) + seq, "doc_id": docs, "held": held, "size": size, "vocab": b"\n".join(vocab), "words": len(vocab) + 1,
                "ids": _squeeze(ids), "train": _squeeze(train)}
         return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
@@ -81,7 +83,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocab(row: dict) -> list[bytes]:
-    return [END.encode(), *(row["vocab"].split(b"\n") if row["vocab"] else [])]
+    return [END, *(row["vocab"].split(b"\n") if row["vocab"] else [])]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -111,21 +113,79 @@ def _contexts(ids: np.ndarray, size: np.ndarray, words: list[bytes], frequent: d
     return ctx
 
 
-def _customers(frequent: dict[bytes, int]):
+def _packed(*values) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, protocol=5))
+
+
+def _unpacked(blob: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+
+
+def _ragged(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Indices start[i] .. start[i] + lens[i] - 1 of every i, one after the other."""
+    ends = np.cumsum(lens)
+    return np.repeat(start - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _requests(frequent: dict[bytes, int], buckets: int):
+    """What a block sends to each bucket of the vocabulary: its words there, and their training customers by restaurant."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             ids, size, words = _expand(row["ids"]), np.array(row["size"]), _vocab(row)
             code = ids.astype(np.int64) * RESTAURANTS + _contexts(ids, size, words, frequent)
             code, n = np.unique(code[np.repeat(~np.array(row["held"]), size)], return_counts=True)
-            word = _text(words)
-            for lo in range(0, len(code), 200_000):
-                c = code[lo:lo + 200_000]
-                yield pa.RecordBatch.from_arrays([word.take(pa.array(c // RESTAURANTS)), pa.array((c % RESTAURANTS).astype(np.int32)),
-                                                  pa.array(n[lo:lo + 200_000].astype(np.int64))], names=["word", "ctx", "n"])
+            start = np.searchsorted(code, np.arange(len(words) + 1) * RESTAURANTS)
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                lids = order[cuts[k]:cuts[k + 1]]
+                lens = start[lids + 1] - start[lids]
+                at = _ragged(start[lids], lens)
+                blob = _packed(lids.astype(np.uint32), b"\n".join([words[i] for i in lids]), lens.astype(np.uint16), (code[at] % RESTAURANTS).astype(np.uint16), n[at].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([row["block"]]), pa.array([blob], pa.binary())], names=["bucket", "block", "data"])
 
     return run
 
 
+_STATE = "bucket int, words long, root_tables long, tables array<bigint>, customers array<bigint>, data binary"
+
+
+def _state(bucket: int, words: list[bytes], off, ctx, c, t, t0, seatings) -> pa.RecordBatch:
+    """A bucket of the vocabulary: words, their entries [off[i], off[i + 1]) of restaurant, customers and tables, root tables, and the
+    recorded seatings."""
+    count = lambda x: np.bincount(ctx, weights=x, minlength=RESTAURANTS).astype(np.int64).tolist()
+    blob = _packed(b"\n".join(words), off, ctx, c, t, t0, seatings)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([len(words)]), pa.array([int(t0.sum())]), pa.array([count(t)], pa.list_(pa.int64())),
+         pa.array([count(c)], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["bucket", "words", "root_tables", "tables", "customers", "data"])
+
+
+def _seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Requests sorted by bucket to the buckets' first seating: one table per word and restaurant."""
+    index, codes, counts, at = {}, [], [], None
+
+    def done() -> pa.RecordBatch:
+        code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
+        c = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+        off = np.searchsorted(code, np.arange(len(index) + 1) * RESTAURANTS)
+        ctx = code % RESTAURANTS
+        return _state(at, list(index), off, ctx, c, np.ones(len(c), np.int64), np.ones(len(index), np.int64), [])
+
+    for b in batches:
+        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("data")):
+            if bucket != at:
+                if index:
+                    yield done()
+                index, codes, counts, at = {}, [], [], bucket
+            _, words, lens, ctx, n = _unpacked(blob.as_py())
+            trained = np.fromiter((index.setdefault(w, len(index)) for w, k in zip(words.split(b"\n"), lens.tolist()) if k), np.int64)
+            codes.append(np.repeat(trained, lens[lens > 0]) * RESTAURANTS + ctx)
+            counts.append(n)
+    if index:
+        yield done()
+
+
 @dataclass
 class Totals:
     """Customers and tables of every restaurant, and of the parent."""
@@ -163,167 +223,127 @@ def seat(rng: np.random.Generator, n: np.ndarray, new: np.ndarray, discount: flo
     return out
 
 
-_STATE = "word string, n long, ctx array<int>, c array<bigint>, t array<bigint>, t0 long"
-_TABLES = ", t{0} array<bigint>, t0{0} long"  # of a recorded sample
-
-
-def _state_sql(samples: int) -> str:
-    return _STATE + "".join(_TABLES.format(f"_{k}") for k in range(samples))
-
-
-def _flat(col) -> np.ndarray:
-    return col.flatten().to_numpy()
-
-
-def _sweep(totals: Totals, number: int, samples: int, record: bool):
-    """One Gibbs sweep over rows of words with ``samples`` recorded seatings; ``record`` first records the present one."""
+def _sweep(totals: Totals, number: int, record: bool, sample: bool):
+    """One Gibbs sweep over the buckets; ``record`` first keeps the present seating."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            offsets = b.column("ctx").offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            of = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            ctx, c, t = (_flat(b.column(k)) for k in ("ctx", "c", "t"))
-            t0 = b.column("t0").to_numpy()
-            root = totals.root(np.bincount(of, weights=t, minlength=b.num_rows), t0)
-            rng = np.random.default_rng([number, zlib.crc32((b.column("word")[0].as_py() or "").encode()), b.num_rows])
-            others = np.maximum(totals.tables[ctx] - t, 0)
-            new = seat(rng, c, (STRENGTH + DISCOUNT * others) * root[of], DISCOUNT).astype(np.int64)
-            c0 = np.bincount(of, weights=new, minlength=b.num_rows).astype(np.int64)
-            base = (ROOT_STRENGTH + ROOT_DISCOUNT * max(totals.root_tables, 1.0)) / (totals.vocabulary + 1)
-            new0 = seat(rng, c0, np.full(b.num_rows, base), ROOT_DISCOUNT).astype(np.int64)
-            kept = [b.column(k) for k in b.schema.names[6:]] + ([b.column("t"), b.column("t0")] if record else [])
-            names = [f"t0_{k // 2}" if k % 2 else f"t_{k // 2}" for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in ("word", "n", "ctx", "c")), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(new)), pa.array(new0), *kept],
-                names=["word", "n", "ctx", "c", "t", "t0", *names])
+        for row in _rows(batches):
+            words, off, ctx, c, t, t0, seatings = _unpacked(row["data"])
+            words, of = words.split(b"\n"), np.repeat(np.arange(len(t0)), np.diff(off))
+            if record:
+                seatings = [*seatings, (t.astype(np.int32), t0.astype(np.int32))]
+            if sample:
+                rng = np.random.default_rng([number, row["bucket"]])
+                root = totals.root(np.bincount(of, weights=t, minlength=len(t0)), t0)
+                others = np.maximum(totals.tables[ctx] - t, 0)
+                t = seat(rng, c, (STRENGTH + DISCOUNT * others) * root[of], DISCOUNT).astype(np.int64)
+                c0 = np.bincount(of, weights=t, minlength=len(t0)).astype(np.int64)
+                base = (ROOT_STRENGTH + ROOT_DISCOUNT * max(totals.root_tables, 1.0)) / (totals.vocabulary + 1)
+                t0 = seat(rng, c0, np.full(len(t0), base), ROOT_DISCOUNT).astype(np.int64)
+            yield _state(row["bucket"], words, off, ctx, c, t, t0, seatings)
 
     return run
 
 
-def _pack(samples: int):
-    """(word, data): n, the root tables of each sample, then ctx, c and the tables of each sample for every restaurant; as
-    bytes if all are below 256 (first byte 0), else as 64-bit integers (first byte 1)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, block, data) sorted by both: a bucket's state (block -1), then the blocks' requests, each answered with the
+    customers and tables of its words."""
+    at, state, index = None, None, {}
+    for b in batches:
+        for bucket, block, blob in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), b.column("data")):
+            if block < 0:
+                at, state = bucket, _unpacked(blob.as_py())
+                index = {w: i for i, w in enumerate(state[0].split(b"\n"))}
                 continue
-            offsets = b.column("ctx").offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            lens, width = np.diff(offsets), 2 + samples
-            size = 1 + samples + lens * width
-            start = np.concatenate([[0], np.cumsum(size)])
-            values = np.empty(int(start[-1]), np.int64)
-            values[start[:-1]] = b.column("n").to_numpy()
-            at = np.repeat(start[:-1] + 1 + samples - offsets[:-1] * width, lens) + np.arange(offsets[-1]) * width
-            values[at], values[at + 1] = _flat(b.column("ctx")), _flat(b.column("c"))
-            for k in range(samples):
-                values[start[:-1] + 1 + k] = b.column(f"t0_{k}").to_numpy()
-                values[at + 2 + k] = _flat(b.column(f"t_{k}"))
-            small = np.maximum.reduceat(values, start[:-1]) < 256
-            data = [b"\0" + v.astype(np.uint8).tobytes() if ok else b"\1" + v.astype("<i8").tobytes()
-                    for ok, v in zip(small.tolist(), np.split(values, start[1:-1]))]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(data, pa.binary())], names=["word", "data"])
-
-    return run
-
-
-def _unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All packed integers of a list of words, and where each word's begin (with the end appended)."""
-    big = [d[0] == 1 for d in data]
-    size = np.array([(len(d) - 1) // 8 if x else len(d) - 1 for d, x in zip(data, big)])
-    start = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    values = np.empty(int(start[-1]), np.int64)
-    big = np.array(big)
-    of = np.repeat(big, size)
-    values[~of] = np.frombuffer(b"".join([d[1:] for d, x in zip(data, big) if not x]), np.uint8)
-    values[of] = np.frombuffer(b"".join([d[1:] for d, x in zip(data, big) if x]), "<i8")
-    return values, start
-
-
-def _totals(state: DataFrame, customers: np.ndarray, vocabulary: int) -> Totals:
-    rows = state.select(F.explode(F.arrays_zip("ctx", "t")).alias("e")).groupBy("e.ctx").agg(F.sum("e.t").alias("t")).collect()  # a row per restaurant
-    tables = np.zeros(RESTAURANTS)
+            if bucket != at:
+                continue  # no training word in this bucket
+            _, off, ctx, c, _, _, seatings = state
+            lids, words, *_ = _unpacked(blob.as_py())
+            where = np.fromiter((index.get(w, -1) for w in words.split(b"\n")), np.int64, len(lids))
+            lids, where = lids[where >= 0], where[where >= 0]
+            lens = off[where + 1] - off[where]
+            entries = _ragged(off[where], lens)
+            data = _packed(lids, lens.astype(np.uint16), ctx[entries].astype(np.uint16), c[entries], [(t[entries], t0[where]) for t, t0 in seatings])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
+
+
+def _totals(state: DataFrame) -> Totals:
+    """Sums over the buckets: one row per restaurant, and the vocabulary."""
+    rows = (state.select(F.posexplode(F.arrays_zip("customers", "tables"))).groupBy("pos")
+            .agg(F.sum("col.customers").alias("c"), F.sum("col.tables").alias("t")).collect())
+    customers, tables = np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)
     for r in rows:
-        tables[r["ctx"]] = r["t"]
-    root = state.agg(F.coalesce(F.sum("t0"), F.lit(0))).first()[0]
-    return Totals(customers, tables, float(root), vocabulary)
-
-
-_LOOKUP = "block long, lid int, word string"
-
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        words = _text(_vocab(row))
-        for lo in range(0, len(words), 200_000):
-            w = words.slice(lo, 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), row["block"])), pa.array(np.arange(lo, lo + len(w)).astype(np.int32)), w],
-                                             names=["block", "lid", "word"])
+        customers[r["pos"]], tables[r["pos"]] = r["c"], r["t"]
+    one = state.agg(F.coalesce(F.sum("root_tables"), F.lit(0)).alias("t"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
+    return Totals(customers, tables, float(one["t"]), int(one["v"]))
 
 
 _SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(samples: list[Totals], train_tokens: int, frequent: dict[bytes, int]):
-    """Rows (block, lid, data) sorted by block and local id: first (-1) the block itself, then its known words."""
+    """Rows (block, part, data) sorted by block and part: first (-1) the block itself, then the answers of the buckets."""
     vocabulary = samples[0].vocabulary
 
-    def probabilities(lid: np.ndarray, data: list[bytes], words: int):
-        """Count and parent probabilities (words, samples) by local id; sorted (word, restaurant) codes and their averages."""
+    def probabilities(answers: list[bytes], words: int):
+        """Training count and parent probabilities (words, samples) by local id; sorted (word, restaurant) codes and their averages."""
         n = np.zeros(words, np.int64)
         p0 = np.tile([float(s.root(np.zeros(1), np.zeros(1))[0]) for s in samples], (words, 1))
-        if not len(lid):
-            return n, p0, np.empty(0, np.int64), np.empty(0)
-        values, start = _unpack(data)
-        width, first = 2 + len(samples), start[:-1]
-        lens = (np.diff(start) - 1 - len(samples)) // width
-        n[lid] = values[first]
-        at = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        at = np.repeat(first + 1 + len(samples) - at * width, lens) + np.arange(lens.sum()) * width
-        of, ctx, c = np.repeat(np.arange(len(lid)), lens), values[at], values[at + 1]
-        p = np.zeros(len(at))
-        for k, s in enumerate(samples):
-            t = values[at + 2 + k]
-            root = s.root(np.bincount(of, weights=t, minlength=len(lid)), values[first + 1 + k])
-            p0[lid, k] = root
-            p += (c - DISCOUNT * t) / (STRENGTH + s.customers[ctx]) + s.weight()[ctx] * root[of]
-        return n, p0, lid[of].astype(np.int64) * RESTAURANTS + ctx, p / len(samples)
+        codes, probs = [np.empty(0, np.int64)], [np.empty(0)]
+        for lids, lens, ctx, c, seatings in map(_unpacked, answers):
+            of, p = np.repeat(np.arange(len(lids)), lens), 0.0
+            n[lids] = np.bincount(of, weights=c, minlength=len(lids))
+            for k, (s, (t, t0)) in enumerate(zip(samples, seatings)):
+                root = s.root(np.bincount(of, weights=t, minlength=len(lids)), t0)
+                p0[lids, k] = root
+                p = p + (c - DISCOUNT * t) / (STRENGTH + s.customers[ctx]) + s.weight()[ctx] * root[of]
+            codes.append(lids[of].astype(np.int64) * RESTAURANTS + ctx)
+            probs.append(p / len(samples))
+        codes, probs = np.concatenate(codes), np.concatenate(probs)
+        order = np.argsort(codes)
+        return n, p0, codes[order], probs[order]
+
+    weights = np.stack([s.weight() for s in samples], axis=1)      # (restaurants, samples)
+
+    def scored(row: dict, answers: list[bytes]) -> pa.RecordBatch:
+        words = _vocab(row)
+        n, p0, codes, p = probabilities(answers, len(words))
+        ids, size = _expand(row["ids"]), np.array(row["size"])
+        ctx = _contexts(ids, size, words, frequent)
+        base = np.log10((n + 1) / (train_tokens + vocabulary + 1))
+        logs = np.empty(len(ids))
+        for a in range(0, len(ids), 500_000):
+            w, u = ids[a:a + 500_000], ctx[a:a + 500_000]
+            prob = (weights[u] * p0[w]).mean(axis=1)
+            if len(codes):
+                code = w.astype(np.int64) * RESTAURANTS + u
+                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                prob = np.where(codes[at] == code, p[at], prob)
+            logs[a:a + 500_000] = np.log10(prob)
+        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size, pa.int64()),
+             pa.array(np.add.reduceat((n[ids] > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base[ids], starts)),
+             pa.array(np.add.reduceat(logs, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.stack([s.weight() for s in samples], axis=1)      # (restaurants, samples)
-        for t in whole_groups(batches, ["block"]):
-            bounds = group_bounds(t, ["block"])
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                row = pickle.loads(t.column("data")[lo].as_py())
-                words = _vocab(row)
-                lid = t.column("lid").slice(lo + 1, hi - lo - 1).to_numpy()
-                n, p0, codes, p = probabilities(lid, t.column("data").slice(lo + 1, hi - lo - 1).to_pylist(), len(words))
-                ids, size = _expand(row["ids"]), np.array(row["size"])
-                ctx = _contexts(ids, size, words, frequent)
-                base = np.log10((n + 1) / (train_tokens + vocabulary + 1))
-                logs = np.empty(len(ids))
-                for a in range(0, len(ids), 500_000):
-                    w, u = ids[a:a + 500_000], ctx[a:a + 500_000]
-                    prob = (weights[u] * p0[w]).mean(axis=1)
-                    if len(codes):
-                        code = w.astype(np.int64) * RESTAURANTS + u
-                        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                        prob = np.where(codes[at] == code, p[at], prob)
-                    logs[a:a + 500_000] = np.log10(prob)
-                starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size, pa.int64()),
-                     pa.array(np.add.reduceat((n[ids] > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base[ids], starts)),
-                     pa.array(np.add.reduceat(logs, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        row, answers = None, []
+        for b in batches:
+            for part, data in zip(b.column("part").to_pylist(), b.column("data")):
+                if part >= 0:
+                    answers.append(data.as_py())
+                    continue
+                if row is not None:
+                    yield scored(row, answers)
+                row, answers = pickle.loads(data.as_py()), []
+        if row is not None:
+            yield scored(row, answers)
 
     return run
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([-1], pa.int32()), pa.array([pickle.dumps(row)], pa.binary())], names=["block", "lid", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([-1], pa.int32()), pa.array([pickle.dumps(row)], pa.binary())], names=["block", "part", "data"])
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -339,32 +359,20 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     top = (blocks.select("vocab", "train").mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "word").limit(CONTEXTS).collect())
     frequent = {r["word"].encode(): i + 1 for i, r in enumerate(top)}
-    per_ctx = blocks.select("held", "size", "vocab", "ids").mapInArrow(_customers(frequent), "word string, ctx int, n long").groupBy("word", "ctx").agg(F.sum("n").alias("c"))
-    state = written(per_ctx.groupBy("word").agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("e"))
-                    .select("word", "n", F.col("e.ctx").alias("ctx"), F.col("e.c").alias("c"), F.transform("e", lambda x: F.lit(1).cast("long")).alias("t"),
-                            F.lit(1).cast("long").alias("t0")), "seating")
-    del per_ctx
-    free_shuffles(docs.sparkSession)
-    customers = np.zeros(RESTAURANTS)
-    for r in state.select(F.explode(F.arrays_zip("ctx", "c")).alias("e")).groupBy("e.ctx").agg(F.sum("e.c").alias("c")).collect():
-        customers[r["ctx"]] = r["c"]
-    vocabulary, train_tokens = state.count(), int(customers.sum())
-    totals = _totals(state, customers, vocabulary)
-    samples: list[Totals] = []  # the totals of each recorded seating
-
-    for k in range(SWEEPS + 1):  # the first seating is one table per word; the last sweep only records
-        record = k > BURN_IN
-        if record:
+    buckets = 1 + (blocks.agg(F.sum("words")).first()[0] or 0) // BUCKET_WORDS
+    requests = written(blocks.drop("train", "words").mapInArrow(_requests(frequent, buckets), "bucket int, block long, data binary"), "requests")
+    state = written(requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_seats, _STATE), "seating")
+    totals, samples = _totals(state), []  # samples: the totals of each recorded seating
+    train_tokens = int(totals.customers.sum())
+    for k in range(SWEEPS + 1):  # the last round only records
+        if k > BURN_IN:
             samples.append(totals)
-        old, sql = state, _state_sql(len(samples))
-        state = written(state.mapInArrow(_sweep(totals, k, len(samples), record), sql), "seating")
+        old, state = state, written(state.mapInArrow(_sweep(totals, k, k > BURN_IN, k < SWEEPS), _STATE), "seating")
         discard(old)
-        if k < SWEEPS:
-            totals = _totals(state, customers, vocabulary)
-    final = state.mapInArrow(_pack(len(samples)), "word string, data binary")
-    words = blocks.select("vocab", "block").mapInArrow(_block_words, _LOOKUP)
-    known = words.join(final, "word").select("block", "lid", "data")
-    heads = blocks.drop("train").mapInArrow(_heads, "block long, lid int, data binary")
-    scored = (heads.unionByName(known).repartition("block").sortWithinPartitions("block", "lid")
+        totals = _totals(state)
+    asked = state.select("bucket", F.lit(-1).cast("long").alias("block"), "data").unionByName(requests)
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block long, part int, data binary")
+    heads = blocks.drop("train", "words").mapInArrow(_heads, "block long, part int, data binary")
+    scored = (heads.unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
               .mapInArrow(_score(samples, train_tokens, frequent), _SCORE))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
