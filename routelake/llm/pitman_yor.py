@@ -61,7 +61,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate(parts)
         size = [len(p) for p in parts]
         train = np.bincount(ids[np.repeat(~np.array(held), size)], minlength=len(vocab) + 1)
-        row = {"block": (at << 32) + seq, "doc_id": docs, "held": held, "size": size, "vocab": b"\n".join(vocab), "words": len(vocab) + 1,
+        row = {"block": (at << 32) + seq, "doc_id": docs, "held": held, "size": size, "vocab": zstandard.ZstdCompressor(level=1).compress(b"\n".join(vocab)), "words": len(vocab) + 1,
                "ids": _squeeze(ids), "train": _squeeze(train)}
         return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
@@ -83,7 +83,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocab(row: dict) -> list[bytes]:
-    return [END, *(row["vocab"].split(b"\n") if row["vocab"] else [])]
+    words = zstandard.ZstdDecompressor().decompress(row["vocab"])
+    return [END, *(words.split(b"\n") if words else [])]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -262,7 +263,9 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lids, where = lids[where >= 0], where[where >= 0]
             lens = off[where + 1] - off[where]
             entries = _ragged(off[where], lens)
-            data = _packed(lids, lens.astype(np.uint16), ctx[entries].astype(np.uint16), c[entries], [(t[entries], t0[where]) for t, t0 in seatings])
+            small = lambda x: x.astype(np.uint16) if x.max(initial=0) < 65536 else x
+            data = _packed(np.diff(lids, prepend=lids[:1]).astype(np.uint32), lids[:1], small(lens), small(ctx[entries]), small(c[entries]),
+                           [(small(t[entries]), small(t0[where])) for t, t0 in seatings])
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
 
 
@@ -289,7 +292,11 @@ def _score(samples: list[Totals], train_tokens: int, frequent: dict[bytes, int])
         n = np.zeros(words, np.int64)
         p0 = np.tile([float(s.root(np.zeros(1), np.zeros(1))[0]) for s in samples], (words, 1))
         codes, probs = [np.empty(0, np.int64)], [np.empty(0)]
-        for lids, lens, ctx, c, seatings in map(_unpacked, answers):
+        for steps, first, lens, ctx, c, seatings in map(_unpacked, answers):
+            if not len(steps):
+                continue
+            lids = np.cumsum(steps, dtype=np.int64) + int(first[0])
+            c = c.astype(np.int64)
             of, p = np.repeat(np.arange(len(lids)), lens), 0.0
             n[lids] = np.bincount(of, weights=c, minlength=len(lids))
             for k, (s, (t, t0)) in enumerate(zip(samples, seatings)):
