@@ -30,10 +30,11 @@ def py_strip(x) -> Column:
 
 
 def answer_tokens(x) -> Column:
-    """T1 as tokens: lower -> drop ASCII punctuation -> split on whitespace ->
-    drop empty tokens and articles."""
+    """T1 as tokens: lower -> drop ASCII punctuation -> drop articles at Unicode
+    word boundaries -> split on whitespace, without empty tokens."""
     s = F.translate(F.lower(_c(x)), PUNCT_CHARS, "")  # deletes every listed character
-    return F.filter(F.split(s, r"(?U)\s+"), lambda t: ~t.isin("", *ARTICLES))
+    s = F.regexp_replace(s, r"(?U)\b(" + "|".join(ARTICLES) + r")\b", " ")
+    return F.filter(F.split(s, r"(?U)\s+"), lambda t: t != "")
 
 
 def normalize_answer(x) -> Column:

@@ -94,12 +94,16 @@ def failure_stats(results: DataFrame, success: str = "success", by=None) -> Data
 
 
 def pending_work(work: DataFrame, done: DataFrame, key, success: str = "success",
-                 retry_failed: bool = False) -> DataFrame:
+                 retry_failed: bool = False, order=None) -> DataFrame:
     """Work still to do.  Default: drop keys already finished successfully
-    (anti join).  ``retry_failed``: only keys whose last attempt failed (semi join)."""
+    (anti join).  ``retry_failed``: only keys whose newest attempt by the ``order``
+    columns failed (semi join); without ``order``, keys that never succeeded."""
     key = [key] if isinstance(key, str) else list(key)
     if retry_failed:
-        return work.join(done.where(~F.col(success)).select(*key), key, "left_semi")
+        ok = F.col(success)
+        newest = F.max_by(ok, F.struct(*([order] if isinstance(order, str) else order))) if order is not None else F.max(ok)
+        last = done.groupBy(*key).agg(newest.alias("__ok"))
+        return work.join(last.where(~F.col("__ok")).select(*key), key, "left_semi")
     return work.join(done.where(F.col(success)).select(*key), key, "left_anti")
 
 

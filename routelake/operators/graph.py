@@ -34,14 +34,13 @@ def edge_list(log: DataFrame, reward: str = "reward", qid: str = "query_id", llm
 
 
 def degree_norm(edges: DataFrame) -> DataFrame:
-    """H2: ``deg(src)^-1/2 * deg(dst)^-1/2`` with degrees counted on the source
-    side only (as the reference does); a zero degree contributes 0."""
-    deg = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("deg"))
-    inv = deg.select("node", F.pow(F.col("deg").cast("double"), -0.5).alias("inv"))
-    e = (edges.join(inv.withColumnRenamed("node", "src").withColumnRenamed("inv", "inv_src"), "src", "left")
-              .join(inv.withColumnRenamed("node", "dst").withColumnRenamed("inv", "inv_dst"), "dst", "left"))
-    return e.withColumn("norm", F.coalesce("inv_src", F.lit(0.0)) * F.coalesce("inv_dst", F.lit(0.0))).drop(
-        "inv_src", "inv_dst")
+    """H2: symmetric normalisation ``deg(src)^-1/2 * deg(dst)^-1/2``, each end's degree
+    counted on its own side."""
+    def inverse(side: str) -> DataFrame:
+        return edges.groupBy(side).agg(F.pow(F.count(F.lit(1)).cast("double"), -0.5).alias(f"inv_{side}"))
+
+    e = edges.join(inverse("src"), "src").join(inverse("dst"), "dst")
+    return e.withColumn("norm", F.col("inv_src") * F.col("inv_dst")).drop("inv_src", "inv_dst")
 
 
 def edge_masks(edges: DataFrame, split_col: str, rate: float, draw) -> DataFrame:

@@ -124,9 +124,12 @@ _EXTRA_METRICS: dict = {}
 def register_metric(name: str, builder) -> None:
     """User surface: add a metric ``builder(pred_col, gt_col) -> Column``."""
     _EXTRA_METRICS[name] = builder
+    _BUILT.clear()
+
+
+_BUILT: dict = {}  # dispatch expressions of plain column names, until the next registration
 
 
-@memo_column
 def score_by_metric(pred="prediction", gt="ground_truth", metric="metric", task="task_name",
                     code_pass=None, math_score=None) -> Column:
     """Per-row metric dispatch.
@@ -136,6 +139,15 @@ def score_by_metric(pred="prediction", gt="ground_truth", metric="metric", task=
     means).  ``code_pass`` is a column with pass@1 from an execution results
     table (E8); ``math_score`` defaults to E7 on (pred, gt).
     """
+    key = (pred, gt, metric, task, code_pass, math_score)
+    if not all(k is None or isinstance(k, str) for k in key):
+        return _dispatch(*key)
+    if key not in _BUILT:
+        _BUILT[key] = _dispatch(*key)
+    return _BUILT[key]
+
+
+def _dispatch(pred, gt, metric, task, code_pass, math_score) -> Column:
     p, g, m, t = _c(pred), _c(gt), _c(metric), _c(task)
     m = F.when(t.isin(*CEM_TASKS), F.lit("cem")).otherwise(m)
     e = (F.when(m == "em", exact_match(p, g))

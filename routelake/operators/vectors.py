@@ -1,9 +1,8 @@
 """Vector operators: exact top-k cosine neighbours (R1, J6), centroids.
 
 Exact top-k without emitting all pairs: queries are hashed into T tiles and
-items into B blocks (T, B chosen from the row counts so that every group
-stays bounded).  Each (key, tile, block) cell is a cogroup evaluated with one
-numpy matrix product inside ``applyInPandas``; it emits at most k candidates
+items into B blocks (bounded cells, and at least as many as the cluster runs tasks).  Each (key, tile, block) cell is a cogroup evaluated with numpy
+matrix products over slices of its queries inside ``applyInPandas``; it emits at most k candidates
 per query, and a ``row_number() <= k`` window (WindowGroupLimit) merges the
 B partial lists.  Spark shuffles and schedules the cells; no pair rows are
 ever materialised, and no side is collected to the driver.
@@ -18,65 +17,81 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE_ROWS = 20_000     # queries per cell
-BLOCK_ROWS = 50_000    # items per cell
+TILE_ROWS = 2_000      # queries per cell
+BLOCK_ROWS = 8_000     # items per cell
+SLICE_ROWS = 256       # queries per matrix product inside a cell
 
 
-def _local_topk(k: int, key_cols, extra_cols):
+def _norms(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Norms, and the vectors as a matrix."""
+    m = np.vstack(vectors) if len(vectors[0]) else np.zeros((len(vectors), 0))
+    return np.sqrt((m * m).sum(axis=1)), m
+
+
+def _slice_topk(S: np.ndarray, iids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest values of each row, ties to the smaller item id."""
+    if k < S.shape[1]:
+        kth = np.partition(S, S.shape[1] - k, axis=1)[:, S.shape[1] - k]
+        row, col = np.nonzero(S >= kth[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(S.shape))
+    order = np.lexsort((iids[col], -S[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    return row[place < k], col[place < k]
+
+
+def _local_topk(k: int, key_cols):
     def fn(key, q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
-        cols = [*key_cols, "qid", "iid", "sim", *extra_cols]
+        cols = [*key_cols, "qid", "iid", "sim"]
         if q.empty or it.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        it = it.sort_values("iid", kind="stable").reset_index(drop=True)
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in cols})
         qv = [np.asarray(v, dtype=np.float64) for v in q["qvec"]]
         iv = [np.asarray(v, dtype=np.float64) for v in it["ivec"]]
-        out = []
+        qrows, irows, sims = [], [], []
         # Unequal dimensions are skipped (pairs of different length never match).
         for dim in sorted({len(v) for v in qv}):
-            qi = [i for i, v in enumerate(qv) if len(v) == dim]
-            ii = [i for i, v in enumerate(iv) if len(v) == dim]
-            if not qi or not ii:
+            qi = np.array([i for i, v in enumerate(qv) if len(v) == dim])
+            ii = np.array([i for i, v in enumerate(iv) if len(v) == dim], dtype=np.int64)
+            if not len(ii):
                 continue
-            Q = np.vstack([qv[i] for i in qi]) if dim else np.zeros((len(qi), 0))
-            I = np.vstack([iv[i] for i in ii]) if dim else np.zeros((len(ii), 0))
-            qn = np.sqrt((Q * Q).sum(axis=1))
-            inn = np.sqrt((I * I).sum(axis=1))
-            den = np.outer(qn, inn)
-            dots = Q @ I.T
-            S = np.where(den == 0, 0.0, dots / np.where(den == 0, 1.0, den))
+            inn, items = _norms([iv[i] for i in ii])
             iids = it["iid"].to_numpy()[ii]
-            kk = min(k, len(ii))
-            for r, qrow in enumerate(qi):
-                s = S[r]
-                if kk < len(ii):
-                    kth = np.partition(-s, kk - 1)[kk - 1]
-                    cand = np.nonzero(-s <= kth)[0]
-                else:
-                    cand = np.arange(len(ii))
-                order = cand[np.lexsort((iids[cand], -s[cand]))][:kk]
-                for c in order:
-                    out.append((qrow, ii[c], float(s[c])))
-        if not out:
-            return pd.DataFrame({c: [] for c in cols})
-        qrows, irows, sims = zip(*out)
-        res = pd.DataFrame({"qid": q["qid"].to_numpy()[list(qrows)],
-                            "iid": it["iid"].to_numpy()[list(irows)], "sim": sims})
+            for lo in range(0, len(qi), SLICE_ROWS):
+                part = qi[lo:lo + SLICE_ROWS]
+                qn, Q = _norms([qv[i] for i in part])
+                den = np.outer(qn, inn)
+                S = np.divide(Q @ items.T, den, out=np.zeros_like(den), where=den != 0)
+                row, col = _slice_topk(S, iids, k)
+                qrows.append(part[row])
+                irows.append(ii[col])
+                sims.append(S[row, col])
+        if not qrows:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in cols})
+        qrows, irows = np.concatenate(qrows), np.concatenate(irows)
+        res = pd.DataFrame({"qid": q["qid"].to_numpy()[qrows],
+                            "iid": it["iid"].to_numpy()[irows], "sim": np.concatenate(sims)})
         for c in key_cols:
-            res[c] = q[c].to_numpy()[list(qrows)]
-        for c in extra_cols:
-            res[c] = it[c].to_numpy()[list(irows)]
+            res[c] = pd.Series(q[c].to_numpy(dtype=object)[qrows], dtype=object)
         return res[cols]
     return fn
 
 
+def _usable(vec: str):
+    """Vectors without NULL or NaN components; a NULL vector takes no part."""
+    return F.col(vec).isNotNull() & F.forall(F.col(vec), lambda x: x.isNotNull() & ~F.isnan(x))
+
+
 def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str, iid: str, ivec: str,
              key=None, extra_cols=(), tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS,
              exclude_self: bool = False) -> DataFrame:
     """Exact top-``k`` items by cosine similarity for every query row.
 
     Returns ``(key..., qid, iid, sim, extra..., rank)``; ties break on the
-    smaller item id; a zero vector has similarity 0.  ``key`` restricts
+    smaller item id; a zero vector has similarity 0; vectors that are NULL or
+    hold NULL or NaN take no part on either side.  ``key`` restricts
     neighbours to items with the same key value (equi join on the key).
+    Item ids are unique within a key.
     """
     from routelake.session import cut_lineage
     key_cols = [] if key is None else ([key] if isinstance(key, str) else list(key))
@@ -85,12 +100,12 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str,
     # cogroup does not recompute the inputs, and a lost executor restarts
     # from here.
     q = cut_lineage(queries.select(*key_cols, F.col(qid).alias("qid"),
-                                   F.col(qvec).cast("array<double>").alias("qvec")))
+                                   F.col(qvec).cast("array<double>").alias("qvec")).where(_usable("qvec")))
     it = cut_lineage(items.select(*key_cols, F.col(iid).alias("iid"),
-                                  F.col(ivec).cast("array<double>").alias("ivec"), *extra_cols))
+                                  F.col(ivec).cast("array<double>").alias("ivec")).where(_usable("ivec")))
     n_q, n_i = q.count(), it.count()
-    T = max(1, math.ceil(n_q / tile_rows))
     B = max(1, math.ceil(n_i / block_rows))
+    T = max(math.ceil(n_q / tile_rows), math.ceil(queries.sparkSession.sparkContext.defaultParallelism / B))
     q = (q.withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(T)))
           .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
     it = (it.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(B)))
@@ -99,17 +114,19 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str,
     qtype = dict(queries.select(F.col(qid).alias("qid")).dtypes)["qid"]
     itype = dict(items.select(F.col(iid).alias("iid")).dtypes)["iid"]
     key_types = [dict(queries.dtypes)[c] for c in key_cols]
-    extra_types = [dict(items.dtypes)[c] for c in extra_cols]
     schema = ", ".join([f"`{c}` {t}" for c, t in zip(key_cols, key_types)]
-                       + [f"qid {qtype}", f"iid {itype}", "sim double"]
-                       + [f"`{c}` {t}" for c, t in zip(extra_cols, extra_types)])
+                       + [f"qid {qtype}", f"iid {itype}", "sim double"])
     grp = [*key_cols, "tile", "block"]
     part = (q.groupBy(*grp).cogroup(it.groupBy(*grp))
-             .applyInPandas(_local_topk(kq, key_cols, list(extra_cols)), schema))
+             .applyInPandas(_local_topk(kq, key_cols), schema))
     if exclude_self:
         part = part.where(F.col("qid") != F.col("iid"))
     w = Window.partitionBy(*key_cols, "qid").orderBy(F.col("sim").desc(), F.col("iid"))
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if extra_cols:  # joined to the winners: texts never travel through the search
+        top = top.join(items.select(*key_cols, F.col(iid).alias("iid"), *extra_cols), [*key_cols, "iid"])
+        top = top.select(*key_cols, "qid", "iid", "sim", *extra_cols, "rank")
+    return top
 
 
 def elementwise_mean(df: DataFrame, by, vec: str, name: str = "centroid", digits: int | None = None) -> DataFrame:

@@ -63,9 +63,9 @@ def f_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f_grid_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40-entry model catalogue (20 nations x plain/think) with prices."""
-    nat = table(spark, sf_dir, "nation").where(F.col("n_nationkey") < 20)
-    # 20 x 2 rows by construction; built as a union, not a join.
+    """50-entry model catalogue (25 nations x plain/think) with prices."""
+    nat = table(spark, sf_dir, "nation")
+    # 25 x 2 rows by construction; built as a union, not a join.
     plain = nat.select("n_nationkey", "n_name", "n_regionkey", F.lit(0).alias("th"))
     think = nat.select("n_nationkey", "n_name", "n_regionkey", F.lit(1).alias("th"))
     cat = plain.unionByName(think)
@@ -89,7 +89,7 @@ def f_grid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-GRID: dense log, exactly 40 candidates per query (queries x catalogue)."""
+    """F-GRID: dense log, exactly 50 candidates per query (queries x catalogue)."""
     from routelake.operators.assemble import work_list
     from routelake.functions.numeric import token_cost
     q = f_grid_queries(spark, sf_dir)
@@ -97,7 +97,7 @@ def f_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     wl = work_list(q, cat, max_models=4096)
     th = F.col("th")
     return wl.select(
-        (F.col("query_id") * 40 + F.col("llm_idx") * 2 + th).cast("bigint").alias("pos"),
+        (F.col("query_id") * 50 + F.col("llm_idx") * 2 + th).cast("bigint").alias("pos"),
         "query_id", "task_name", "query", "ground_truth", "llm", "llm_idx", "is_think",
         "input_price", "output_price",
         (F.col("p_size") + 25 * th).cast("bigint").alias("input_tokens_num"),

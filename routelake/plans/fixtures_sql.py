@@ -30,7 +30,7 @@ FROM (
        JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
   GROUP BY l.l_partkey, p.p_type, n.n_name, n.n_nationkey, p.p_brand, p.p_name) g""",
     "fgrid": """
-SELECT CAST(p.p_partkey * 40 + n.n_nationkey * 2 + t.th AS BIGINT) AS pos,
+SELECT CAST(p.p_partkey * 50 + n.n_nationkey * 2 + t.th AS BIGINT) AS pos,
        p.p_partkey AS query_id, p.p_type AS task_name, concat('What is ', p.p_name, '?') AS query,
        p.p_brand AS ground_truth,
        CASE WHEN t.th = 1 THEN n.n_name || '_think' ELSE n.n_name END AS llm,
@@ -41,7 +41,7 @@ SELECT CAST(p.p_partkey * 40 + n.n_nationkey * 2 + t.th AS BIGINT) AS pos,
        ((p.p_partkey * 31 + n.n_nationkey * 17 + t.th * 11) % 11)::DOUBLE / 10.0 AS performance,
        CAST(p.p_size + 25 * t.th AS BIGINT) * ((n.n_regionkey + 1)::DOUBLE / 10.0)
          + CAST((p.p_partkey * 7 + n.n_nationkey * 13 + t.th * 5) % 97 + 1 AS BIGINT) * ((n.n_regionkey + 2)::DOUBLE / 10.0) AS cost
-FROM part p, (SELECT * FROM nation WHERE n_nationkey < 20) n, (SELECT 0 AS th UNION ALL SELECT 1) t""",
+FROM part p, nation n, (SELECT 0 AS th UNION ALL SELECT 1) t""",
     "fpair": f"""
 SELECT conv_id, turn, text AS ground_truth, next_text AS prediction,
        {TASK_LIST_SQL}[conv_id % 14 + 1] AS task_name,

@@ -44,7 +44,7 @@ def _tpl(name, think=False, **exprs):
 
 def adapters_sql() -> str:
     conv_id = "CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)"
-    q100 = "substr(text, 1, 100)"
+    q100 = "text"
     mmlu_q = _tpl("mc", question="'Which describes ' || p_name", options=_lettered(OPTS4))
     order = ("list_sort(list_transform(range(4), lambda i: {'k': (p_partkey * 31 + i * 17 + 42) % 1009, 'i': i}))")
     gp_texts = f"list_transform({order}, lambda s: [p_brand, p_type, 'none', 'all'][s.i + 1])"
@@ -54,15 +54,15 @@ def adapters_sql() -> str:
     mbpp_q = _tpl("mbpp", text="'Write ' || p_name", tests=tests)
     he_prompt = "'def f():' || chr(10) || '    " + DQ3 + "' || p_name || '" + DQ3 + "' || chr(10)"
     he_q = _tpl("humaneval", prompt=he_prompt)
-    cap = cap_sql("substr(text, 41, 40)")
-    hq = _clean("lang || ': ' || substr(text, 1, 40) || ' [title] x' || ' ' || " + cap)
-    hends = "[" + ", ".join(_clean(e) for e in ["substr(text, 81, 20)", "substr(text, 101, 20)", "'[x] end'", "'other'"]) + "]"
+    cap = cap_sql("text")
+    hq = _clean("lang || ': ' || text || ' [title] x' || ' ' || " + cap)
+    hends = "[" + ", ".join(_clean(e) for e in ["text", "'so ' || text", "'[x] end'", "'other'"]) + "]"
     arc_opts = _labelled("['A', 'B', 'C']", "[p_name, p_brand, 'none']")
     parts = [
         _row("natural_qa", conv_id, "ground_truth", "ground_truth" + THINK_SQL, "prediction", "cem", "FROM fpair"),
         _row("trivia_qa", conv_id, "ground_truth", "ground_truth" + THINK_SQL, "prediction", "cem", "FROM fpair"),
         _row("squad", "CAST(doc_id AS VARCHAR)", _tpl("qa", context="text", query=q100),
-             _tpl("qa", True, context="text", query=q100), "string_split(substr(text, 1, 200), ' ')[1]", "cem",
+             _tpl("qa", True, context="text", query=q100), "string_split(text, ' ')[1]", "cem",
              "FROM documents"),
         _row("boolq", "CAST(doc_id AS VARCHAR)", _tpl("bool", context="text", query=q100),
              _tpl("bool", True, context="text", query=q100), "CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END",

@@ -36,8 +36,8 @@ def render_sql(template: str, **exprs) -> str:
 
 
 # ---------------------------------------------------------------- T9 / A10
-_Q = "substr(text, 1, 80)"
-_C = "substr(text, 81, 120)"
+_Q = "text"
+_C = "lang || ': ' || text"
 
 
 @register("t9_prompt_builders", f"""
@@ -51,7 +51,7 @@ SELECT doc_id,
 FROM documents""")
 def t9_prompt_builders(spark, sf_dir):
     d = fx.f_txt(spark, sf_dir)
-    q, c = F.substring("text", 1, 80), F.substring("text", 81, 120)
+    q, c = F.col("text"), F.concat("lang", F.lit(": "), "text")
     return d.select("doc_id", P.qa_prompt(c, q).alias("qa"), P.qa_prompt(c, q, True).alias("qa_think"),
                     P.bool_prompt(c, q, True).alias("bool_think"), P.gsm8k_prompt(q).alias("gsm8k"),
                     P.math_prompt(q, True).alias("math_think"), P.humaneval_prompt(q).alias("humaneval"))
@@ -82,8 +82,8 @@ def adapter_sources(spark, sf_dir):
     d = fx.f_txt(spark, sf_dir)
     part = fx.table(spark, sf_dir, "part")
     conv = fx.f_pair(spark, sf_dir)
-    first = F.substring("text", 1, 100)
-    words = F.split(F.substring("text", 1, 200), " ")
+    first = F.col("text")
+    words = F.split(F.col("text"), " ")
     choices4 = F.array("p_name", "p_brand", "p_type", F.lit("none"))
     return {
         "natural_qa": conv.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("ground_truth").alias("question"),
@@ -118,9 +118,9 @@ def adapter_sources(spark, sf_dir):
                                      F.struct(F.array(*[F.lit(x) for x in "ABC"]).alias("label"),
                                               F.array("p_name", "p_brand", F.lit("none")).alias("text")).alias("choices"),
                                      F.char(F.lit(65) + F.col("p_partkey") % 3).alias("answerKey")),
-        "hellaswag": d.select(F.col("doc_id").alias("id"), F.concat(F.substring("text", 1, 40), F.lit(" [title] x")).alias("ctx_a"),
-                              F.substring("text", 41, 40).alias("ctx_b"), F.col("lang").alias("activity_label"),
-                              F.array(F.substring("text", 81, 20), F.substring("text", 101, 20), F.lit("[x] end"),
+        "hellaswag": d.select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" [title] x")).alias("ctx_a"),
+                              F.col("text").alias("ctx_b"), F.col("lang").alias("activity_label"),
+                              F.array(F.col("text"), F.concat(F.lit("so "), "text"), F.lit("[x] end"),
                                       F.lit("other")).alias("endings"),
                               (F.col("doc_id") % 4).cast("string").alias("label")),
     }
@@ -147,10 +147,10 @@ def u3_adapter_union(spark, sf_dir):
 
 
 @register("a15_config_unify", """
-SELECT CAST(doc_id AS VARCHAR) AS source_id, 'multi_news' AS task_name, lang || ': ' || substr(text, 1, 50) AS query,
+SELECT CAST(doc_id AS VARCHAR) AS source_id, 'multi_news' AS task_name, lang || ': ' || text AS query,
        source AS ground_truth, 'f1_score' AS metric FROM documents""")
 def a15_config_unify(spark, sf_dir):
-    d = fx.f_txt(spark, sf_dir).withColumn("sep", F.lit(": ")).withColumn("head", F.substring("text", 1, 50)) \
+    d = fx.f_txt(spark, sf_dir).withColumn("sep", F.lit(": ")).withColumn("head", F.col("text")) \
         .withColumn("meta", F.struct(F.array("source").alias("names")))
     u = A.unify_config_source(d, "multi_news", ["lang", "sep", "head"], "meta", "names", 0, "f1_score", "doc_id")
     return u.select("source_id", "task_name", "query", "ground_truth", "metric")
@@ -252,10 +252,10 @@ def _math_pairs(spark, sf_dir):
     n = (F.col("doc_id") % 9).cast("string")
     pred = (F.when(k == 0, F.concat(F.lit("so \\boxed{"), n, F.lit("}")))
              .when(k == 1, F.concat(F.lit("\\boxed{\\frac"), n, F.lit("2}")))
-             .when(k == 2, F.concat(F.substring("text", 1, 30), F.lit(" \\boxed "), n, F.lit("$ end")))
+             .when(k == 2, F.concat("text", F.lit(" \\boxed "), n, F.lit("$ end")))
              .when(k == 3, F.concat(F.lit("\\boxed{x = "), n, F.lit("\\%}")))
              .when(k == 4, F.concat(F.lit("\\fbox{"), n, F.lit("}")))
-             .otherwise(F.substring("text", 1, 30)))
+             .otherwise(F.col("text")))
     gt = F.concat(F.lit("so \\boxed{"), n, F.lit("}"))
     return d.select("doc_id", pred.alias("prediction"), gt.alias("ground_truth"))
 

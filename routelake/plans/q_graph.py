@@ -37,7 +37,7 @@ def h1_edge_list(spark, sf_dir):
 SELECT q.src, q.dst, {R6('coalesce(pow(ds.deg::DOUBLE, -0.5), 0.0) * coalesce(pow(dd.deg::DOUBLE, -0.5), 0.0)')} AS norm
 FROM (SELECT query_id AS src, node_idx + off AS dst FROM e, mx) q
 LEFT JOIN (SELECT query_id AS node, count(*) AS deg FROM e GROUP BY query_id) ds ON q.src = ds.node
-LEFT JOIN (SELECT query_id AS node, count(*) AS deg FROM e GROUP BY query_id) dd ON q.dst = dd.node""")
+LEFT JOIN (SELECT node_idx + off AS node, count(*) AS deg FROM e, mx GROUP BY node_idx + off) dd ON q.dst = dd.node""")
 def h2_degree_norm(spark, sf_dir):
     e = G.edge_list(_grid_edges(spark, sf_dir).drop("llm_idx"), "reward", llm_idx="node_idx")
     return G.degree_norm(e).select("src", "dst", r6("norm").alias("norm"))

@@ -16,8 +16,10 @@ _PUNCT = r"'[!-/:-@\[-`{-~]'"
 
 
 def tok_sql(x: str) -> str:
-    return ("list_filter(string_split_regex(regexp_replace(lower(" + x + "), " + _PUNCT + ", '', 'g'), '\\s+'), "
-            "lambda t: t NOT IN ('', 'a', 'an', 'the'))")
+    runs = "regexp_replace(regexp_replace(lower(" + x + "), " + _PUNCT + ", '', 'g'), '([\\p{L}\\p{M}\\p{N}_]+)', chr(1) || '\\1' || chr(1), 'g')"
+    for article in ("a", "an", "the"):  # a run of word characters that is an article becomes a blank
+        runs = f"replace({runs}, chr(1) || '{article}' || chr(1), ' ')"
+    return f"list_filter(string_split_regex(replace({runs}, chr(1), ''), '\\s+'), lambda t: t <> '')"
 
 
 def norm_sql(x: str) -> str:
@@ -63,15 +65,15 @@ def t2_last_paren_letter(spark, sf_dir):
     return _choice(spark, sf_dir).select("doc_id", T.last_paren_letter("prediction").alias("letter"))
 
 
-_BRACKET_SRC = "'  ' || substr(text, 1, 60) || ' [title] ' || '[note ' || CAST(doc_id AS VARCHAR) || ']' || substr(text, 61, 60) || '    '"
+_BRACKET_SRC = "'  ' || text || ' [title] ' || '[note ' || CAST(doc_id AS VARCHAR) || ']' || text || '    '"
 
 
 @register("t3_clean_brackets", with_("ftxt") + f"""
 SELECT doc_id, replace(regexp_replace(replace({strip_sql(_BRACKET_SRC)}, ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS cleaned FROM ftxt""")
 def t3_clean_brackets(spark, sf_dir):
     d = fx.f_txt(spark, sf_dir)
-    src = F.concat(F.lit("  "), F.substring("text", 1, 60), F.lit(" [title] "), F.lit("[note "),
-                   F.col("doc_id").cast("string"), F.lit("]"), F.substring("text", 61, 60), F.lit("    "))
+    src = F.concat(F.lit("  "), F.col("text"), F.lit(" [title] "), F.lit("[note "),
+                   F.col("doc_id").cast("string"), F.lit("]"), F.col("text"), F.lit("    "))
     return d.select("doc_id", T.clean_brackets(src).alias("cleaned"))
 
 
@@ -106,12 +108,12 @@ def t5_remove_think_phrase(spark, sf_dir):
 
 
 @register("t6_reformat_ground_truth", with_("fpair") + """
-SELECT conv_id, turn, CASE WHEN task_name IN ('mbpp', 'human_eval') THEN '[BEGIN]' || chr(10) || ' ' || left(ground_truth, 40) || ' ' || chr(10) || '[DONE]'
-  WHEN task_name IN ('mmlu','gpqa','commonsense_qa','openbook_qa','arc_challenge','hellaswag') THEN '(' || left(ground_truth, 40) || ')'
-  ELSE left(ground_truth, 40) END AS output FROM fpair""")
+SELECT conv_id, turn, CASE WHEN task_name IN ('mbpp', 'human_eval') THEN '[BEGIN]' || chr(10) || ' ' || ground_truth || ' ' || chr(10) || '[DONE]'
+  WHEN task_name IN ('mmlu','gpqa','commonsense_qa','openbook_qa','arc_challenge','hellaswag') THEN '(' || ground_truth || ')'
+  ELSE ground_truth END AS output FROM fpair""")
 def t6_reformat_ground_truth(spark, sf_dir):
     p = fx.f_pair(spark, sf_dir)
-    return p.select("conv_id", "turn", T.reformat_ground_truth(F.substring("ground_truth", 1, 40), "task_name").alias("output"))
+    return p.select("conv_id", "turn", T.reformat_ground_truth("ground_truth", "task_name").alias("output"))
 
 
 @register("t7_index_letter", "SELECT doc_id, chr(65 + CAST(doc_id % 4 AS INTEGER)) AS letter FROM documents")
@@ -130,18 +132,18 @@ def t8_option_lines(spark, sf_dir):
     return p.select("p_partkey", T.option_lines(opts).alias("dot_style"), T.option_lines(opts, style="paren").alias("paren_style"))
 
 
-_CODE_SRC = """CASE doc_id % 4 WHEN 0 THEN 'Sure. [BEGIN]' || chr(10) || substr(text, 1, 80) || chr(10) || '[DONE] more'
-  WHEN 1 THEN '[begin] def f(): ' || substr(text, 1, 40) || ' [Done]'
-  WHEN 2 THEN 'x [BEGIN]' || substr(text, 1, 50) || chr(10)
-  ELSE '  ' || substr(text, 1, 30) || '  ' END"""
+_CODE_SRC = """CASE doc_id % 4 WHEN 0 THEN 'Sure. [BEGIN]' || chr(10) || text || chr(10) || '[DONE] more'
+  WHEN 1 THEN '[begin] def f(): ' || text || ' [Done]'
+  WHEN 2 THEN 'x [BEGIN]' || text || chr(10)
+  ELSE '  ' || text || '  ' END"""
 
 
 def _code_src():
     k = F.col("doc_id") % 4
-    return (F.when(k == 0, F.concat(F.lit("Sure. [BEGIN]\n"), F.substring("text", 1, 80), F.lit("\n[DONE] more")))
-             .when(k == 1, F.concat(F.lit("[begin] def f(): "), F.substring("text", 1, 40), F.lit(" [Done]")))
-             .when(k == 2, F.concat(F.lit("x [BEGIN]"), F.substring("text", 1, 50), F.lit("\n")))
-             .otherwise(F.concat(F.lit("  "), F.substring("text", 1, 30), F.lit("  "))))
+    return (F.when(k == 0, F.concat(F.lit("Sure. [BEGIN]\n"), F.col("text"), F.lit("\n[DONE] more")))
+             .when(k == 1, F.concat(F.lit("[begin] def f(): "), F.col("text"), F.lit(" [Done]")))
+             .when(k == 2, F.concat(F.lit("x [BEGIN]"), F.col("text"), F.lit("\n")))
+             .otherwise(F.concat(F.lit("  "), F.col("text"), F.lit("  "))))
 
 
 @register("t16_extract_code", with_("ftxt", extra={"x": f"""
@@ -181,10 +183,10 @@ def t18_angle_number(spark, sf_dir):
 
 
 @register("t23_capitalize", f"""
-SELECT doc_id, {cap_sql('left(text, 50)')} AS capitalized FROM documents""")
+SELECT doc_id, {cap_sql('text')} AS capitalized FROM documents""")
 def t23_capitalize(spark, sf_dir):
     d = fx.f_txt(spark, sf_dir)
-    return d.select("doc_id", T.capitalize(F.substring("text", 1, 50)).alias("capitalized"))
+    return d.select("doc_id", T.capitalize("text").alias("capitalized"))
 
 
 @register("p12_truncate_chars", """

@@ -74,14 +74,14 @@ def g11_query_groups(spark, sf_dir):
 
 def fake_template(prompt: str) -> str:
     """Deterministic stand-in for the template model: the first line of
-    solution 1 (at most 80 characters)."""
+    solution 1."""
     lines = prompt.split("\n")
     i = lines.index("Solution 1:") if "Solution 1:" in lines else -1
-    return "Template: " + (lines[i + 1][:80] if 0 <= i < len(lines) - 1 else "")
+    return "Template: " + (lines[i + 1] if 0 <= i < len(lines) - 1 else "")
 
 
 _E14_DATASET_SQL = with_("flog", extra={**_E14_CTES, "t": """
-SELECT task_name, nq, 'Template: ' || substr(response, 1, 80) AS thought_template FROM b WHERE rank = 1""", "f": """
+SELECT task_name, nq, 'Template: ' || string_split(CASE WHEN length(response) > 1000 THEN substr(response, 1, 1000) || '... [truncated]' ELSE response END, chr(10))[1] AS thought_template FROM b WHERE rank = 1""", "f": """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_name, nq ORDER BY pos) AS rn FROM x) y WHERE rn = 1"""}) + """
 SELECT f.task_name, f.query, f.ground_truth, t.thought_template FROM f JOIN t ON f.task_name = t.task_name AND f.nq = t.nq"""
 
@@ -107,28 +107,30 @@ def g10_templates_per_task(spark, sf_dir):
 def thought_corpus(spark, sf_dir):
     d = fx.f_txt(spark, sf_dir)
     v = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return d.join(v, "doc_id").withColumn("task_description", F.concat(F.lit("Group "), F.col("lang"), F.lit(" texts")))
+    n = v.agg(F.count(F.lit(1)).alias("n_vec"))  # vectors repeat over the documents: every document takes part
+    d = d.join(F.broadcast(n), how="cross").withColumn("vec", F.pmod("doc_id", "n_vec")).drop("n_vec")
+    return d.join(v.withColumnRenamed("doc_id", "vec"), "vec").drop("vec").withColumn("task_description", F.concat(F.lit("Group "), F.col("lang"), F.lit(" texts")))
 
 
 def e15_inputs(spark, sf_dir):
     c = thought_corpus(spark, sf_dir)
     templates = c.where((F.col("doc_id") % 5 != 0) & (F.col("lang") != "es")).select(
-        F.col("doc_id").alias("template_id"), F.substring("text", 1, 60).alias("query"), "task_description",
-        "embedding", F.concat(F.lit("Template: "), F.substring("text", 61, 40)).alias("thought_template"))
+        F.col("doc_id").alias("template_id"), F.col("text").alias("query"), "task_description",
+        "embedding", F.concat(F.lit("Template: "), "lang", F.lit(" "), "text").alias("thought_template"))
     # Query vectors arrive as text (as in the reference's CSV) and are parsed once.
     qtext = F.concat(F.lit("tensor("), F.to_json("embedding"), F.lit(", device='cuda:0')"))
     queries = c.where(F.col("doc_id") % 5 == 0).select(
-        F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"), "task_description",
+        F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "task_description",
         parse_vector(qtext).alias("embedding"))
     return queries, templates
 
 
 _E15_CTES = {
     "c": """SELECT d.doc_id, d.text, d.lang, v.embedding, 'Group ' || d.lang || ' texts' AS descr
-            FROM ftxt d JOIN fvec v ON d.doc_id = v.vec_id""",
-    "t": """SELECT doc_id AS tid, substr(text, 1, 60) AS tq, descr AS tdesc, embedding AS tvec, 'Template: ' || substr(text, 61, 40) AS tt
+            FROM ftxt d JOIN fvec v ON d.doc_id % (SELECT count(*) FROM fvec) = v.vec_id""",
+    "t": """SELECT doc_id AS tid, text AS tq, descr AS tdesc, embedding AS tvec, 'Template: ' || lang || ' ' || text AS tt
             FROM c WHERE doc_id % 5 <> 0 AND lang <> 'es'""",
-    "q": "SELECT doc_id AS qid, substr(text, 1, 60) AS query, descr AS qdesc, embedding AS qvec FROM c WHERE doc_id % 5 = 0",
+    "q": "SELECT doc_id AS qid, text AS query, descr AS qdesc, embedding AS qvec FROM c WHERE doc_id % 5 = 0",
     "qd": "SELECT DISTINCT qdesc FROM q", "td": "SELECT DISTINCT tdesc FROM t",
     "m": """SELECT qdesc, tdesc FROM qd JOIN td ON qdesc = tdesc
             UNION ALL

@@ -46,10 +46,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the launcher sets it to a shared (HDFS/S3/...) folder and we
-    use it as is.  Only when it is unset (local tests) do we create one.
+    use it as is.  Only when it is unset on a local master (tests) do we create one;
+    on a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="routelake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -90,6 +93,3 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(archive)
     _SHIPPED.add(app)
 
-
-def sf_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.01")

@@ -64,7 +64,7 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None =
     """Reader chosen by suffix (.csv/.json/.parquet); other suffixes raise
     ValueError, a missing path raises FileNotFoundError."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"Dataset file not found: {path}")
+        raise FileNotFoundError(f"no table at {path}")
     low = path.rstrip("/").lower()
     if low.endswith(".csv"):
         return read_csv(spark, path, schema or LOG_SCHEMA)
@@ -73,7 +73,7 @@ def read_by_suffix(spark: SparkSession, path: str, schema: T.StructType | None =
         return (r.schema(schema) if schema else r).json(path)
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
-    raise ValueError(f"Unsupported file format: {path}")
+    raise ValueError(f"no reader for the suffix of {path}")
 
 
 # ---------------------------------------------------------------- JSON
