@@ -17,7 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 250_000        # pre-tokens, and space-separated pieces, that a worker remembers
+CACHE = 600_000        # pre-tokens that a worker remembers (about 120 MB)
+SPACED_CACHE = 200_000  # and space-separated pieces
 CACHED_CHARS = 64      # longer ones are encoded anew each time
 _coders: dict = {}
 
@@ -126,7 +127,7 @@ class ByteBPE:
         if not p or p[0].isspace():
             return None
         ids = b"".join(map(self._token, self.find(" " + p)))
-        if len(p) <= CACHED_CHARS and len(self.spaced) < CACHE:
+        if len(p) <= CACHED_CHARS and len(self.spaced) < SPACED_CACHE:
             self.spaced[p] = ids
         return ids
 
