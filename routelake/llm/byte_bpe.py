@@ -8,6 +8,7 @@ changed are stale and skipped. A pre-token of n bytes takes O(n) queue steps, ho
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -32,7 +33,6 @@ class ByteBPE:
         size = max(ranks.values(), default=0) + 1
         self.low = [0] * (size // 64 + 1)
         self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0
         self.buckets: dict[int, list[int]] = {}
         self.tokens: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -46,67 +46,61 @@ class ByteBPE:
             _coders[path, pattern] = cls(ranks, pattern)
         return _coders[path, pattern]
 
-    def _push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            w = rank >> 6
-            self.low[w] |= 1 << (rank & 63)
-            self.mid[w >> 6] |= 1 << (w & 63)
-            self.top |= 1 << (w >> 6)
-        else:
-            heappush(bucket, at)
-
-    def _clear(self, rank: int) -> None:
-        del self.buckets[rank]
-        w = rank >> 6
-        self.low[w] &= ~(1 << (rank & 63))
-        if not self.low[w]:
-            self.mid[w >> 6] &= ~(1 << (w & 63))
-            if not self.mid[w >> 6]:
-                self.top &= ~(1 << (w >> 6))
-
     def merge(self, b: bytes) -> list[int]:
         """Token ids of one pre-token: the lowest rank merges first, the leftmost pair on ties."""
-        get = self.ranks.get
+        get, longest = self.ranks.get, self.longest
         if (whole := get(b)) is not None:
             return [whole]
         n = len(b)
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of the pair that begins here
-        for i in range(n - 1):
-            if (r := get(b[i:i + 2])) is not None:
-                pair[i] = r
-                self._push(r, i)
-        while self.top:
-            t = (self.top & -self.top).bit_length() - 1
-            m = self.mid[t]
+        pair = [get(b[i:i + 2], -1) for i in range(n - 1)] + [-1, -1]  # rank of the pair that begins here
+        new = [i for i, r in enumerate(pair) if r >= 0]  # positions that go to the bucket of their pair's rank
+        buckets, low, mid, top = self.buckets, self.low, self.mid, 0
+        while True:
+            for i in new:
+                rank = pair[i]
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    w = rank >> 6
+                    t = w >> 6
+                    low[w] |= 1 << (rank & 63)
+                    mid[t] |= 1 << (w & 63)
+                    top |= 1 << t
+            if not top:
+                break
+            t = (top & -top).bit_length() - 1  # find first set, level by level
+            m = mid[t]
             w = (t << 6) + (m & -m).bit_length() - 1
-            x = self.low[w]
+            x = low[w]
             rank = (w << 6) + (x & -x).bit_length() - 1
-            bucket = self.buckets[rank]
+            bucket = buckets[rank]
             i = heappop(bucket)
             if not bucket:
-                self._clear(rank)
+                del buckets[rank]
+                low[w] = x = x & (x - 1)
+                if not x:
+                    mid[t] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
+            new = []
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
-            end = after[gone]
-            pair[gone] = -1
-            after[i] = end
+            after[i] = end = after[gone]
             before[end] = i
-            pair[i] = -1
+            pair[gone] = pair[i] = -1
             if end < n:
                 stop = after[end]
-                if stop - i <= self.longest and (r := get(b[i:stop])) is not None:
+                if stop - i <= longest and (r := get(b[i:stop])) is not None:
                     pair[i] = r
-                    self._push(r, i)
+                    new.append(i)
             p = before[i]
             if p >= 0:
-                r = get(b[p:end]) if end - p <= self.longest else None
-                pair[p] = -1 if r is None else r
-                if r is not None:
-                    self._push(r, p)
+                pair[p] = r = get(b[p:end], -1) if end - p <= longest else -1
+                if r >= 0:
+                    new.append(p)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[b[i:after[i]]])
@@ -117,7 +111,8 @@ class ByteBPE:
         """Ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
         ids = self.tokens.get(t)
         if ids is None:
-            ids = np.array(self.merge(t.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+            merged = self.merge(t.encode("utf-8", "surrogatepass"))
+            ids = struct.pack(f"<{len(merged)}I", *merged)
             if len(t) <= CACHED_CHARS and len(self.tokens) < CACHE:
                 self.tokens[t] = ids
         return ids
