@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # here are catalogues of models, tasks, categories, templates: tens to
 # thousands of rows.  Anything larger falls back to a shuffle join.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20  # of the rows as JSON text
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -20,12 +21,19 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def broadcastable(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of together at most ``max_bytes`` (one bounded job)."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
+
+
 def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
              max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Join a fact table to a dimension; broadcast the dimension only when its
     size is proven below ``max_rows``, else let Spark shuffle (AQE may still
     convert at runtime)."""
-    if row_count_at_most(dim, max_rows):
+    if broadcastable(dim, max_rows):
         dim = F.broadcast(dim)
     return fact.join(dim, on, how)
 
@@ -38,7 +46,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     this, the join is planned as a sort-merge join and the large side is
     shuffled on the (possibly hot) key before AQE can switch to a broadcast."""
     c = df.cache()
-    if row_count_at_most(c, max_rows):
+    if broadcastable(c, max_rows):
         return F.broadcast(c)
     return c
 

@@ -39,7 +39,9 @@ def degree_norm(edges: DataFrame) -> DataFrame:
     def inverse(side: str) -> DataFrame:
         return edges.groupBy(side).agg(F.pow(F.count(F.lit(1)).cast("double"), -0.5).alias(f"inv_{side}"))
 
-    e = edges.join(inverse("src"), "src").join(inverse("dst"), "dst")
+    from routelake.operators.common import broadcast_if_small
+    # dst is a model: few and hot, so its degrees are broadcast once proven small
+    e = edges.join(inverse("src"), "src").join(broadcast_if_small(inverse("dst")), "dst")
     return e.withColumn("norm", F.col("inv_src") * F.col("inv_dst")).drop("inv_src", "inv_dst")
 
 

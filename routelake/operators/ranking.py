@@ -82,18 +82,17 @@ def head_sorted(df: DataFrame, order, n: int) -> DataFrame:
 def slice_sorted(df: DataFrame, order, start: int, end: int | None, key) -> DataFrame:
     """M3: rows at positions ``[start, end)`` of ``order``; ``end=None`` is the tail.
 
-    The head ``[0, end)`` is a bounded top-n; the tail is an anti join with
+    ``[start, end)`` is a bounded top-n with an offset; the tail is an anti join with
     the bounded head ``[0, start)`` so it never funnels the data through a
     single window partition.
     """
     if end is not None:
-        head = head_sorted(df, order, end)
-        w = Window.orderBy(*_cols(order))  # over at most ``end`` rows
-        return head.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") > start).drop("__rn")
+        return df.orderBy(*_cols(order)).offset(start).limit(end - start)
     if start <= 0:
         return df
+    from routelake.operators.common import broadcast_if_small
     top = head_sorted(df, order, start).select(*_cols(key))
-    return df.join(F.broadcast(top), _cols(key), "left_anti")
+    return df.join(broadcast_if_small(top), _cols(key), "left_anti")
 
 
 def first_k_keys_per_group(df: DataFrame, by, key: str, k: int) -> DataFrame:
@@ -178,7 +177,8 @@ def chunk_by_position(df: DataFrame, size: int = 40, by="split", group: str = "q
              .withColumn("position", (F.col("__off") + F.col("__p")).cast("bigint"))
              .withColumn("chunk", F.floor((F.col("position") - 1) / F.lit(size)).cast("bigint")))
     if not keep_partial:
-        out = (out.join(total, by)
+        from routelake.operators.common import broadcast_if_small
+        out = (out.join(broadcast_if_small(total), by)
                   .where(F.col("chunk") < F.floor(F.col("__total") / F.lit(size)))
                   .drop("__total"))
     return out.drop("__off", "__p")

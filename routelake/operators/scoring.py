@@ -170,6 +170,16 @@ def _dispatch(pred, gt, metric, task, code_pass, math_score) -> Column:
     return F.when(p.isNull() | g.isNull(), F.lit(None).cast("double")).otherwise(e)
 
 
+def with_code_scores(log: DataFrame, results: DataFrame, key: str = "task_id", passed: str = "passed",
+                     name: str = "code_pass") -> DataFrame:
+    """J3 + E8: pass@1 per problem of an execution-results table, joined to the log; a problem without results
+    scores 0."""
+    from routelake.operators.ranking import pass_at_k_per_problem
+    per = results.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.count_if(passed).alias("__c"))
+    per = per.select(key, pass_at_k_per_problem("__n", "__c", 1).alias(name))
+    return log.join(per, key, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
 def category_of(task) -> Column:
     """Task -> category (NULL for tasks outside the six groups)."""
     t = _c(task)

@@ -123,6 +123,31 @@ def f_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("metric", metrics[F.col("task_name")])
 
 
+def f_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-SCORE: F-PAIR with hits, misses and NULL predictions for every metric, by k = (conv_id div 14 + turn div 2)
+    mod 4: k = 0 answers right (choices: if the letters agree), 3 (where conv_id is odd) is NULL; some openbook_qa and
+    arc_challenge rows use the plain metrics. ``task_id`` names the problem of F-CODE."""
+    p = f_pair(spark, sf_dir)
+    k = F.pmod(F.floor(F.col("conv_id") / 14) + F.floor(F.col("turn") / 2), F.lit(4)).cast("int")
+    letter = lambda i: F.substring(F.lit("ABCD"), i + 1, F.lit(1))
+    other = F.pmod(F.col("conv_id"), F.lit(2)).cast("int")
+    n = F.pmod(F.col("conv_id"), F.lit(50))
+    said = n + F.when(k == 0, 0).otherwise(1)
+    g, a, m = F.col("ground_truth"), F.col("prediction"), F.col("metric")
+    plain = F.col("task_name").isin("openbook_qa", "arc_challenge") & (k < 2)
+    m = F.when(plain, F.when(F.col("task_name") == "openbook_qa", "em").otherwise("f1_score")).otherwise(m)
+    truth = (F.when(m == "em_mc", letter(k)).when(m == "GSM8K", F.concat(g, F.lit(" #### "), n.cast("string")))
+             .when(m == "MATH", F.concat(g, F.lit(" \\boxed{"), n.cast("string"), F.lit("}"))).otherwise(g))
+    answer = (F.when(m == "em_mc", F.concat(a, F.lit(" The answer is ("), letter(other), F.lit(")")))
+              .when(m == "GSM8K", F.concat(a, F.lit(" so "), said.cast("string")))
+              .when(m == "MATH", F.concat(a, F.lit(" \\boxed{"), said.cast("string"), F.lit("}")))
+              .when((m == "f1_score") & (k == 0), F.concat(g, F.lit(" "), a))
+              .when((m == "em") & (k == 0), F.concat(F.lit("The "), g))
+              .when((m == "cem") & (k == 0), F.concat(F.lit("So: "), g)).otherwise(a))
+    return p.select("conv_id", "turn", F.col("conv_id").alias("task_id"), truth.alias("ground_truth"),
+                    F.when((k == 3) & (other == 1), F.lit(None)).otherwise(answer).alias("prediction"), "task_name", m.alias("metric"))
+
+
 def f_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-TXT: documents as queries, task = language."""
     return spread_if_narrow(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))

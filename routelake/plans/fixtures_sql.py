@@ -72,6 +72,19 @@ def R6(expr: str) -> str:
     return f"(round(({expr}) * 1000000.0) / 1000000.0)"
 
 
+#: F-SCORE over the CTE ``fpair``.
+FSCORE_SQL = r"""
+SELECT conv_id, turn, conv_id AS task_id, task_name, m AS metric,
+  CASE m WHEN 'em_mc' THEN substr('ABCD', k + 1, 1) WHEN 'GSM8K' THEN g || ' #### ' || n WHEN 'MATH' THEN g || ' \boxed{' || n || '}' ELSE g END AS ground_truth,
+  CASE WHEN k = 3 AND conv_id % 2 = 1 THEN NULL WHEN m = 'em_mc' THEN a || ' The answer is (' || substr('ABCD', (conv_id % 2)::INTEGER + 1, 1) || ')'
+    WHEN m = 'GSM8K' THEN a || ' so ' || said WHEN m = 'MATH' THEN a || ' \boxed{' || said || '}'
+    WHEN m = 'f1_score' AND k = 0 THEN g || ' ' || a WHEN m = 'em' AND k = 0 THEN 'The ' || g
+    WHEN m = 'cem' AND k = 0 THEN 'So: ' || g ELSE a END AS prediction
+FROM (SELECT *, ground_truth AS g, prediction AS a, conv_id % 50 AS n, conv_id % 50 + CASE WHEN k = 0 THEN 0 ELSE 1 END AS said,
+        CASE WHEN k < 2 AND task_name = 'openbook_qa' THEN 'em' WHEN k < 2 AND task_name = 'arc_challenge' THEN 'f1_score' ELSE metric END AS m
+      FROM (SELECT *, ((conv_id // 14 + turn // 2) % 4)::INTEGER AS k FROM fpair) x) y"""
+
+
 def with_(*names: str, extra: dict | None = None) -> str:
     """``WITH`` clause defining the named fixtures (plus extra named CTEs, in order)."""
     parts = [f"{n} AS ({CTES[n]})" for n in names]

@@ -293,37 +293,57 @@ def e8_code_scores(spark, sf_dir):
     return j.select("task_id", r6(F.coalesce(R.pass_at_k_per_problem("n", "c", 1), F.lit(0.0))).alias("pass_at_1"))
 
 
+def _scored_input(spark, sf_dir):
+    return S.with_code_scores(fx.f_score(spark, sf_dir), fx.f_code(spark, sf_dir))
+
+
 def _scored_pairs(spark, sf_dir):
-    p = fx.f_pair(spark, sf_dir)
-    # Code results joined per task id; the MATH branch uses E7.
-    return p.select("conv_id", "turn", "task_name",
-                    S.score_by_metric("prediction", "ground_truth", "metric", "task_name").alias("score"))
+    # Code results are joined per problem (J3); the MATH branch uses E7.
+    return _scored_input(spark, sf_dir).select(
+        "conv_id", "turn", "task_name",
+        S.score_by_metric("prediction", "ground_truth", "metric", "task_name", code_pass="code_pass").alias("score"))
+
+
+def _e9_ctes() -> dict:
+    from routelake.plans.fixtures_sql import FSCORE_SQL
+    return {"fscore": FSCORE_SQL,
+            "per": "SELECT task_id, count(*) FILTER (WHERE passed)::DOUBLE / count(*) AS code_pass FROM fcode GROUP BY task_id",
+            "sc": _e9_sql()}
 
 
 def _e9_sql() -> str:
     from routelake.plans.q_text import last_paren_sql, norm_sql, strip_sql
     p, g = "prediction", "ground_truth"
+    em = f"CAST({norm_sql(p)} = {norm_sql(g)} AS DOUBLE)"
     cem = f"CASE WHEN {norm_sql(p)} = {norm_sql(g)} OR contains({norm_sql(p)}, {norm_sql(g)}) THEN 1.0 ELSE 0.0 END"
     choice = f"CAST(contains(lower({strip_sql(last_paren_sql(p))}), lower({strip_sql(g)})) AS DOUBLE)"
     runs = f"regexp_extract_all({p}, '(-?[0-9.,]+)', 1)"
     gp = strip_sql(f"translate(coalesce(list_filter({runs}, lambda r: r NOT IN ('', '.'))[-1], {runs}[1]), ',$.', '')")
     gg = strip_sql(f"translate(string_split({g}, '####')[-1], ',$.', '')")
     gsm = f"CASE WHEN {gp} IS NULL THEN 0.0 WHEN {gp} = {gg} THEN 1.0 ELSE 0.0 END"
-    # MATH: no F-PAIR truth holds a boxed answer, so E7 leaves every MATH row NULL.
+    # F-SCORE's boxed answers are whole numbers, equivalent only if equal
+    boxed = lambda x: f"regexp_extract({x}, 'boxed\\{{([0-9]+)\\}}$', 1)"
+    tok = lambda x: f"list_filter(string_split({norm_sql(x)}, ' '), lambda t: t <> '')"
+    same = (f"list_sum(list_transform(list_distinct({tok(p)}), lambda u: least(len(list_filter({tok(p)}, lambda t: t = u)), "
+            f"len(list_filter({tok(g)}, lambda t: t = u)))))")
+    f1 = f"coalesce(2.0 * {same} / nullif(len({tok(p)}) + len({tok(g)}), 0), 0.0)"
     return f"""
-SELECT conv_id, turn, task_name, CASE WHEN {p} IS NULL OR {g} IS NULL THEN NULL
+SELECT conv_id, turn, task_name, metric, CASE WHEN {p} IS NULL OR {g} IS NULL THEN NULL
+  WHEN m = 'em' THEN {em} WHEN m = 'f1_score' THEN {f1}
   WHEN m = 'cem' THEN {cem} WHEN m = 'em_mc' THEN {choice} WHEN m = 'GSM8K' THEN {gsm}
-  WHEN m IN ('MATH', 'code_eval', 'bert_score') THEN NULL ELSE 0.0 END::DOUBLE AS score
-FROM (SELECT *, CASE WHEN task_name IN ('natural_qa', 'trivia_qa', 'squad', 'boolq') THEN 'cem' ELSE metric END AS m FROM fpair) t"""
+  WHEN m = 'MATH' THEN CAST({boxed(p)} = {boxed(g)} AS DOUBLE) WHEN m = 'code_eval' THEN coalesce(code_pass, 0.0)
+  ELSE 0.0 END::DOUBLE AS score
+FROM (SELECT fscore.*, per.code_pass, CASE WHEN task_name IN ('natural_qa', 'trivia_qa', 'squad', 'boolq') THEN 'cem' ELSE metric END AS m
+      FROM fscore LEFT JOIN per ON per.task_id = fscore.task_id) t"""
 
 
-@register("e9_metric_dispatch", with_("fpair", extra={"sc": _e9_sql()}) + f"""
+@register("e9_metric_dispatch", with_("fpair", "fcode", extra={**_e9_ctes()}) + f"""
 SELECT conv_id, turn, task_name, {R6('score')} AS score FROM sc""")
 def e9_metric_dispatch(spark, sf_dir):
     return _scored_pairs(spark, sf_dir).select("conv_id", "turn", "task_name", r6("score").alias("score"))
 
 
-@register("e16_evaluation_report", with_("fpair", extra={"sc": _e9_sql(), "c": """
+@register("e16_evaluation_report", with_("fpair", "fcode", extra={**_e9_ctes(), "c": """
 SELECT task_name, score, CASE WHEN task_name IN ('gsm8k','math') THEN 'math' WHEN task_name IN ('mbpp','human_eval') THEN 'code'
   WHEN task_name IN ('commonsense_qa','openbook_qa','arc_challenge','hellaswag') THEN 'commonsense'
   WHEN task_name IN ('natural_qa','trivia_qa') THEN 'world_knowledge' WHEN task_name IN ('squad','boolq') THEN 'reading'
@@ -370,7 +390,7 @@ def gpqa_key(ident, i):
     return (ident * 31 + i * 17 + 42) % 1009
 
 
-@register("g1_mean_per_task", with_("fpair", extra={"sc": _e9_sql()}) + f"""
+@register("g1_mean_per_task", with_("fpair", "fcode", extra={**_e9_ctes()}) + f"""
 SELECT task_name, {R6('avg(score)')} AS mean_score, count(*) AS n FROM sc WHERE score IS NOT NULL GROUP BY task_name""")
 def g1_mean_per_task(spark, sf_dir):
     """G1: mean score per task; rows without a score are left out."""
@@ -378,7 +398,7 @@ def g1_mean_per_task(spark, sf_dir):
     return s.groupBy("task_name").agg(r6(F.avg("score")).alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
-@register("g2_mean_per_category", with_("fpair", extra={"sc": _e9_sql()}) + f"""
+@register("g2_mean_per_category", with_("fpair", "fcode", extra={**_e9_ctes()}) + f"""
 SELECT category, {R6('avg(score)')} AS mean_score, count(*) AS n FROM (
   SELECT score, CASE WHEN task_name IN ('gsm8k','math') THEN 'math' WHEN task_name IN ('mbpp','human_eval') THEN 'code'
     WHEN task_name IN ('commonsense_qa','openbook_qa','arc_challenge','hellaswag') THEN 'commonsense'

@@ -244,23 +244,24 @@ def b6_batch_infer(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-_PAIR_SCHEMA = "conv_id bigint, turn bigint, ground_truth string, prediction string, task_name string, metric string"
+_PAIR_SCHEMA = "conv_id bigint, turn bigint, ground_truth string, prediction string, task_name string, metric string, code_pass double"
 
 
 def _x1_sql():
-    from routelake.plans.q_assemble import _e9_sql
-    return with_("fpair", extra={"sc": _e9_sql()}) + f"SELECT conv_id, turn, task_name, {R6('score')} AS score FROM sc"
+    from routelake.plans.q_assemble import _e9_ctes
+    return with_("fpair", "fcode", extra=_e9_ctes()) + f"SELECT conv_id, turn, task_name, {R6('score')} AS score FROM sc"
 
 
 @register("x1_incremental_scoring", _x1_sql())
 def x1_incremental_scoring(spark, sf_dir):
-    """F-PAIR rows land as JSON files; a streaming query scores them one
+    """F-SCORE rows land as JSON files; a streaming query scores them one
     file per micro-batch; the result equals the batch E9 scores (same oracle)."""
     from routelake.operators.scoring import score_by_metric
+    from routelake.plans.q_assemble import _scored_input
     land, sink, ck = _scratch(spark, "land"), _scratch(spark, "scored"), _scratch(spark, "ckpt-x1")
-    fx.f_pair(spark, sf_dir).repartition(4, "task_name").write.json(land)
+    _scored_input(spark, sf_dir).repartition(4, "task_name").write.json(land)
     score = lambda b: b.select("conv_id", "turn", "task_name",
-                               score_by_metric("prediction", "ground_truth", "metric", "task_name").alias("score"))
+                               score_by_metric("prediction", "ground_truth", "metric", "task_name", code_pass="code_pass").alias("score"))
     q = X.incremental_scoring(spark, land, _PAIR_SCHEMA, sink, ck, score, max_files_per_trigger=1)
     q.awaitTermination()
     return spark.read.parquet(sink).select("conv_id", "turn", "task_name", r6("score").alias("score"))

@@ -84,3 +84,25 @@ def test_capitalize_titlecases_first_character(spark):
     words = ["ßaB", "éTÉ", "ﬁne", "ǆungla", "hello WORLD", ""]
     df = spark.createDataFrame([(w,) for w in words], "s string")
     assert [r[0] for r in df.select(T.capitalize("s")).collect()] == [w.capitalize() for w in words]
+
+
+def test_every_metric_has_hits_misses_and_nulls(spark):
+    from routelake.operators.scoring import score_by_metric
+    from routelake.plans.q_assemble import _scored_input
+
+    score = score_by_metric("prediction", "ground_truth", "metric", "task_name", code_pass="code_pass")
+    rows = _scored_input(spark, "/root/testdata/sf0.01").select("metric", "task_name", score.alias("score")).collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.metric, set()).add(r.score)
+    assert {m for m, s in seen.items() if len(s - {None}) > 1} == {"em", "cem", "em_mc", "GSM8K", "MATH", "f1_score", "code_eval"}
+    assert len({r.task_name for r in rows}) == 14 and any(None in s for s in seen.values())
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from pyspark.sql import functions as F
+    from routelake.operators.common import broadcastable
+
+    df = spark.range(10).withColumn("t", F.repeat(F.lit("x"), 1000))
+    assert broadcastable(df) and not broadcastable(df, max_bytes=5000) and not broadcastable(df, max_rows=9)
+    assert broadcastable(df.limit(0))
