@@ -15,6 +15,8 @@ from routelake.llm import byte_bpe, decontaminate, language, near_dup
 from routelake.llm.common import table, written
 from routelake.llm.queries import BPE_RANKS, PIECES
 
+SIMILAR_PERCENT = 80  # shared part of two documents' distinct 5-word shingles that makes them near duplicates
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: rejects documents without a language (no text or no letter in it); ``lang`` becomes the predicted one."""
@@ -25,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the document with the smallest doc_id of each near-duplicate group stays."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_dup.near_duplicates(docs, SIMILAR_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
