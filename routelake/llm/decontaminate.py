@@ -125,6 +125,8 @@ def tile(doc: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray,
             item_free[j:j + m] = False
             cover += m
             tiles += 1
+            if cover == len(item):  # nothing left to mark: passages of repeated words have many more seeds
+                break
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
