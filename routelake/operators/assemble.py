@@ -1,7 +1,7 @@
 """Log assembly (E11) and its parts: J1 J2 J11 P7 P8 T21, catalogue handling.
 
 The model catalogue is configuration-sized (20 models, 40 with think
-variants).  ``work_list`` inlines it as a literal array and explodes it, so the
+variants); ``work_list`` inlines one of that size as a literal array and explodes it, so the
 queries x models work list is a single narrow stage: no join, no shuffle.
 """
 
@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.operators.common import small_rows
-
 
 def work_list(queries: DataFrame, catalogue: DataFrame, max_models: int = 4096) -> DataFrame:
     """Every query paired with every catalogue model.
 
-    The catalogue is checked to hold at most ``max_models`` rows and inlined as
-    a literal array; each query row expands to exactly one row per model.
+    A catalogue of at most ``max_models`` rows is inlined as a literal array and each
+    query row expands to one row per model: no join, no shuffle.  A larger one is
+    paired in blocks of models (``_work_list_by_blocks``); the rows are the same.
     """
-    rows = small_rows(catalogue, max_models)
+    rows = catalogue.limit(max_models + 1).collect()
+    if len(rows) > max_models:
+        return _work_list_by_blocks(queries, catalogue, max_models)
     fields = catalogue.schema.fieldNames()
     types = {f.name: f.dataType for f in catalogue.schema.fields}
     lits = [F.struct(*[F.lit(r[f]).cast(types[f]).alias(f) for f in fields]) for r in rows]
@@ -29,6 +30,21 @@ def work_list(queries: DataFrame, catalogue: DataFrame, max_models: int = 4096)
         *[c for c in queries.columns], *[F.col(f"__m.{f}").alias(f) for f in fields])
 
 
+def _work_list_by_blocks(queries: DataFrame, catalogue: DataFrame, block_models: int) -> DataFrame:
+    """J1 for a catalogue of any size: models gathered into arrays of about
+    ``block_models``, queries repeated once per block, joined on the block and a salt
+    (so that a block's queries are spread over many tasks), arrays expanded."""
+    n = -(-catalogue.count() // block_models)
+    salts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    part = lambda df, k: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(k)).cast("int")
+    blocks = (catalogue.groupBy(part(catalogue, n).alias("__block"))
+              .agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in catalogue.columns])).alias("__models"))
+              .withColumn("__salt", every(salts)))
+    asked = queries.withColumn("__salt", part(queries, salts)).withColumn("__block", every(n))
+    return asked.join(blocks, ["__block", "__salt"]).select(*[F.col(f"`{c}`") for c in queries.columns], F.inline("__models"))
+
+
 # ---------------------------------------------------------------- catalogue
 def catalogue_lookup(df: DataFrame, catalogue: DataFrame, on: str = "llm",
                      max_rows: int = 100_000) -> DataFrame:
@@ -67,25 +83,36 @@ def fill_from_first(df: DataFrame, col: str, by: str = "query_id", order: str =
 
 # ---------------------------------------------------------------- E11
 def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings: DataFrame | None = None,
-                 max_models: int = 4096, partitions: int | None = None) -> DataFrame:
-    """Queries x models (J1) -> plain/think prompts (P7) -> model calls
-    (B1) -> token estimates (T22), cost (T21), score (E9) -> embeddings (J11).
+                 max_models: int = 4096, partitions: int | None = None, done: DataFrame | None = None,
+                 rounds: int = 0) -> DataFrame:
+    """Queries x models (J1) -> plain/think prompts (P7) -> work left (J9) -> model calls
+    (B1, B2) -> token estimates (T22), cost (T21), score (E9) -> embeddings (J11).
 
     ``queries``: query_id, task_name, task_id, task_description, query,
     query_think, ground_truth, metric.  ``catalogue``: llm, llm_idx,
     input_price, output_price, llm_description (base models; think variants
     are the ``_think`` rows).  ``respond(llm, prompt, ground_truth)`` is the
     model call.  ``embeddings``: query_id plus vector columns (J11).
+    ``done``: the log of an earlier call; what succeeded there is not called again and
+    comes back unchanged.  ``rounds``: retry rounds for failed calls (each one's
+    rows are checkpointed); by default a failed call stays a row with success = false.
+    Narrow queries are spread before they are paired with models, so the work list itself
+    (models times larger) is not shuffled; ``partitions`` sets the number of tasks.
     """
     from routelake.functions import text as T
     from routelake.functions.numeric import token_cost
-    from routelake.operators.batch import fan_out
+    from routelake.operators.batch import _spread, fan_out, pending_work, retry_rounds
     from routelake.operators.scoring import score_by_metric
-    wl = work_list(queries, catalogue, max_models)
+    key = ["query_id", "llm"]
+    wl = work_list(_spread(queries, partitions), catalogue, max_models)
     wide = wl.withColumn("__llm_base", F.col("llm"))
     long = unpivot_think(wide, {"prompt": "query"}, {"prompt": "query_think"})
     long = long.withColumn("query", F.col("prompt"))
-    called = fan_out(long, respond, ["__llm_base", "prompt", "ground_truth"], "response", partitions)
+    if done is not None:
+        long = pending_work(long, done, key).select(*long.columns)
+    given = ["__llm_base", "prompt", "ground_truth"]
+    called = (retry_rounds(long, respond, given, key, rounds, "response", partitions=0) if rounds
+              else fan_out(long, respond, given, "response", 0))
     out = (called
            .withColumn("input_tokens_num", T.token_count_estimate("prompt"))
            .withColumn("output_tokens_num", T.token_count_estimate("response"))
@@ -95,6 +122,8 @@ def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings:
            .drop("prompt", "__llm_base"))
     if embeddings is not None:
         out = out.join(embeddings, "query_id", "left")
+    if done is not None:
+        out = out.unionByName(done.where("success"), allowMissingColumns=True)
     return out
 
 

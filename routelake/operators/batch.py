@@ -10,6 +10,7 @@ recomputes from the last written round, not from the first call.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from routelake.functions import text as T
 from routelake.functions.numeric import judge_score
+from routelake.operators.common import spread_if_narrow
 from routelake.session import cut_lineage
 
 
@@ -28,11 +30,11 @@ def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str =
     ``success = False``.
 
     ``partitions`` sets the parallelism of the calls (the reference's
-    thread-pool size); by default ``spark.sql.shuffle.partitions``.  The rows
-    are spread round-robin first (deterministic on retry: Spark sorts
-    before a round-robin repartition), so expensive calls never pile up in
-    the few tasks of a small or row-multiplied input.  ``0`` keeps the input
-    partitioning."""
+    thread-pool size).  By default an input of fewer partitions than
+    ``spark.sql.shuffle.partitions`` is spread round-robin first (deterministic
+    on retry: Spark sorts before a round-robin repartition), so expensive
+    calls never pile up in the few tasks of a small input; a wider one keeps its
+    tasks and is not shuffled.  ``0`` keeps the input partitioning."""
     cols = [input_col] if isinstance(input_col, str) else list(input_col)
     schema = StructType(df.schema.fields + [StructField(output_col, StringType()),
                                             StructField("success", BooleanType())])
@@ -57,8 +59,13 @@ def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str =
 def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
     if partitions == 0:
         return df
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
+    if partitions:
+        return df.repartition(partitions)
+    # Counting the partitions of a shuffled input would run its shuffles; it has at most
+    # spark.sql.shuffle.partitions of them (AQE may have merged small ones), so spreading never lowers their number.
+    if re.search(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString()):
+        return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread_if_narrow(df)
 
 
 def batch_infer(df: DataFrame, fn: Callable[[list], list], input_col: str, output_col: str = "output",
@@ -108,26 +115,30 @@ def pending_work(work: DataFrame, done: DataFrame, key, success: str = "success"
 
 
 def retry_rounds(df: DataFrame, fn, input_col: str, key, rounds: int = 3, output_col: str = "output",
-                 error_threshold: float = 0.0, persist: Callable[[DataFrame, int], DataFrame] | None = None
-                 ) -> DataFrame:
+                 error_threshold: float = 0.0, persist: Callable[[DataFrame, int], DataFrame] | None = None,
+                 partitions: int | None = None) -> DataFrame:
     """First pass, then up to ``rounds`` retries of failed rows only.
 
-    Stops when the error rate is at most ``error_threshold`` (0 = no
-    failures).  Each round's result is materialised by ``persist`` (default: a
-    reliable ``checkpoint()`` in the shared checkpoint folder), so the loop's
-    lineage stays one round deep.  The loop itself is a few driver-side
-    control steps over counts, never over rows.
+    Stops when the share of all rows that still fail is at most
+    ``error_threshold`` (0 = no failures).  Each round materialises only the rows
+    it called by ``persist`` (default: a reliable ``checkpoint()`` in the shared
+    checkpoint folder), so a finished row is written once, and the result is
+    the union of what each round finished and what the last one left failed.
+    The loop itself is a few driver-side control steps over counts, never over rows.
     """
-    key = [key] if isinstance(key, str) else list(key)
     keep = persist or (lambda d, i: cut_lineage(d))
-    res = keep(fan_out(df, fn, input_col, output_col), 0)
+    res = keep(fan_out(df, fn, input_col, output_col, partitions), 0)
+    st = failure_stats(res).first()
+    total, failing, finished = st["processed"], st["failed"] or 0, []
     for i in range(1, rounds + 1):
-        st = failure_stats(res).first()
-        if st["processed"] == 0 or (st["failed"] or 0) / st["processed"] <= error_threshold:
+        if total == 0 or failing / total <= error_threshold:
             break
+        finished.append(res.where(F.col("success")))
         failed = res.where(~F.col("success")).drop(output_col, "success")
-        again = fan_out(failed, fn, input_col, output_col)
-        res = keep(res.where(F.col("success")).unionByName(again), i)
+        res = keep(fan_out(failed, fn, input_col, output_col), i)
+        failing = failure_stats(res).first()["failed"] or 0
+    for part in finished:
+        res = res.unionByName(part)
     return res
 
 

@@ -136,9 +136,15 @@ def ratio_split(df: DataFrame, by, key: str, ratios=(0.9, 0.0, 0.1),
     return df.join(k, by + [key], "left")
 
 
-def seeded_shuffle(df: DataFrame, seed: int, id_cols) -> DataFrame:
-    """M8: deterministic permutation (only where order matters)."""
-    return df.orderBy(seeded_key(seed, *_cols(id_cols)), *_cols(id_cols))
+def seeded_shuffle(df: DataFrame, seed: int, id_cols, position: str | None = None) -> DataFrame:
+    """M8: deterministic permutation (only where order matters), in the order of the
+    md5 of seed and ids.  With ``position``, that column holds each row's 1-based place
+    and the rows are left unsorted (numbered in range slices, not in one window)."""
+    ids = _cols(id_cols)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
+    if position is None:
+        return df.orderBy(key, *ids)
+    return number_within_groups(df.withColumn("__all", F.lit(0)).withColumn("__key", key), "__all", ["__key", *ids], position).drop("__all", "__key")
 
 
 def random_mask(df: DataFrame, rate: float, seed: int, id_cols, name: str = "hidden",

@@ -101,10 +101,11 @@ def m7_ratio_split(spark, sf_dir):
     return R.ratio_split(f, "task_name", "query_id", (0.7, 0.1, 0.15)).select("query_id", "llm", "split_role")
 
 
-@register("m8_seeded_shuffle")
+@register("m8_seeded_shuffle", """
+SELECT vec_id, row_number() OVER (ORDER BY md5('1234:' || CAST(vec_id AS VARCHAR)), vec_id) AS position FROM embeddings""")
 def m8_seeded_shuffle(spark, sf_dir):
-    v = fx.f_vec(spark, sf_dir).where(F.col("split") == "train")
-    return R.seeded_shuffle(v.select("vec_id", "model"), 1234, "vec_id")
+    v = fx.table(spark, sf_dir, "embeddings").select("vec_id")
+    return R.seeded_shuffle(v, 1234, "vec_id", position="position")
 
 
 _MASK_DRAW_SQL = "((query_id * 31 + llm_idx * 17 + CAST(is_think AS INTEGER) * 7 + 1) % 1000) / 1000.0"
