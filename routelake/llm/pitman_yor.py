@@ -1,16 +1,20 @@
 """Hierarchical Pitman-Yor language model over words.
 
-A token is drawn from the restaurant of its context: the previous word, if it is one of ``CONTEXTS`` frequent words, the
-text start, or any other word. All context restaurants share one parent, the unigram restaurant, whose base is
-uniform over the vocabulary and one unknown word. Every training token is a customer. Seatings are sampled by
-blocked Gibbs sweeps: all customers of a (restaurant, word) are seated anew, one by one, given everyone else's tables;
-tables are the customers of the parent, which is seated next. Sweeps run on all words at once, given the
-last sweep's totals per restaurant. The vocabulary is dealt into buckets; blocks of documents send their words to the buckets and get
-the customers and tables back, as compressed columns. Predictive probabilities are averaged over the samples after burn-in.
+A token is drawn from the restaurant of its context: the previous word or the text start. Every context seen in training
+has a restaurant of its own. All of them share one parent, the unigram restaurant, whose base is uniform over the vocabulary and
+one unknown word. Every training token is a customer. Seatings are sampled by blocked Gibbs sweeps: all customers of a
+(word, context) are seated anew, one by one, given everyone else's tables; tables are the customers of the parent, which is seated
+next. Sweeps run on all pairs at once, given the last sweep's totals per restaurant.
+
+Words are numbered over the whole corpus by their training counts, summed over all blocks of documents. The corpus's pairs (word, context) are kept sparse in a
+grid of cells, dealt by word and by context, so that neither a frequent word nor a frequent context lies in one cell. Cells
+send the tables of their words and contexts to groups of words, which sum them, seat the parent and answer with the totals.
+Predictive probabilities are averaged over the samples after burn-in.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import zlib
 from collections import defaultdict
@@ -27,20 +31,20 @@ from pyspark.sql import functions as F
 
 from routelake.llm.common import discard, written
 
-CONTEXTS = 62           # frequent words with a restaurant of their own
-OTHER, START = 0, CONTEXTS + 1
-RESTAURANTS = CONTEXTS + 2
+UNKNOWN, START = 0, 1   # numbers of a word not seen in training, and of the text start as a context
+FIRST = 2               # of the numbered words
 SWEEPS, BURN_IN = 3, 1
 DISCOUNT, STRENGTH = 0.75, 1.0          # of context restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 BLOCK_CHARS = 14_000_000  # text of one block of documents with a vocabulary of its own
 END = b""               # the end token as a word: no word is empty
-BUCKET_WORDS = 400_000  # words that blocks send to one bucket of the vocabulary, over all blocks
+BUCKET_TOKENS = 16_000_000  # tokens of the corpus for each bucket of the vocabulary
+CELL_TOKENS = 4_000_000     # tokens of the corpus for each cell of the grid
 SINGLE_STEPS = 48       # customers of a word seated one by one; later ones in runs of a sixteenth of those seated
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32())),
-                    ("vocab", pa.binary()), ("words", pa.int64()), ("ids", pa.binary()), ("train", pa.binary())])
-_BLOCK_SQL = "block long, doc_id array<bigint>, held array<boolean>, size array<int>, vocab binary, words long, ids binary, train binary"
+                    ("vocab", pa.binary()), ("tokens", pa.int64()), ("ids", pa.binary()), ("train", pa.binary())])
+_BLOCK_SQL = "block long, doc_id array<bigint>, held array<boolean>, size array<int>, vocab binary, tokens long, ids binary, train binary"
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -61,7 +65,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate(parts)
         size = [len(p) for p in parts]
         train = np.bincount(ids[np.repeat(~np.array(held), size)], minlength=len(vocab) + 1)
-        row = {"block": (at << 32) + seq, "doc_id": docs, "held": held, "size": size, "vocab": zstandard.ZstdCompressor(level=1).compress(b"\n".join(vocab)), "words": len(vocab) + 1,
+        row = {"block": (at << 32) + seq, "doc_id": docs, "held": held, "size": size, "vocab": zstandard.ZstdCompressor(level=1).compress(b"\n".join(vocab)), "tokens": len(ids),
                "ids": _squeeze(ids), "train": _squeeze(train)}
         return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
@@ -93,27 +97,6 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def _text(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
-
-
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The most frequent training words of each block: from their sums the words with own restaurants are chosen."""
-    for row in _rows(batches):
-        train, words = _expand(row["train"]), _vocab(row)
-        top = [i for i in np.argsort(-train[1:].astype(np.int64), kind="stable")[:8 * CONTEXTS] + 1 if train[i]]
-        yield pa.RecordBatch.from_arrays([_text([words[i] for i in top]), pa.array(train[top].astype(np.int64))], names=["word", "n"])
-
-
-def _contexts(ids: np.ndarray, size: np.ndarray, words: list[bytes], frequent: dict[bytes, int]) -> np.ndarray:
-    """Restaurant of each token."""
-    of_word = np.fromiter((frequent.get(w, OTHER) for w in words), np.int64, len(words))
-    ctx = np.empty(len(ids), np.int64)
-    ctx[1:] = of_word[ids[:-1]]
-    ctx[np.concatenate([[0], np.cumsum(size)[:-1]])] = START
-    return ctx
-
-
 def _packed(*values) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, protocol=5))
 
@@ -122,86 +105,203 @@ def _unpacked(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def _ragged(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Indices start[i] .. start[i] + lens[i] - 1 of every i, one after the other."""
-    ends = np.cumsum(lens)
-    return np.repeat(start - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x.astype(np.uint32) if x.max() < 1 << 32 else x.astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers: they compress better."""
+    return _small(np.diff(x, prepend=x.dtype.type(0)))
+
 
+def _sums(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int64)
 
-def _requests(frequent: dict[bytes, int], buckets: int):
-    """What a block sends to each bucket of the vocabulary: its words there, and their training customers by restaurant."""
+
+def _word_counts(buckets: int):
+    """What a block sends to each bucket of the vocabulary: its words there and their training counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            ids, size, words = _expand(row["ids"]), np.array(row["size"]), _vocab(row)
-            code = ids.astype(np.int64) * RESTAURANTS + _contexts(ids, size, words, frequent)
-            code, n = np.unique(code[np.repeat(~np.array(row["held"]), size)], return_counts=True)
-            start = np.searchsorted(code, np.arange(len(words) + 1) * RESTAURANTS)
+            train, words = _expand(row["train"]), _vocab(row)
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 lids = order[cuts[k]:cuts[k + 1]]
-                lens = start[lids + 1] - start[lids]
-                at = _ragged(start[lids], lens)
-                blob = _packed(lids.astype(np.uint32), b"\n".join([words[i] for i in lids]), lens.astype(np.uint16), (code[at] % RESTAURANTS).astype(np.uint16), n[at].astype(np.uint32))
+                blob = _packed(_steps(lids), b"\n".join([words[i] for i in lids]), _small(train[lids]))
                 yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([row["block"]]), pa.array([blob], pa.binary())], names=["bucket", "block", "data"])
 
     return run
 
 
-_STATE = "bucket int, words long, root_tables long, tables array<bigint>, customers array<bigint>, data binary"
+def _numbers(buckets: int):
+    """Rows sorted by bucket: the counts of a bucket's words over all blocks, and from them the words' numbers (frequent words first), which
+    go back to each block."""
+    def done(at: int, index: dict[bytes, int], asked: list) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(index), np.int64)
+        for _, _, where, counts in asked:
+            n[where] += counts
+        number, words = np.full(len(index), UNKNOWN, np.int64), list(index)
+        known = sorted(np.flatnonzero(n).tolist(), key=lambda i: (-n[i], words[i]))
+        number[known] = FIRST + at + buckets * np.arange(len(known))
+        for block, lids, where, _ in asked:
+            data = _packed(lids, number[where].astype(np.uint32), _small(n[where]))
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, asked, at = {}, [], None
+        for b in batches:
+            for bucket, block, blob in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), b.column("data")):
+                if bucket != at:
+                    if asked:
+                        yield from done(at, index, asked)
+                    index, asked, at = {}, [], bucket
+                lids, words, counts = _unpacked(blob.as_py())
+                where = np.fromiter((index.setdefault(w, len(index)) for w in words.split(b"\n")), np.int32, len(lids))
+                asked.append((block, lids, where, counts))
+        if asked:
+            yield from done(at, index, asked)
 
-def _state(bucket: int, words: list[bytes], off, ctx, c, t, t0, seatings) -> pa.RecordBatch:
-    """A bucket of the vocabulary: words, their entries [off[i], off[i + 1]) of restaurant, customers and tables, root tables, and the
-    recorded seatings."""
-    count = lambda x: np.bincount(ctx, weights=x, minlength=RESTAURANTS).astype(np.int64).tolist()
-    blob = _packed(b"\n".join(words), off, ctx, c, t, t0, seatings)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), pa.array([len(words)]), pa.array([int(t0.sum())]), pa.array([count(t)], pa.list_(pa.int64())),
-         pa.array([count(c)], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["bucket", "words", "root_tables", "tables", "customers", "data"])
+    return run
 
 
-def _seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Requests sorted by bucket to the buckets' first seating: one table per word and restaurant."""
-    index, codes, counts, at = {}, [], [], None
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([-1], pa.int32()), pa.array([pickle.dumps(row)], pa.binary())], names=["block", "part", "data"])
 
-    def done() -> pa.RecordBatch:
+
+def _with_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, tuple]]]]:
+    """Rows (block, part, data) sorted by both: each block (part -1) with its parts."""
+    row, parts = None, []
+    for b in batches:
+        for part, data in zip(b.column("part").to_pylist(), b.column("data")):
+            if part >= 0:
+                parts.append((part, data.as_py()))
+                continue
+            if row is not None:
+                yield row, parts
+            row, parts = pickle.loads(data.as_py()), []
+    if row is not None:
+        yield row, parts
+
+
+_NUMBERED = pa.schema([*(f for f in _BLOCK if f.name not in ("vocab", "train", "tokens")), ("number", pa.binary()), ("n", pa.binary())])
+_NUMBERED_SQL = "block long, doc_id array<bigint>, held array<boolean>, size array<int>, ids binary, number binary, n binary"
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the numbers and the corpus's training counts of their words in place of the vocabulary."""
+    for row, parts in _with_parts(batches):
+        parts = [_unpacked(data) for _, data in parts]
+        number, n = np.zeros(sum(len(p[0]) for p in parts), np.int64), np.zeros(sum(len(p[0]) for p in parts), np.int64)
+        for steps, numbers, counts in parts:
+            lids = _sums(steps)
+            number[lids], n[lids] = numbers, counts
+        yield pa.RecordBatch.from_pylist([{**row, "number": _squeeze(number), "n": _packed(n)}], schema=_NUMBERED)
+
+
+def _pair_codes(row: dict) -> np.ndarray:
+    """Word and context of each token, as one number (up to 2 ** 31 words)."""
+    word = _expand(row["number"])[_expand(row["ids"])].astype(np.int64)
+    context = np.empty(len(word), np.int64)
+    context[1:] = word[:-1]
+    context[np.concatenate([[0], np.cumsum(row["size"])[:-1]])] = START
+    return word << 32 | context
+
+
+def _split(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return codes >> 32, codes & 0xFFFFFFFF
+
+
+def _dealt(codes: np.ndarray, grid: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes in the order of their cells, and where each cell's begin."""
+    word, context = _split(codes)
+    cell = word % grid * grid + context % grid
+    order = np.argsort(cell, kind="stable")
+    return order, np.searchsorted(cell[order], np.arange(grid * grid + 1))
+
+
+#: ``kind`` of a row at a cell: words' totals, contexts' totals, the cell's state, a block's request; at a group: its state, tables of words and of contexts.
+_GROUP, _WORDS, _CONTEXTS, _CELL, _BY_WORD, _BY_CONTEXT, _REQUEST = -1, -3, -2, 0, 1, 2, 3
+_MESSAGE_SQL = "at int, kind int, source long, data binary"
+
+
+def _message(at: int, kind: int, source: int, data: bytes, **more) -> pa.RecordBatch:
+    cols = {"at": pa.array([at], pa.int32()), "kind": pa.array([kind], pa.int32()), "source": pa.array([source], pa.int64()), "data": pa.array([data], pa.binary())}
+    return pa.RecordBatch.from_pydict(cols | {k: pa.array([int(v)], pa.int64()) for k, v in more.items()})
+
+
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, tuple]]:
+    for b in batches:
+        for at, kind, source, data in zip(*(b.column(c).to_pylist() for c in ("at", "kind", "source")), b.column("data")):
+            yield at, kind, source, data.as_py()
+
+
+def _requests(grid: int, counted: bool):
+    """What a block sends to each cell: its distinct pairs there, with ``counted`` also their training customers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            tokens = _pair_codes(row)
+            codes = np.unique(tokens)
+            if counted:
+                trained, count = np.unique(tokens[np.repeat(~np.array(row["held"]), row["size"])], return_counts=True)
+                n = np.zeros(len(codes), np.int64)
+                n[np.searchsorted(codes, trained)] = count
+            order, cuts = _dealt(codes, grid)
+            for k in np.flatnonzero(np.diff(cuts)):
+                mine = order[cuts[k]:cuts[k + 1]]
+                word, context = _split(codes[mine])
+                yield _message(int(k), _REQUEST, row["block"], _packed(_steps(word), context.astype(np.uint32), *([_small(n[mine])] if counted else [])))
+
+    return run
+
+
+def _cell(at: int, grid: int, codes: np.ndarray, c: np.ndarray, t: np.ndarray, seatings: list, first: bool) -> Iterator[pa.RecordBatch]:
+    """A cell's pairs with their customers, tables and recorded seatings, and the tables of its words and contexts for their groups."""
+    word, context = _split(codes)
+    yield _message(at, _CELL, at, _packed(_steps(word), context.astype(np.uint32), _small(c), _small(t), seatings))
+    for kind, key, group in ((_BY_WORD, word, at // grid), (_BY_CONTEXT, context, at % grid)):
+        keys, of = np.unique(key, return_inverse=True)
+        sums = [np.bincount(of, weights=x, minlength=len(keys)).astype(np.int64) for x in ([t, c] if first else [t])]
+        yield _message(group, kind, at, _packed(_steps(keys // grid), *map(_small, sums)))
+
+
+def _seats(grid: int):
+    """Requests sorted by cell to the cells' first seating: one table per pair with customers."""
+    def done(at: int, codes: list, counts: list) -> Iterator[pa.RecordBatch]:
         code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
         c = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
-        off = np.searchsorted(code, np.arange(len(index) + 1) * RESTAURANTS)
-        ctx = code % RESTAURANTS
-        return _state(at, list(index), off, ctx, c, np.ones(len(c), np.int64), np.ones(len(index), np.int64), [])
+        yield from _cell(at, grid, code, c, (c > 0).astype(np.int64), [], True)
 
-    for b in batches:
-        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("data")):
-            if bucket != at:
-                if index:
-                    yield done()
-                index, codes, counts, at = {}, [], [], bucket
-            _, words, lens, ctx, n = _unpacked(blob.as_py())
-            trained = np.fromiter((index.setdefault(w, len(index)) for w, k in zip(words.split(b"\n"), lens.tolist()) if k), np.int64)
-            codes.append(np.repeat(trained, lens[lens > 0]) * RESTAURANTS + ctx)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts, last = [], [], None
+        for at, _, _, data in _messages(batches):
+            if at != last:
+                if codes:
+                    yield from done(last, codes, counts)
+                codes, counts, last = [], [], at
+            steps, context, n = _unpacked(data)
+            codes.append(_sums(steps) << 32 | context)
             counts.append(n)
-    if index:
-        yield done()
+        if codes:
+            yield from done(last, codes, counts)
+
+    return run
 
 
 @dataclass
 class Totals:
-    """Customers and tables of every restaurant, and of the parent."""
-    customers: np.ndarray
-    tables: np.ndarray
+    """Sums over all restaurants."""
+    tables: float
     root_tables: float
     vocabulary: int
 
+    def base(self) -> float:
+        return (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_tables) / (self.vocabulary + 1)
+
     def root(self, c0: np.ndarray, t0: np.ndarray) -> np.ndarray:
         """Predictive probability of words in the parent."""
-        base = (ROOT_STRENGTH + ROOT_DISCOUNT * self.root_tables) / (self.vocabulary + 1)
-        return (c0 - ROOT_DISCOUNT * t0 + base) / (ROOT_STRENGTH + self.tables.sum())
-
-    def weight(self) -> np.ndarray:
-        return (STRENGTH + DISCOUNT * self.tables) / (STRENGTH + self.customers)
+        return (c0 - ROOT_DISCOUNT * t0 + self.base()) / (ROOT_STRENGTH + self.tables)
 
 
 def seat(rng: np.random.Generator, n: np.ndarray, new: np.ndarray, discount: float) -> np.ndarray:
@@ -224,133 +324,138 @@ def seat(rng: np.random.Generator, n: np.ndarray, new: np.ndarray, discount: flo
     return out
 
 
-def _sweep(totals: Totals, number: int, record: bool, sample: bool):
-    """One Gibbs sweep over the buckets; ``record`` first keeps the present seating."""
+_GROUPS_SQL = _MESSAGE_SQL + ", words long, customers long, tables long, root_tables long"
+
+
+def _group(totals: Totals | None, number: int, grid: int, record: bool, last: bool):
+    """Rows sorted by group and kind: a group's state and the tables in its cells. Sums them, seats the parent (without ``totals`` one table
+    per word) and answers each cell: customers and tables of its words in the parent, tables of its contexts; with ``last`` all recorded ones, and the
+    contexts' customers."""
+    def add(total: np.ndarray, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if len(at) and at[-1] >= len(total):
+            total = np.concatenate([total, np.zeros(int(at[-1]) + 1 - len(total), np.int64)])
+        total[at] += x
+        return total
+
+    def done(group: int, customers: np.ndarray, records: list, asked: list) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(1, np.int64)
+        c0, tables = none.copy(), none.copy()
+        for kind, _, data in asked:
+            steps, t, *c = _unpacked(data)
+            at = _sums(steps)
+            if kind == _BY_WORD:
+                c0 = add(c0, at, t)
+            else:
+                tables = add(tables, at, t)
+                if c:
+                    customers = add(customers, at, c[0])
+        t0 = (c0 > 0).astype(np.int64)
+        if totals is not None:
+            t0 = seat(np.random.default_rng([number, group, 1]), c0, np.full(len(c0), totals.base()), ROOT_DISCOUNT).astype(np.int64)
+        if record:
+            records = [*records, (_small(c0), _small(t0), _small(tables))]
+        yield _message(group, _GROUP, group, b"" if last else _packed(_small(customers), records), words=(c0 > 0).sum(), customers=customers.sum(), tables=c0.sum(), root_tables=t0.sum())
+        for kind, cell, data in asked:
+            at = _sums(_unpacked(data)[0])
+            if kind == _BY_WORD:
+                answer = [(_small(x[at]), _small(y[at])) for x, y, _ in (records if last else [(c0, t0, None)])]
+            else:
+                answer = [_small(x[at]) for x in ([customers, *(r[2] for r in records)] if last else [tables])]
+            yield _message(cell, _WORDS if kind == _BY_WORD else _CONTEXTS, group, _packed(answer), words=0, customers=0, tables=0, root_tables=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            words, off, ctx, c, t, t0, seatings = _unpacked(row["data"])
-            words, of = words.split(b"\n"), np.repeat(np.arange(len(t0)), np.diff(off))
-            if record:
-                seatings = [*seatings, (t.astype(np.int32), t0.astype(np.int32))]
-            if sample:
-                rng = np.random.default_rng([number, row["bucket"]])
-                root = totals.root(np.bincount(of, weights=t, minlength=len(t0)), t0)
-                others = np.maximum(totals.tables[ctx] - t, 0)
-                t = seat(rng, c, (STRENGTH + DISCOUNT * others) * root[of], DISCOUNT).astype(np.int64)
-                c0 = np.bincount(of, weights=t, minlength=len(t0)).astype(np.int64)
-                base = (ROOT_STRENGTH + ROOT_DISCOUNT * max(totals.root_tables, 1.0)) / (totals.vocabulary + 1)
-                t0 = seat(rng, c0, np.full(len(t0), base), ROOT_DISCOUNT).astype(np.int64)
-            yield _state(row["bucket"], words, off, ctx, c, t, t0, seatings)
+        customers, records, asked, before = np.empty(0, np.int64), [], [], None
+        for at, kind, source, data in _messages(batches):
+            if at != before:
+                if asked:
+                    yield from done(before, customers, records, asked)
+                customers, records, asked, before = np.empty(0, np.int64), [], [], at
+            if kind == _GROUP:
+                customers, records = _unpacked(data)
+            else:
+                asked.append((kind, source, data))
+        if asked:
+            yield from done(before, customers, records, asked)
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, block, data) sorted by both: a bucket's state (block -1), then the blocks' requests, each answered with the
-    customers and tables of its words."""
-    at, state, index = None, None, {}
-    for b in batches:
-        for bucket, block, blob in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist(), b.column("data")):
-            if block < 0:
-                at, state = bucket, _unpacked(blob.as_py())
-                index = {w: i for i, w in enumerate(state[0].split(b"\n"))}
-                continue
-            if bucket != at:
-                continue  # no training word in this bucket
-            _, off, ctx, c, _, _, seatings = state
-            lids, words, *_ = _unpacked(blob.as_py())
-            where = np.fromiter((index.get(w, -1) for w in words.split(b"\n")), np.int64, len(lids))
-            lids, where = lids[where >= 0], where[where >= 0]
-            lens = off[where + 1] - off[where]
-            entries = _ragged(off[where], lens)
-            small = lambda x: x.astype(np.uint16) if x.max(initial=0) < 65536 else x
-            data = _packed(np.diff(lids, prepend=lids[:1]).astype(np.uint32), lids[:1], small(lens), small(ctx[entries]), small(c[entries]),
-                           [(small(t[entries]), small(t0[where])) for t, t0 in seatings])
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["block", "part", "data"])
-
-
-def _totals(state: DataFrame) -> Totals:
-    """Sums over the buckets: one row per restaurant, and the vocabulary."""
-    rows = (state.select(F.posexplode(F.arrays_zip("customers", "tables"))).groupBy("pos")
-            .agg(F.sum("col.customers").alias("c"), F.sum("col.tables").alias("t")).collect())
-    customers, tables = np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)
-    for r in rows:
-        customers[r["pos"]], tables[r["pos"]] = r["c"], r["t"]
-    one = state.agg(F.coalesce(F.sum("root_tables"), F.lit(0)).alias("t"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
-    return Totals(customers, tables, float(one["t"]), int(one["v"]))
+def _state(data: bytes) -> tuple:
+    """Codes, customers, tables and recorded seatings of a cell; places of its pairs among its distinct words and contexts."""
+    steps, context, c, t, seatings = _unpacked(data)
+    word = _sums(steps)
+    return word << 32 | context, c.astype(np.int64), t.astype(np.int64), seatings, *(np.unique(x, return_inverse=True)[1] for x in (word, context))
 
 
-_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+def _sweep(totals: Totals, number: int, grid: int, record: bool):
+    """One Gibbs sweep over the cells, from rows sorted by cell and kind; ``record`` keeps the new seating."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, kind, _, data in _messages(batches):
+            if kind == _WORDS:
+                ((c0, t0),), = _unpacked(data)
+            elif kind == _CONTEXTS:
+                (tables,), = _unpacked(data)
+            else:
+                codes, c, t, seatings, word, context = _state(data)
+                rng = np.random.default_rng([number, at, 0])
+                others = np.maximum(tables[context].astype(np.int64) - t, 0)
+                t = seat(rng, c, (STRENGTH + DISCOUNT * others) * totals.root(c0, t0)[word], DISCOUNT).astype(np.int64)
+                yield from _cell(at, grid, codes, c, t, [*seatings, _small(t)] if record else seatings, False)
 
+    return run
 
-def _score(samples: list[Totals], train_tokens: int, frequent: dict[bytes, int]):
-    """Rows (block, part, data) sorted by block and part: first (-1) the block itself, then the answers of the buckets."""
-    vocabulary = samples[0].vocabulary
 
-    def probabilities(answers: list[bytes], words: int):
-        """Training count and parent probabilities (words, samples) by local id; sorted (word, restaurant) codes and their averages."""
-        n = np.zeros(words, np.int64)
-        p0 = np.tile([float(s.root(np.zeros(1), np.zeros(1))[0]) for s in samples], (words, 1))
-        codes, probs = [np.empty(0, np.int64)], [np.empty(0)]
-        for steps, first, lens, ctx, c, seatings in map(_unpacked, answers):
-            if not len(steps):
-                continue
-            lids = np.cumsum(steps, dtype=np.int64) + int(first[0])
-            c = c.astype(np.int64)
-            of, p = np.repeat(np.arange(len(lids)), lens), 0.0
-            n[lids] = np.bincount(of, weights=c, minlength=len(lids))
-            for k, (s, (t, t0)) in enumerate(zip(samples, seatings)):
-                root = s.root(np.bincount(of, weights=t, minlength=len(lids)), t0)
-                p0[lids, k] = root
-                p = p + (c - DISCOUNT * t) / (STRENGTH + s.customers[ctx]) + s.weight()[ctx] * root[of]
-            codes.append(lids[of].astype(np.int64) * RESTAURANTS + ctx)
-            probs.append(p / len(samples))
-        codes, probs = np.concatenate(codes), np.concatenate(probs)
-        order = np.argsort(codes)
-        return n, p0, codes[order], probs[order]
-
-    weights = np.stack([s.weight() for s in samples], axis=1)      # (restaurants, samples)
-
-    def scored(row: dict, answers: list[bytes]) -> pa.RecordBatch:
-        words = _vocab(row)
-        n, p0, codes, p = probabilities(answers, len(words))
-        ids, size = _expand(row["ids"]), np.array(row["size"])
-        ctx = _contexts(ids, size, words, frequent)
-        base = np.log10((n + 1) / (train_tokens + vocabulary + 1))
-        logs = np.empty(len(ids))
-        for a in range(0, len(ids), 500_000):
-            w, u = ids[a:a + 500_000], ctx[a:a + 500_000]
-            prob = (weights[u] * p0[w]).mean(axis=1)
-            if len(codes):
-                code = w.astype(np.int64) * RESTAURANTS + u
-                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                prob = np.where(codes[at] == code, p[at], prob)
-            logs[a:a + 500_000] = np.log10(prob)
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size, pa.int64()),
-             pa.array(np.add.reduceat((n[ids] > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base[ids], starts)),
-             pa.array(np.add.reduceat(logs, starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _answers(samples: list[Totals]):
+    """Rows sorted by cell and kind: totals, a cell's state, then the blocks' requests, each answered with the pairs' probabilities."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, kind, source, data in _messages(batches):
+            if kind == _WORDS:
+                parent, = _unpacked(data)
+            elif kind == _CONTEXTS:
+                (customers, *tables), = _unpacked(data)
+            elif kind == _CELL:
+                codes, c, _, seatings, word, context = _state(data)
+                p, total = np.zeros(len(codes)), STRENGTH + customers[context].astype(np.int64)
+                for s, (c0, t0), among, t in zip(samples, parent, tables, seatings):
+                    p += (c - DISCOUNT * t) / total + (STRENGTH + DISCOUNT * among.astype(np.int64)[context]) / total * s.root(c0, t0)[word]
+                p = (p / len(samples)).astype(np.float32)
+            else:
+                steps, asked = _unpacked(data)
+                answer = p[np.searchsorted(codes, _sums(steps) << 32 | asked)]
+                yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([at], pa.int32()), pa.array([_packed(answer)], pa.binary())], names=["block", "part", "data"])
+
+    return run
+
+
+_SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
 
+def _score(vocabulary: int, train_tokens: int, grid: int):
+    """Rows (block, part, data) sorted by block and part: the block itself, then the answers of the cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, answers = None, []
-        for b in batches:
-            for part, data in zip(b.column("part").to_pylist(), b.column("data")):
-                if part >= 0:
-                    answers.append(data.as_py())
-                    continue
-                if row is not None:
-                    yield scored(row, answers)
-                row, answers = pickle.loads(data.as_py()), []
-        if row is not None:
-            yield scored(row, answers)
+        for row, answers in _with_parts(batches):
+            codes, of = np.unique(_pair_codes(row), return_inverse=True)
+            order, cuts = _dealt(codes, grid)
+            logs = np.empty(len(codes))
+            for cell, data in answers:
+                logs[order[cuts[cell]:cuts[cell + 1]]] = np.log10(_unpacked(data)[0].astype(np.float64))
+            ids, size, n = _expand(row["ids"]), np.array(row["size"]), _unpacked(row["n"])[0]
+            base = np.log10((n + 1) / (train_tokens + vocabulary + 1))
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(size, pa.int64()),
+                 pa.array(np.add.reduceat((n[ids] > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base[ids], starts)),
+                 pa.array(np.add.reduceat(logs[of], starts))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([-1], pa.int32()), pa.array([pickle.dumps(row)], pa.binary())], names=["block", "part", "data"])
+def _met(*parts: DataFrame) -> DataFrame:
+    """Rows for the same cell or group in one task, by kind and source."""
+    out = parts[0].select("at", "kind", "source", "data")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("at", "kind", "source", "data"))
+    return out.repartition("at").sortWithinPartitions("at", "kind", "source")
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -363,23 +468,32 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     (a vocabulary of one unknown word); other columns are ignored."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held"))
     blocks = written(src.mapInArrow(_blocks, _BLOCK_SQL), "blocks")
-    top = (blocks.select("vocab", "train").mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(CONTEXTS).collect())
-    frequent = {r["word"].encode(): i + 1 for i, r in enumerate(top)}
-    buckets = 1 + (blocks.agg(F.sum("words")).first()[0] or 0) // BUCKET_WORDS
-    requests = written(blocks.drop("train", "words").mapInArrow(_requests(frequent, buckets), "bucket int, block long, data binary"), "requests")
-    state = written(requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_seats, _STATE), "seating")
-    totals, samples = _totals(state), []  # samples: the totals of each recorded seating
-    train_tokens = int(totals.customers.sum())
-    for k in range(SWEEPS + 1):  # the last round only records
-        if k > BURN_IN:
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    grid, buckets = max(1, math.isqrt(max(0, tokens - 1) // CELL_TOKENS) + 1), 1 + tokens // BUCKET_TOKENS
+    numbers = (blocks.select("block", "vocab", "train").mapInArrow(_word_counts(buckets), "bucket int, block long, data binary")
+               .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_numbers(buckets), "block long, part int, data binary"))
+    heads = blocks.select("block", "doc_id", "held", "size", "ids").mapInArrow(_heads, "block long, part int, data binary")
+    numbered = written(heads.unionByName(numbers).repartition("block").sortWithinPartitions("block", "part").mapInArrow(_numbered, _NUMBERED_SQL), "numbered")
+    discard(blocks)
+    cells = written(_met(numbered.mapInArrow(_requests(grid, True), _MESSAGE_SQL)).mapInArrow(_seats(grid), _MESSAGE_SQL), "seating")
+    groups, totals, samples = None, None, []  # samples: the totals of each recorded seating
+    for k in range(SWEEPS + 1):  # seatings after k sweeps
+        record, last = k > BURN_IN, k == SWEEPS
+        told = cells.where(F.col("kind") > _CELL)
+        old, groups = groups, written(_met(told, *([groups.where(F.col("kind") == _GROUP)] if groups else []))
+                                      .mapInArrow(_group(totals, k, grid, record, last), _GROUPS_SQL), "groups")
+        if old:
+            discard(old)
+        one = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "customers", "tables", "root_tables")]).first()
+        vocabulary, train_tokens, totals = int(one[0]), int(one[1]), Totals(float(one[2]), float(one[3]), int(one[0]))
+        if record:
             samples.append(totals)
-        old, state = state, written(state.mapInArrow(_sweep(totals, k, k > BURN_IN, k < SWEEPS), _STATE), "seating")
-        discard(old)
-        totals = _totals(state)
-    asked = state.select("bucket", F.lit(-1).cast("long").alias("block"), "data").unionByName(requests)
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answers, "block long, part int, data binary")
-    heads = blocks.drop("train", "words").mapInArrow(_heads, "block long, part int, data binary")
-    scored = (heads.unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
-              .mapInArrow(_score(samples, train_tokens, frequent), _SCORE))
+        if not last:
+            met = _met(cells.where(F.col("kind") == _CELL), groups.where(F.col("kind") < _GROUP))
+            old, cells = cells, written(met.mapInArrow(_sweep(totals, k, grid, k + 1 > BURN_IN), _MESSAGE_SQL), "seating")
+            discard(old)
+    asked = _met(cells.where(F.col("kind") == _CELL), groups.where(F.col("kind") < _GROUP), numbered.mapInArrow(_requests(grid, False), _MESSAGE_SQL))
+    answers = asked.mapInArrow(_answers(samples), "block long, part int, data binary")
+    scored = (numbered.mapInArrow(_heads, "block long, part int, data binary").unionByName(answers).repartition("block").sortWithinPartitions("block", "part")
+              .mapInArrow(_score(vocabulary, train_tokens, grid), _SCORE))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -154,6 +154,16 @@ def test_lm_scores(spark, odd):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) and all(r.score < 0 for r in got)
 
 
+def test_every_context_has_its_own_restaurant(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "CELL_TOKENS", 700, raising=False)  # many cells and groups
+    train = [(i, f"c{i % 300} d{i % 300}", False) for i in range(3000)]
+    new = [(10_000 + 2 * i + k, f"c{i} d{(i + k) % 300}", True) for i in range(300) for k in (0, 1)]
+    df = spark.createDataFrame(train + new, "doc_id long, text string, held boolean").repartition(3)
+    got = {r.doc_id: r.score for r in pitman_yor.score(df, F.col("doc_id") >= 10_000).collect()}
+    assert all(got[10_000 + 2 * i] - got[10_001 + 2 * i] > 1 for i in range(300))
+    assert all(-3.2 < got[10_000 + 2 * i] < -2 for i in range(300))  # about 1 / 300 for the first word, the rest is known
+
+
 def test_seating():
     rng = np.random.default_rng(1)
     n = np.array([0, 1, 2, 5, 100, 10_000, 1])
