@@ -164,6 +164,15 @@ def test_every_context_has_its_own_restaurant(spark, monkeypatch):
     assert all(-3.2 < got[10_000 + 2 * i] < -2 for i in range(300))  # about 1 / 300 for the first word, the rest is known
 
 
+def test_word_counts_are_summed_over_all_blocks(spark):
+    """More than 496 words a block, each source with its own frequent ones: the cut of the blocks must not show in the scores."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"{'ab'[i // 200]}{int(rnd.paretovariate(0.4)) % 900}" for _ in range(20))) for i in range(400)]
+    got = [{r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(n, "doc_id"), queries.bucket(7) == 2).collect()}
+           for n in (1, 2, 5)]
+    assert len(got[0]) == 400 and got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+
+
 def test_seating():
     rng = np.random.default_rng(1)
     n = np.array([0, 1, 2, 5, 100, 10_000, 1])
