@@ -4,7 +4,7 @@ Texts become words (ASCII letters lower-cased; ASCII letters, digits and all non
 Karp-Rabin hashes of ``MIN_MATCH`` words are the seeds: document windows meet benchmark windows with the same hash.
 Along each diagonal, consecutive seeds form maximal matches; the longest one that is still free is marked again
 and again (greedy string tiling), so passages are found in any order. An item leaks into a document if the marked
-tiles cover at least ``MIN_COVER`` of its words.
+tiles cover at least ``MIN_COVER`` of its words, or if the longest of them has ``MIN_PASSAGE`` words, whatever share of a long item that is.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 MIN_MATCH = 5       # words of the shortest tile
 MIN_COVER = 0.5     # share of a benchmark item's words in tiles that makes it a leak
+MIN_PASSAGE = 50    # words of a single tile that make a leak of an item of any length
 BLOCK_BYTES = 4_000_000  # benchmark text that goes to the tasks at once
 
 _U = np.uint64
@@ -96,16 +97,16 @@ class BenchmarkIndex:
                 starts = np.unique(pos[s:e])
                 np.add.at(reach, starts, 1)
                 np.add.at(reach, np.minimum(starts + n, len(want)), -1)
-                if (np.cumsum(reach[:-1]) > 0).sum() < min_cover * len(want):
+                if (np.cumsum(reach[:-1]) > 0).sum() < min(min_cover * len(want), MIN_PASSAGE):
                     continue
-                cover, tiles = tile(ids, want, place[s:e], pos[s:e], n)
-                if cover >= min_cover * len(want):
+                cover, tiles, longest = tile(ids, want, place[s:e], pos[s:e], n)
+                if cover >= min_cover * len(want) or longest >= MIN_PASSAGE:
                     out.append((item_id, cover / len(want), tiles))
         return out
 
 
-def tile(doc: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray, n: int) -> tuple[int, int]:
-    """Greedy string tiling from seed matches (document place, item position): covered item words, tiles."""
+def tile(doc: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray, n: int) -> tuple[int, int, int]:
+    """Greedy string tiling from seed matches (document place, item position): covered item words, tiles, words of the longest tile."""
     order = np.lexsort((place, place - pos))
     place, pos = place[order], pos[order]
     new = np.ones(len(place), dtype=bool)
@@ -115,7 +116,7 @@ def tile(doc: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray,
     heap = [(-int(m), int(pos[i]), int(place[i])) for i, m in zip(starts, lengths)]
     heapq.heapify(heap)
     doc_free, item_free = np.ones(len(doc), bool), np.ones(len(item), bool)
-    cover = tiles = 0
+    cover = tiles = longest = 0
     while heap:
         m, j, i = heapq.heappop(heap)
         m = -m
@@ -125,6 +126,7 @@ def tile(doc: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray,
             item_free[j:j + m] = False
             cover += m
             tiles += 1
+            longest = max(longest, m)
             if cover == len(item):  # nothing left to mark: passages of repeated words have many more seeds
                 break
             continue
@@ -132,7 +134,7 @@ def tile(doc: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray,
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if b - a >= n:
                 heapq.heappush(heap, (a - b, j + a, i + a))
-    return cover, tiles
+    return cover, tiles, longest
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:

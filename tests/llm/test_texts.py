@@ -181,6 +181,14 @@ def test_seating():
     assert (pitman_yor.seat(rng, n, np.zeros(7), 0.5) == (n > 0)).all()
 
 
+def test_long_passage_of_a_longer_item_leaks():
+    item = [f"i{k}" for k in range(1000)]
+    index = decontaminate.BenchmarkIndex([(1, " ".join(item))])
+    assert index.leaks(" ".join(["x", *item[300:790], "y"])) == [(1, 0.49, 1)]
+    assert index.leaks(" ".join(["x", *item[300:350], "y"])) == [(1, 0.05, 1)] and not index.leaks(" ".join(["x", *item[300:349], "y"]))
+    assert not index.leaks(" ".join(f"{' '.join(item[k:k + 20])} x{k}" for k in range(0, 800, 100)))  # scattered short tiles: the share decides
+
+
 def brute_tiles(doc, item, n):
     free_d, free_t, cover = [True] * len(doc), [True] * len(item), 0
     while True:
