@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from routelake.llm import ball_tree, byte_bpe, decontaminate, language, license_scan, near_dup, pitman_yor, token_counts, token_store, url_filter
+from routelake.llm import (alignment, ball_tree, byte_bpe, conversations, decontaminate, language, license_scan, near_dup, pitman_yor, quality, token_counts,
+                           token_store, url_filter)
 from routelake.llm.common import table, written
 from routelake.session import scratch_path, ship_package
 
@@ -92,6 +93,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), BPE_JSON, PIECES)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(bucket(3) != 1))
+    return (quality.classify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+            .withColumn("held_out", F.coalesce(bucket(3) == 1, F.lit(False))).select("doc_id", "held_out", "score", "predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +116,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: prepared(f) for f in (
-    op1_url_filter, op2_near_dup, op3_license_scan, op4_token_counts, op5_language_id, op6_token_store, op7_byte_bpe, op8_lm_score, op9_top_k, op10_decontaminate, pipeline)}
+    op1_url_filter, op2_near_dup, op3_license_scan, op4_token_counts, op5_language_id, op6_token_store, op7_byte_bpe, op8_lm_score, op9_top_k, op10_decontaminate,
+    op11_token_alignment, op12_conversation_repair, op13_quality, pipeline)}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
