@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import written
+from routelake.llm.common import worker_state, written
 
 BLOCK_CHARS = 12_000_000   # characters of the documents of a block (a longer document is a block of its own)
 UNITS = 250_000            # units a worker remembers; a block ends where they are forgotten
@@ -209,14 +209,8 @@ class Aligner:
             del self.index[u]
 
 
-_tokenizers: dict = {}
-
-
 def _load(a_path: str, b_path: str) -> Tokenizers:
-    if (a_path, b_path) not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[a_path, b_path] = Tokenizers(a_path, b_path)
-    return _tokenizers[a_path, b_path]
+    return worker_state(("alignment", a_path, b_path), lambda: Tokenizers(a_path, b_path))
 
 
 # ---------------------------------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 Each pre-token is a linked list of byte pieces. A bucket per merge rank holds the list positions whose pair has
 that rank; a three-level bitmap over the ranks finds the lowest non-empty bucket by find-first-set; entries whose pair has
-changed are stale and skipped. A pre-token of n bytes takes O(n) queue steps, however long it is.
+changed are stale and skipped. A pre-token of n bytes takes O(n) queue steps, each O(log n) within its bucket, however long it is.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 600_000        # pre-tokens that a worker remembers (about 120 MB)
-SPACED_CACHE = 200_000  # and space-separated pieces
-CACHED_CHARS = 64      # longer ones are encoded anew each time
-_coders: dict = {}
+from routelake.llm.common import CACHE_BYTES, Cache, worker_state
+
+CACHED_CHARS = 64      # longer pre-tokens are encoded anew each time
+TOKEN_SHARE = 0.7      # of the worker's cache, for pre-tokens; the rest is for space-separated pieces
 
 
 class ByteBPE:
@@ -34,17 +35,18 @@ class ByteBPE:
         self.low = [0] * (size // 64 + 1)
         self.mid = [0] * (len(self.low) // 64 + 1)
         self.buckets: dict[int, list[int]] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.splits = pattern == public_tokenizers.PATTERN  # a space before a non-space always begins a match
+        self.tokens = Cache(int(CACHE_BYTES * TOKEN_SHARE))
+        self.spaced = Cache(int(CACHE_BYTES * (1 - TOKEN_SHARE)))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
         """The coder of a worker for a rank file (lines of base64 token, space, rank)."""
-        if (path, pattern) not in _coders:
+        def make():
             with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-            _coders[path, pattern] = cls(ranks, pattern)
-        return _coders[path, pattern]
+                return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
+
+        return worker_state(("byte_bpe", path, pattern), make)
 
     def merge(self, b: bytes) -> list[int]:
         """Token ids of one pre-token: the lowest rank merges first, the leftmost pair on ties."""
@@ -113,8 +115,8 @@ class ByteBPE:
         if ids is None:
             merged = self.merge(t.encode("utf-8", "surrogatepass"))
             ids = struct.pack(f"<{len(merged)}I", *merged)
-            if len(t) <= CACHED_CHARS and len(self.tokens) < CACHE:
-                self.tokens[t] = ids
+            if len(t) <= CACHED_CHARS:
+                self.tokens.put(t, ids, len(t) + len(ids))
         return ids
 
     def _piece(self, p: str) -> bytes | None:
@@ -122,13 +124,15 @@ class ByteBPE:
         if not p or p[0].isspace():
             return None
         ids = b"".join(map(self._token, self.find(" " + p)))
-        if len(p) <= CACHED_CHARS and len(self.spaced) < SPACED_CACHE:
-            self.spaced[p] = ids
+        if len(p) <= CACHED_CHARS:
+            self.spaced.put(p, ids, len(p) + len(ids))
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text. A space before a non-space always begins a match of the pattern, so a text without
-        runs of white space before or after a space is encoded piece by piece."""
+        """Ids of a text. A space before a non-space always begins a match of the public pattern, so under it a text without
+        runs of white space before or after a space is encoded piece by piece; under another pattern it is taken whole."""
+        if not self.splits:
+            return b"".join(map(self._token, self.find(text)))
         pieces = text.split(" ")
         get, out = self.spaced.get, [b"".join(map(self._token, self.find(pieces[0])))]
         for p in pieces[1:]:
@@ -145,7 +149,8 @@ class ByteBPE:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token ids of ``docs(doc_id, text)``: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the
     bytes the ids decode to). A null text is empty and has no tokens; rows are judged one by one (null and repeated
-    doc_ids stay); other columns are ignored. ``path`` must be readable on every executor."""
+    doc_ids stay); an empty table gives an empty result; texts of any length are taken whole; other columns are ignored. ``path`` must be
+    readable on every executor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ByteBPE.load(path, pattern)
         for whole in batches:

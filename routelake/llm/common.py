@@ -3,8 +3,10 @@ connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,47 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CACHE_BYTES = 80_000_000  # what a Python worker remembers at most, in all operators together
+_ENTRY = 160              # bytes of a dictionary entry with its key's and value's headers
+_owned: dict = {}
+
+
+class Cache(dict):
+    """A dictionary that starts anew when its estimated size passes ``limit`` bytes."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        super().__init__()
+        self.limit = self.room = limit
+
+    def put(self, key, value, size: int) -> None:
+        self.room -= size + _ENTRY
+        if self.room < 0:
+            self.clear()
+            self.room = self.limit - size - _ENTRY
+        self[key] = value
+
+
+def worker_state(key, make: Callable):
+    """What an operator keeps in a Python worker between tasks (a coder, its caches). Workers are reused from stage to stage, so
+    only one operator's state lives at a time: asking for another one drops it and gives its memory back."""
+    if key not in _owned:
+        if _owned:
+            _owned.clear()
+            release_memory()
+        _owned[key] = make()
+    return _owned[key]
+
+
+def release_memory() -> None:
+    """Returns freed memory to the system, as far as the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Re-cut a stream that is sorted by ``keys`` so that no group spans two of the yielded tables.
 

@@ -9,6 +9,7 @@ sample of labelled documents; every text is scored whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from routelake.llm.common import CACHE_BYTES, worker_state
+
 TRAIN_DOCS = 400        # labelled documents per language (expected number) that the model is fitted on
 EM_ROUNDS = 3
-LONGEST_PIECE = 12      # characters; longer pieces are not used
-WORD_CHARS = 48         # a longer letter run is scored in parts of this length, all of them
+SCALED_CHARS = 40       # words up to this length are summed in scaled numbers, many at a time; longer ones in logarithms
 UNKNOWN = 1e-7          # probability of a character that is no piece, or of an unseen piece's mass
 WORD_CACHE = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -30,10 +32,10 @@ _B = _U(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased letter runs; runs longer than ``WORD_CHARS`` come in parts."""
+    """Lower-cased runs of letters (Unicode categories L*), of any length."""
     out = _LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > WORD_CHARS for w in out):
-        out = [w[i:i + WORD_CHARS] for w in out for i in range(0, len(w), WORD_CHARS)]
+    if not all(map(str.isalpha, out)):  # the pattern also takes numeric characters that are no digits
+        out = [x for w in out for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
     return out
 
 
@@ -43,7 +45,7 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and p and _LETTERS.fullmatch(p.removeprefix(_START) or "a"))
+    return sorted(p for p in pieces if p and (p.removeprefix(_START) or "a").isalpha())
 
 
 def _piece_hash(p: str) -> int:
@@ -83,6 +85,24 @@ class PieceTable:
         return out, size
 
 
+    def endings(self, chars: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """(positions lo..hi-1, lengths) piece index of each substring of one word's character codes that ends there, as in ``lattice``."""
+        first = max(0, lo - self.longest + 1)
+        part = chars[first:hi]
+        out = np.full((hi - lo, self.longest), self.n, dtype=np.int32)
+        h = np.zeros(len(part), dtype=_U)
+        for k in range(min(self.longest, len(part))):
+            h = h[:len(part) - k] * _B + part[k:]
+            if self.n:
+                at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
+                ids = np.where(self.hashes[at] == h, self.ids[at], self.n + 1 if k == 0 else self.n)
+            else:
+                ids = np.full(len(h), 1 if k == 0 else 0)
+            ends = first + k + np.arange(len(h))  # where they end
+            out[ends[ends >= lo] - lo, k] = ids[ends >= lo]
+        return out
+
+
 def _probabilities(counts: np.ndarray, smooth: float = 0.01) -> np.ndarray:
     """(languages, n + 2): smoothed piece probabilities, then 0 for no piece, then the unknown character's."""
     p = counts + smooth
@@ -104,21 +124,70 @@ def forward(lattice: np.ndarray, size: np.ndarray, probs: np.ndarray) -> tuple[n
     return alpha, np.log(np.maximum(end, 1e-300)) - size * np.log(16.0)
 
 
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over the last axis."""
+    top = x.max(axis=-1, keepdims=True)
+    return np.log(np.exp(x - top).sum(axis=-1)) + top[..., 0]
+
+
+def long_forward(table: PieceTable, word: str, probs: np.ndarray) -> np.ndarray:
+    """Log likelihoods (languages) of one word of any length, over all its segmentations, position by position in logarithms. Piece
+    look-ups go in windows, so memory doesn't grow with the word beyond its characters."""
+    logs = np.log(np.maximum(probs, 1e-300))
+    logs[:, table.n] = -np.inf
+    chars = np.frombuffer((_START + word).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U) + _U(1)
+    recent = np.full((len(probs), table.longest), -np.inf)  # log alpha of the last positions, the latest first
+    recent[:, 0] = 0.0
+    for lo in range(0, len(chars), 4096):
+        for ids in table.endings(chars, lo, min(lo + 4096, len(chars))):
+            now = _log_sum(recent + logs[:, ids])
+            recent[:, 1:] = recent[:, :-1]
+            recent[:, 0] = now
+    return recent[:, 0]
+
+
+def _long_soft(table: PieceTable, word: str, probs: np.ndarray, weight: float, soft: np.ndarray) -> None:
+    """Adds the expected piece counts of one long word to ``soft``."""
+    logs = np.log(np.maximum(probs[0], 1e-300))
+    logs[table.n] = -np.inf
+    chars = np.frombuffer((_START + word).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U) + _U(1)
+    ids, m, longest = table.endings(chars, 0, len(chars)), len(chars), table.longest
+    alpha = np.full(m + longest, -np.inf)  # alpha[t + longest - 1]: after t characters
+    alpha[longest - 1] = 0.0
+    for t in range(m):
+        alpha[t + longest] = _log_sum(alpha[t:t + longest][::-1] + logs[ids[t]])
+    beta = np.full(m + longest, -np.inf)
+    beta[m] = 0.0
+    for t in range(m - 1, -1, -1):  # pieces of k + 1 characters that begin at t end at t + k
+        k = np.arange(min(longest, m - t))
+        beta[t] = _log_sum(beta[t + 1 + k] + logs[ids[t + k, k]])
+    for t in range(m):
+        k = np.flatnonzero(ids[t] < table.n)
+        k = k[k <= t]
+        share = alpha[t - k + longest - 1] + logs[ids[t, k]] + beta[t + 1] - beta[0]
+        np.add.at(soft, ids[t, k], np.exp(share) * weight)
+
+
 def fit(table: PieceTable, words: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Expected piece counts of one language after ``rounds`` of EM from a uniform start."""
     soft = np.full((1, table.n), 1.0)
+    is_short = np.array([len(w) <= SCALED_CHARS for w in words], bool)
+    short, times = [w for w, s in zip(words, is_short) if s], counts[is_short]
     for _ in range(rounds):
         probs = _probabilities(soft)
         soft = np.zeros((1, table.n))
-        for lo in range(0, len(words), 4000):
-            lattice, size = table.lattice(words[lo:lo + 4000])
+        for w, c in zip(words, counts):
+            if len(w) > SCALED_CHARS:
+                _long_soft(table, w, probs, c, soft[0])
+        for lo in range(0, len(short), 4000):
+            lattice, size = table.lattice(short[lo:lo + 4000])
             alpha, _ = forward(lattice, size, probs)
             a, n, width = alpha[0], len(size), lattice.shape[1]
             beta = np.zeros((n, width + 1))
             rows = np.arange(n)
             beta[rows, size] = 1.0
             end = np.maximum(a[rows, size], 1e-300)
-            weight = counts[lo:lo + 4000] / end
+            weight = times[lo:lo + 4000] / end
             for t in range(width - 1, -1, -1):  # the last character of a piece
                 for k in range(min(table.longest, t + 1)):
                     ids = lattice[:, t, k]
@@ -136,24 +205,32 @@ class Model:
         self.langs, self.probs, self.prior = langs, probs, prior
         self.table = PieceTable(pieces)
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.rows = np.zeros((1024, len(langs)))
 
     def _learn(self, words: list[str]) -> None:
+        for w in words:
+            if len(w) > SCALED_CHARS:
+                self._add([w], long_forward(self.table, w, self.probs)[:, None])
+        words = [w for w in words if len(w) <= SCALED_CHARS]
         for lo in range(0, len(words), 4000):
             part = sorted(words[lo:lo + 4000], key=len)
             for s in range(0, len(part), 500):
                 some = part[s:s + 500]
-                _, logs = forward(*self.table.lattice(some), self.probs)
-                base = len(self.known)
-                while base + len(some) > len(self.rows):
-                    self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-                self.rows[base:base + len(some)] = logs.T
-                self.known.update(zip(some, range(base, base + len(some))))
+                self._add(some, forward(*self.table.lattice(some), self.probs)[1])
+
+    def _add(self, words: list[str], logs: np.ndarray) -> None:
+        base = len(self.known)
+        while base + len(words) > len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        self.rows[base:base + len(words)] = logs.T
+        self.chars += sum(map(len, words))
+        self.known.update(zip(words, range(base, base + len(words))))
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lists = [words_of(t) for t in texts]
-        if len(self.known) > WORD_CACHE:
-            self.known = {}
+        if len(self.known) > WORD_CACHE or self.chars > CACHE_BYTES // 16:
+            self.known, self.chars = {}, 0
         if self.langs:
             self._learn(list({w for ws in lists for w in ws if w not in self.known}))
         lang, score = [], []
@@ -209,26 +286,34 @@ def train(labelled: DataFrame, path: str, train_docs: int = TRAIN_DOCS) -> Model
     return Model(langs, pieces, _probabilities(counts), np.log(n / n.sum()))
 
 
-def classify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep`` (all, if None) of ``docs(text, ...)``; a scan without shuffle.
+def classify(docs: DataFrame, model: Model, keep: list[str] | None = None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the predicted language (column ``pred``) and its score to the columns ``keep`` (all, if None) of ``docs(text, ...)``; a scan
+    without shuffle.
 
     Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing was
     labelled; any length is scored whole; ties go to the alphabetically first language. ``score`` is the posterior
-    of the predicted language. Columns named lang_pred or score are replaced."""
-    cols = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
+    of the predicted language. Columns with the names of ``pred`` and ``score`` are replaced; no other name clashes. An empty table
+    gives an empty result; repeated rows agree."""
+    cols = [c for c in (keep if keep is not None else docs.columns) if c not in (pred, score)]
     broadcast = docs.sparkSession.sparkContext.broadcast((model.langs, model.probs, model.prior, model.table))
+    name = uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Model:
         names, p, pri, table = broadcast.value
         scorer = Model(names, [], p, pri)
         scorer.table = table
+        return scorer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = worker_state(("language", name), make)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                lang, score = scorer.classify(b.column("_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                                 names=[*cols, "lang_pred", "score"])
+                lang, share = scorer.classify(b.column(len(cols)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(cols))), pa.array(lang, pa.string()), pa.array(share, pa.float64())],
+                                                 names=[*cols, pred, score])
 
-    src = docs.select(*[F.col(f"`{c}`") for c in cols], F.col("text").cast("string").alias("_text"))
-    schema = StructType([*src.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    free = next(n for n in (f"_text{i}" for i in range(len(cols) + 1)) if n not in cols)
+    src = docs.select(*[F.col(f"`{c}`") for c in cols], F.col("text").cast("string").alias(free))
+    schema = StructType([*src.schema.fields[:-1], StructField(pred, StringType()), StructField(score, DoubleType())])
     return src.mapInArrow(run, schema)

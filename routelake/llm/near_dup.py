@@ -1,15 +1,16 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 A document's set is its distinct 5-word shingles. Its signature has ``SYMBOLS`` b-bit MinHash values; two documents
-whose signatures differ in at most ``MAX_ERRORS`` of them are candidates. By the pigeonhole principle such a
-pair has one of ``CHUNKS`` signature chunks with at most floor(MAX_ERRORS / CHUNKS) = 1 differing symbol, so
+whose signatures differ in at most ``distance`` of them are candidates. By the pigeonhole principle such a
+pair has one of the signature's chunks with at most one differing symbol if there are more than distance / 2 chunks, so
 indexing every chunk with each one of its symbols left out (which also covers zero errors) finds *all* pairs within
-the distance. At similarity 0.85 a symbol differs with probability 0.15, so a link is past the
-distance (more than 17 of 40) with a probability of about 3e-6.
+the distance. At similarity s a symbol differs with probability 1 - s: ``plan`` takes the least distance that a link at the
+threshold is past with a probability of at most ``MISS``, and the chunks that it needs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,23 +19,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelake.llm.common import UnionFind, components, group_bounds, tiled, whole_groups, written
+from routelake.llm.common import CACHE_BYTES, Cache, UnionFind, components, group_bounds, tiled, whole_groups, worker_state, written
 
 WORDS = 5
 SYMBOLS = 40        # b-bit MinHash values in a signature, b = 16
-MAX_ERRORS = 17     # signature distance that makes a candidate pair
-CHUNKS = 9
+MISS = 1e-5         # chance that a pair at the very threshold is past the signature distance
+MIN_CHUNK = 3       # symbols of the shortest chunk that is indexed
 KEY_TILE = 256      # members of one index key that meet in one task step
 SET_TILE = 192      # documents whose whole sets meet in one task step
-WORD_CACHE = 300_000
 
 _U = np.uint64
 _rng = np.random.RandomState(20240501)
 _MULT = _rng.randint(1, 2**63 - 1, SYMBOLS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _ADD = _rng.randint(1, 2**63 - 1, SYMBOLS, dtype=np.int64).astype(_U)
 _PLACE = _rng.randint(1, 2**63 - 1, WORDS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_SPLITS = np.array_split(np.arange(SYMBOLS), CHUNKS)
-_words: dict = {}
+
+
+def plan(percent: int) -> tuple[int, int]:
+    """(signature distance, chunks) for links from ``percent`` on: the least distance with P(more symbols differ) <= ``MISS`` at the
+    threshold (binomial), and the chunks that leave one of them with at most one of so many errors. Fewer than two symbols a chunk
+    would index nothing, so similarities that need that (below about 0.72) are refused."""
+    differ, past, distance = 1 - percent / 100, 1.0, -1
+    while past > MISS and distance < SYMBOLS:
+        distance += 1
+        past = sum(math.comb(SYMBOLS, k) * differ**k * (1 - differ)**(SYMBOLS - k) for k in range(distance + 1, SYMBOLS + 1))
+    chunks = distance // 2 + 1
+    if SYMBOLS // chunks < MIN_CHUNK:
+        raise ValueError(f"links from {percent} % on need {distance} differing symbols of {SYMBOLS}: more than this index serves")
+    return distance, chunks
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,10 +55,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _word_hash(w: bytes) -> int:
+def _word_hash(words: Cache, w: bytes) -> int:
     h = xxhash.xxh3_64_intdigest(w)
-    if len(_words) < WORD_CACHE:
-        _words[w] = h
+    words.put(w, h, len(w) + 32)
     return h
 
 
@@ -56,8 +67,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, _U)
-    get = _words.get
-    h = np.array([get(w) or _word_hash(w) for w in words], dtype=_U)
+    known = worker_state("near_dup", lambda: Cache(CACHE_BYTES // 2))
+    get = known.get
+    h = np.array([get(w) or _word_hash(known, w) for w in words], dtype=_U)
     n = max(1, len(h) - WORDS + 1)
     s = np.full(n, min(len(h), WORDS), dtype=_U)
     for i in range(min(WORDS, len(h))):
@@ -100,10 +112,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
 
 
-def _index_keys(sigs: np.ndarray) -> np.ndarray:
+def _index_keys(sigs: np.ndarray, chunks: int) -> np.ndarray:
     """(rows, SYMBOLS) 64-bit keys: for each chunk and each of its symbols, the chunk without that symbol."""
     keys = []
-    for c, idx in enumerate(_SPLITS):
+    for c, idx in enumerate(np.array_split(np.arange(SYMBOLS), chunks)):
         terms = sigs[:, idx].astype(_U) + _U(1)
         terms = terms * _PLACE[0] * (np.arange(len(idx), dtype=_U) * _U(2) + _U(0x9E3779B97F4A7C15))
         terms = _mix(terms)
@@ -117,12 +129,15 @@ def _sig_matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            k = _index_keys(_sig_matrix(b.column("sig")))
-            rep = np.repeat(b.column("rep").to_numpy(), SYMBOLS)
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+def _keys(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                k = _index_keys(_sig_matrix(b.column("sig")), chunks)
+                rep = np.repeat(b.column("rep").to_numpy(), SYMBOLS)
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
+
+    return run
 
 
 def _pairs_of(bounds: np.ndarray, own: np.ndarray, ti: np.ndarray, tj: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,20 +164,23 @@ def _pairs_of(bounds: np.ndarray, own: np.ndarray, ti: np.ndarray, tj: np.ndarra
 _TILE = ["key", "ti", "tj"]
 
 
-def _hamming_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, a spanning forest of the pairs within the signature distance."""
-    sets = UnionFind()
-    for t in whole_groups(batches, _TILE):
-        reps, sigs = t.column("rep").to_numpy(), _sig_matrix(t.column("sig"))
-        cols = (t.column(c).to_numpy() for c in ("own", "ti", "tj"))
-        found = []
-        for a, b in _pairs_of(group_bounds(t, _TILE), *cols):
-            near = (sigs[a] != sigs[b]).sum(axis=1) <= MAX_ERRORS
-            pairs = np.unique(np.stack([reps[a[near]], reps[b[near]]], axis=1), axis=0)
-            found += [p for p in pairs.tolist() if sets.union(*p)]
-        if found:
-            f = np.array(found, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["a", "b"])
+def _hamming_edges(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per task, a spanning forest of the pairs within the signature distance."""
+        sets = UnionFind()
+        for t in whole_groups(batches, _TILE):
+            reps, sigs = t.column("rep").to_numpy(), _sig_matrix(t.column("sig"))
+            cols = (t.column(c).to_numpy() for c in ("own", "ti", "tj"))
+            found = []
+            for a, b in _pairs_of(group_bounds(t, _TILE), *cols):
+                near = (sigs[a] != sigs[b]).sum(axis=1) <= distance
+                pairs = np.unique(np.stack([reps[a[near]], reps[b[near]]], axis=1), axis=0)
+                found += [p for p in pairs.tolist() if sets.union(*p)]
+            if found:
+                f = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["a", "b"])
+
+    return run
 
 
 def _links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -225,15 +243,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Defined cases: a null or wordless text has an empty set and is linked with nothing. A null doc_id takes no part:
     component_id null, kept. Rows that repeat a doc_id are judged row by row; equal ones agree. Other columns are
     ignored."""
+    distance, chunks = plan(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_sign, _SIG_SCHEMA), "signatures")
     classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp")
                       .agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
+    keys = classes.select("rep", "sig").mapInArrow(_keys(chunks), "key long, rep long")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = keys.join(shared, "key").join(classes.select("rep", "sig"), "rep")
     edges = (tiled(rows, "n", "rep", KEY_TILE).select(*_TILE, "own", "rep", "sig")
-             .repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(_hamming_edges, "a long, b long"))
+             .repartition(*_TILE).sortWithinPartitions(*_TILE).mapInArrow(_hamming_edges(distance), "a long, b long"))
     coarse = written(components(edges), "candidates")
     sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = (coarse.join(sizes, "component").withColumnRenamed("id", "rep")

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routelake.llm.common import worker_state
+
 KEYS = ["source", "lang", "tokenizer"]
-_encodings: dict = {}
 
 
 class Rollup:
@@ -57,11 +58,11 @@ class Rollup:
 
 
 def inserts(counts: DataFrame) -> DataFrame:
-    return counts.select(F.lit(1).alias("sign"), *KEYS, "n_tokens")
+    return counts.select(F.lit(1).cast("long").alias("sign"), *KEYS, "n_tokens")
 
 
 def deletes(counts: DataFrame) -> DataFrame:
-    return counts.select(F.lit(-1).alias("sign"), *KEYS, "n_tokens")
+    return counts.select(F.lit(-1).cast("long").alias("sign"), *KEYS, "n_tokens")
 
 
 def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,13 +78,14 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, tokenizer: str) -> Da
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, pattern) not in _encodings:
+        def make():
             import tiktoken
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-            _encodings[path, pattern] = tiktoken.Encoding(tokenizer, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        encode = _encodings[path, pattern].encode_ordinary
+            return tiktoken.Encoding(tokenizer, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+        encode = worker_state(("token_counts", path, pattern), make).encode_ordinary
         for b in batches:
             n = pa.array([len(encode(t.as_py())) for t in b.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*b.schema.names[:-1], "n_tokens"])
@@ -95,12 +97,14 @@ def maintain(counts: DataFrame, rollup: Rollup) -> DataFrame:
     """The life of a corpus as batches: every document is inserted; exact copies are deleted (the smallest doc_id of each text stays);
     what stays is revised to count an end token; and the first batch arrives once more, which changes nothing.
 
-    Copies are found by aggregates over (text, source, lang), never by collecting a group."""
+    Copies are found by aggregates over (text, source, lang), never by collecting a group. Copies with the same smallest doc_id
+    (or all without one, which come last) are told apart by source, then language, nulls last; texts of any length count whole; an
+    empty table gives no totals."""
     rollup.commit("0-insert", inserts(counts))
     by_text = counts.groupBy("text_hash", *KEYS).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.first("n_tokens").alias("n_tokens"))
-    order = F.struct(F.col("least").isNull(), "least", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    order = F.struct(F.col("least").isNull(), "least", F.col("source").isNull(), "source", F.col("lang").isNull(), "lang")
     kept = by_text.groupBy("text_hash").agg(F.min_by(F.struct(*KEYS, "n_tokens"), order).alias("kept")).select("kept.*")
-    copies = by_text.select(F.col("n").cast("int").alias("n"), *KEYS, "n_tokens")
+    copies = by_text.select(F.col("n"), *KEYS, "n_tokens")
     gone = copies.select((-F.col("n")).alias("sign"), *KEYS, "n_tokens").unionByName(inserts(kept))
     rollup.commit("1-copies", gone)
     rollup.commit("2-end-token", revisions(kept, kept.withColumn("n_tokens", F.col("n_tokens") + 1)))

@@ -17,10 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.llm.common import written
+from routelake.llm.common import Cache, worker_state, written
 
 SEGMENT_TOKENS = 65_536  # a segment ends with the document that reaches this; a longer document is a segment of its own
-CACHE = 1_000_000        # space-separated pieces that a worker remembers (about 200 MB); then it starts anew
 CACHED_CHARS = 64
 
 SEGMENT = ("shard int, seq int, first long, n_tokens long, doc_ids array<bigint>, starts array<bigint>, "
@@ -68,26 +67,23 @@ class Segment:
         return out
 
 
-_tokenizers: dict = {}
-
-
 class PieceEncoder:
     """Encodes texts with a file of the tokenizers library, whose pre-tokenizer begins a token at every space before a
     non-space: texts without other white space around spaces are encoded by their space-separated pieces, each distinct one once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if special_as_text else added  # a text with one of them is encoded whole
+        self.known = Cache()
 
     @classmethod
-    def load(cls, path: str) -> PieceEncoder:
-        if path not in _tokenizers:
-            _tokenizers[path] = cls(path)
-        return _tokenizers[path]
+    def load(cls, path: str, special_as_text: bool) -> PieceEncoder:
+        return worker_state(("token_store", path, special_as_text), lambda: cls(path, special_as_text))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -95,17 +91,21 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
+        special = [any(s in t for s in self.special) for t in texts]
+        split = [[""] if s else pieces for s, pieces in zip(special, split)]
+        if self.known.room < 0:
+            self.known = Cache()
         new: set[str] = set()
         for pieces in split:
             new.update(set(pieces[1:]).difference(self.known))
         odd = {p for p in new if not p or p[0].isspace() or p[0] == "᠎"}
         new -= odd
         fresh = dict(zip(new, self._ids([" " + p for p in new])))
-        self.known.update((p, x) for p, x in fresh.items() if len(p) <= CACHED_CHARS)
+        short = {p: x for p, x in fresh.items() if len(p) <= CACHED_CHARS}
+        self.known.update(short)
+        self.known.room -= sum(map(len, short)) + sum(map(len, short.values())) + 160 * len(short)  # started anew before the next texts
         long = {p: x for p, x in fresh.items() if len(p) > CACHED_CHARS}
-        whole = [bool(odd) and not odd.isdisjoint(pieces[1:]) for pieces in split]
+        whole = [s or bool(odd) and not odd.isdisjoint(pieces[1:]) for s, pieces in zip(special, split)]
         first = iter(self._ids([t if w else pieces[0] for t, pieces, w in zip(texts, split, whole)]))
         out = []
         for pieces, w in zip(split, whole):
@@ -118,9 +118,9 @@ class PieceEncoder:
         return out
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = PieceEncoder.load(path), TaskContext.get().partitionId()
+        encoder, shard = PieceEncoder.load(path, special_as_text), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         first = seq = size = 0
         doc_ids, parts = [], []
@@ -154,17 +154,19 @@ _ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int
                     ("starts", pa.list_(pa.int64())), ("chunks", pa.list_(pa.binary())), ("more", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, end_id: int, special_as_text: bool = False) -> DataFrame:
     """Encodes ``docs(doc_id, text)``, appends ``end_id`` to each, and writes the segments in ascending doc_id order into the
     shared folder; returns the files as a table. Only the documents are shuffled, once, by ranges of doc_id (and of the
     text's hash, so that rows which repeat a doc_id can be split).
 
-    Defined cases: a null text is empty and has the end id only; a null doc_id comes first; rows that repeat a doc_id
-    follow one another in the order of their texts' hashes; other columns are ignored."""
+    The strings of the file's special tokens in a text become these tokens, as the tokenizers library does by default;
+    with ``special_as_text`` they are ordinary text. Defined cases: a null text is empty and has the end id only; a null doc_id comes first; rows that repeat a doc_id
+    follow one another in the order of their texts' hashes; an empty table gives no file rows; a text longer than a segment is a
+    segment of its own; other columns are ignored."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.withColumn("h", F.xxhash64("text"))
     ordered = src.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    return written(ordered.mapInArrow(_encode(path, end_id), SEGMENT), "tokens")
+    return written(ordered.mapInArrow(_encode(path, end_id, special_as_text), SEGMENT), "tokens")
 
 
 def read_tokens(files: DataFrame, fn, schema: str) -> DataFrame:

@@ -72,17 +72,40 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_every_pair_within_the_distance_shares_a_key():
+@pytest.mark.parametrize("percent", [95, 85, 80, 75])
+def test_every_pair_within_the_distance_shares_a_key(percent):
     rng = np.random.RandomState(1)
+    distance, chunks = near_dup.plan(percent)
     for _ in range(200):
         a = rng.randint(0, 65536, near_dup.SYMBOLS).astype(np.uint16)
         b = a.copy()
-        for i in rng.choice(near_dup.SYMBOLS, near_dup.MAX_ERRORS, replace=False):
+        for i in rng.choice(near_dup.SYMBOLS, distance, replace=False):
             b[i] ^= 1 + rng.randint(0, 65535)
-        ka, kb = near_dup._index_keys(np.stack([a, b]))
+        ka, kb = near_dup._index_keys(np.stack([a, b]), chunks)
         assert (ka == kb).any()
 
 
+def test_the_distance_follows_the_similarity():
+    assert near_dup.plan(85) == (17, 9) and near_dup.plan(80)[0] > 17 > near_dup.plan(90)[0]
+    with pytest.raises(ValueError):
+        near_dup.plan(40)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_planted_pairs_at_the_very_threshold_are_linked(spark, percent):
+    """Pairs of two sets of n shingles that share just enough of them: words are changed at the end."""
+    rows, n, union = [], 0, 400
+    shared = union * percent // 100
+    for p in range(300):
+        size = (union + shared) // 2  # shingles of each: union = 2 * size - shared
+        base = [f"p{p}w{i}" for i in range(size + 4)]
+        other = base[:shared + 4] + [f"q{p}w{i}" for i in range(size - shared)]
+        rows += [(n, " ".join(base)), (n + 1, " ".join(other))]
+        n += 2
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent).collect()
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
+
+
 def test_sets_follow_byte_rules():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a b")) == 1 and len(shingle_set(" \x0b")) == 0
     assert shingle_set("É A").tolist() == shingle_set("É a").tolist() != shingle_set("é a").tolist()

@@ -46,14 +46,13 @@ def test_rank_queue_on_random_bytes(tik):
     for _ in range(300):
         t = "".join(rnd.choice("aabtheing \n.0é") for _ in range(rnd.randint(0, 200)))
         assert np.frombuffer(coder.encode(t), "<u4").tolist() == tik.encode_ordinary(t)
-    assert not coder.top and not coder.buckets
+    assert not coder.buckets and not any(coder.low) and not any(coder.mid)
 
 
 def test_token_store_round_trip(spark, odd):
     files = token_store.write_tokens(odd, queries.BPE_JSON, end_id=2)
     got = token_store.read_tokens(files, lambda d, s, x: {"doc_id": d, "start": s, "ids": x.tolist()}, "doc_id long, start long, ids array<long>").collect()
     t = Tokenizer.from_file(queries.BPE_JSON)
-    t.encode_special_tokens = True
     want = collections.Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x in ODD)
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in got) == want
     at = 0
@@ -65,6 +64,18 @@ def test_token_store_round_trip(spark, odd):
     assert token_store.read_tokens(token_store.write_tokens(odd.where("false"), queries.BPE_JSON, 2), lambda *a: {}, "doc_id long").collect() == []
 
 
+def test_special_tokens_as_the_library_takes_them(spark):
+    docs = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "a<|endoftext|>b c"), (3, "x y")], "doc_id long, text string")
+
+    def ids(**options):
+        files = token_store.write_tokens(docs, queries.BPE_JSON, 2, **options)
+        return {r.doc_id: r.ids for r in token_store.read_tokens(files, lambda d, s, x: {"doc_id": d, "ids": x.tolist()}, "doc_id long, ids array<long>").collect()}
+
+    plain = ids()
+    assert plain[1] == [87, 220, 50256, 331, 2] and 50256 in plain[2] and plain[3] == [87, 331, 2]
+    assert all(50256 not in x for x in ids(special_as_text=True).values())
+
+
 def test_any_token_is_addressable():
     rng = np.random.RandomState(0)
     for ids in (rng.randint(0, 50000, 1000), rng.randint(0, 200, 65), np.array([2]), np.array([0, 2**32 - 1, 255, 256, 65536] * 77), np.empty(0, int)):
@@ -124,6 +135,39 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(logs[0], [math.log(total("▁" + w)) for w in words])
 
 
+def test_long_runs_are_summed_whole():
+    """Words beyond the scaled numbers' range: the same sums in logarithms, over window borders, with the same expected counts."""
+    pieces = ["▁a", "▁", "a", "b", "ab", "ba", "aba", "▁ab", "abbabababbabab"]
+    table = language.PieceTable(pieces)
+    probs = language._probabilities(np.array([[1.0, 2, 3, 1, 4, 1, 2, 5, 2], [2.0, 1, 1, 5, 1, 2, 9, 1, 1]]))
+    rnd = random.Random(3)
+    for n in (1, 5, 39, 41):
+        w = "".join(rnd.choice("abx") for _ in range(n))
+        _, logs = language.forward(*table.lattice([w]), probs)
+        assert np.allclose(language.long_forward(table, w, probs), logs[:, 0])
+    w = "".join(rnd.choice("ab") for _ in range(9000))
+    alpha = [0.0] + [-math.inf] * 9001
+    s = "▁" + w
+    p = dict(zip(pieces, np.log(probs[0])))
+    for t in range(1, 9002):
+        ways = [alpha[t - k] + p.get(s[t - k:t], math.log(language.UNKNOWN) if k == 1 else -math.inf) for k in range(1, min(14, t) + 1)]
+        top = max(ways)
+        alpha[t] = top + math.log(sum(math.exp(x - top) for x in ways))
+    assert language.long_forward(table, w, probs)[0] == pytest.approx(alpha[-1], rel=1e-9)
+    words, counts = ["abbaab", "xab", "babbababbabababb"], np.array([2.0, 1.0, 3.0])
+    want = language.fit(table, words, counts)
+    soft = np.zeros((1, table.n))
+    for w, c in zip(words, counts):
+        language._long_soft(table, w, language._probabilities(np.full((1, table.n), 1.0)), c, soft[0])
+    assert np.allclose(soft, language.fit(table, words, counts, rounds=1)) and want.shape == soft.shape
+
+
+def test_pieces_of_any_length_and_letters_only():
+    assert max(map(len, language.vocabulary(queries.PIECES))) > 12
+    assert language.words_of("½ ² ① Ⅷ 12_") == [] and language.words_of("aⅧb Été½x") == ["a", "b", "été", "x"]
+    assert language.words_of("y" * 5000) == ["y" * 5000]
+
+
 def test_language_id(spark, odd):
     rnd = random.Random(4)
     words = {"en": "the of and house water stone".split(), "de": "der und nicht haus wasser stein".split(), "fr": "le et une maison eau pierre".split()}
