@@ -10,7 +10,6 @@ recomputes from the last written round, not from the first call.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -30,11 +29,11 @@ def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str =
     ``success = False``.
 
     ``partitions`` sets the parallelism of the calls (the reference's
-    thread-pool size).  By default an input of fewer partitions than
+    thread-pool size).  By default an input that is planned with fewer tasks than
     ``spark.sql.shuffle.partitions`` is spread round-robin first (deterministic
     on retry: Spark sorts before a round-robin repartition), so expensive
-    calls never pile up in the few tasks of a small input; a wider one keeps its
-    tasks and is not shuffled.  ``0`` keeps the input partitioning."""
+    calls don't pile up in the few tasks of a small input; any other one, shuffled or
+    not, keeps its tasks and is not shuffled again.  ``0`` keeps the input partitioning."""
     cols = [input_col] if isinstance(input_col, str) else list(input_col)
     schema = StructType(df.schema.fields + [StructField(output_col, StringType()),
                                             StructField("success", BooleanType())])
@@ -59,13 +58,7 @@ def fan_out(df: DataFrame, fn: Callable[..., str], input_col, output_col: str =
 def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
     if partitions == 0:
         return df
-    if partitions:
-        return df.repartition(partitions)
-    # Counting the partitions of a shuffled input would run its shuffles; it has at most
-    # spark.sql.shuffle.partitions of them (AQE may have merged small ones), so spreading never lowers their number.
-    if re.search(r"\bExchange\b", df._jdf.queryExecution().executedPlan().toString()):
-        return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return spread_if_narrow(df)
+    return df.repartition(partitions) if partitions else spread_if_narrow(df)
 
 
 def batch_infer(df: DataFrame, fn: Callable[[list], list], input_col: str, output_col: str = "output",

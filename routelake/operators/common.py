@@ -51,15 +51,33 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return c
 
 
+def planned_tasks(df: DataFrame) -> int:
+    """Tasks of the last stage of ``df``'s plan, without running any of its shuffles: an exchange's own number of partitions, a scan's
+    splits, a join's widest side that is not broadcast, the sum over a union. Nodes are told apart by their class."""
+    def tasks(node) -> int:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return tasks(node.initialPlan())
+        if kind == "BroadcastExchangeExec":
+            return 0
+        children = node.children()
+        below = [children.apply(i) for i in range(children.size())]
+        if kind == "ShuffleExchangeExec" or kind == "CoalesceExec":
+            return node.outputPartitioning().numPartitions()
+        if not below:
+            return node.execute().getNumPartitions()  # a scan: its splits
+        counts = [tasks(n) for n in below]
+        return sum(counts) if kind == "UnionExec" else max(counts)
+
+    return tasks(df._jdf.queryExecution().executedPlan())
+
+
 def spread_if_narrow(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a narrow input (fewer partitions than the configured
-    parallelism, e.g. one large row group) round-robin, so the row-local
-    work after the scan runs in parallel.  Inputs that are already wide
-    (the usual case on a cluster) are left untouched: no extra shuffle."""
+    """Spread a narrow input (fewer planned tasks than the configured parallelism, e.g. one large row group) round-robin, so
+    the row-local work after it runs in parallel. An input of as many tasks or more, from scans or from shuffles, is
+    left as it is: no extra shuffle, and never fewer tasks than it had."""
     n = min_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartition(n)
+    return df if planned_tasks(df) >= n else df.repartition(n)
 
 
 def small_rows(df: DataFrame, max_rows: int):

@@ -88,3 +88,24 @@ def test_shuffle_positions_are_a_permutation(spark):
     assert a == [r.id for r in seeded_shuffle(df, 7, "id").collect()]
     assert sorted(a) == list(range(500)) and a != sorted(a)
     assert a != [r.id for r in seeded_shuffle(df, 8, "id").collect()]
+
+
+def test_fan_out_keeps_the_tasks_of_a_scan_joined_to_a_small_aggregate(spark):
+    """An exchange below a broadcast, or one with more partitions than the session's, is no reason to shuffle the prompts."""
+    wide = spark.range(6400, numPartitions=64).select("id", (F.col("id") % 7).alias("k"), F.lit("a").alias("x"))
+    small = wide.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    joined = wide.join(F.broadcast(small), "k")
+    assert B.fan_out(joined, str.upper, "x").rdd.getNumPartitions() == 64
+    assert B.fan_out(wide.repartition(32), str.upper, "x").rdd.getNumPartitions() == 32
+    assert B.batch_infer(wide.repartition(32).union(wide), lambda p: p, "x").rdd.getNumPartitions() == 96
+    assert B.fan_out(wide.coalesce(1), str.upper, "x").rdd.getNumPartitions() == 4
+
+
+def test_planned_tasks_runs_no_shuffle(spark):
+    from routelake.operators.common import planned_tasks
+
+    def never(batches):
+        raise RuntimeError("ran")
+
+    df = spark.range(10, numPartitions=3).mapInPandas(never, "id long").groupBy("id").count()
+    assert planned_tasks(df) == 4
