@@ -89,7 +89,8 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str,
 
     Returns ``(key..., qid, iid, sim, extra..., rank)``; ties break on the
     smaller item id; a zero vector has similarity 0; vectors that are NULL or
-    hold NULL or NaN take no part on either side.  ``key`` restricts
+    hold NULL or NaN take no part on either side.  Beyond one block of items the search skips cells by
+    distance bounds (``knn_join``), with the same result.  ``key`` restricts
     neighbours to items with the same key value (equi join on the key).
     Item ids are unique within a key.
     """
@@ -105,6 +106,11 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str,
                                   F.col(ivec).cast("array<double>").alias("ivec")).where(_usable("ivec")))
     n_q, n_i = q.count(), it.count()
     B = max(1, math.ceil(n_i / block_rows))
+    if B > 1:  # more items than one block: cells that a query can't need are skipped
+        from routelake.operators.knn_join import knn_join
+        top = knn_join(q, it, k, "qid", "qvec", "iid", "ivec", key_cols, exclude_self, tile_rows=tile_rows, block_rows=block_rows)
+        if top is not None:
+            return _with_extras(top, items, key_cols, iid, extra_cols)
     T = max(math.ceil(n_q / tile_rows), math.ceil(queries.sparkSession.sparkContext.defaultParallelism / B))
     q = (q.withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(T)))
           .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
@@ -123,10 +129,15 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str,
         part = part.where(F.col("qid") != F.col("iid"))
     w = Window.partitionBy(*key_cols, "qid").orderBy(F.col("sim").desc(), F.col("iid"))
     top = part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    if extra_cols:  # joined to the winners: texts never travel through the search
-        top = top.join(items.select(*key_cols, F.col(iid).alias("iid"), *extra_cols), [*key_cols, "iid"])
-        top = top.select(*key_cols, "qid", "iid", "sim", *extra_cols, "rank")
-    return top
+    return _with_extras(top, items, key_cols, iid, extra_cols)
+
+
+def _with_extras(top: DataFrame, items: DataFrame, key_cols, iid: str, extra_cols) -> DataFrame:
+    """The items' ``extra_cols``, joined to the winners: texts never travel through the search."""
+    if not extra_cols:
+        return top
+    top = top.join(items.select(*key_cols, F.col(iid).alias("iid"), *extra_cols), [*key_cols, "iid"])
+    return top.select(*key_cols, "qid", "iid", "sim", *extra_cols, "rank")
 
 
 def elementwise_mean(df: DataFrame, by, vec: str, name: str = "centroid", digits: int | None = None) -> DataFrame:

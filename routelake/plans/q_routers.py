@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from routelake.operators import labels as L
 from routelake.operators import routers as RT
 from routelake.operators.common import r6, small_rows
+from routelake.operators.knn_join import knn_join
 from routelake.operators.vectors import knn_topk
 from routelake.plans import fixtures as fx
 from routelake.plans.fixtures_sql import R6, with_
@@ -68,6 +69,15 @@ def r1_knn_neighbours(spark, sf_dir):
     return nb.select(F.col("qid").alias("query_id"), F.col("iid").alias("neighbour_id"), r6("sim").alias("sim"), "rank")
 
 
+@register("r1_knn_join", with_("fvec", extra={k: _VEC[k] for k in ("te", "tr", "s", "nb")}) + f"""
+SELECT qid AS query_id, nid AS neighbour_id, {R6('sim')} AS sim, CAST(rn AS INTEGER) AS rank FROM nb""")
+def r1_knn_join(spark, sf_dir):
+    """R1 by the join that skips cells: 32 pivots, blocks of 256 items, so that cells, blocks and both passes take part at any size."""
+    tr, te = vec_train(spark, sf_dir), vec_test(spark, sf_dir)
+    nb = knn_join(te, tr, 50, "query_id", "embedding", "query_id", "embedding", pivots=32, block_rows=256)
+    return nb.select(F.col("qid").alias("query_id"), F.col("iid").alias("neighbour_id"), r6("sim").alias("sim"), "rank")
+
+
 @register("r1_knn_router", with_("fvec", extra=_VEC) + f"""
 SELECT qid AS query_id, predicted, {R6('predicted_score')} AS predicted_score FROM pred""")
 def r1_knn_router(spark, sf_dir):
