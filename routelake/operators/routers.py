@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.functions.numeric import cosine
+from routelake.functions.numeric import cosine, dot
 from routelake.operators.common import join_dim
-from routelake.operators.vectors import elementwise_mean, knn_topk
+from routelake.operators.moments import Components, linear_weights, moments, project
+from routelake.operators.vectors import _usable, elementwise_mean, knn_topk
 
 
 def route_models(train_candidates: DataFrame, name: str = "candidate_name") -> DataFrame:
@@ -144,24 +145,21 @@ def centroid_router(train: DataFrame, test: DataFrame, candidates: DataFrame, qi
     return pick_best(s.where(F.col("score").isNotNull()), qid)
 
 
-def linear_router(train: DataFrame, test: DataFrame, candidates: DataFrame, models, qid: str = "query_id",
-                  vec: str = "embedding", label: str = "ground_truth", max_iter: int = 20) -> DataFrame:
-    """R2 (re-aimed): one ``LinearRegression`` per model on 0/1 "is best"
-    targets; the highest prediction among available candidates wins.
-    ``models`` is a (small) Python list of model names to train."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-    tr = train.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"), F.col(label))
-    te = test.select(qid, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    outs = []
-    for m in models:
-        lr = LinearRegression(maxIter=max_iter, regParam=0.01, labelCol="y", featuresCol="features")
-        fit = lr.fit(tr.withColumn("y", (F.col(label) == m).cast("double")))
-        outs.append(fit.transform(te).select(qid, F.lit(m).alias("model"), F.col("prediction").alias("score")))
-    scores = outs[0]
-    for o in outs[1:]:
-        scores = scores.unionByName(o)
-    return pick_best(restrict_to_available(scores, candidates, qid), qid)
+def linear_router(train: DataFrame, test: DataFrame, candidates: DataFrame, models=None, qid: str = "query_id",
+                  vec: str = "embedding", label: str = "ground_truth", ridge: float = 0.01) -> DataFrame:
+    """R2: a ridge regression per model on 0/1 "is best" targets; the highest prediction among a query's
+    available candidates wins.  One scan of ``train`` sums the normal equations of all models at once and one
+    solve gives their weights (``moments``); the weight table has one row per model.  ``models``: the models to
+    train (default: every label of ``train``); a vector of another length than the weights' has no prediction."""
+    m = moments(train, vec, label)
+    fitted = linear_weights(m, sorted(m.labels) if models is None else models, ridge) if m else {}
+    spark = train.sparkSession
+    weights = spark.createDataFrame([(k, w.tolist()) for k, w in fitted.items()], "model string, weights array<double>")
+    x = join_dim(candidates.select(qid, F.col("candidate_name").alias("model")), weights, "model")
+    x = x.join(test.select(qid, F.col(vec).cast("array<double>").alias("__x")), qid)
+    bias, w = F.element_at("weights", 1), F.slice("weights", 2, F.size("weights"))
+    score = F.when(_usable("__x") & (F.size("__x") == F.size(w)), bias + dot("__x", w))
+    return pick_best(x.select(qid, "model", score.alias("score")).where(F.col("score").isNotNull()), qid)
 
 
 def mlp_router(train: DataFrame, test: DataFrame, candidates: DataFrame, models, qid: str = "query_id",
@@ -187,9 +185,25 @@ def mlp_router(train: DataFrame, test: DataFrame, candidates: DataFrame, models,
 
 
 def pca_reduce(df: DataFrame, vec: str = "embedding", k: int = 50, out: str = "reduced") -> DataFrame:
-    """Project vectors onto the top-``k`` principal components."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    x = df.withColumn("__f", array_to_vector(F.col(vec).cast("array<double>")))
-    model = PCA(k=k, inputCol="__f", outputCol="__r").fit(x)
-    return model.transform(x).withColumn(out, vector_to_array("__r")).drop("__f", "__r")
+    """Centred vectors projected onto the top-``k`` principal components (all, if fewer).  The covariance comes from
+    one scan of mergeable moments; signs follow a fixed rule (``moments.Components``)."""
+    m = moments(df, vec)
+    if m is None:
+        return df.withColumn(out, F.lit(None).cast("array<double>"))
+    return project(df, vec, Components(m, k), out)
+
+
+def pca_report(df: DataFrame, vec: str = "embedding", k: int = 50) -> DataFrame:
+    """R6 quality, one row: vectors, total_variance, kept_variance of the top-``k`` components, and mean_sq_error of
+    rebuilding the vectors from them (measured on the vectors, times n / (n - 1): total minus kept)."""
+    m = moments(df, vec)
+    if m is None:
+        return df.sparkSession.createDataFrame([], "vectors long, total_variance double, kept_variance double, mean_sq_error double")
+    c = Components(m, k)
+    mean = F.array(*[F.lit(float(x)) for x in c.mean])
+    centred = F.zip_with(F.col(vec).cast("array<double>"), mean, lambda a, b: a - b)
+    square = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
+    x = project(df, vec, c, "__r").where(F.col("__r").isNotNull())
+    n = F.greatest(F.count(F.lit(1)) - 1, F.lit(1))
+    return x.agg(F.count(F.lit(1)).alias("vectors"), (F.sum(square(centred)) / n).alias("total_variance"), (F.sum(square(F.col("__r"))) / n).alias("kept_variance"),
+                 (F.sum(square(centred) - square(F.col("__r"))) / n).alias("mean_sq_error"))

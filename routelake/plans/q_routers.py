@@ -149,10 +149,33 @@ def _models(spark, sf_dir):
     return [r["model"] for r in small_rows(RT.route_models(vec_candidates(vec_test(spark, sf_dir))).orderBy("model"), 10_000)]
 
 
-@register("r2_linear_router")
+#: The normal equations of all models, solved by Gauss-Jordan steps over the rows of (X'X + ridge | X'Y).
+_R2 = {
+    **{k: _VEC[k] for k in ("te", "tr")},
+    "xs": "SELECT list_concat([1.0::DOUBLE], embedding) AS x, model FROM tr",
+    "dims": "SELECT max(len(x)) AS d, count(*) AS n FROM xs",
+    "names": "SELECT model, row_number() OVER (ORDER BY model) AS p FROM (SELECT DISTINCT model FROM tr) t",
+    "xi": "SELECT rowid AS r, model, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM (SELECT *, row_number() OVER () AS rowid FROM xs) t",
+    "cells": """SELECT a.i, b.i AS j, sum(a.v * b.v) + CASE WHEN a.i = b.i AND a.i > 1 THEN 0.01 * (SELECT n FROM dims) ELSE 0 END AS v
+                FROM xi a JOIN xi b ON a.r = b.r GROUP BY a.i, b.i
+                UNION ALL SELECT i, (SELECT d FROM dims) + p, coalesce(sum(v) FILTER (WHERE xi.model = names.model), 0.0) FROM xi, names GROUP BY i, p""",
+    "mat": "SELECT list(w ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS w FROM cells GROUP BY i) t",
+    "step": """SELECT 0 AS k, m FROM mat UNION ALL
+               SELECT k + 1, list_transform(m, lambda w, i: CASE WHEN i = k + 1 THEN list_transform(w, lambda z: z / w[k + 1])
+                 ELSE list_transform(w, lambda z, j: z - w[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+               FROM step WHERE k < (SELECT d FROM dims)""",
+    "weights": """SELECT model, list_transform(m, lambda w: w[d + p]) AS w FROM (SELECT arg_max(m, k) AS m FROM step) t, names, dims""",
+    "sc": """SELECT te.qid, w.model, list_dot_product(list_concat([1.0::DOUBLE], te.embedding), w.w) AS score FROM te, weights w
+             WHERE w.model IN (SELECT 'model_' || CAST(i AS VARCHAR) FROM range(0, 10) t(i))""",
+}
+
+
+@register("r2_linear_router", with_("fvec", extra=_R2).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT qid AS query_id, model AS predicted, {R6('score')} AS predicted_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, model) AS rn FROM sc) t WHERE rn = 1""")
 def r2_linear_router(spark, sf_dir):
     tr, te = vec_train(spark, sf_dir), vec_test(spark, sf_dir)
-    return RT.linear_router(tr, te, vec_candidates(te), _models(spark, sf_dir))
+    return RT.linear_router(tr, te, vec_candidates(te)).select("query_id", "predicted", r6("predicted_score").alias("predicted_score"))
 
 
 @register("r3_mlp_router")
@@ -163,9 +186,30 @@ def r3_mlp_router(spark, sf_dir):
 
 @register("r6_pca_reduce")
 def r6_pca_reduce(spark, sf_dir):
-    v = fx.f_vec(spark, sf_dir)
-    out = RT.pca_reduce(v, "embedding", k=8)
-    return out.select("vec_id", F.size("reduced").alias("dims"))
+    """The vectors in 8 principal components (tests hold them against a dense decomposition)."""
+    out = RT.pca_reduce(fx.f_vec(spark, sf_dir), "embedding", k=8)
+    return out.select("vec_id", F.transform("reduced", r6).alias("reduced"))
+
+
+_R6_VARIANCE = {"p": "SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM fvec"}
+
+
+@register("r6_pca_report", with_("fvec", extra=_R6_VARIANCE) + f"""
+SELECT (SELECT count(*) FROM fvec) AS vectors, {R6('sum(s)')} AS total_variance, {R6('sum(s)')} AS kept_variance, 0.0::DOUBLE AS mean_sq_error
+FROM (SELECT i, var_samp(v) AS s FROM p GROUP BY i) t""")
+def r6_pca_report(spark, sf_dir):
+    """All components: they keep the whole variance and rebuild the vectors without error."""
+    rep = RT.pca_report(fx.f_vec(spark, sf_dir), "embedding", k=10_000)
+    return rep.select("vectors", r6("total_variance").alias("total_variance"), r6("kept_variance").alias("kept_variance"), F.abs(r6("mean_sq_error")).alias("mean_sq_error"))
+
+
+@register("r6_pca_norms", with_("fvec", extra={**_R6_VARIANCE, "m": "SELECT i, avg(v) AS m FROM p GROUP BY i"}) + f"""
+SELECT vec_id, {R6('sum((x - m) * (x - m))')} AS sq_norm
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM fvec) f JOIN m ON f.i = m.i GROUP BY vec_id""")
+def r6_pca_norms(spark, sf_dir):
+    """In all components a vector keeps its distance to the mean."""
+    out = RT.pca_reduce(fx.f_vec(spark, sf_dir), "embedding", k=10_000)
+    return out.select("vec_id", r6(F.aggregate("reduced", F.lit(0.0), lambda acc, v: acc + v * v)).alias("sq_norm"))
 
 
 @register("r4_pair_dataset", with_("flog", extra={"r": """
