@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelake.functions.numeric import nan_null_to_zero, sigmoid
-from routelake.operators.common import join_dim
-from routelake.operators.vectors import elementwise_mean
+from routelake.operators.common import broadcast_if_small, join_dim
+from routelake.operators.vectors import elementwise_mean, elementwise_sum
+from routelake.session import cut_lineage
+
+HOT_ROWS = 100_000  # edges that one copy of a node's vector serves
 
 
 def edge_list(log: DataFrame, reward: str = "reward", qid: str = "query_id", llm_idx: str = "llm_idx",
@@ -39,12 +42,41 @@ def degree_norm(edges: DataFrame) -> DataFrame:
     def inverse(side: str) -> DataFrame:
         return edges.groupBy(side).agg(F.pow(F.count(F.lit(1)).cast("double"), -0.5).alias(f"inv_{side}"))
 
-    from routelake.operators.common import broadcast_if_small
     # dst is a model: few and hot, so its degrees are broadcast once proven small
     e = edges.join(inverse("src"), "src").join(broadcast_if_small(inverse("dst")), "dst")
     return e.withColumn("norm", F.col("inv_src") * F.col("inv_dst")).drop("inv_src", "inv_dst")
 
 
+def message_rounds(edges: DataFrame, nodes: DataFrame, rounds: int = 2, keep: float = 0.5, src: str = "src", dst: str = "dst",
+                   node: str = "node", vec: str = "vec", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """H4: rounds of neighbour aggregation over the (visible) ``edges``, in both directions, weighted by H2's symmetric
+    degree normalisation: ``x'[v] = keep * x[v] + (1 - keep) * sum over neighbours u of norm(u, v) * x[u]``.  Returns
+    ``nodes(node, vec)`` after the last round, each round being written once (reliable checkpoint).
+
+    A model node is the neighbour of a large share of all queries.  As a sender its vector is copied once per
+    ``hot_rows`` of its edges, which are dealt over the copies, so no join key holds more; as a receiver its sum is
+    a partial aggregate per position.  Nodes without edges keep ``keep`` of their vector; edges of unknown nodes send and
+    reach nothing; a NULL vector counts as unknown; repeated edges count once each."""
+    norm = degree_norm(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")))
+    both = norm.select(F.explode(F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v"), "norm"),
+                                         F.struct(F.col("dst").alias("u"), F.col("src").alias("v"), "norm"))).alias("e")).select("e.*")
+    sends = both.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(hot_rows)).cast("int").alias("copies"))
+    x = nodes.select(F.col(node).alias("node"), F.col(vec).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    hot = cut_lineage(sends.where("copies > 1"))  # few: at most edges / hot_rows
+    dealt = (both.join(broadcast_if_small(hot), "u", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+             .withColumn("copy", F.pmod(F.xxhash64("v"), F.col("copies")).cast("int")).select("u", "v", "norm", "copy"))
+    dealt, x = cut_lineage(dealt), cut_lineage(x)
+    for _ in range(rounds):
+        copied = (x.join(broadcast_if_small(hot.withColumnRenamed("u", "node")), "node", "left")
+                  .withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).select(F.col("node").alias("u"), "copy", "vec"))
+        sent = dealt.join(copied, ["u", "copy"]).select(F.col("v").alias("node"), F.transform("vec", lambda a: a * F.col("norm")).alias("vec"))
+        got = elementwise_sum(sent, "node", "vec", "got")
+        mine, heard = F.transform("vec", lambda a: a * F.lit(keep)), F.transform("got", lambda a: a * F.lit(1.0 - keep))
+        x = cut_lineage(x.join(got, "node", "left").select("node", F.when(F.col("got").isNull(), mine)
+                                                           .otherwise(F.zip_with(mine, heard, lambda a, b: a + b)).alias("vec")))
+    return x
+
+
 def edge_masks(edges: DataFrame, split_col: str, rate: float, draw) -> DataFrame:
     """H3: train / validate / test flags from a split label (M7), and the
     visible training edges after hiding a share ``rate`` of them (M9);

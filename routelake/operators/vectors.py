@@ -156,3 +156,10 @@ def elementwise_mean(df: DataFrame, by, vec: str, name: str = "centroid", digits
     g = g.select(*by, F.struct(F.col("__pos"), m.alias("v")).alias("__e"))
     return g.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("__e")), lambda e: e["v"]).alias(name))
 
+
+def elementwise_sum(df: DataFrame, by, vec: str, name: str) -> DataFrame:
+    """Element-wise sum vector per group, as ``elementwise_mean``: partial sums per (group, position) before the shuffle."""
+    by = [by] if isinstance(by, str) else list(by)
+    g = df.select(*by, F.posexplode(vec).alias("__pos", "__v")).groupBy(*by, "__pos").agg(F.sum("__v").alias("__s"))
+    g = g.select(*by, F.struct(F.col("__pos"), F.col("__s").alias("v")).alias("__e"))
+    return g.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("__e")), lambda e: e["v"]).alias(name))

@@ -99,6 +99,57 @@ def h4_model_profiles(spark, sf_dir):
                     r6(F.aggregate("model_vec", F.lit(0.0), lambda a, x: a + x)).alias("vec_sum"))
 
 
+def _round_nodes(spark, sf_dir):
+    """Query nodes carry their vectors; the ten model nodes (ids -1 .. -10) those of the vectors 0 to 9, as their descriptions."""
+    v = fx.f_vec(spark, sf_dir)
+    models = v.where("vec_id < 10").select((-F.col("vec_id") - 1).alias("node"), F.col("embedding").alias("vec"))
+    return v.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec")).unionByName(models)
+
+
+def _two_rounds(spark, sf_dir):
+    e = _vec_edges(spark, sf_dir).where("visible and (reward > 0 or query_id % 3 = llm_idx % 3)")
+    e = e.select(F.col("query_id").alias("src"), (-F.col("llm_idx") - 1).alias("dst"))
+    return G.message_rounds(e, _round_nodes(spark, sf_dir), rounds=2, hot_rows=50)
+
+
+_ROUNDS_SQL = {
+    **_VEC_EDGES_SQL,
+    "ve": "SELECT query_id AS src, -llm_idx - 1 AS dst FROM e WHERE visible AND (reward > 0 OR query_id % 3 = llm_idx % 3)",
+    "en": """SELECT src, dst, 1.0 / sqrt(count(*) OVER (PARTITION BY src)::DOUBLE) / sqrt(count(*) OVER (PARTITION BY dst)::DOUBLE) AS norm FROM ve""",
+    "b": "SELECT src AS u, dst AS v, norm FROM en UNION ALL SELECT dst, src, norm FROM en",
+    "x0": """SELECT vec_id AS node, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM fvec
+             UNION ALL SELECT -vec_id - 1, unnest(embedding), unnest(range(len(embedding))) FROM fvec WHERE vec_id < 10""",
+    "r": """SELECT 0 AS k, node, pos, x FROM x0 UNION ALL
+            SELECT k + 1, node, pos, sum(x) FROM (
+              SELECT k, node, pos, 0.5 * x AS x FROM r WHERE k < 2
+              UNION ALL SELECT r.k, b.v, r.pos, 0.5 * b.norm * r.x FROM r JOIN b ON r.node = b.u WHERE r.k < 2) t GROUP BY k, node, pos""",
+}
+
+
+@register("h4_two_rounds", with_("fvec", extra=_ROUNDS_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT node, pos, {R6('x')} AS value FROM r WHERE k = 2""")
+def h4_two_rounds(spark, sf_dir):
+    """Two rounds of aggregation over the visible edges; hot models are dealt over copies (one per 50 edges)."""
+    x = _two_rounds(spark, sf_dir)
+    return x.select("node", F.posexplode("vec").alias("pos", "value")).select("node", F.col("pos").cast("bigint").alias("pos"), r6("value").alias("value"))
+
+
+@register("h5_two_round_routing", with_("fvec", extra={**_ROUNDS_SQL, "s": """
+SELECT te.vec_id AS query_id, -m.node - 1 AS llm_idx, 1.0 / (1.0 + exp(-avg(te.x * m.x))) AS s
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM fvec WHERE split = 'test') te
+JOIN r m ON m.k = 2 AND m.node < 0 AND m.pos = te.pos GROUP BY ALL"""}).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT query_id, llm AS predicted, {R6('s')} AS edge_score FROM (
+  SELECT *, 'model_' || CAST(llm_idx AS VARCHAR) AS llm, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, llm_idx) AS rn FROM s) t WHERE rn = 1""")
+def h5_two_round_routing(spark, sf_dir):
+    """H5 with the model vectors of two rounds: a query's own vector against each model's aggregated one."""
+    x = _two_rounds(spark, sf_dir).where("node < 0")
+    prof = x.select(F.concat(F.lit("model_"), (-F.col("node") - 1).cast("string")).alias("llm"), F.col("vec").alias("model_vec"))
+    qv = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    s = G.edge_scores(_vec_edges(spark, sf_dir).where(F.col("split") == "test"), qv, prof)
+    best = s.groupBy("query_id").agg(F.max_by(F.struct("llm", "edge_score"), F.struct(F.col("edge_score"), -F.col("llm_idx"))).alias("b"))
+    return best.select("query_id", F.col("b.llm").alias("predicted"), r6("b.edge_score").alias("edge_score"))
+
+
 @register("h5_edge_routing", with_("fvec", extra={**_VEC_EDGES_SQL, "sc": """
 SELECT e.query_id, e.llm, e.llm_idx, 1.0 / (1.0 + exp(-(list_sum(list_transform(list_zip(list_transform(e.embedding, lambda x: x::DOUBLE), pv.model_vec), lambda z: z[1] * z[2])) / len(e.embedding)))) AS s
 FROM e JOIN pv ON e.llm = pv.llm WHERE e.split = 'test'"""}) + f"""
