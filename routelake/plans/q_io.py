@@ -22,6 +22,7 @@ from routelake.plans.fixtures_sql import R6, with_
 from routelake.plans.registry import register
 from routelake.session import scratch_path
 from routelake.sources import io
+from routelake.sources.runs import RunStore
 from routelake.streaming import incremental as X
 
 
@@ -137,6 +138,33 @@ def s13_latest_per_key(spark, sf_dir):
     return io.latest_per_key(df, "user_id", order=("run_id", "event_id")).select("user_id", "event_id")
 
 
+def _run_store(spark, sf_dir) -> RunStore:
+    """Five runs (event_id mod 5) with a first try of each run that holds other rows, a run that died before its commit, a replay, and
+    compaction of all but the newest two."""
+    store = RunStore(spark, _scratch(spark, "run-store"))
+    ev = fx.f_evt(spark, sf_dir).select("event_id", "user_id", (~F.col("failed")).alias("success"))
+    of = lambda k: ev.where(F.col("event_id") % 5 == k)
+    for k in (0, 1, 2):
+        store.write_run(of(k).where("success").withColumn("user_id", -F.col("user_id")), k)  # first tries
+    store.stage(of(4).withColumn("run_id", F.lit(9).cast("long")))  # never committed
+    for k in (1, 0, 2, 3, 4, 3):  # run 3 twice: a replay
+        store.write_run(of(k), k)
+    store.compact(keep_newest=2)
+    return store
+
+
+@register("s12_committed_runs", """
+SELECT event_id, user_id, NOT (event_type = 'error') AS success, event_id % 5 AS run_id FROM events""")
+def s12_committed_runs(spark, sf_dir):
+    return _run_store(spark, sf_dir).read().select("event_id", "user_id", "success", "run_id")
+
+
+@register("s13_committed_latest", """
+SELECT event_id, user_id, NOT (event_type = 'error') AS success, event_id % 5 AS run_id FROM events WHERE event_id % 5 = 4""")
+def s13_committed_latest(spark, sf_dir):
+    return _run_store(spark, sf_dir).latest().select("event_id", "user_id", "success", "run_id")
+
+
 # ---------------------------------------------------------------- G7, J9, J10, T11
 @register("g7_failure_stats", with_("fevt") + f"""
 SELECT task_name, count(*) AS processed, count(*) FILTER (WHERE failed) AS failed,
