@@ -24,6 +24,7 @@ from routelake.session import scratch_path
 from routelake.sources import io
 from routelake.sources.runs import RunStore
 from routelake.streaming import incremental as X
+from routelake.streaming import stateful as ST
 
 
 def _scratch(spark, name):
@@ -313,3 +314,38 @@ def x2_streaming_window_counts(spark, sf_dir):
     out = X.read_running_counts(spark, sink)
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "task_name",
                       "processed", "failed")
+
+
+@register("x1_upserts", """
+SELECT doc_id, CAST(2 - doc_id % 2 AS INTEGER) AS attempt, CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS answer
+FROM documents WHERE doc_id % 7 <> 6
+UNION ALL SELECT doc_id, 0, 'first' FROM documents WHERE doc_id % 7 = 6""")
+def x1_upserts(spark, sf_dir):
+    """X1 with re-landed results: even documents are answered again (attempt 2, landed first), all but some get attempt 1, a first
+    guess (attempt 0) lands last and twice; what counts is the greatest attempt. Compaction after every second batch."""
+    land, sink, ck = _scratch(spark, "upsert-land"), _scratch(spark, "upserts"), _scratch(spark, "ckpt-upserts")
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    answers = lambda rows, n, a: rows.select("doc_id", F.lit(n).alias("attempt"), a.alias("answer"))
+    some = d.where("doc_id % 7 <> 6")
+    for landed in (answers(some.where("doc_id % 2 = 0"), 2, F.upper("lang")), answers(some, 1, F.col("lang")), answers(d, 0, F.lit("first")), answers(d, 0, F.lit("first"))):
+        landed.write.mode("append").json(land)
+        ST.upsert_stream(spark, land, "doc_id bigint, attempt int, answer string", sink, ck, lambda b: b, "doc_id", "attempt", compact_every=2).awaitTermination()
+    return ST.read_upserts(spark, sink, "doc_id", "attempt").select("doc_id", "attempt", "answer")
+
+
+@register("x2_final_windows", """
+WITH e AS (SELECT event_id, ts, event_type AS task_name, event_type = 'error' AS failed, date_trunc('day', ts) AS w, event_id % 10 = 0 AS straggler FROM events),
+m AS (SELECT max(ts) FILTER (WHERE NOT straggler) AS before, max(ts) AS now FROM e),
+k AS (SELECT e.*, CASE WHEN straggler AND w + INTERVAL 1 DAY <= before - INTERVAL 1 DAY THEN 'late' WHEN w + INTERVAL 1 DAY <= now - INTERVAL 1 DAY THEN 'final' ELSE 'open' END AS kind FROM e, m)
+SELECT kind, strftime(w, '%Y-%m-%d') AS window_start, task_name, count(*) AS processed, count(*) FILTER (WHERE failed) AS failed FROM k GROUP BY ALL""")
+def x2_final_windows(spark, sf_dir):
+    """X2 with a watermark that matters: the first half of the month lands, then the second, then a tenth of all events, late by then."""
+    land, sink, ck = _scratch(spark, "final-land"), _scratch(spark, "final-windows"), _scratch(spark, "ckpt-final")
+    ev = fx.table(spark, sf_dir, "events")
+    straggler, early = F.col("event_id") % 10 == 0, F.dayofmonth("ts") <= 15
+    for landed in (ev.where(~straggler & early), ev.where(~straggler & ~early), ev.where(straggler)):
+        landed.write.mode("append").parquet(land)
+        prep = lambda s: s.select("ts", F.col("event_type").alias("task_name"), (F.col("event_type") == "error").alias("failed"))
+        ST.final_windows(spark, land, _EVT_SCHEMA, sink, ck, prep).awaitTermination()
+    out = ST.read_windows(spark, sink)
+    return out.select("kind", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "task_name", "processed", "failed")

@@ -46,29 +46,39 @@ class RunStore:
         """Number of the newest published version; 0 for an empty store."""
         return max((int(n[:-5]) for n in self._names("commits") if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
-    def parts(self, version: int | None = None) -> list[dict]:
-        """Live parts ({"folder", "runs", "rows", ...}) of a version (default: the newest)."""
+    def state(self, version: int | None = None) -> dict:
+        """{"parts", "meta"} of a version (default: the newest)."""
         v = self.version() if version is None else version
         if v == 0:
-            return []
+            return {"parts": [], "meta": {}}
         stream = self._fs().open(self._hadoop("commits", f"{v:012d}.json"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)["parts"]
+        return json.loads(text)
+
+    def parts(self, version: int | None = None) -> list[dict]:
+        """Live parts ({"folder", "runs", "rows", ...}) of a version (default: the newest)."""
+        return self.state(version)["parts"]
+
+    def meta(self) -> dict:
+        """What writers noted with the newest version."""
+        return self.state()["meta"]
 
-    def publish(self, change: Callable[[list[dict]], list[dict] | None]) -> int:
-        """Publishes the next version with the parts ``change(parts)`` (None: nothing to do); starts again if another writer came first."""
+    def publish(self, change: Callable[[list[dict]], list[dict] | None], meta: dict | None = None) -> int:
+        """Publishes the next version with the parts ``change(parts)`` (None: nothing to do) and ``meta`` added to the notes; starts again
+        if another writer came first."""
         fs, jvm = self._fs(), self.spark._jvm
         for attempt in range(RETRIES):
             v = self.version()
-            parts = change(self.parts(v))
+            state = self.state(v)
+            parts = change(state["parts"])
             if parts is None:
                 return v
             draft = self._hadoop("commits", f".{uuid.uuid4().hex}.draft")
             out = fs.create(draft, False)
-            out.write(bytearray(json.dumps({"version": v + 1, "parts": parts}).encode()))
+            out.write(bytearray(json.dumps({"version": v + 1, "parts": parts, "meta": state["meta"] | (meta or {})}).encode()))
             out.close()
             none = jvm.org.apache.hadoop.fs.Options.Rename.NONE
             options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -93,28 +103,31 @@ class RunStore:
 
     def write_run(self, rows: DataFrame, run_id: int) -> int:
         """``rows`` become the whole of run ``run_id``, replacing what it held before. Returns the version."""
-        part = self.stage(rows.withColumn("run_id", F.lit(int(run_id)).cast("long"))) | {"runs": [int(run_id)], "mixed": False}
+        return self.write_runs({run_id: rows})
 
-        def change(parts):
-            out = []
-            for p in parts:
-                left = [r for r in p["runs"] if r != run_id]
-                if left:  # a compacted part stays for its other runs
-                    out.append(p | {"runs": left})
-            return [*out, part]
+    def write_runs(self, runs: dict[int, DataFrame], meta: dict | None = None) -> int:
+        """Replaces several runs, and notes ``meta``, in one version: readers see all of it or nothing."""
+        parts = [self.stage(rows.withColumn("run_id", F.lit(int(r)).cast("long"))) | {"runs": [int(r)], "mixed": False} for r, rows in runs.items()]
+        new = {int(r) for r in runs}
 
-        return self.publish(change)
+        def change(before):
+            kept = [p | {"runs": [r for r in p["runs"] if r not in new]} for p in before]
+            return [*(p for p in kept if p["runs"]), *parts]  # a compacted part stays for its other runs
+
+        return self.publish(change, meta)
 
-    def compact(self, keep_newest: int = 1) -> int:
+    def compact(self, keep_newest: int = 1, transform: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Rewrites all runs but the ``keep_newest`` ones as a single part, sorted into ranges of run_id. Readers of either version see
-        the same rows; a run replaced meanwhile stays replaced."""
+        the same rows; a run replaced meanwhile stays replaced. ``transform`` may drop rows that no reader asks for (superseded versions
+        of a key); runs it has seen should not be replaced any more."""
         parts = self.parts()
         newest = sorted({r for p in parts for r in p["runs"]})[-keep_newest:] if keep_newest else []
         old = [p for p in parts if not set(p["runs"]) & set(newest)]
         if len(old) < 2:
             return self.version()
         names = {p["folder"] for p in old}
-        merged = self.stage(self._read(old).repartitionByRange("run_id").sortWithinPartitions("run_id"))
+        rows = self._read(old)
+        merged = self.stage((transform(rows) if transform else rows).repartitionByRange("run_id").sortWithinPartitions("run_id"))
         runs = {p["folder"]: p["runs"] for p in old}
 
         def change(now):

@@ -52,7 +52,7 @@ def test_a_writer_that_dies_leaves_nothing_to_see(spark, store):
 
 def test_of_two_writers_none_is_lost(spark, store, monkeypatch):
     store.write_run(rows(spark, 1), 1)
-    real, once = RunStore.parts, []
+    real, once = RunStore.state, []
 
     def late(self, version=None):
         out = real(self, version)
@@ -61,7 +61,7 @@ def test_of_two_writers_none_is_lost(spark, store, monkeypatch):
             RunStore(spark, self.path).write_run(rows(spark, 2), 2)
         return out
 
-    monkeypatch.setattr(RunStore, "parts", late)
+    monkeypatch.setattr(RunStore, "state", late)
     store.write_run(rows(spark, 3), 3)
     monkeypatch.undo()
     assert got(store.read()) == [(1, 1), (2, 2), (3, 3)] and store.version() == 3
