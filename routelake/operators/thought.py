@@ -5,7 +5,7 @@ P3 small models -> W5 two-stage top-n -> T12 request prompt -> B1 generator
 -> J12 first row per group joined with the template.
 
 E15: J4 templates of the same task description, else J5 first-word
-fallback (evaluated on distinct descriptions only) -> J6 top-3 by cosine
+fallback (a gram index over distinct descriptions) -> J6 top-3 by cosine
 (exact tiled kNN per description) -> T13/T14 prompt -> J10 merge back.
 """
 
@@ -19,6 +19,7 @@ from routelake.operators import ranking as R
 from routelake.operators.common import join_dim
 from routelake.operators.labels import allow_list
 from routelake.operators.vectors import knn_topk
+from routelake.session import stored
 
 # Template-request prompt text.
 REQUEST_HEAD = ("Given this question and example solutions, extract a concise thought template that captures the "
@@ -97,20 +98,51 @@ def thought_templates(log: DataFrame, generate, k_queries: int = 10, top_n: int
 
 
 # ---------------------------------------------------------------- E15
+GRAM = 3  # characters of the index's grams; shorter words are looked up by themselves
+
+
+def _grams(text, size):
+    """Distinct substrings of ``size`` characters of a column."""
+    n = F.length(text) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, size))))
+
+
+def containing(words: DataFrame, texts: DataFrame, word: str, text: str) -> DataFrame:
+    """(word, text) for every distinct text that contains the (distinct, lower-case) word, ignoring the text's case.
+
+    An inverted index of the texts' grams answers by equi joins: a word is looked up by the one of its grams that
+    the fewest texts hold, and only those texts are searched for the word itself."""
+    w = words.select(F.col(word).alias("w")).where(F.col("w") != "").distinct()
+    looked = stored(w.select("w", F.explode(_grams(F.col("w"), F.least(F.length("w"), F.lit(GRAM)))).alias("gram")), "word-grams")
+    t = texts.select(F.col(text).alias("t")).distinct()
+    held = t.select("t", F.explode(F.concat(*[F.coalesce(_grams(F.lower("t"), F.lit(n)), F.array()) for n in range(1, GRAM + 1)])).alias("gram"))
+    index = stored(held.join(looked.select("gram").distinct(), "gram", "left_semi"), "gram-index")
+    rare = (looked.join(index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", "left")
+            .groupBy("w").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")))  # n = 0: no text holds the word
+    found = rare.join(index, "gram").where(F.contains(F.lower("t"), F.col("w")))
+    return found.select(F.col("w").alias(word), F.col("t").alias(text))
+
+
 def description_map(queries: DataFrame, templates: DataFrame, desc: str = "task_description") -> DataFrame:
     """J4 + J5 on distinct descriptions: (query description, template description).
 
     Exact matches first; a query description with no exact match takes every
-    template description containing its first word (lower case, literal).
+    template description containing its first word (lower case, literal), found by a gram index.
     """
     qd = queries.select(F.col(desc).alias("q_desc")).where(F.col("q_desc").isNotNull()).distinct()
-    td = templates.select(F.col(desc).alias("t_desc")).where(F.col("t_desc").isNotNull()).distinct()
-    exact = qd.join(td, F.col("q_desc") == F.col("t_desc"))
-    unmatched = qd.join(td, F.col("q_desc") == F.col("t_desc"), "left_anti")
-    fw = unmatched.select("q_desc", F.element_at(F.split(T.py_strip(F.lower("q_desc")), r"(?U)\s+"), 1).alias("__w"))
-    fw = fw.where(F.col("__w") != "")
-    fallback = join_dim(fw, td, F.contains(F.lower(F.col("t_desc")), F.col("__w"))).select("q_desc", "t_desc")
-    return exact.unionByName(fallback)
+    td = stored(templates.select(F.col(desc).alias("t_desc")).where(F.col("t_desc").isNotNull()).distinct(), "descriptions")
+    both = stored(qd.join(td, F.col("q_desc") == F.col("t_desc"), "left"), "description-matches")
+    exact = both.where(F.col("t_desc").isNotNull())
+    fw = both.where(F.col("t_desc").isNull()).select("q_desc", F.element_at(F.split(T.py_strip(F.lower("q_desc")), r"(?U)\s+"), 1).alias("__w"))
+    return exact.unionByName(fw.join(containing(fw, td, "__w", "t_desc"), "__w").select("q_desc", "t_desc"))
+
+
+def templates_per_query(queries: DataFrame, templates: DataFrame, qid: str = "query_id", tid: str = "template_id",
+                        desc: str = "task_description") -> DataFrame:
+    """How many templates share each query's task description: counted per description first, so queries and templates of a
+    description never meet row by row."""
+    n = templates.where(F.col(desc).isNotNull()).groupBy(desc).agg(F.count(tid).alias("n_templates"))
+    return join_dim(queries.select(qid, desc), n, desc, "left").select(qid, F.coalesce("n_templates", F.lit(0)).cast("bigint").alias("n_templates"))
 
 
 def thought_prompts(queries: DataFrame, templates: DataFrame, k: int = 3, qid: str = "query_id",

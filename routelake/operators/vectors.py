@@ -112,9 +112,10 @@ def knn_topk(queries: DataFrame, items: DataFrame, k: int, qid: str, qvec: str,
         if top is not None:
             return _with_extras(top, items, key_cols, iid, extra_cols)
     T = max(math.ceil(n_q / tile_rows), math.ceil(queries.sparkSession.sparkContext.defaultParallelism / B))
-    q = (q.withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(T)))
+    # Cell numbers have one type on both sides: a cogroup doesn't cast, and a long hashes to another partition than an int.
+    q = (q.withColumn("tile", F.pmod(F.xxhash64("qid"), F.lit(T)).cast("int"))
           .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(B - 1)))))
-    it = (it.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(B)))
+    it = (it.withColumn("block", F.pmod(F.xxhash64("iid"), F.lit(B)).cast("int"))
             .withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(T - 1)))))
     kq = k + 1 if exclude_self else k
     qtype = dict(queries.select(F.col(qid).alias("qid")).dtypes)["qid"]

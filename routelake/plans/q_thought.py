@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from routelake.functions.numeric import parse_vector
 from routelake.operators import thought as TH
+from routelake.operators.common import join_dim
 from routelake.plans import fixtures as fx
 from routelake.plans.fixtures_sql import with_
 from routelake.plans.registry import register
 from routelake.plans.q_text import strip_sql
+from routelake.session import stored
 
 
 def lit_sql(s: str) -> str:
@@ -105,18 +107,22 @@ def g10_templates_per_task(spark, sf_dir):
 
 # ---------------------------------------------------------------- E15
 def thought_corpus(spark, sf_dir):
+    """Every document with a vector (vectors repeat over the documents) and a task description."""
     d = fx.f_txt(spark, sf_dir)
-    v = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
-    n = v.agg(F.count(F.lit(1)).alias("n_vec"))  # vectors repeat over the documents: every document takes part
-    d = d.join(F.broadcast(n), how="cross").withColumn("vec", F.pmod("doc_id", "n_vec")).drop("n_vec")
-    return d.join(v.withColumnRenamed("doc_id", "vec"), "vec").drop("vec").withColumn("task_description", F.concat(F.lit("Group "), F.col("lang"), F.lit(" texts")))
+    v = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("vec"), "embedding")
+    n = v.count()
+    return (d.withColumn("vec", F.pmod("doc_id", F.lit(n))).join(v, "vec").drop("vec")
+            .withColumn("task_description", F.concat(F.lit("Group "), F.coalesce("lang", F.lit("unknown")), F.lit(" texts"))))
 
 
 def e15_inputs(spark, sf_dir):
-    c = thought_corpus(spark, sf_dir)
-    templates = c.where((F.col("doc_id") % 5 != 0) & (F.col("lang") != "es")).select(
-        F.col("doc_id").alias("template_id"), F.col("text").alias("query"), "task_description",
-        "embedding", F.concat(F.lit("Template: "), "lang", F.lit(" "), "text").alias("thought_template"))
+    """A fifth of the documents are queries, all others templates. Spanish templates are described in other words, so Spanish queries
+    find no template of their description and fall back on those that hold its first word."""
+    c = stored(thought_corpus(spark, sf_dir).select("doc_id", "text", "lang", "embedding", "task_description"), "thought-corpus")
+    templates = c.where(F.col("doc_id") % 5 != 0).select(
+        F.col("doc_id").alias("template_id"), F.col("text").alias("query"),
+        F.when(F.col("lang") == "es", "Spanish GROUP of texts").otherwise(F.col("task_description")).alias("task_description"),
+        "embedding", F.concat(F.lit("Template: "), F.coalesce("lang", F.lit("unknown")), F.lit(" "), "text").alias("thought_template"))
     # Query vectors arrive as text (as in the reference's CSV) and are parsed once.
     qtext = F.concat(F.lit("tensor("), F.to_json("embedding"), F.lit(", device='cuda:0')"))
     queries = c.where(F.col("doc_id") % 5 == 0).select(
@@ -126,10 +132,11 @@ def e15_inputs(spark, sf_dir):
 
 
 _E15_CTES = {
-    "c": """SELECT d.doc_id, d.text, d.lang, v.embedding, 'Group ' || d.lang || ' texts' AS descr
+    "c": """SELECT d.doc_id, d.text, coalesce(d.lang, 'unknown') AS lang, v.embedding, 'Group ' || coalesce(d.lang, 'unknown') || ' texts' AS descr
             FROM ftxt d JOIN fvec v ON d.doc_id % (SELECT count(*) FROM fvec) = v.vec_id""",
-    "t": """SELECT doc_id AS tid, text AS tq, descr AS tdesc, embedding AS tvec, 'Template: ' || lang || ' ' || text AS tt
-            FROM c WHERE doc_id % 5 <> 0 AND lang <> 'es'""",
+    "t": """SELECT doc_id AS tid, text AS tq, CASE WHEN lang = 'es' THEN 'Spanish GROUP of texts' ELSE descr END AS tdesc, embedding AS tvec,
+              'Template: ' || lang || ' ' || text AS tt
+            FROM c WHERE doc_id % 5 <> 0""",
     "q": "SELECT doc_id AS qid, text AS query, descr AS qdesc, embedding AS qvec FROM c WHERE doc_id % 5 = 0",
     "qd": "SELECT DISTINCT qdesc FROM q", "td": "SELECT DISTINCT tdesc FROM t",
     "m": """SELECT qdesc, tdesc FROM qd JOIN td ON qdesc = tdesc
@@ -179,11 +186,8 @@ def t15_parse_vector(spark, sf_dir):
 @register("j4_same_description_templates", with_("ftxt", "fvec", extra={k: _E15_CTES[k] for k in ("c", "t", "q")}) + """
 SELECT q.qid AS query_id, count(t.tid) AS n_templates FROM q LEFT JOIN t ON q.qdesc = t.tdesc GROUP BY q.qid""")
 def j4_same_description_templates(spark, sf_dir):
-    """Templates sharing the query's task description (equi join), counted per query."""
-    queries, templates = e15_inputs(spark, sf_dir)
-    t = templates.select(F.col("task_description"), F.col("template_id"))
-    j = queries.select("query_id", "task_description").join(t, "task_description", "left")
-    return j.groupBy("query_id").agg(F.count("template_id").alias("n_templates"))
+    """Templates sharing the query's task description, counted per query."""
+    return TH.templates_per_query(*e15_inputs(spark, sf_dir))
 
 
 @register("j6_top3_similar_templates", with_("ftxt", "fvec", extra={k: _E15_CTES[k] for k in ("c", "t", "q", "qd", "td", "m", "s", "top")}) + """
@@ -193,7 +197,7 @@ def j6_top3_similar_templates(spark, sf_dir):
     from routelake.operators.vectors import knn_topk
     queries, templates = e15_inputs(spark, sf_dir)
     m = TH.description_map(queries, templates)
-    t = templates.join(m, F.col("task_description") == F.col("t_desc")).select(
+    t = join_dim(templates, m, F.col("task_description") == F.col("t_desc")).select(
         F.col("q_desc").alias("__key"), "template_id", "embedding")
     q = queries.select(F.col("task_description").alias("__key"), "query_id", "embedding")
     nb = knn_topk(q, t, 3, "query_id", "embedding", "template_id", "embedding", key="__key")

@@ -71,6 +71,16 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def stored(df, name: str):
+    """``df`` written once as Parquet into the shared checkpoint folder and read back: readers scan only the columns and rows they
+    need, nothing before it runs again, and what an executor computed survives its loss."""
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 
