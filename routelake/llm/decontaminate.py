@@ -10,6 +10,7 @@ tiles cover at least ``MIN_COVER`` of its words, or if the longest of them has `
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routelake.llm.common import worker_state, written
+
 MIN_MATCH = 5       # words of the shortest tile
 MIN_COVER = 0.5     # share of a benchmark item's words in tiles that makes it a leak
 MIN_PASSAGE = 50    # words of a single tile that make a leak of an item of any length
@@ -137,28 +140,30 @@ def tile(doc: np.ndarray, item: np.ndarray, place: np.ndarray, pos: np.ndarray,
     return cover, tiles, longest
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of about ``block_bytes`` of text, one after the other, so that what the
-    driver and the tasks hold is bounded however large the benchmark is."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int | None = None) -> Iterator[tuple[list[tuple[int, str | None]], int]]:
+    """The benchmark in blocks of about ``block_bytes`` of text, each read when it is asked for."""
+    block_bytes = block_bytes or BLOCK_BYTES
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-size // block_bytes) or 1
     for p in range(parts):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        yield [(r.item_id, r.text) for r in block.collect()]
+        yield [(r.item_id, r.text) for r in block.collect()], parts
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER) -> DataFrame:
     """Leaks of ``benchmark(item_id, text)`` into ``docs(doc_id, text)``: one row per document and item (doc_id,
-    item_id, coverage, tiles). Documents are only scanned, never shuffled, once for each benchmark block.
+    item_id, coverage, tiles). Documents are only scanned, never shuffled, once for each benchmark block; of a benchmark of several
+    blocks each one's leaks are written before the next block is read, so the driver and the tasks hold one block at a time.
 
     Defined cases: null or wordless documents and items match nothing; an item with fewer than ``min_match`` words
-    must occur whole; a null doc_id is kept as null; repeated rows give repeated results; other columns are ignored."""
+    must occur whole; a null doc_id is kept as null; repeated rows give repeated results; texts of any length are searched whole; an empty
+    side gives an empty result; other columns are ignored."""
     out = None
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for items in benchmark_blocks(benchmark):
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = BenchmarkIndex(items, min_match)
+    for items, parts in benchmark_blocks(benchmark):
+        def run(batches: Iterator[pa.RecordBatch], items=items, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = worker_state(("decontaminate", name), lambda: BenchmarkIndex(items, min_match))
             for b in batches:
                 rows = [(d.as_py(), *leak) for d, t in zip(b.column("doc_id"), b.column("text")) for leak in index.leaks(t.as_py(), min_cover)]
                 cols = list(zip(*rows)) or [[]] * 4
@@ -166,17 +171,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
                                                  names=["doc_id", "item_id", "coverage", "tiles"])
 
         part = docs.mapInArrow(run, "doc_id long, item_id long, coverage double, tiles long")
+        part = written(part, "leaks") if parts > 1 else part
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, min_cover: float = MIN_COVER) -> DataFrame:
-    """``docs`` without the rows whose text holds a leak; all columns stay. One scan, no shuffle."""
-    for items in benchmark_blocks(benchmark):
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = BenchmarkIndex(items, min_match)
+    """``docs`` without the rows whose text holds a leak; all columns stay. One scan and no shuffle for each benchmark block; of several blocks,
+    what each leaves is written before the next one is read."""
+    for items, parts in benchmark_blocks(benchmark):
+        def run(batches: Iterator[pa.RecordBatch], items=items, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = worker_state(("decontaminate", name), lambda: BenchmarkIndex(items, min_match))
             for b in batches:
                 yield b.filter(pa.array([not index.leaks(t.as_py(), min_cover) for t in b.column("text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        left = docs.mapInArrow(run, docs.schema)
+        docs = written(left, "decontaminated") if parts > 1 else left
     return docs
