@@ -34,20 +34,29 @@ def drop_empty_responses(df: DataFrame, col: str = "response") -> DataFrame:
     return df.where(F.col(col).isNotNull() & (F.col(col) != ""))
 
 
-def minmax_normalise(df: DataFrame, cols, by) -> DataFrame:
+def range_stats(df: DataFrame, cols, by) -> DataFrame:
+    """Smallest and largest value of each column per group (``__min_<c>``, ``__max_<c>``): W1's statistics of a log or of a part of it."""
+    by = [by] if isinstance(by, str) else list(by)
+    return df.groupBy(*by).agg(*[f(c).alias(f"__{n}_{c}") for c in cols for n, f in (("min", F.min), ("max", F.max))])
+
+
+def merge_range_stats(parts: DataFrame, cols, by) -> DataFrame:
+    """``range_stats`` of a whole from those of its parts (a row per group and part): the same numbers as from the rows."""
+    by = [by] if isinstance(by, str) else list(by)
+    return parts.groupBy(*by).agg(*[f(f"__{n}_{c}").alias(f"__{n}_{c}") for c in cols for n, f in (("min", F.min), ("max", F.max))])
+
+
+def minmax_normalise(df: DataFrame, cols, by, stats: DataFrame | None = None) -> DataFrame:
     """``(x - min) / (max - min)`` per group; a constant group gives NULL.
 
-    Group stats come from a partial+final aggregate and are joined back; the
-    stats side has one row per group and is broadcast once its size is
+    Group stats come from a partial+final aggregate (or from ``stats``, kept from earlier: see ``ScoredLog``) and are
+    joined back; the stats side has one row per group and is broadcast once its size is
     proven.  This avoids a window partitioned by task (one hot task would land
     in a single task slot) and any shuffle of the log on the task key.
     """
     from routelake.operators.common import broadcast_if_small
     by = [by] if isinstance(by, str) else list(by)
-    aggs = []
-    for c in cols:
-        aggs += [F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}")]
-    stats = broadcast_if_small(df.groupBy(*by).agg(*aggs))
+    stats = broadcast_if_small(range_stats(df, cols, by) if stats is None else stats)
     out = df.join(stats, by, "left")
     for c in cols:
         mn, mx = F.col(f"__min_{c}"), F.col(f"__max_{c}")
@@ -68,13 +77,20 @@ def first_argmax(label, score, pos) -> Column:
                                     -(F.col(pos) if isinstance(pos, str) else pos)))
 
 
-def prepare_scores(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN) -> DataFrame:
-    """P2 -> P1 -> P5 -> W1 -> P4 for every scenario (score columns ``score_<name>``)."""
-    df = reprice(log, reprice_pattern)
-    df = drop_empty_responses(df)
-    df = (df.withColumn("eval_performance", as_double(df, "performance"))
-            .withColumn("eval_cost", as_double(df, "cost")))
-    df = minmax_normalise(df, ["eval_performance", "eval_cost"], ["split", "task_name"])
+#: What W1 normalises in E10, and within which groups.
+NORMALISED, NORMALISED_BY = ["eval_performance", "eval_cost"], ["split", "task_name"]
+
+
+def eval_columns(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN) -> DataFrame:
+    """P2 -> P1 -> P5: the rows that are scored, with ``eval_performance`` and ``eval_cost``; row by row."""
+    df = drop_empty_responses(reprice(log, reprice_pattern))
+    return (df.withColumn("eval_performance", as_double(df, "performance"))
+              .withColumn("eval_cost", as_double(df, "cost")))
+
+
+def prepare_scores(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN, stats: DataFrame | None = None) -> DataFrame:
+    """P2 -> P1 -> P5 -> W1 -> P4 for every scenario (score columns ``score_<name>``); ``stats``: W1's, if they are known already."""
+    df = minmax_normalise(eval_columns(log, reprice_pattern), NORMALISED, NORMALISED_BY, stats)
     df = (df.withColumnRenamed("normalized_eval_performance", "normalized_performance")
             .withColumnRenamed("normalized_eval_cost", "normalized_cost"))
     for name, a, b in SCENARIOS:
@@ -87,7 +103,7 @@ def scenario_names():
     return [s[0] for s in SCENARIOS] + [JUDGE_SCENARIO]
 
 
-def route_records(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN) -> DataFrame:
+def route_records(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN, stats: DataFrame | None = None) -> DataFrame:
     """One routing record per (scenario, split, query).
 
     Output: ``scenario, split, query_id, query, candidates array<struct<
@@ -95,7 +111,7 @@ def route_records(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN) -> Dat
     Candidates per query are bounded by the model catalogue (40 in the
     reference), so the per-query list is small.
     """
-    df = prepare_scores(log, reprice_pattern)
+    df = prepare_scores(log, reprice_pattern, stats)
     names = scenario_names()
     cand = F.struct(F.col("pos"), F.col("llm"), F.col("normalized_performance"),
                     F.col("normalized_cost"), *[F.col(f"score_{n}") for n in names])
@@ -118,9 +134,9 @@ def route_records(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN) -> Dat
                      F.col("r.candidates").alias("candidates"), F.col("r.ground_truth").alias("ground_truth")))
 
 
-def route_labels(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN) -> DataFrame:
+def route_labels(log: DataFrame, reprice_pattern: str = REPRICE_PATTERN, stats: DataFrame | None = None) -> DataFrame:
     """Flat view of E10: best model, its score and the candidate count per record."""
-    df = prepare_scores(log, reprice_pattern)
+    df = prepare_scores(log, reprice_pattern, stats)
     names = scenario_names()
     g = df.groupBy("split", "query_id").agg(
         F.min_by("query", "pos").alias("query"),

@@ -249,6 +249,15 @@ def rank_within(df: DataFrame, by, order, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(w))
 
 
+def rank_settings(df: DataFrame, by, settings, pos: str = "pos") -> DataFrame:
+    """W6 for several settings: a row per row and setting with its ``rank``.  All ranks come from one shuffle of the rows (their windows
+    share the partitioning), then each row is unfolded."""
+    w = Window.partitionBy(*_cols(by))
+    ranks = F.array(*[F.struct(F.lit(s).alias("setting"), F.row_number().over(w.orderBy(*setting_order(s, pos))).alias("rank")) for s in settings])
+    out = df.withColumn("__ranks", ranks)
+    return out.withColumn("__r", F.explode("__ranks")).select(*df.columns, "__r.setting", "__r.rank")
+
+
 def take_while_top_k(df: DataFrame, by, order, k: int, stop_col: str = "performance_processed") -> DataFrame:
     """In ``order``, keep rows before the first ``stop_col = 0`` (NULL does
     not stop) and at most ``k`` of them.  Adds ``rank``."""

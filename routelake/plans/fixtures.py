@@ -62,6 +62,12 @@ def f_log(spark: SparkSession, sf_dir: str) -> DataFrame:
               .withColumn("pos", F.row_number().over(w).cast("bigint")))
 
 
+def f_log_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-LOG written once, for jobs that read their log more than once: as a table, which is what a log is."""
+    from routelake.session import stored
+    return stored(f_log(spark, sf_dir), "f-log")
+
+
 def f_grid_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50-entry model catalogue (25 nations x plain/think) with prices."""
     nat = table(spark, sf_dir, "nation")

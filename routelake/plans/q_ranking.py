@@ -171,9 +171,7 @@ SELECT s.setting, query_id, llm, CAST(row_number() OVER (PARTITION BY s.setting,
 FROM flog, (VALUES ('perf'), ('judge'), ('hybrid')) s(setting)""")
 def w6_setting_sort(spark, sf_dir):
     f = _sft_cols(fx.f_log(spark, sf_dir))
-    outs = [R.rank_within(f, "query_id", R.setting_order(s)).select(F.lit(s).alias("setting"), "query_id", "llm", "rank")
-            for s in ("perf", "judge", "hybrid")]
-    return R.union_all(*outs)
+    return R.rank_settings(f, "query_id", ("perf", "judge", "hybrid")).select("setting", "query_id", "llm", "rank")
 
 
 @register("w7_take_while_topk", with_("flog") + """

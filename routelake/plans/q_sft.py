@@ -71,4 +71,4 @@ SELECT chunk AS example_id, {_INSTR} AS instruction, query AS input, ground_trut
     SELECT *, row_number() OVER (PARTITION BY split ORDER BY query_id, pos) AS p FROM flog WHERE split = 'test') a) b
 WHERE (p - 1) % 40 = 0 AND chunk < total // 40""")
 def e13_sft_test_positional(spark, sf_dir):
-    return sft.sft_test_set(fx.f_log(spark, sf_dir).where(F.col("split") == "test"), mode="positional")
+    return sft.sft_test_set(fx.f_log_once(spark, sf_dir).where(F.col("split") == "test"), mode="positional")

@@ -21,7 +21,7 @@ def lit_sql(s: str) -> str:
 # ---------------------------------------------------------------- E14
 def _log_gpos(spark, sf_dir):
     """F-LOG with a global row order (query_id, pos) -> pos, as a file row order."""
-    f = fx.f_log(spark, sf_dir)
+    f = fx.f_log_once(spark, sf_dir)
     return f.withColumn("pos", F.col("query_id") * 100 + F.col("pos"))
 
 
