@@ -121,7 +121,7 @@ def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings:
                                              score_by_metric("response", "ground_truth", "metric", "task_name")))
            .drop("prompt", "__llm_base"))
     if embeddings is not None:
-        out = out.join(embeddings, "query_id", "left")
+        out = join_embeddings(out, embeddings)
     if done is not None:
         out = out.unionByName(done.where("success"), allowMissingColumns=True)
     return out
@@ -259,7 +259,7 @@ def unify_config_source(src: DataFrame, task: str, query_fields, gt_field: str,
     if gt_subfield:
         gt = gt.getField(gt_subfield)
     if gt_index is not None:
-        gt = F.element_at(gt, gt_index + 1)
+        gt = F.get(gt, F.lit(gt_index))  # NULL beyond the end
     q = F.concat(*[F.col(c).cast("string") for c in query_fields])
     return src.select(F.col(id_col).cast("string").alias("source_id"), F.lit(task).alias("task_name"),
                       F.lit(task_description).alias("task_description"), F.lit(None).cast("string").alias("task_id"),
@@ -267,6 +267,25 @@ def unify_config_source(src: DataFrame, task: str, query_fields, gt_field: str,
                       F.lit(metric).alias("metric"))
 
 
+# The further sources' names, query fields, truth fields and metrics.
+SOURCE_SHAPES = {
+    "alpaca_data": {"query_fields": ["instruction", "input"], "gt_field": "output", "metric": "f1_score"},
+    "GSM8K": {"query_fields": ["instruction", "input"], "gt_field": "answer", "metric": "GSM8K"},
+    "multi_news": {"query_fields": ["instruction", "input"], "gt_field": "output", "metric": "f1_score"},
+    "SQUAD": {"query_fields": ["question"], "gt_field": "answers", "gt_subfield": "text", "gt_index": 0, "metric": "f1_score"},
+}
+
+
+def unify_sources(frames: dict[str, DataFrame], id_col: str = "id") -> DataFrame:
+    """A15 + U3: the named sources (see ``SOURCE_SHAPES``) in the common query layout."""
+    return union_sources(*[unify_config_source(df, name, id_col=id_col, **SOURCE_SHAPES[name]) for name, df in frames.items()])
+
+
+def join_embeddings(log: DataFrame, embeddings: DataFrame, key: str = "query_id") -> DataFrame:
+    """Every log row with its query's vectors (NULL where there are none)."""
+    return log.join(embeddings, key, "left")
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     """Union of adapter outputs (by name, missing columns NULL)."""
     out = frames[0]

@@ -109,7 +109,7 @@ def pending_work(work: DataFrame, done: DataFrame, key, success: str = "success"
 
 def retry_rounds(df: DataFrame, fn, input_col: str, key, rounds: int = 3, output_col: str = "output",
                  error_threshold: float = 0.0, persist: Callable[[DataFrame, int], DataFrame] | None = None,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, attempt_col: str | None = None) -> DataFrame:
     """First pass, then up to ``rounds`` retries of failed rows only.
 
     Stops when the share of all rows that still fail is at most
@@ -117,10 +117,18 @@ def retry_rounds(df: DataFrame, fn, input_col: str, key, rounds: int = 3, output
     it called by ``persist`` (default: a reliable ``checkpoint()`` in the shared
     checkpoint folder), so a finished row is written once, and the result is
     the union of what each round finished and what the last one left failed.
-    The loop itself is a few driver-side control steps over counts, never over rows.
+    With ``attempt_col`` a row carries the number of its last attempt (0: first pass), which ``fn`` also gets as its
+    last argument (another seed, a longer time limit).  The loop itself is a few driver-side control steps over counts, never over rows.
     """
     keep = persist or (lambda d, i: cut_lineage(d))
-    res = keep(fan_out(df, fn, input_col, output_col, partitions), 0)
+    given = [input_col] if isinstance(input_col, str) else list(input_col)
+
+    def call(rows: DataFrame, i: int, partitions: int | None = None) -> DataFrame:
+        if attempt_col is None:
+            return keep(fan_out(rows, fn, given, output_col, partitions), i)
+        return keep(fan_out(rows.withColumn(attempt_col, F.lit(i)), fn, [*given, attempt_col], output_col, partitions), i)
+
+    res = call(df, 0, partitions)
     st = failure_stats(res).first()
     total, failing, finished = st["processed"], st["failed"] or 0, []
     for i in range(1, rounds + 1):
@@ -128,7 +136,7 @@ def retry_rounds(df: DataFrame, fn, input_col: str, key, rounds: int = 3, output
             break
         finished.append(res.where(F.col("success")))
         failed = res.where(~F.col("success")).drop(output_col, "success")
-        res = keep(fan_out(failed, fn, input_col, output_col), i)
+        res = call(failed, i)
         failing = failure_stats(res).first()["failed"] or 0
     for part in finished:
         res = res.unionByName(part)

@@ -156,6 +156,24 @@ def a15_config_unify(spark, sf_dir):
     return u.select("source_id", "task_name", "query", "ground_truth", "metric")
 
 
+@register("a15_source_shapes", """
+SELECT CAST(doc_id AS VARCHAR) AS source_id, 'alpaca_data' AS task_name, 'Write in ' || lang || text AS query, source AS ground_truth, 'f1_score' AS metric FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'GSM8K', 'How many characters? ' || text, 'count #### ' || CAST(n_chars AS VARCHAR), 'GSM8K' FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'multi_news', 'Summarise: ' || text, source, 'f1_score' FROM documents WHERE doc_id % 4 = 2
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'SQUAD', text, CASE WHEN doc_id % 3 > 0 THEN source END, 'f1_score' FROM documents WHERE doc_id % 4 = 3""")
+def a15_source_shapes(spark, sf_dir):
+    """A15's four source shapes, united: two-part queries, answers with steps, and answer lists in a struct (empty ones give NULL)."""
+    d = fx.f_txt(spark, sf_dir)
+    of = lambda k: d.where(F.col("doc_id") % 4 == k)
+    two = lambda k, head, **more: of(k).select(F.col("doc_id").alias("id"), head.alias("instruction"), F.col("text").alias("input"), *[c.alias(n) for n, c in more.items()])
+    squad = of(3).select(F.col("doc_id").alias("id"), F.col("text").alias("question"), F.struct(
+        F.when(F.col("doc_id") % 3 > 0, F.array("source", F.lit("another"))).otherwise(F.array().cast("array<string>")).alias("text")).alias("answers"))
+    frames = {"alpaca_data": two(0, F.concat(F.lit("Write in "), "lang"), output=F.col("source")),
+              "GSM8K": two(1, F.lit("How many characters? "), answer=F.concat(F.lit("count #### "), F.col("n_chars").cast("string"))),
+              "multi_news": two(2, F.lit("Summarise: "), output=F.col("source")), "SQUAD": squad}
+    return A.unify_sources(frames).select("source_id", "task_name", "query", "ground_truth", "metric")
+
+
 # ---------------------------------------------------------------- E11 and parts
 def fake_model(llm: str, prompt: str, gt: str) -> str:
     """Deterministic stand-in for a model call (knows the answer 1 time in 3)."""
@@ -356,13 +374,17 @@ def e16_evaluation_report(spark, sf_dir):
     return rep.select("level", "name", r6("mean_score").alias("mean_score"), "n")
 
 
-@register("j11_log_embeddings", with_("fgrid", "fvec") + """
-SELECT g.query_id, g.llm, len(v.embedding) AS dims FROM fgrid g LEFT JOIN fvec v ON g.query_id = v.vec_id""")
+@register("j11_log_embeddings", with_("fgrid", "fvec") + f"""
+SELECT g.query_id, g.llm, len(v.embedding) AS dims, {R6('v.embedding[1]')} AS first, {R6('list_sum(v.embedding)')} AS total,
+       {R6('list_dot_product(v.embedding, v.embedding)')} AS squares
+FROM fgrid g LEFT JOIN fvec v ON g.query_id = v.vec_id""")
 def j11_log_embeddings(spark, sf_dir):
-    """The assembled log joined with the query-embedding table (QUERY_EMB)."""
+    """The assembled log joined with the query-embedding table (QUERY_EMB); of each vector its length, first component, sum and square sum."""
     emb = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
-    log = fx.f_grid(spark, sf_dir).select("query_id", "llm")
-    return log.join(emb, "query_id", "left").select("query_id", "llm", F.size("embedding").cast("bigint").alias("dims"))
+    out = A.join_embeddings(fx.f_grid(spark, sf_dir).select("query_id", "llm"), emb)
+    add = lambda f: F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + f(x))
+    return out.select("query_id", "llm", F.size("embedding").cast("bigint").alias("dims"), r6(F.get("embedding", F.lit(0))).alias("first"),
+                      r6(add(lambda x: x)).alias("total"), r6(add(lambda x: x * x)).alias("squares"))
 
 
 @register("t10_judge_prompt", with_("flog") + """

@@ -43,6 +43,14 @@ def h2_degree_norm(spark, sf_dir):
     return G.degree_norm(e).select("src", "dst", r6("norm").alias("norm"))
 
 
+@register("h2_degree_norm_log", with_("flog") + f"""
+SELECT query_id AS src, llm_idx, {R6('1.0 / sqrt(count(*) OVER (PARTITION BY query_id)::DOUBLE) / sqrt(count(*) OVER (PARTITION BY llm_idx)::DOUBLE)')} AS norm FROM flog""")
+def h2_degree_norm_log(spark, sf_dir):
+    """H2 on a log with gaps: queries and models of different degrees."""
+    e = G.edge_list(fx.f_log(spark, sf_dir), "performance", keep=["llm"])
+    return G.degree_norm(e).select("src", "llm_idx", r6("norm").alias("norm"))
+
+
 _MASK_DRAW = "((query_id * 31 + node_idx * 17 + 3) % 1000) / 1000.0"
 
 
@@ -187,11 +195,28 @@ def p10_range_check(spark, sf_dir):
     return G.range_check(fx.f_log(spark, sf_dir), ["performance", "llm_judge", "cost"])
 
 
-@register("g13_graph_router_eval")
+@register("g13_graph_router_eval", with_("fvec", extra={**_VEC_EDGES_SQL, "sc": """
+SELECT e.query_id, e.llm_idx, e.reward, e.cost, e.reward AS performance, coalesce(1.0 / (1.0 + exp(-(list_sum(list_transform(list_zip(e.embedding, pv.model_vec), lambda z: z[1] * z[2]))
+         / len(e.embedding)))), 0.0) AS s FROM e LEFT JOIN pv ON e.llm = pv.llm WHERE e.split = 'test'""", "rk": """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, llm_idx) AS rp, row_number() OVER (PARTITION BY query_id ORDER BY reward DESC, llm_idx) AS rg FROM sc"""}) + f"""
+SELECT {R6('avg(reward) FILTER (WHERE rp = 1)')} AS result_predict, {R6('avg(reward) FILTER (WHERE rg = 1)')} AS result_golden,
+       {R6('avg(cost) FILTER (WHERE rp = 1)')} AS predict_cost, {R6('avg(performance) FILTER (WHERE rp = 1)')} AS predict_performance FROM rk""")
 def g13_graph_router_eval(spark, sf_dir):
-    """G13 on the H5 edge scores (rows-only)."""
+    """G13 on the H5 edge scores."""
     e = _vec_edges(spark, sf_dir)
     qv = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
     s = G.edge_scores(e.where(F.col("split") == "test"), qv, G.model_profiles(e, qv))
-    return RT.predicted_vs_golden(s.fillna(0.0, ["edge_score"]), "edge_score", "reward", pos="llm_idx")
-
+    m = RT.predicted_vs_golden(s.fillna(0.0, ["edge_score"]), "edge_score", "reward", pos="llm_idx")
+    return m.select(*[r6(c).alias(c) for c in m.columns])
+
+
+@register("g13_sub_range", with_("fvec", extra={**_VEC_EDGES_SQL, "rk": """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY -cost DESC, llm_idx) AS rp, row_number() OVER (PARTITION BY query_id ORDER BY reward DESC, llm_idx) AS rg
+FROM e WHERE split = 'test' AND llm_idx >= 3 AND llm_idx < 8"""}) + f"""
+SELECT {R6('avg(reward) FILTER (WHERE rp = 1)')} AS result_predict, {R6('avg(reward) FILTER (WHERE rg = 1)')} AS result_golden,
+       {R6('avg(cost) FILTER (WHERE rp = 1)')} AS predict_cost, {R6('avg(reward) FILTER (WHERE rp = 1)')} AS predict_performance FROM rk""")
+def g13_sub_range(spark, sf_dir):
+    """G13 over the candidates 3 to 7 only: the cheapest of them against the best of them."""
+    e = _vec_edges(spark, sf_dir).where(F.col("split") == "test").withColumn("pred", -F.col("cost"))
+    m = RT.predicted_vs_golden(e, "pred", "reward", pos="llm_idx", lo=3, hi=8)
+    return m.select(*[r6(c).alias(c) for c in m.columns])

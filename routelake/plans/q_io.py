@@ -22,6 +22,8 @@ from routelake.plans.fixtures_sql import R6, with_
 from routelake.plans.registry import register
 from routelake.session import scratch_path
 from routelake.sources import io
+from routelake.sources.json_array import read_json_array, write_json_array
+from routelake.sources.keyed_runs import KeyedRuns
 from routelake.sources.runs import RunStore
 from routelake.streaming import incremental as X
 from routelake.streaming import stateful as ST
@@ -60,6 +62,41 @@ def s4_suffix_reader(spark, sf_dir):
     return out.select("query_id", "llm", r6("performance").alias("performance"))
 
 
+@register("s4_csv_and_json", "SELECT conv_id, turn, role, text FROM conversations")
+def s4_csv_and_json(spark, sf_dir):
+    """S4's other branches: user turns by way of CSV, the others by way of JSON arrays."""
+    c = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    csv, js = _scratch(spark, "turns") + ".csv", _scratch(spark, "turns") + ".json"
+    io.write_csv(c.where(F.col("role") == "user"), csv)
+    io.write_json_arrays(c.where(F.col("role") != "user").withColumn("chunk", (F.col("conv_id") / 100).cast("bigint")), js, "chunk")
+    read = lambda p: io.read_by_suffix(spark, p, c.schema).select(*c.columns)
+    return read(csv).unionByName(read(js))
+
+
+@register("s6_json_array", "SELECT conv_id, turn, role, text FROM conversations")
+def s6_json_array(spark, sf_dir):
+    """All turns as one JSON array that many tasks write and read."""
+    c = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path = _scratch(spark, "turns-array")
+    write_json_array(c, path, ["conv_id", "turn"])
+    return read_json_array(spark, path, c.schema)
+
+
+@register("j9_resume_by_filters", """
+SELECT user_id, event_type FROM events GROUP BY user_id, event_type
+HAVING count(*) FILTER (WHERE dayofmonth(ts) % 5 <> 0 AND event_id % 11 = 0) = 0""")
+def j9_resume_by_filters(spark, sf_dir):
+    """J9 on a log of five runs with key filters: the (user, type) pairs that no run has finished; the fifth day's run never came."""
+    ev = fx.table(spark, sf_dir, "events").withColumn("day", F.dayofmonth("ts") % 5)
+    log = KeyedRuns(spark, _scratch(spark, "keyed-runs"), ["user_id", "event_type"])
+    rows = ev.select("user_id", "event_type", "day", (F.col("event_id") % 11 == 0).alias("success"))
+    for k in (1, 2, 3, 4):
+        log.write_run(rows.where(F.col("day") == k).drop("day"), k)
+    work = ev.select("user_id", "event_type").distinct()
+    left, _ = log.pending(work, "success")
+    return left
+
+
 @register("s9_parquet_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
 def s9_parquet_scan(spark, sf_dir):
     li = io.read_parquet(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
@@ -114,6 +151,11 @@ def s11_split_source(spark, sf_dir):
     return io.split_source(fx.f_log(spark, sf_dir), "validation").select("query_id", "llm")
 
 
+@register("s11_named_split", with_("flog") + "SELECT query_id, llm FROM flog WHERE split = 'train'")
+def s11_named_split(spark, sf_dir):
+    return io.split_source(fx.f_log(spark, sf_dir), "train").select("query_id", "llm")
+
+
 # ---------------------------------------------------------------- S12, S13
 def _runs(spark, sf_dir):
     p = _scratch(spark, "runs")
@@ -240,6 +282,42 @@ def b2_b3_retry_rounds(spark, sf_dir):
     return st.select("processed", "failed")
 
 
+def call_in_time(text: str, attempt: int) -> str:
+    """Deterministic stand-in: every call needs k mod 4 further attempts."""
+    k = int(text.split(":")[1])
+    if attempt < k % 4:
+        raise RuntimeError("service unavailable")
+    return f"ok-{k}-{attempt}"
+
+
+def _attempts_sql(rounds: int, threshold: float) -> str:
+    """Final state per event: the number of rounds follows from the share that still fails after each."""
+    return f"""
+WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+f AS (SELECT r, (SELECT avg(CASE WHEN k % 4 > r THEN 1.0 ELSE 0.0 END) FROM e) AS share FROM range(0, {rounds}) t(r)),
+n AS (SELECT coalesce(min(r) FILTER (WHERE share <= {threshold}), {rounds}) AS last FROM f)
+SELECT event_id, CAST(least(k % 4, last) AS INTEGER) AS attempt, k % 4 <= last AS success,
+       CASE WHEN k % 4 <= last THEN 'ok-' || CAST(k AS VARCHAR) || '-' || CAST(k % 4 AS VARCHAR) ELSE '' END AS output FROM e, n"""
+
+
+def _attempts(spark, sf_dir, rounds, threshold):
+    ev = fx.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("k:"), F.get_json_object("props", "$.k")).alias("req"))
+    res = B.retry_rounds(ev, call_in_time, "req", "event_id", rounds=rounds, error_threshold=threshold, attempt_col="attempt")
+    return res.select("event_id", "attempt", "success", "output")
+
+
+@register("b2_retries_that_succeed", _attempts_sql(2, 0.0))
+def b2_retries_that_succeed(spark, sf_dir):
+    """A first pass and two retry rounds; calls succeed at once, at the first or second retry, or not at all."""
+    return _attempts(spark, sf_dir, 2, 0.0)
+
+
+@register("b3_rate_gate", _attempts_sql(5, 0.6))
+def b3_rate_gate(spark, sf_dir):
+    """The loop ends as soon as at most 60 % fail, long before its last round."""
+    return _attempts(spark, sf_dir, 5, 0.6)
+
+
 def fake_judge(prompt: str) -> str:
     """Stand-in judge: a score from the response length."""
     resp = prompt.split("\nResponse: ", 1)[1].split("\n\nPlease provide", 1)[0]

@@ -207,10 +207,10 @@ SELECT query_id,
 FROM x GROUP BY query_id"""})
 
 
-def _metrics(spark, sf_dir):
+def _metrics(spark, sf_dir, k=10):
     f = fx.f_log(spark, sf_dir).withColumn("pred", -F.col("cost")).withColumn(
         "rel", F.when(F.col("performance") >= 0.06, 1).otherwise(0))
-    return R.ranking_metrics(f, "query_id", "pred", "rel", 10)
+    return R.ranking_metrics(f, "query_id", "pred", "rel", k)
 
 
 @register("w9_w11_ranking_metrics", _METRICS_SQL + f"""
@@ -220,6 +220,14 @@ def w9_w11_ranking_metrics(spark, sf_dir):
     return m.select("query_id", r6("ndcg_at_k").alias("ndcg_at_k"), "hit_at_k", r6("mrr").alias("mrr"))
 
 
+@register("w10_hit_at_1", _METRICS_SQL.replace("<= 10", "<= 1") + f"""
+SELECT query_id, {R6('ndcg_at_k')} AS ndcg_at_k, hit_at_k FROM m""")
+def w10_hit_at_1(spark, sf_dir):
+    """W9/W10 at the first place: hits and misses."""
+    m = _metrics(spark, sf_dir, 1)
+    return m.select("query_id", r6("ndcg_at_k").alias("ndcg_at_k"), "hit_at_k")
+
+
 @register("g4_metric_means", _METRICS_SQL + f"""
 SELECT metric, {R6('value')} AS value FROM (
   SELECT 'ndcg_at_k' AS metric, avg(ndcg_at_k) AS value FROM m

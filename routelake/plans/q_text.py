@@ -291,14 +291,19 @@ def e4_cem_f1(spark, sf_dir):
 
 
 @register("e6_gsm8k_score", with_("ftxt", extra={"x": """
-SELECT doc_id, regexp_extract_all(text, '(-?[0-9.,]+)', 1) AS runs, """ + _NUM_TRUTH_SQL + """ AS gt FROM ftxt""", "y": f"""
+SELECT doc_id, regexp_extract_all(text || CASE doc_id % 4 WHEN 0 THEN ' so $' || CAST(doc_id % 100 AS VARCHAR) || '.' WHEN 1 THEN ' so ' || CAST(doc_id % 100 + 1 AS VARCHAR) ELSE '' END,
+         '(-?[0-9.,]+)', 1) AS runs, """ + _NUM_TRUTH_SQL + """ AS gt FROM ftxt""", "y": f"""
 SELECT doc_id, {strip_sql("translate(coalesce(list_filter(runs, lambda r: r NOT IN ('', '.'))[-1], runs[1]), ',$.', '')")} AS p,
        {strip_sql("translate(string_split(gt, '####')[-1], ',$.', '')")} AS g FROM x"""}) + """
 SELECT doc_id, CASE WHEN p IS NULL THEN 0.0::DOUBLE WHEN p = g THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM y""")
 def e6_gsm8k_score(spark, sf_dir):
+    """Answers that end with the right number, with another one, and texts as they are."""
     d = fx.f_txt(spark, sf_dir)
-    gt = F.concat(F.lit("work #### "), (F.col("doc_id") % 100).cast("string"))
-    return d.select("doc_id", S.gsm8k_score("text", gt).alias("score"))
+    n = (F.col("doc_id") % 100).cast("string")
+    more = (F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" so $"), n, F.lit(".")))
+            .when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" so "), (F.col("doc_id") % 100 + 1).cast("string"))).otherwise(F.lit("")))
+    gt = F.concat(F.lit("work #### "), n)
+    return d.withColumn("answer", F.concat("text", more)).select("doc_id", S.gsm8k_score("answer", gt).alias("score"))
 
 
 @register("p11_category_counts", with_("fpair") + """
