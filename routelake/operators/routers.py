@@ -15,11 +15,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routelake.functions.numeric import cosine, dot
-from routelake.operators.common import join_dim
+from routelake.operators.common import join_dim, small_rows
 from routelake.operators.moments import Components, linear_weights, moments, project
 from routelake.operators.vectors import _usable, elementwise_mean, knn_topk
 
 
+MAX_MODELS = 10_000  # names of a catalogue that a plan may hold
+
+
+def routing_frames(records: DataFrame, vectors: DataFrame, qid: str = "query_id", vec: str = "embedding", split: str = "split"):
+    """The routers' inputs from E10's nested records: (train, test, candidates) with ``train(query_id, embedding, ground_truth)``,
+    ``test(query_id, embedding, true_model)`` and a row per test query and candidate with its performance, cost and score.
+    Queries without a vector are left out of both sides."""
+    known = records.select(qid, split, F.col("ground_truth")).join(vectors.select(qid, vec), qid)
+    train = known.where(F.col(split) == "train").select(qid, vec, "ground_truth")
+    test = known.where(F.col(split) == "test").select(qid, vec, F.col("ground_truth").alias("true_model"))
+    cand = records.where(F.col(split) == "test").select(qid, F.explode("candidates").alias("c")).select(qid, "c.*")
+    return train, test, cand
+
+
+def ranked_models(votes: DataFrame, queries: DataFrame, models: DataFrame, qid: str = "query_id") -> DataFrame:
+    """All routable models of each query in the router's order (query_id, model, score, rank): models without votes score 0, ties
+    go to the alphabetically first.  ``models(model)`` is the catalogue's list of at most ``MAX_MODELS`` names (more raise)."""
+    names = sorted(r["model"] for r in small_rows(models.select("model").where("model is not null").distinct(), MAX_MODELS))
+    named = queries.select(qid).withColumn("__all", F.array(*[F.lit(m) for m in names]).cast("array<string>"))
+    all_scores = (named.select(qid, F.explode("__all").alias("model")).join(votes, [qid, "model"], "left")
+                  .withColumn("score", F.coalesce("score", F.lit(0.0))))
+    w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col("model"))
+    return all_scores.withColumn("rank", F.row_number().over(w))
+
+
+def ranking_quality(ranked: DataFrame, truth: DataFrame, k: int, qid: str = "query_id", true_model: str = "true_model") -> DataFrame:
+    """W9-W11 of ``ranked_models``: NDCG@k, Hit@k and MRR per query, the true best model being the only relevant one."""
+    from routelake.operators.ranking import ranking_metrics
+
+    x = ranked.join(truth.select(qid, true_model), qid).withColumn("rel", (F.col("model") == F.col(true_model)).cast("int"))
+    return ranking_metrics(x.withColumn("__place", -F.col("rank")), qid, "__place", "rel", k, pos="rank")
+
+
 def route_models(train_candidates: DataFrame, name: str = "candidate_name") -> DataFrame:
     """G9 as a table: distinct candidate names seen in training (``model``)."""
     return train_candidates.select(F.col(name).alias("model")).distinct()

@@ -246,3 +246,66 @@ def g13_predicted_vs_golden(spark, sf_dir):
                  (-F.col("cost")).alias("pred"))
     m = RT.predicted_vs_golden(e, "pred", "reward", pos="idx")
     return m.select(*[r6(F.col(c) / F.lit(1e6)).alias(c) for c in m.columns])
+
+
+# ---------------------------------------------------------------- E10 -> S6/S5 -> R1 -> J8/G3, W9-W11
+_CHAIN = {
+    "rec": "SELECT split, query_id, llm, np AS performance, nc AS cost, score, rn FROM r WHERE scenario = 'balance'",
+    "vec": "SELECT vec_id, embedding FROM fvec",
+    "kn": """SELECT rec.split, rec.query_id, rec.llm AS best, vec.embedding FROM rec JOIN vec ON rec.query_id % (SELECT count(*) FROM vec) = vec.vec_id WHERE rn = 1""",
+    "sim": """SELECT te.query_id AS qid, tr.query_id AS nid, tr.best, list_cosine_similarity(te.embedding, tr.embedding) AS sim
+              FROM kn te, kn tr WHERE te.split = 'test' AND tr.split = 'train'""",
+    "nb": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim * 1000000000.0) DESC, nid) AS rn FROM sim) t WHERE rn <= 20",
+    "votes": "SELECT qid, best AS model, count(*) / 20.0::DOUBLE AS score FROM nb GROUP BY qid, best",
+}
+
+
+def _chain_sql(final: str) -> str:
+    from routelake.plans.q_labels import _SCORES_SQL
+
+    return with_("flog", "fvec").rstrip() + "," + _SCORES_SQL + ", " + ", ".join(f"{k} AS ({v})" for k, v in _CHAIN.items()) + final
+
+
+def _chain(spark, sf_dir):
+    """E10's records (scenario balance) by way of one JSON array; vectors repeat over the queries. A vector and its repetitions are equally
+    near, so similarities are compared in nine digits."""
+    import uuid
+
+    from routelake.plans.q_labels import FIX_PATTERN
+    from routelake.session import scratch_path
+    from routelake.sources.json_array import read_json_array, write_json_array
+
+    recs = L.route_records(fx.f_log_once(spark, sf_dir), FIX_PATTERN).where(F.col("scenario") == "balance").drop("scenario")
+    path = scratch_path(spark, f"records-{uuid.uuid4().hex}")
+    write_json_array(recs, path, ["split", "query_id"])
+    back = read_json_array(spark, path, recs.schema)
+    v = fx.f_vec(spark, sf_dir)
+    n = v.count()
+    vectors = back.select("query_id").withColumn("vec_id", F.col("query_id") % n).join(v.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    return RT.routing_frames(back, vectors)
+
+
+@register("g3_router_from_records", _chain_sql(f""",
+sc AS (SELECT rec.*, coalesce(votes.score, 0.0) AS vote FROM rec LEFT JOIN votes ON votes.qid = rec.query_id AND votes.model = rec.llm WHERE rec.split = 'test'),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vote DESC, llm) AS k FROM sc)
+SELECT {R6('avg(performance)')} AS avg_performance, {R6('avg(cost)')} AS avg_cost, {R6('avg(score)')} AS avg_score, count(*) AS n_predicted FROM pr WHERE k = 1"""))
+def g3_router_from_records(spark, sf_dir):
+    """The whole way: E10's records, written and read back, train a nearest-neighbour router, and its choices are scored."""
+    train, test, cand = _chain(spark, sf_dir)
+    rep = RT.router_report(RT.predicted_outcomes(RT.knn_router(train, test, cand, k=20), cand))
+    return rep.select(r6("avg_performance").alias("avg_performance"), r6("avg_cost").alias("avg_cost"), r6("avg_score").alias("avg_score"), "n_predicted")
+
+
+@register("w9_router_ranking", _chain_sql(f""",
+al AS (SELECT kn.query_id, m.best AS model, coalesce(votes.score, 0.0) AS score, kn.best AS truth FROM kn JOIN (SELECT DISTINCT best FROM kn WHERE split = 'train') m ON kn.split = 'test'
+       LEFT JOIN votes ON votes.qid = kn.query_id AND votes.model = m.best),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, model) AS rank FROM al)
+SELECT query_id, {R6('coalesce(max(CASE WHEN model = truth AND rank <= 5 THEN 1.0 / log2(rank + 1.0) END), 0.0)')} AS ndcg_at_k,
+       max(CASE WHEN model = truth AND rank <= 5 THEN 1 ELSE 0 END)::DOUBLE AS hit_at_k, {R6('coalesce(max(CASE WHEN model = truth THEN 1.0 / rank END), 0.0)')} AS mrr
+FROM rk GROUP BY query_id"""))
+def w9_router_ranking(spark, sf_dir):
+    """W9-W11 of the router's ranked models: where the true best model stands."""
+    train, test, _ = _chain(spark, sf_dir)
+    ranked = RT.ranked_models(RT.knn_scores(train, test, 20), test, train.select(F.col("ground_truth").alias("model")))
+    m = RT.ranking_quality(ranked, test, 5)
+    return m.select("query_id", r6("ndcg_at_k").alias("ndcg_at_k"), "hit_at_k", r6("mrr").alias("mrr"))
