@@ -14,7 +14,9 @@ answered to their blocks; texts and links never are.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from routelake.llm.common import worker_state, written
 
-BLOCK_CHARS = 12_000_000   # characters of the documents of a block (a longer document is a block of its own)
-UNITS = 250_000            # units a worker remembers; a block ends where they are forgotten
+BLOCK_CHARS = 6_000_000    # characters of the documents of a block (a longer document is a block of its own)
+UNITS = 220_000            # units a worker remembers; a block ends where they are forgotten
 UNIT_CHARS = 64            # longer units are forgotten with their document slice
 SLICE_CHARS = 1_000_000    # characters encoded at a time
+JOINED = 50                # units that are encoded in one string
 _SPACE = "▁"          # the second tokenizer's mark of a space
+_NOT_SPLIT = re.compile("(?:^| )(?:[\\s\u180e]|$)")  # a piece between spaces that is empty or begins with white space
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,18 +66,41 @@ class Tokenizers:
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         #: A unit's tokens don't depend on its neighbours if no piece goes on past a word into a space.
         self.splits = not any(_SPACE in p.lstrip(_SPACE) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.a_text = [str(i) for i in range(len(self.a_bytes))]
-        self.b_text = [str(i) for i in range(len(self.b_bytes))]
+        #: Texts of the ids with what follows them in a group list: A id and comma, A id and bar, B id and comma, B id and semicolon, B id.
+        self.texts = np.array([f"{i}{after}" for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), (",", ";", ""))) for after in ends for i in range(n)],
+                              dtype=object)
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids of a space and each unit, one unit after the other, and their number by unit; then B's. None where the joined bytes differ
+        from the space and the unit. Units are encoded ``JOINED`` at a time, a space between them, as they stand in a text."""
+        groups: list[list[str]] = []
+        room = 0
+        for u in units:
+            if not room or _NOT_SPLIT.search(u) or not self.splits:
+                groups.append([u])
+                room = 0 if _NOT_SPLIT.search(u) or not self.splits else JOINED - 1
+            else:
+                groups[-1].append(u)
+                room -= 1
+        texts = [" ".join(g) for g in groups]
+        whole = b"".join([(" " + t).encode() for t in texts])
+        ends = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units)))
+        out = []
+        for ids, tokens, size in ((flattened([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]), self.a_bytes, self.a_size),
+                                  (flattened(self.b.encode(texts, num_threads=1)), self.b_bytes, self.b_size)):
+            at = np.cumsum(size[ids])
+            last = np.searchsorted(at, ends)
+            if not len(at) or at[-1] != ends[-1] or (at[last] != ends).any() or b"".join(map(tokens.__getitem__, ids.tolist())) != whole:
+                if len(units) > 1:  # some unit is at fault: look for it in halves
+                    return tuple(np.concatenate(x) for x in zip(self.encode(units[:len(units) // 2]), self.encode(units[len(units) // 2:])))
+                none = np.zeros(0, np.int64)
+                return none, np.zeros(1, np.int64), none, np.zeros(1, np.int64)
+            out += [ids, np.diff(last + 1, prepend=0)]
+        return tuple(out)
+
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A and B ids of a space and each unit; none where the joined bytes differ from it."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        for i, u in enumerate(units):
-            raw = (" " + u).encode()
-            if b"".join(map(self.b_bytes.__getitem__, b[i])) != raw or b"".join(map(self.a_bytes.__getitem__, a[i])) != raw:
-                a[i], b[i] = [], []
-        return a, b
+def flattened(rows: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(rows), np.int64, sum(map(len, rows)))
 
 
 def coalesce(a_start, a_end, b_start, b_end):
@@ -101,9 +128,11 @@ class Aligner:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
+        self.long: list[str] = []
         self.groups: list[str] = []
         self.counts = np.zeros((1024, 4), np.int64)       # n_a, n_b, n_groups, n_links
-        self.pairs: list[np.ndarray] = []                 # distinct pairs (a << 32 | b) of a unit
+        self.sizes: list[np.ndarray] = []                 # by slice of units: distinct pairs of each unit,
+        self.pairs: list[np.ndarray] = []                 # these pairs (a << 32 | b), one unit after the other,
         self.times: list[np.ndarray] = []                 # and how often each is linked
 
     def learn(self, units: list[str]) -> None:
@@ -118,9 +147,7 @@ class Aligner:
             at = end
 
     def _learn(self, units: list[str]) -> None:
-        a_ids, b_ids = self.t.encode(units)
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(units)) for ids in (a_ids, b_ids))
-        a, b = (np.fromiter((i for ids in rows for i in ids), np.int64) for rows in (a_ids, b_ids))
+        a, n_a, b, n_b = self.t.encode(units)
         a_end, b_end = np.cumsum(self.t.a_size[a]), np.cumsum(self.t.b_size[b])
         a_group, b_group, lo, hi = coalesce(a_end - self.t.a_size[a], a_end, b_end - self.t.b_size[b], b_end)
         links = hi - lo
@@ -134,8 +161,6 @@ class Aligner:
         new = np.ones(len(code), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])
         first = np.flatnonzero(new)
-        times = np.diff(np.append(first, len(code)))
-        bounds = np.searchsorted(owner[first], np.arange(len(units) + 1))
         base = len(self.groups)
         while base + len(units) > len(self.counts):
             self.counts = np.vstack([self.counts, np.zeros_like(self.counts)])
@@ -145,68 +170,58 @@ class Aligner:
         first_of = np.ones(len(a), bool)
         first_of[1:] = a_group[1:] != a_group[:-1]
         block[:, 2] = np.bincount(unit[first_of], minlength=len(units))
-        distinct = code[first]
-        self.pairs += [distinct[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        self.times += [times[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        self.groups += self._texts(a_ids, b_ids, a_group.tolist(), b_group.tolist())
+        self.sizes.append(np.bincount(owner[first], minlength=len(units)))
+        self.pairs.append(code[first])
+        self.times.append(np.diff(np.append(first, len(code))))
+        self.groups += self._texts(a, b, n_a, n_b, a_group, b_group)
         self.index.update(zip(units, range(base, base + len(units))))
+        self.long += [u for u in units if len(u) > UNIT_CHARS]
 
-    def _texts(self, a_ids, b_ids, a_group, b_group) -> list[str]:
+    def _texts(self, a, b, n_a, n_b, a_group, b_group) -> list[str]:
         """``a1,a2|b1;a3|b2`` of every unit."""
-        out, i, j, a_text, b_text = [], 0, 0, self.t.a_text, self.t.b_text
-        for xs, ys in zip(a_ids, b_ids):
-            if not xs:
-                out.append("")
-                continue
-            parts, g, y = [a_text[xs[0]]], a_group[i], 0
-            for x, h in zip(xs[1:], a_group[i + 1:i + len(xs)]):
-                if h != g:
-                    parts.append("|")
-                    s = y
-                    while y < len(ys) and b_group[j + y] == g:
-                        y += 1
-                    parts.append(",".join([b_text[t] for t in ys[s:y]]))
-                    parts.append(";")
-                    g = h
-                else:
-                    parts.append(",")
-                parts.append(a_text[x])
-            parts.append("|")
-            parts.append(",".join([b_text[t] for t in ys[y:]]))
-            out.append("".join(parts))
-            i += len(xs)
-            j += len(ys)
-        return out
+        side = np.repeat([0, 1], [len(a), len(b)])
+        group = np.concatenate([a_group, b_group])
+        order = np.lexsort((side, group))
+        side, group = side[order], group[order]
+        ends = np.ones(len(order), bool)  # the last token of its side in its group
+        ends[:-1] = (side[1:] != side[:-1]) | (group[1:] != group[:-1])
+        edges = np.concatenate([[0], np.cumsum(n_a + n_b)])
+        after = ends.astype(np.int64)
+        last = edges[1:][n_a > 0] - 1
+        after[last] = 2  # a unit's last token: nothing
+        sizes = np.array([len(self.t.a_bytes), len(self.t.b_bytes)])
+        place = np.concatenate([a, b])[order] + after * sizes[side] + side * 2 * sizes[0]
+        parts = self.t.texts[place].tolist()
+        edges = edges.tolist()
+        return ["".join(parts[s:e]) for s, e in zip(edges, edges[1:])]
 
     def units_of(self, text: str | None) -> list[str]:
         """The units of a text: its space-separated pieces, or all of it if one of them is empty or begins with white space."""
         if not text:
             return []
-        pieces = text.split(" ")
-        if not self.t.splits or any(not p or p[0].isspace() or p[0] == "᠎" for p in pieces):
-            return [text]
-        return pieces
+        return text.split(" ") if self.t.splits and not _NOT_SPLIT.search(text) else [text]
 
-    def documents(self, texts: list[str | None]) -> list[list[int]]:
+    def documents(self, texts: list[str | None]) -> list[np.ndarray]:
         """Unit indexes of each text (in order); none for a text without tokens."""
         units = [self.units_of(t) for t in texts]
         self.learn(list({u for us in units for u in us if u not in self.index}))
         out = []
         for text, us in zip(texts, units):
-            found = [self.index[u] for u in us]
-            if any(not self.counts[i, 0] for i in set(found)):
+            found = np.fromiter(map(self.index.__getitem__, us), np.int64, len(us))
+            if not self.counts[found, 0].all():
                 # One unit's bytes differ: the text counts if its whole does not.
                 if text not in self.index:
                     self.learn([text])
-                whole = self.index[text]
-                found = [whole] if self.counts[whole, 0] else []
+                found = np.array([self.index[text]])
+                found = found[self.counts[found, 0] > 0]
             out.append(found)
         return out
 
     def forget_long(self) -> None:
         """Drops the texts of long units (their alignment stays until ``forget``)."""
-        for u in [u for u in self.index if len(u) > UNIT_CHARS]:
+        for u in self.long:
             del self.index[u]
+        self.long = []
 
 
 def _load(a_path: str, b_path: str) -> Tokenizers:
@@ -223,6 +238,16 @@ _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64()
                           *((f, pa.binary()) for f in _FIELDS[4:])])
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest width that holds them all, which the first byte tells."""
+    width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
 class _Block:
     """Documents of a block, as they come."""
 
@@ -233,10 +258,10 @@ class _Block:
     def add(self, doc_ids: list, texts: list[str | None]) -> None:
         a = self.aligner
         for i, text, found in zip(doc_ids, texts, a.documents(texts)):
-            groups = ";".join(map(a.groups.__getitem__, found))
-            unit, times = np.unique(np.array(found, np.int64), return_counts=True)
+            groups = ";".join(map(a.groups.__getitem__, found.tolist()))
+            unit, times = np.unique(found, return_counts=True)
             self.doc_ids.append(i)
-            self.digests.append(groups if self.keep_groups else hashlib.sha256(groups.encode()).hexdigest() if found else "")
+            self.digests.append(groups if self.keep_groups else hashlib.sha256(groups.encode()).hexdigest() if len(found) else "")
             self.units.append(unit.astype(np.uint32))
             self.times.append(times.astype(np.uint32))
             self.sums.append(times @ a.counts[unit])
@@ -247,9 +272,12 @@ class _Block:
         sizes = np.array([len(u) for u in self.units], np.int64)
         flat = np.concatenate(self.units) if self.units else np.empty(0, np.uint32)
         used, place = np.unique(flat, return_inverse=True)
-        unit_sizes = np.array([len(a.pairs[u]) for u in used], np.int64)
-        codes = np.concatenate([a.pairs[u] for u in used]) if len(used) else np.empty(0, np.int64)
-        unit_times = np.concatenate([a.times[u] for u in used]) if len(used) else np.empty(0, np.int64)
+        nothing = [np.empty(0, np.int64)]
+        known = np.concatenate(a.sizes or nothing)
+        keep = np.zeros(len(known), bool)
+        keep[used] = True
+        unit_sizes, keep = known[used], np.repeat(keep, known)
+        codes, unit_times = (np.concatenate(x or nothing)[keep] for x in (a.pairs, a.times))
         pairs, unit_pairs = np.unique(codes, return_inverse=True)
         starts = np.cumsum(unit_sizes) - unit_sizes
         docs = np.zeros(len(pairs), np.int64)  # documents of the block that hold each pair
@@ -262,9 +290,8 @@ class _Block:
                 linked = unit_pairs[np.repeat(starts[u] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))]
                 docs[np.unique(linked)] += 1
         row = {"block": block, "doc_ids": self.doc_ids, "counts": np.array(self.sums, np.int64).reshape(-1, 4).tobytes(), "digests": self.digests,
-               "doc_sizes": sizes.astype(np.uint32).tobytes(), "doc_units": place.astype(np.uint32).tobytes(),
-               "doc_times": np.concatenate(self.times).tobytes() if self.times else b"", "unit_sizes": unit_sizes.astype(np.uint32).tobytes(),
-               "unit_pairs": unit_pairs.astype(np.uint32).tobytes(), "unit_times": unit_times.astype(np.uint32).tobytes(),
+               "doc_sizes": _packed(sizes), "doc_units": _packed(place), "doc_times": _packed(np.concatenate(self.times or nothing)),
+               "unit_sizes": _packed(unit_sizes), "unit_pairs": _packed(unit_pairs), "unit_times": _packed(unit_times),
                "pairs": pairs.tobytes(), "pair_docs": docs.tobytes()}
         return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
@@ -318,15 +345,14 @@ def _answered(block: pa.Table, answers: pa.Table) -> pa.Table:
     total, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = answers.column("place").to_numpy()
     total[at], best[at] = answers.column("total").to_numpy(), answers.column("best").to_numpy()
-    pair, times = (np.frombuffer(row[k], np.uint32).astype(np.int64) for k in ("unit_pairs", "unit_times"))
+    pair, times = (_unpacked(row[k]) for k in ("unit_pairs", "unit_times"))
 
     def sums(values, sizes):
         edge = np.concatenate([[0], np.cumsum(values)])
         end = np.cumsum(sizes)
         return edge[end] - edge[end - sizes]
 
-    unit_sizes, doc_sizes = (np.frombuffer(row[k], np.uint32).astype(np.int64) for k in ("unit_sizes", "doc_sizes"))
-    units, doc_times = (np.frombuffer(row[k], np.uint32).astype(np.int64) for k in ("doc_units", "doc_times"))
+    unit_sizes, doc_sizes, units, doc_times = (_unpacked(row[k]) for k in ("unit_sizes", "doc_sizes", "doc_units", "doc_times"))
     unit_total, unit_best = (sums(x[pair] * times, unit_sizes) for x in (total, best))
     counts = np.frombuffer(row["counts"], np.int64).reshape(-1, 4)
     return pa.table([pa.array(row["doc_ids"], pa.int64()), *(pa.array(counts[:, k]) for k in range(4)),
