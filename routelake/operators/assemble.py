@@ -84,7 +84,7 @@ def fill_from_first(df: DataFrame, col: str, by: str = "query_id", order: str =
 # ---------------------------------------------------------------- E11
 def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings: DataFrame | None = None,
                  max_models: int = 4096, partitions: int | None = None, done: DataFrame | None = None,
-                 rounds: int = 0) -> DataFrame:
+                 rounds: int = 0, earlier=None) -> DataFrame:
     """Queries x models (J1) -> plain/think prompts (P7) -> work left (J9) -> model calls
     (B1, B2) -> token estimates (T22), cost (T21), score (E9) -> embeddings (J11).
 
@@ -94,7 +94,9 @@ def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings:
     are the ``_think`` rows).  ``respond(llm, prompt, ground_truth)`` is the
     model call.  ``embeddings``: query_id plus vector columns (J11).
     ``done``: the log of an earlier call; what succeeded there is not called again and
-    comes back unchanged.  ``rounds``: retry rounds for failed calls (each one's
+    comes back unchanged.  ``earlier``: the ``KeyedRuns`` (key query_id, llm) of earlier calls; what succeeded in them
+    is found by their key filters, without reading runs that can't hold any of the work, and the result holds the new rows
+    only, to be written as the next run.  ``rounds``: retry rounds for failed calls (each one's
     rows are checkpointed); by default a failed call stays a row with success = false.
     Narrow queries are spread before they are paired with models, so the work list itself
     (models times larger) is not shuffled; ``partitions`` sets the number of tasks.
@@ -110,6 +112,8 @@ def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings:
     long = long.withColumn("query", F.col("prompt"))
     if done is not None:
         long = pending_work(long, done, key).select(*long.columns)
+    if earlier is not None:
+        long = earlier.pending(long, "success")[0].select(*long.columns)
     given = ["__llm_base", "prompt", "ground_truth"]
     called = (retry_rounds(long, respond, given, key, rounds, "response", partitions=0) if rounds
               else fan_out(long, respond, given, "response", 0))

@@ -278,19 +278,72 @@ def _math_pairs(spark, sf_dir):
     return d.select("doc_id", pred.alias("prediction"), gt.alias("ground_truth"))
 
 
-@register("t19_last_boxed")
+def _replaced(x: str, pairs) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, {old}, {new})"
+    return x
+
+
+#: T19, T20 and E7 in SQL, step by step, for both sides (p: prediction, g: truth).
+_MATH_SQL = {
+    "pair": r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'so \boxed{' || doc_id % 9 || '}' WHEN 1 THEN '\boxed{\frac' || doc_id % 9 || '2}'
+                  WHEN 2 THEN text || ' \boxed ' || doc_id % 9 || '$ end' WHEN 3 THEN '\boxed{x = ' || doc_id % 9 || '\%}' WHEN 4 THEN '\fbox{' || doc_id % 9 || '}' ELSE text END AS p,
+                'so \boxed{' || doc_id % 9 || '}' AS g FROM ftxt""",
+    "m0": "SELECT doc_id, 'p' AS side, p AS s FROM pair UNION ALL SELECT doc_id, 'g', g FROM pair",
+    "m1": r"""SELECT *, CASE WHEN contains(s, '\boxed') THEN substr(s, length(s) - length(string_split(s, '\boxed')[-1]) - 5)
+                   WHEN contains(s, '\fbox') THEN substr(s, length(s) - length(string_split(s, '\fbox')[-1]) - 4) END AS tail FROM m0""",
+    "m2": """SELECT doc_id, side, min(i) FILTER (WHERE ch = '}' AND depth = 0) AS stop FROM (
+               SELECT *, sum(CASE ch WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id, side ORDER BY i) AS depth FROM (
+                 SELECT doc_id, side, unnest(string_split(tail, '')) AS ch, unnest(range(1, length(tail) + 1)) AS i FROM m1) t) u GROUP BY doc_id, side""",
+    "m3": r"""SELECT m1.doc_id, m1.side, s, CASE WHEN contains(s, '\boxed ') THEN '\boxed ' || string_split(string_split(s, '\boxed ')[-1], '$')[1]
+                   WHEN stop IS NOT NULL THEN substr(tail, 1, stop) END AS boxed
+              FROM m1 LEFT JOIN m2 ON m1.doc_id = m2.doc_id AND m1.side = m2.side""",
+    "m4": r"""SELECT *, CASE WHEN contains(boxed, '\boxed ') THEN CASE WHEN starts_with(boxed, '\boxed ') THEN substr(boxed, 8) END
+                   WHEN starts_with(boxed, '\boxed{') AND ends_with(boxed, '}') THEN substr(boxed, 8, length(boxed) - 8) END AS raw FROM m3""",
+    "c1": "SELECT *, " + _replaced("raw", [("chr(10)", "''"), (r"'\!'", "''"), (r"'\\'", r"'\'"), ("'tfrac'", "'frac'"), ("'dfrac'", "'frac'"), (r"'\left'", "''"),
+                                            (r"'\right'", "''"), (r"'^{\circ}'", "''"), (r"'^\circ'", "''"), (r"'\$'", "''")]) + " AS a FROM m4",
+    "c2": r"""SELECT * EXCLUDE a, CASE WHEN NOT contains(a, '\text{ ') THEN a WHEN len(string_split(a, '\text{ ')) = 2 THEN string_split(a, '\text{ ')[1] END AS a FROM c1""",
+    "c3": "SELECT * EXCLUDE a, " + _replaced("a", [(r"'\%'", "''"), ("' .'", "' 0.'"), ("'{.'", "'{0.'")]) + " AS a FROM c2",
+    "c4": "SELECT *, CASE WHEN starts_with(a, '.') THEN '0' || a ELSE a END AS t FROM c3",
+    "c5": "SELECT * EXCLUDE t, CASE WHEN len(string_split(t, '=')) = 2 AND length(string_split(t, '=')[1]) <= 2 THEN string_split(t, '=')[2] ELSE t END AS t FROM c4",
+    "c6": r"""SELECT * EXCLUDE t, replace(CASE WHEN NOT contains(t, '\sqrt') THEN t WHEN list_contains(string_split(t, '\sqrt')[2:], '') THEN NULL
+                ELSE string_split(t, '\sqrt')[1] || array_to_string(list_transform(string_split(t, '\sqrt')[2:], lambda x:
+                  CASE WHEN x[1] <> '{' THEN '\sqrt{' || x[1] || '}' || substr(x, 2) ELSE '\sqrt' || x END), '') END, ' ', '') AS t FROM c5""",
+    "c7": r"""SELECT *, string_split(t, '\frac') AS fr, list_filter(list_transform(string_split(t, '\frac')[2:], lambda x:
+                CASE WHEN x = '' THEN 'err' WHEN x[1] = '{' THEN 'ok' WHEN length(x) < 2 THEN 'short' ELSE 'ok' END), lambda k: k <> 'ok')[1] AS bad FROM c6""",
+    "c8": r"""SELECT * EXCLUDE t, CASE WHEN len(fr) <= 1 THEN t WHEN bad = 'err' THEN NULL WHEN bad = 'short' THEN t
+                ELSE fr[1] || array_to_string(list_transform(fr[2:], lambda x: '\frac' || CASE WHEN x[1] = '{' THEN x
+                  WHEN x[2] <> '{' THEN '{' || x[1] || '}{' || x[2] || '}' || substr(x, 3) ELSE '{' || x[1] || '}' || x[2] || substr(x, 3) END), '') END AS t FROM c7""",
+    "c9": r"SELECT * EXCLUDE t, CASE WHEN t = '0.5' THEN '\frac{1}{2}' ELSE t END AS t FROM c8",
+    "ca": r"""SELECT doc_id, side, s, boxed, raw, CASE WHEN length(a) = 0 THEN '' WHEN len(string_split(t, '/')) <> 2 THEN t
+                WHEN regexp_matches(string_split(t, '/')[1], '^-?(0|[1-9][0-9]*)$') AND regexp_matches(string_split(t, '/')[2], '^-?(0|[1-9][0-9]*)$')
+                     AND string_split(t, '/')[1] <> '-0' AND string_split(t, '/')[2] <> '-0'
+                  THEN '\frac{' || string_split(t, '/')[1] || '}{' || string_split(t, '/')[2] || '}'
+                WHEN regexp_matches(string_split(t, '/')[1], '^[+-]?[0-9]+(_[0-9]+)*$') AND regexp_matches(string_split(t, '/')[2], '^[+-]?[0-9]+(_[0-9]+)*$') THEN t
+                END AS canonical FROM c9""",
+}
+
+
+def _math_sql(final: str) -> str:
+    return with_("ftxt", extra=_MATH_SQL) + final
+
+
+@register("t19_last_boxed", _math_sql(" SELECT doc_id, boxed FROM m3 WHERE side = 'p'"))
 def t19_last_boxed(spark, sf_dir):
     p = _math_pairs(spark, sf_dir)
     return p.select("doc_id", M.last_boxed("prediction").alias("boxed"))
 
 
-@register("t20_canonical_answer")
+@register("t20_canonical_answer", _math_sql(" SELECT doc_id, canonical FROM ca WHERE side = 'p'"))
 def t20_canonical_answer(spark, sf_dir):
     p = _math_pairs(spark, sf_dir)
     return p.select("doc_id", M.canonical_answer(M.remove_boxed(M.last_boxed("prediction"))).alias("canonical"))
 
 
-@register("e7_math_score")
+@register("e7_math_score", _math_sql("""
+ SELECT p.doc_id, CASE WHEN g.raw IS NULL OR p.s IS NULL THEN NULL WHEN p.boxed IS NULL OR p.raw IS NULL THEN 0.0::DOUBLE
+   WHEN p.canonical IS NULL OR g.canonical IS NULL THEN CAST(p.raw = g.raw AS DOUBLE) ELSE CAST(p.canonical = g.canonical AS DOUBLE) END AS score
+ FROM ca p JOIN ca g ON p.doc_id = g.doc_id AND p.side = 'p' AND g.side = 'g'"""))
 def e7_math_score(spark, sf_dir):
     p = _math_pairs(spark, sf_dir)
     return p.select("doc_id", M.math_score("prediction", "ground_truth").alias("score"))

@@ -81,3 +81,27 @@ def test_replaced_and_compacted_runs(spark, store):
     store.compact(keep_newest=1)
     left, _ = store.pending(work(spark, [5, 100, 101, 305]), "success")
     assert rows(left) == [(100, "b"), (101, "a"), (101, "b")]
+
+
+def test_log_assembly_goes_on_from_its_runs(spark):
+    """A model is down in the first call; the second calls only what is missing, and of new queries everything."""
+    from routelake.operators import assemble as A
+    from tests.test_batch import MODEL_SCHEMA, MODELS, QUERIES, QUERY_SCHEMA
+
+    def call(down):
+        def respond(llm, prompt, gold):
+            if llm == down:
+                raise RuntimeError("down")
+            return f"{down}: {gold}"
+
+        return respond
+
+    cat = spark.createDataFrame(MODELS, MODEL_SCHEMA)
+    log = K.KeyedRuns(spark, scratch_path(spark, f"keyed-{uuid.uuid4().hex}"), ["query_id", "llm"])
+    some, every = spark.createDataFrame(QUERIES[:4], QUERY_SCHEMA), spark.createDataFrame(QUERIES, QUERY_SCHEMA)
+    log.write_run(A.assemble_log(some, cat, call("m3")), 1)
+    log.write_run(A.assemble_log(every, cat, call("none"), earlier=log), 2)
+    got = {(r.query_id, r.llm): r.response for r in log.read().where("success").collect()}
+    assert len(got) == log.read().where("success").count() == 6 * 5 * 2
+    assert all(v == ("none: gold%d" if q > 3 or m.startswith("m3") else "m3: gold%d") % q for (q, m), v in got.items())
+    assert A.assemble_log(every, cat, call("x"), earlier=log).count() == 0
