@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from routelake.llm.common import CACHE_BYTES, Cache, worker_state
 
 CACHED_CHARS = 64      # longer pre-tokens are encoded anew each time
-TOKEN_SHARE = 0.7      # of the worker's cache, for pre-tokens; the rest is for space-separated pieces
+SPACED_BYTES = CACHE_BYTES * 6 // 5  # of pre-tokens and pieces that begin with a space; this operator keeps little else
+TOKEN_BYTES = CACHE_BYTES // 10      # and of other pre-tokens
 
 
 class ByteBPE:
@@ -35,9 +36,10 @@ class ByteBPE:
         self.low = [0] * (size // 64 + 1)
         self.mid = [0] * (len(self.low) // 64 + 1)
         self.buckets: dict[int, list[int]] = {}
+        self.two = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(65536)]  # rank of each pair of bytes
         self.splits = pattern == public_tokenizers.PATTERN  # a space before a non-space always begins a match
-        self.tokens = Cache(int(CACHE_BYTES * TOKEN_SHARE))
-        self.spaced = Cache(int(CACHE_BYTES * (1 - TOKEN_SHARE)))
+        self.spaced = Cache(SPACED_BYTES)  # without the space: ids of a space and the key, be it one pre-token or more
+        self.tokens = Cache(TOKEN_BYTES)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
@@ -55,8 +57,10 @@ class ByteBPE:
             return [whole]
         n = len(b)
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [get(b[i:i + 2], -1) for i in range(n - 1)] + [-1, -1]  # rank of the pair that begins here
+        two = self.two
+        pair = [two[x << 8 | y] for x, y in zip(b, b[1:])]  # rank of the pair that begins here
         new = [i for i, r in enumerate(pair) if r >= 0]  # positions that go to the bucket of their pair's rank
+        pair += (-1, -1)
         buckets, low, mid, top = self.buckets, self.low, self.mid, 0
         while True:
             for i in new:
@@ -111,19 +115,23 @@ class ByteBPE:
 
     def _token(self, t: str) -> bytes:
         """Ids of one match of the pattern, as little-endian unsigned 32-bit integers."""
-        ids = self.tokens.get(t)
+        cache, key = (self.spaced, t[1:]) if t[0] == " " else (self.tokens, t)
+        ids = cache.get(key)
         if ids is None:
             merged = self.merge(t.encode("utf-8", "surrogatepass"))
             ids = struct.pack(f"<{len(merged)}I", *merged)
             if len(t) <= CACHED_CHARS:
-                self.tokens.put(t, ids, len(t) + len(ids))
+                cache.put(key, ids, len(t) + len(ids))
         return ids
 
     def _piece(self, p: str) -> bytes | None:
         """Ids of a space and the piece after it; None if the piece is empty or begins with white space."""
         if not p or p[0].isspace():
             return None
-        ids = b"".join(map(self._token, self.find(" " + p)))
+        found = self.find(" " + p)
+        if len(found) == 1:
+            return self._token(found[0])
+        ids = b"".join(map(self._token, found))
         if len(p) <= CACHED_CHARS:
             self.spaced.put(p, ids, len(p) + len(ids))
         return ids

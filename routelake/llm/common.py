@@ -37,24 +37,32 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-CACHE_BYTES = 80_000_000  # what a Python worker remembers at most, in all operators together
+CACHE_BYTES = 100_000_000  # what a Python worker remembers at most, in all operators together
 _ENTRY = 160              # bytes of a dictionary entry with its key's and value's headers
 _owned: dict = {}
 
 
 class Cache(dict):
-    """A dictionary that starts anew when its estimated size passes ``limit`` bytes."""
+    """A dictionary of an estimated size of at most ``limit`` bytes. When it is full it keeps what it has (the frequent keys came first), until
+    ``STALE`` times as many keys as it holds have been turned away: then the texts have changed, and it starts anew."""
+
+    STALE = 4
 
     def __init__(self, limit: int = CACHE_BYTES):
         super().__init__()
         self.limit = self.room = limit
+        self.turned_away = 0
 
     def put(self, key, value, size: int) -> None:
-        self.room -= size + _ENTRY
-        if self.room < 0:
+        size += _ENTRY
+        if size > self.room:
+            self.turned_away += 1
+            if self.turned_away <= self.STALE * len(self) or size > self.limit:
+                return
             self.clear()
-            self.room = self.limit - size - _ENTRY
+            self.room, self.turned_away = self.limit, 0
         self[key] = value
+        self.room -= size
 
 
 def worker_state(key, make: Callable):

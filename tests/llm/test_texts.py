@@ -274,3 +274,15 @@ def test_contaminated_documents(spark, odd):
     kept = decontaminate.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
     assert decontaminate.contaminated(odd, bench).collect() == [] and decontaminate.contaminated(docs, bench.where("false")).collect() == []
+
+
+def test_a_benchmark_of_many_blocks(spark, monkeypatch):
+    """Block after block: the same leaks and the same rows left as with a single block."""
+    items = [(i, " ".join(f"b{i}w{k}" for k in range(12))) for i in range(30)]
+    docs = spark.createDataFrame([(i, f"start {items[i % 40][1] if i % 40 < 30 else 'clean text'} end") for i in range(80)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
+    assert sum(1 for _ in decontaminate.benchmark_blocks(bench)) > 3
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole and len(whole) == 60
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()) == [*range(30, 40), *range(70, 80)]
