@@ -248,6 +248,23 @@ def e2_choice_match(spark, sf_dir):
     return c.select("doc_id", S.choice_match("prediction", "ground_truth").alias("em_mc"))
 
 
+#: F-TXT choices whose letters are written with and without blanks, on both sides.
+_STRICT_SQL = {"c": """SELECT doc_id, text || ' (' || CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE '' END || substr('ABCD', CAST(doc_id % 4 + 1 AS INTEGER), 1) || ')' AS prediction,
+  'answer: (' || substr('ABCD', CAST(doc_id // 4 % 4 + 1 AS INTEGER), 1) || ')' AS ground_truth FROM ftxt"""}
+_STRICT_LETTER = r"coalesce(regexp_extract_all({}, '\([a-zA-Z]\)')[-1], '')"
+
+
+@register("e2_strict_choice", with_("ftxt", extra=_STRICT_SQL) + f"""
+SELECT doc_id, {_STRICT_LETTER.format('prediction')} AS letter, CAST({_STRICT_LETTER.format('prediction')} = {_STRICT_LETTER.format('ground_truth')} AS DOUBLE) AS em_mc FROM c""")
+def e2_strict_choice(spark, sf_dir):
+    """E2's strict form and T2 without blanks: equal letters, and a letter between blanks is none."""
+    letter = lambda i: F.substring(F.lit("ABCD"), (i % 4 + 1).cast("int"), F.lit(1))
+    d = fx.f_txt(spark, sf_dir)
+    c = d.select("doc_id", F.concat("text", F.lit(" ("), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(""), letter(F.col("doc_id")), F.lit(")")).alias("prediction"),
+                 F.concat(F.lit("answer: ("), letter(F.floor(F.col("doc_id") / 4)), F.lit(")")).alias("ground_truth"))
+    return c.select("doc_id", T.last_paren_letter("prediction", False).alias("letter"), S.choice_match("prediction", "ground_truth", strict=True).alias("em_mc"))
+
+
 @register("e3_contains_match", with_("fpair", extra=_VARIANTS_SQL) + f"""
 SELECT conv_id, turn, variant, CASE WHEN {norm_sql('prediction')} = {norm_sql('ground_truth')}
   OR contains({norm_sql('prediction')}, {norm_sql('ground_truth')}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cem FROM v""")
