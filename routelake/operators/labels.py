@@ -64,6 +64,16 @@ def minmax_normalise(df: DataFrame, cols, by, stats: DataFrame | None = None) ->
     return out.drop(*[f"__{s}_{c}" for c in cols for s in ("min", "max")])
 
 
+def router_log(log: DataFrame, output_size: int, by: str = "task_name") -> DataFrame:
+    """The graph router's training log: each answer's ``effect`` (its performance) and its ``cost`` for an answer of a fixed number of
+    ``output_size`` tokens, scaled to [0, 1] within the task (a task of one cost: NULL). ``log`` has the token count of the prompt and both prices."""
+    from routelake.functions.numeric import token_cost
+
+    priced = log.withColumn("cost", token_cost("input_tokens_num", F.lit(output_size), "input_price", "output_price"))
+    return (minmax_normalise(priced, ["cost"], by).withColumn("cost", F.col("normalized_cost")).drop("normalized_cost")
+            .withColumnRenamed("performance", "effect"))
+
+
 def reward(perf, cost, alpha: float, beta: float) -> Column:
     """Alpha * performance - beta * cost."""
     p = perf if isinstance(perf, Column) else F.col(perf)

@@ -32,6 +32,7 @@ ROUTE_SCHEMA = T.StructType([T.StructField("query", T.StringType()),
                              T.StructField("candidates", T.ArrayType(CANDIDATE)),
                              T.StructField("ground_truth", T.StringType())])
 
+MAX_CATALOGUE = 10_000
 CATALOGUE_ENTRY = "struct<feature:string,input_price:double,output_price:double,model:string>"
 
 
@@ -86,7 +87,7 @@ def write_json_arrays(df: DataFrame, path: str, chunk_col: str) -> None:
     """S6 (array form): one JSON array file per value of ``chunk_col``.
 
     Chunks must be bounded (e.g. ``query_id div 200``) because each array is
-    built in one task; prefer ``write_jsonl`` for open-ended outputs."""
+    built in one task; for one array of any size use ``json_array.write_json_array``."""
     body = df.groupBy(chunk_col).agg(F.to_json(F.collect_list(F.struct(*[c for c in df.columns if c != chunk_col])))
                                      .alias("value"))
     body.write.mode("overwrite").partitionBy(chunk_col).text(path)
@@ -126,7 +127,11 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_catalogue(catalogue: DataFrame, path: str, order: str = "llm_idx") -> None:
-    """Write a catalogue (bounded: one row per model) as a single JSON object."""
+    """Write a catalogue as a single JSON object, by one task: a row per model, at most ``MAX_CATALOGUE`` (more raise)."""
+    from routelake.operators.common import row_count_at_most
+
+    if not row_count_at_most(catalogue, MAX_CATALOGUE):
+        raise ValueError(f"a catalogue of more than {MAX_CATALOGUE} models; write it as a table")
     entry = F.struct(F.col("llm_description").alias("feature"), "input_price", "output_price", "model")
     obj = catalogue.agg(F.to_json(F.map_from_entries(F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("llm").alias("k"), entry.alias("v")))),
@@ -147,8 +152,9 @@ def split_source(df: DataFrame, split: str, col: str = "split") -> DataFrame:
 
 # ---------------------------------------------------------------- checkpoints
 def write_run(df: DataFrame, path: str, run_id) -> None:
-    """Append one run as a ``run_id=...`` partition (atomic per job via
-    the output committer; earlier runs are untouched)."""
+    """Append one run as a ``run_id=...`` partition (all of a job's files or none, by
+    the output committer; earlier runs are untouched).  Writing a run id again adds to it: for runs that must
+    count once, replace one another or survive a replay use ``runs.RunStore``."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
