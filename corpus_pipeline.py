@@ -49,8 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = near_dup.near_duplicates(keyed.select(F.col(row).alias("doc_id"), F.col("text")), SIMILAR_PERCENT).select(F.col("doc_id").alias("key"), "component_id")
     ids = keyed.select(F.col(row).alias("key"), F.col("doc_id").cast("long").alias("id"))
     members = written(found.join(ids, "key"), "pipeline-members")
-    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("stays"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = members.join(stays.select("component_id", "stays"), "component_id").where("key <> stays.key").select(F.col("key").alias(row))
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("stays")).select("stays.key")
+    gone = members.select("key").join(stays, "key", "left_anti").withColumnRenamed("key", row)  # by row: a large group is no hot key
     return keyed.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
