@@ -8,6 +8,7 @@ is a Parquet table of segments of whole documents in ascending doc_id order.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -17,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routelake.llm.common import Cache, worker_state, written
+from routelake.llm.alignment import byte_alphabet
+from routelake.llm.common import CACHE_BYTES, Cache, worker_state, written
 
 SEGMENT_TOKENS = 65_536  # a segment ends with the document that reaches this; a longer document is a segment of its own
 CACHED_CHARS = 64
+JOINED = 50              # pieces that are encoded in one string
 
 SEGMENT = ("shard int, seq int, first long, n_tokens long, doc_ids array<bigint>, starts array<bigint>, "
            "chunks array<binary>, more array<binary>, ranks array<binary>")
@@ -79,7 +82,12 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = special_as_text
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = [] if special_as_text else added  # a text with one of them is encoded whole
-        self.known = Cache()
+        self.known = Cache(CACHE_BYTES * 2)  # this operator keeps little else
+        byte = byte_alphabet()
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
+        for token, i in vocab.items():
+            self.size[i] = len(token) if all(c in byte for c in token) else len(token.encode())
 
     @classmethod
     def load(cls, path: str, special_as_text: bool) -> PieceEncoder:
@@ -88,33 +96,39 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of a space and each piece. ``JOINED`` pieces at a time are encoded as they stand in a text, a space before each, and cut where
+        the tokens' bytes reach the pieces' ends."""
+        texts = [" " + " ".join(pieces[i:i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        whole = np.frombuffer("".join(texts).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(whole == 32)[1:], len(whole))  # a piece ends where the next one's space begins
+        at = np.cumsum(self.size[ids])
+        last = np.searchsorted(at, ends)
+        if not len(ids) or at[-1] != ends[-1] or (at[last] != ends).any():
+            return self._ids([" " + p for p in pieces])
+        raw, cuts = ids.astype("<u4").tobytes(), [0, *((last + 1) * 4).tolist()]
+        return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.split(" ") for t in texts]
         special = [any(s in t for s in self.special) for t in texts]
         split = [[""] if s else pieces for s, pieces in zip(special, split)]
-        if self.known.room < 0:
-            self.known = Cache()
-        new: set[str] = set()
-        for pieces in split:
-            new.update(set(pieces[1:]).difference(self.known))
-        odd = {p for p in new if not p or p[0].isspace() or p[0] == "᠎"}
-        new -= odd
-        fresh = dict(zip(new, self._ids([" " + p for p in new])))
-        short = {p: x for p, x in fresh.items() if len(p) <= CACHED_CHARS}
-        self.known.update(short)
-        self.known.room -= sum(map(len, short)) + sum(map(len, short.values())) + 160 * len(short)  # started anew before the next texts
-        long = {p: x for p, x in fresh.items() if len(p) > CACHED_CHARS}
-        whole = [s or bool(odd) and not odd.isdisjoint(pieces[1:]) for s, pieces in zip(special, split)]
-        first = iter(self._ids([t if w else pieces[0] for t, pieces, w in zip(texts, split, whole)]))
-        out = []
-        for pieces, w in zip(split, whole):
-            head = next(first)
-            if w:
-                out.append(head)
-            else:
-                get = self.known.__getitem__ if not long else lambda p: self.known.get(p) or long[p]
-                out.append(head + b"".join(map(get, pieces[1:])))
+        known = self.known
+        split = [(pieces[0], pieces[1:]) for pieces in split]
+        found = [list(map(known.get, rest)) for _, rest in split]
+        new = {p for (_, rest), ids in zip(split, found) if None in ids for p, x in zip(rest, ids) if x is None}
+        odd = {p for p in new if not p or p[0].isspace() or p[0] == "\u180e"}
+        fresh = list(new - odd)
+        fresh = dict(zip(fresh, self._pieces(fresh))) if fresh else {}
+        whole = [s or bool(odd) and not odd.isdisjoint(rest) for s, (_, rest) in zip(special, split)]
+        heads = self._ids([t if w else head for t, (head, _), w in zip(texts, split, whole)])
+        out = [head if w else head + b"".join([x or fresh[p] for p, x in zip(rest, ids)] if None in ids else ids)
+               for head, (_, rest), ids, w in zip(heads, split, found, whole)]
+        for p, ids in fresh.items():
+            if len(p) <= CACHED_CHARS:
+                known.put(p, ids, len(p) + len(ids))
         return out
 
 
