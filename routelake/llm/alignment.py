@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from routelake.llm.common import worker_state, written
 
 BLOCK_CHARS = 6_000_000    # characters of the documents of a block (a longer document is a block of its own)
+TASK_BLOCKS = 4            # blocks that one task answers, about
 UNITS = 220_000            # units a worker remembers; a block ends where they are forgotten
 UNIT_CHARS = 64            # longer units are forgotten with their document slice
 SLICE_CHARS = 1_000_000    # characters encoded at a time
@@ -385,6 +386,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False)
     parts = blocks(docs, a_path, b_path, keep_groups)
     rows = parts.select("block", "pairs", "pair_docs").mapInArrow(_pairs, "block long, place int, a int, b int, docs long")
     answers = rows.drop("docs").join(pair_counts(parts), ["a", "b"]).select("block", "place", "total", "best")
+    tasks = max(1, -(-parts.count() // TASK_BLOCKS))  # grows with the corpus, so a task's share doesn't
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-    return (parts.drop("pairs", "pair_docs").groupBy("block").cogroup(answers.groupBy("block"))
+    return (parts.drop("pairs", "pair_docs").repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block"))
             .applyInArrow(_answered, schema))
