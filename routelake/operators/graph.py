@@ -42,8 +42,9 @@ def degree_norm(edges: DataFrame) -> DataFrame:
     def inverse(side: str) -> DataFrame:
         return edges.groupBy(side).agg(F.pow(F.count(F.lit(1)).cast("double"), -0.5).alias(f"inv_{side}"))
 
+    # src is a query: as many as the input has, and their degrees compress so well that Spark would take them for a table to broadcast.
     # dst is a model: few and hot, so its degrees are broadcast once proven small
-    e = edges.join(inverse("src"), "src").join(broadcast_if_small(inverse("dst")), "dst")
+    e = edges.join(inverse("src").hint("merge"), "src").join(broadcast_if_small(inverse("dst")), "dst")
     return e.withColumn("norm", F.col("inv_src") * F.col("inv_dst")).drop("inv_src", "inv_dst")
 
 
