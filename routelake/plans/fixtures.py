@@ -87,7 +87,7 @@ def f_grid_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f_grid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_size", "p_brand")
+    part = spread_if_narrow(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_size", "p_brand"))
     return part.select(
         F.col("p_partkey").alias("query_id"), F.col("p_type").alias("task_name"),
         F.concat(F.lit("What is "), F.col("p_name"), F.lit("?")).alias("query"),
