@@ -19,6 +19,7 @@ from routelake.operators.common import r6
 from routelake.plans import fixtures as fx
 from routelake.plans.fixtures_sql import R6, with_
 from routelake.plans.registry import register
+from routelake.session import stored
 
 
 def lit_sql(s: str) -> str:
@@ -78,10 +79,10 @@ def a10_choice_prompts(spark, sf_dir):
 
 # ---------------------------------------------------------------- adapters
 def adapter_sources(spark, sf_dir):
-    """Nested benchmark-shaped sources derived from the test tables."""
-    d = fx.f_txt(spark, sf_dir)
+    """Nested benchmark-shaped sources derived from the test tables. Documents and pairs, which several sources read, are written once."""
+    d = stored(fx.f_txt(spark, sf_dir).select("doc_id", "text", "lang"), "adapter-documents")
     part = fx.table(spark, sf_dir, "part")
-    conv = fx.f_pair(spark, sf_dir)
+    conv = stored(fx.f_pair(spark, sf_dir).select("conv_id", "turn", "ground_truth", "prediction"), "adapter-pairs")
     first = F.col("text")
     words = F.split(F.col("text"), " ")
     choices4 = F.array("p_name", "p_brand", "p_type", F.lit("none"))
