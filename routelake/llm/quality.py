@@ -3,10 +3,15 @@
 Every document has a latent score w . x over features of its whole text. Preference pairs (a document labelled 1 over one labelled 0)
 give w by the logistic loss on feature differences, fitted with Newton's method. The score at the quantile that leaves the
 labelled share of 0 below it is the threshold: it maps to 0.5.
+
+All labelled documents are learned from. They are dealt into blocks, within which every document meets ``OPPONENTS`` of the other label;
+each step of Newton's method is a Spark job that sums the loss, its gradient and its curvature over the blocks' pairs, and the threshold
+is found among all scores by counting. The driver holds sums, and scores of a narrow range at most.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,7 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-SAMPLE = 3000       # labelled documents per label (expected number) that the model is fitted on
+from routelake.llm.common import group_bounds, whole_groups
+from routelake.session import cut_lineage
+
+BLOCK_ROWS = 6000   # labelled documents in a block, about
+RANGE_ROWS = 20_000 # scores that the driver looks at one by one
+BINS = 512          # parts that a range of scores is cut into for counting
 OPPONENTS = 12      # documents of the other label that each of them is compared with, at least
 RIDGE = 1e-3        # weight of the squared norm in the loss
 ROUNDS = 25         # Newton steps at most
@@ -56,43 +66,55 @@ def features(text: str | None) -> np.ndarray:
 
 def _difference_pairs(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row indexes of preference pairs: every document meets at least ``OPPONENTS`` of the other label (all, if fewer)."""
-    rounds = min(OPPONENTS, max(len(high), len(low)))
     n = max(len(high), len(low))
+    rounds = min(OPPONENTS, n)
     i = np.arange(n)
     steps = np.linspace(0, n, rounds, endpoint=False).astype(np.int64)
-    pairs = {(a, b) for s in steps.tolist() for a, b in zip((i % len(high)).tolist(), ((i + s) % len(low)).tolist())}
-    a, b = np.array(sorted(pairs), np.int64).T
-    return a, b
+    pairs = np.unique(np.concatenate([(i % len(high)) * len(low) + (i + s) % len(low) for s in steps]))
+    return pairs // len(low), pairs % len(low)
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights that minimise mean log(1 + exp(-w . (x_i - x_j))) + RIDGE |w|^2 over pairs with y_i = 1, y_j = 0."""
-    high, low = x[y == 1], x[y == 0]
-    w = np.zeros(x.shape[1])
+def _sums(high: np.ndarray, low: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs, loss, gradient and curvature at w, summed over a block's pairs, in one row."""
+    k = len(w)
     if not len(high) or not len(low):
-        return w
+        return np.zeros(2 + k + k * k)
     a, b = _difference_pairs(high, low)
     d = high[a] - low[b]
+    margin = d @ w
+    p = 1.0 / (1.0 + np.exp(np.clip(margin, -500, 500)))  # chance that the pair is taken the wrong way round
+    curve = (d * (p * (1 - p))[:, None]).T @ d
+    return np.concatenate([[len(d), np.logaddexp(0.0, -margin).sum()], -(d * p[:, None]).sum(axis=0), curve.ravel()])
 
-    def loss(w):
-        return np.logaddexp(0.0, -(d @ w)).mean() + RIDGE * (w @ w)
 
-    now = loss(w)
-    for _ in range(ROUNDS):
-        p = 1.0 / (1.0 + np.exp(np.clip(d @ w, -500, 500)))  # chance that the pair is taken the wrong way round
-        gradient = -(d * p[:, None]).mean(axis=0) + 2 * RIDGE * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + 2 * RIDGE * np.eye(len(w))
+def newton(sums, k: int) -> np.ndarray:
+    """Weights that minimise mean log(1 + exp(-w . (x_i - x_j))) + RIDGE |w|^2 over all pairs, of which ``sums(w)`` gives ``_sums``."""
+    def at(w):
+        s = sums(w)
+        n = s[0]
+        return (n, s[1] / n + RIDGE * (w @ w), s[2:2 + k] / n + 2 * RIDGE * w, s[2 + k:].reshape(k, k) / n + 2 * RIDGE * np.eye(k)) if n else (0, 0, 0, 0)
+
+    w = np.zeros(k)
+    n, now, gradient, curve = at(w)
+    for _ in range(ROUNDS if n else 0):
         step, size = np.linalg.solve(curve, gradient), 1.0
-        while size > 1e-4 and (after := loss(w - size * step)) > now:
+        while size > 1e-4 and (after := at(w - size * step))[1] > now:
             size /= 2
         if size <= 1e-4:
             break
-        w, done, now = w - size * step, now - after < 1e-10, after
+        done = now - after[1] < 1e-10
+        w, (_, now, gradient, curve) = w - size * step, after
         if done:
             break
     return w
 
 
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``newton`` over the pairs of one block: features x, labels y (0 or 1)."""
+    high, low = x[y == 1], x[y == 0]
+    return newton(lambda w: _sums(high, low, w), x.shape[1])
+
+
 def quantile_threshold(scores: np.ndarray, weights: np.ndarray, share: float) -> float:
     """The middle between the neighbouring scores where the weight below reaches ``share`` of all."""
     order = np.argsort(scores, kind="stable")
@@ -104,52 +126,138 @@ def quantile_threshold(scores: np.ndarray, weights: np.ndarray, share: float) ->
 class Model:
     """Standardisation, weights and threshold; small (a few numbers per feature)."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, totals: dict[int, int]):
-        n0, n1 = totals.get(0, 0), totals.get(1, 0)
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(len(NAMES))
-        self.scale = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(len(NAMES))
-        self.weights = fit(self._standard(x), y)
-        if self.weights.any():
-            raw = self._standard(x) @ self.weights
-            drawn = np.array([max(1, (y == k).sum()) for k in (0, 1)])
-            self.threshold = quantile_threshold(raw, np.array([n0, n1])[y] / drawn[y], n0 / (n0 + n1))
-        else:  # one label only, or none: the labelled share of 1
-            self.threshold = float(np.log((n0 + 1) / (n1 + 1)))
-
-    def _standard(self, x: np.ndarray) -> np.ndarray:
+    def __init__(self, mean: np.ndarray, scale: np.ndarray):
+        self.mean, self.scale = mean, scale
+        self.weights, self.threshold = np.zeros(len(mean)), 0.0
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return self.standard(x) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = self._standard(x) @ self.weights - self.threshold
-        return 1.0 / (1.0 + np.exp(np.clip(-raw, -700, 700)))
+        return 1.0 / (1.0 + np.exp(np.clip(self.threshold - self.raw(x), -700, 700)))
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([features(t.as_py()).tobytes() for t in b.column("text")], pa.binary())], names=["doc_id", "h", "x"])
+
+
+def _rows(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist())).reshape(-1, len(NAMES))
+
+
+def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of the features ``x`` of all rows: each task's, merged."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _rows(b.column("x"))
+                yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([x.mean(axis=0).tobytes()], pa.binary()), pa.array([x.var(axis=0).tobytes()], pa.binary())], names=["n", "mean", "var"])
+
+    parts = [(r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["var"])) for r in rows.select("x").mapInArrow(run, "n long, mean binary, var binary").collect()]
+    if not parts:
+        return np.zeros(len(NAMES)), np.ones(len(NAMES))
+    n = sum(p[0] for p in parts)
+    mean = sum(p[1] * (p[0] / n) for p in parts)
+    var = sum((p[2] + (p[1] - mean) ** 2) * (p[0] / n) for p in parts)
+    return mean, np.maximum(np.sqrt(var), 1e-6)
+
+
+def _blocks(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rows(doc_id, quality, x)`` dealt into blocks of about ``BLOCK_ROWS`` by a hash of doc_id, sorted within partitions. A label with fewer than
+    a few times ``OPPONENTS`` rows a block has its rows in as many blocks as it takes."""
+    n = max(1, math.ceil(sum(counts.values()) / BLOCK_ROWS))
+    copies = F.lit(1)
+    for label, k in counts.items():
+        copies = F.when(F.col("quality") == label, F.lit(min(n, max(1, math.ceil(4 * OPPONENTS * n / k))))).otherwise(copies)
+    dealt = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    dealt = dealt.select(F.pmod(F.xxhash64("doc_id") + F.col("copy"), F.lit(n)).cast("int").alias("block"), "quality", "doc_id", "x")
+    return dealt.repartition(n, "block").sortWithinPartitions("block", "quality", "doc_id")
+
+
+def _fitted(blocks: DataFrame, model: Model) -> np.ndarray:
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for t in whole_groups(batches, ["block"]):
+                bounds = group_bounds(t, ["block"])
+                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    x, y = model.standard(_rows(t.column("x").slice(s, e - s))), t.column("quality").slice(s, e - s).to_numpy()
+                    mine = _sums(x[y == 1], x[y == 0], w)
+                    total = mine if total is None else total + mine
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        k = len(w)
+        return sum((np.frombuffer(r["sums"]) for r in blocks.mapInArrow(run, "sums binary").collect()), np.zeros(2 + k + k * k))
+
+    return newton(sums, len(model.mean))
+
+
+def scores_threshold(scores: DataFrame, weights: tuple[float, float], share: float) -> float:
+    """``quantile_threshold`` of all ``scores(quality, raw)``, a row weighing ``weights[quality]``: the range that holds the quantile is cut into
+    bins and counted, until it holds few enough scores to look at."""
+    n0, n1, lo, hi = scores.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1), F.min("raw"), F.max("raw")).first()
+    w0, w1 = weights
+    target = (share - 1e-12) * (n0 * w0 + n1 * w1)
+    before, after = 0.0, None
+    while n0 + n1 > RANGE_ROWS and lo < hi:
+        part = F.least(F.floor((F.col("raw") - lo) / F.lit((hi - lo) / BINS)), F.lit(BINS - 1)).cast("int")
+        bins = (scores.where(F.col("raw").between(lo, hi)).groupBy(part.alias("bin"))
+                .agg(F.count_if(F.col("quality") == 0).alias("n0"), F.count_if(F.col("quality") == 1).alias("n1"), F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+                .orderBy("bin").collect())
+        at = 0
+        while at < len(bins) - 1 and before + bins[at]["n0"] * w0 + bins[at]["n1"] * w1 < target:
+            before += bins[at]["n0"] * w0 + bins[at]["n1"] * w1
+            at += 1
+        if at + 1 < len(bins):
+            after = bins[at + 1]["lo"]
+        if (bins[at]["lo"], bins[at]["hi"]) == (lo, hi):  # a range of neighbouring doubles
+            break
+        n0, n1, lo, hi = bins[at]["n0"], bins[at]["n1"], bins[at]["lo"], bins[at]["hi"]
+    kept = (scores.where(F.col("raw").between(lo, hi)).groupBy("raw").agg(F.count_if(F.col("quality") == 0).alias("n0"), F.count_if(F.col("quality") == 1).alias("n1"))
+            .orderBy("raw").collect())
+    values = [r["raw"] for r in kept] + ([] if after is None else [after])
+    for i, r in enumerate(kept):
+        size = r["n0"] * w0 + r["n1"] * w1
+        if before + size >= target or i == len(kept) - 1:
+            last = before + size - (w1 if r["n1"] else w0) < target  # the last of the equal scores: the next one is larger
+            return float((values[i] + values[min(i + last, len(values) - 1)]) / 2)
+        before += size
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on the texts of ``docs(doc_id, text)`` that ``labels(doc_id, quality)`` marks 0 or 1.
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits a model on the texts of ``docs(doc_id, text)`` that ``labels(doc_id, quality)`` marks 0 or 1: all of them.
 
-    Of each label about ``sample`` documents are used (all, if fewer), chosen by a hash of doc_id: the operator's documented sample,
-    whose feature vectors (not texts) are fitted on the driver. Label shares count all labels. Labels that are null, no 0 or 1, without doc_id
-    or that contradict one another for a document don't count; of rows that repeat a doc_id the text with the least hash is
-    learned."""
+    Features are computed where the texts lie; only these (not texts) are shuffled to their labels. Label shares count all labels. Labels that
+    are null, no 0 or 1, without doc_id or that contradict one another for a document don't count; of rows that repeat a doc_id the
+    text with the least hash is learned."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("high"))
              .where("quality = high").select("doc_id", "quality"))
     totals = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for label, n in totals.items():
-        share = F.when(F.col("quality") == label, F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)  # about 2 * sample small rows
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-             .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")))
+    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    seen = text.mapInArrow(_featured, "doc_id long, h long, x binary").join(known, "doc_id")
+    rows = cut_lineage(seen.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "x")).alias("t")).select("doc_id", "quality", "t.x"))
+    model = Model(*_moments(rows))
+    counts = {r["quality"]: r["n"] for r in rows.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) == 2:
+        model.weights = _fitted(cut_lineage(_blocks(rows, counts)), model)
+    if not model.weights.any():  # one label only, or none: the labelled share of 1
+        model.threshold = float(np.log((n0 + 1) / (n1 + 1)))
+        return model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([features(t.as_py()).tobytes() for t in b.column("text")], pa.binary())],
-                                             names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(model.raw(_rows(b.column("x"))))], names=["quality", "raw"])
 
-    rows = sorted((r["doc_id"], r["quality"], bytes(r["x"])) for r in texts.select("doc_id", "quality", "t.text").mapInArrow(run, "doc_id long, quality int, x binary").collect())
-    x = np.array([np.frombuffer(r[2]) for r in rows]).reshape(-1, len(NAMES))
-    return Model(x, np.array([r[1] for r in rows], np.int64), totals)
+    scores = cut_lineage(rows.select("quality", "x").mapInArrow(run, "quality int, raw double"))
+    model.threshold = scores_threshold(scores, (n0 / counts[0], n1 / counts[1]), n0 / (n0 + n1))
+    return model
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

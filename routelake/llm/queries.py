@@ -104,7 +104,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.train(docs, labels.where(bucket(3) != 1))
+    model = quality.train(docs.where(bucket(3) != 1), labels.where(bucket(3) != 1))
     return (quality.classify(docs.select("doc_id", "text"), model, keep=["doc_id"])
             .withColumn("held_out", F.coalesce(bucket(3) == 1, F.lit(False))).select("doc_id", "held_out", "score", "predicted"))
 

@@ -68,3 +68,30 @@ def test_without_labels_and_without_rows(spark, odd):
     ones = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, quality int")
     assert {round(r["score"], 6) for r in quality.classify(odd, quality.train(odd, ones)).collect()} == {0.75}
     assert quality.classify(odd.where("false"), model).count() == 0
+
+
+def test_every_labelled_document_is_learned_from(spark, monkeypatch):
+    """Many blocks and few scores at once: the model of all rows, with the threshold at the exact quantile."""
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(quality, "RANGE_ROWS", 10)
+    monkeypatch.setattr(quality, "BINS", 4)
+    r = np.random.RandomState(2)
+    rows = [(i, " ".join("".join(r.choice(list("abc!#"), 4)) if i % 4 else "plain words" for _ in range(5 + i % 7)), 1 if i % 4 == 0 else 0) for i in range(400)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x, y = np.array([quality.features(t) for _, t, _ in rows]), np.array([q for *_, q in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    raw = model.raw(x)
+    assert abs(model.threshold - quality.quantile_threshold(raw, np.ones(400), 0.75)) < 1e-9
+    assert ((raw > model.threshold) == (y == 1)).all()
+
+
+def test_threshold_by_counting(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RANGE_ROWS", 5)
+    monkeypatch.setattr(quality, "BINS", 3)
+    r = np.random.RandomState(3)
+    for values in (r.randn(200), np.round(r.randn(200), 1), np.repeat([1.0, 2.0], 100), np.ones(50)):
+        y = r.randint(0, 2, len(values))
+        df = spark.createDataFrame([(int(q), float(v)) for q, v in zip(y, values)], "quality int, raw double")
+        for share in (0.1, 0.5, 0.9):
+            assert quality.scores_threshold(df, (1.0, 1.0), share) == quality.quantile_threshold(values, np.ones(len(values)), share)
