@@ -26,6 +26,7 @@ SYMBOLS = 40        # b-bit MinHash values in a signature, b = 16
 MISS = 1e-5         # chance that a pair at the very threshold is past the signature distance
 MIN_CHUNK = 3       # symbols of the shortest chunk that is indexed
 KEY_TILE = 256      # members of one index key that meet in one task step
+FEW = 16            # members of one index key whose pairs are listed one by one
 SET_TILE = 192      # documents whose whole sets meet in one task step
 
 _U = np.uint64
@@ -140,19 +141,13 @@ def _keys(chunks: int):
     return run
 
 
-def _pairs_of(bounds: np.ndarray, own: np.ndarray, ti: np.ndarray, tj: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row index pairs of every group, in slices of at most about 200,000 pairs."""
+def _pairs_of(spans: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row index pairs of every (start, end), in slices of at most about 200,000 pairs."""
     left, right, size = [], [], 0
-    for s, e in zip(bounds[:-1], bounds[1:]):
-        if ti[s] == tj[s]:
-            a, b = np.triu_indices(e - s, 1)
-            a, b = a + s, b + s
-        else:
-            mine = own[s:e] == ti[s]
-            x, y = np.flatnonzero(mine) + s, np.flatnonzero(~mine) + s
-            a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-        left.append(a)
-        right.append(b)
+    for s, e in spans:
+        a, b = np.triu_indices(e - s, 1)
+        left.append(a + s)
+        right.append(b + s)
         size += len(a)
         if size > 200_000:
             yield np.concatenate(left), np.concatenate(right)
@@ -161,21 +156,52 @@ def _pairs_of(bounds: np.ndarray, own: np.ndarray, ti: np.ndarray, tj: np.ndarra
         yield np.concatenate(left), np.concatenate(right)
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the first row that it reaches."""
+    root = np.arange(len(linked))
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _spanning(ids: np.ndarray, own: np.ndarray, ti: int, tj: int, linked) -> np.ndarray:
+    """Id pairs that connect what the links of two tiles connect; ``linked(x, y)`` is the matrix of links between rows. Within a tile every
+    row is tied to the smallest id that it reaches, and between tiles only these ids are, so tiles that are alike add the same few
+    pairs however many of them meet."""
+    if ti == tj:
+        order = np.argsort(ids, kind="stable")
+        return np.stack([ids[order][_roots(linked(order, order))], ids[order]], axis=1)
+    x, y = (i[np.argsort(ids[i], kind="stable")] for i in (np.flatnonzero(own == ti), np.flatnonzero(own == tj)))
+    i, j = np.nonzero(linked(x, y))
+    if not len(i):
+        return np.empty((0, 2), np.int64)
+    return np.unique(np.stack([ids[x][_roots(linked(x, x))[i]], ids[y][_roots(linked(y, y))[j]]], axis=1), axis=0)
+
+
 _TILE = ["key", "ti", "tj"]
 
 
 def _hamming_edges(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per task, a spanning forest of the pairs within the signature distance."""
+        """Per task, spanning links of the pairs within the signature distance."""
         sets = UnionFind()
         for t in whole_groups(batches, _TILE):
             reps, sigs = t.column("rep").to_numpy(), _sig_matrix(t.column("sig"))
-            cols = (t.column(c).to_numpy() for c in ("own", "ti", "tj"))
-            found = []
-            for a, b in _pairs_of(group_bounds(t, _TILE), *cols):
+            own, ti, tj = (t.column(c).to_numpy() for c in ("own", "ti", "tj"))
+            bounds = group_bounds(t, _TILE)
+            spans, found = list(zip(bounds[:-1].tolist(), bounds[1:].tolist())), []
+            few = [ti[s] == tj[s] and e - s <= FEW for s, e in spans]
+            for a, b in _pairs_of([x for x, small in zip(spans, few) if small]):
                 near = (sigs[a] != sigs[b]).sum(axis=1) <= distance
                 pairs = np.unique(np.stack([reps[a[near]], reps[b[near]]], axis=1), axis=0)
                 found += [p for p in pairs.tolist() if sets.union(*p)]
+            for s, e in (x for x, small in zip(spans, few) if not small):
+                mine = sigs[s:e]
+                pairs = _spanning(reps[s:e], own[s:e], ti[s], tj[s], lambda x, y: (mine[x][:, None] != mine[y][None]).sum(axis=2) <= distance)
+                found += [p for p in pairs.tolist() if sets.union(*p)]
             if found:
                 f = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["a", "b"])
@@ -212,19 +238,20 @@ _COMP = ["component", "ti", "tj"]
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, _COMP):
-            reps, texts, fps = (t.column(c) for c in ("rep", "text", "fp"))
+            reps, texts, fps, own, ti, tj = (t.column(c) for c in ("rep", "text", "fp", "own", "ti", "tj"))
             bounds, found = group_bounds(t, _COMP), []
             for s, e in zip(bounds[:-1], bounds[1:]):
                 forest = UnionFind()
-                sets, ids = [], []
+                sets, at = [], []
                 for i in range(s, e):
                     x = shingle_set(texts[i].as_py())
                     if xxhash.xxh3_128_digest(x.tobytes()) == fps[i].as_py():  # a repeated doc_id may carry another text
                         sets.append(x)
-                        ids.append(reps[i].as_py())
+                        at.append(i)
                 if len(sets) > 1:
-                    a, b = np.nonzero(np.triu(_links(sets, percent), 1))
-                    found += [(ids[i], ids[j]) for i, j in zip(a.tolist(), b.tolist()) if forest.union(ids[i], ids[j])]
+                    links = _links(sets, percent)
+                    pairs = _spanning(reps.take(at).to_numpy(), own.take(at).to_numpy(), ti[s].as_py(), tj[s].as_py(), lambda x, y: links[np.ix_(x, y)])
+                    found += [p for p in pairs.tolist() if forest.union(*p)]
             if found:
                 f = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["a", "b"])
@@ -258,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = (coarse.join(sizes, "component").withColumnRenamed("id", "rep")
                .join(classes.select("rep", "fp"), "rep"))
     texts = docs.where("doc_id is not null").join(members.withColumn("doc_id", F.col("rep")), "doc_id")
-    links = (tiled(texts, "n", "rep", SET_TILE).select(*_COMP, "rep", "fp", "text")
+    links = (tiled(texts, "n", "rep", SET_TILE).select(*_COMP, "own", "rep", "fp", "text")
              .repartition(*_COMP).sortWithinPartitions(*_COMP).mapInArrow(_confirm(percent), "a long, b long"))
     linked = components(links).withColumnRenamed("id", "rep")
     known = classes.select("fp", "rep").join(linked, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))

@@ -110,3 +110,44 @@ def test_sets_follow_byte_rules():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a b")) == 1 and len(shingle_set(" \x0b")) == 0
     assert shingle_set("É A").tolist() == shingle_set("É a").tolist() != shingle_set("é a").tolist()
     assert len(shingle_set("a b c d e f")) == 1  # a no-break space is no separator
+
+
+def test_alike_tiles_add_few_links():
+    """1,000 members that are all linked, in 10 tiles: a link a member and a link a pair of tiles, not a link a member and pair of tiles."""
+    import numpy as np
+
+    from routelake.llm import near_dup
+
+    r = np.random.RandomState(3)
+    ids, own = r.permutation(1000), np.arange(1000) % 10
+    links = set()
+    for ti in range(10):
+        for tj in range(ti, 10):
+            at = np.flatnonzero((own == ti) | (own == tj))
+            found = near_dup._spanning(ids[at], own[at], ti, tj, lambda x, y: np.ones((len(x), len(y)), bool))
+            links |= {tuple(sorted(p)) for p in found.tolist() if p[0] != p[1]}
+    assert len(links) <= 1000 + 45
+    sets = near_dup.UnionFind()
+    assert sum(sets.union(*p) for p in links) == 999
+
+
+def test_spanning_links_connect_what_the_links_connect():
+    import numpy as np
+
+    from routelake.llm import near_dup
+
+    r = np.random.RandomState(4)
+    for _ in range(20):
+        n = 60
+        full = r.rand(n, n) < 0.02
+        full |= full.T
+        ids, own = r.permutation(1000)[:n], r.randint(0, 3, n)
+        want, got = near_dup.UnionFind(), near_dup.UnionFind()
+        for a, b in zip(*np.nonzero(full)):
+            want.union(int(ids[a]), int(ids[b]))
+        for ti in range(3):
+            for tj in range(ti, 3):
+                at = np.flatnonzero((own == ti) | (own == tj))
+                for p in near_dup._spanning(ids[at], own[at], ti, tj, lambda x, y: full[np.ix_(at[x], at[y])]).tolist():
+                    got.union(*p)
+        assert [want.find(int(i)) for i in ids] == [got.find(int(i)) for i in ids]
