@@ -23,6 +23,7 @@ from routelake.llm.common import CACHE_BYTES, Cache, worker_state
 
 CACHED_CHARS = 64      # longer pre-tokens are encoded anew each time
 SPACED_BYTES = CACHE_BYTES * 6 // 5  # of pre-tokens and pieces that begin with a space; this operator keeps little else
+DECODED_AT_ONCE = 1 << 26  # bytes of ids
 TOKEN_BYTES = CACHE_BYTES // 10      # and of other pre-tokens
 
 
@@ -30,6 +31,7 @@ class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pieces = {r: b for b, r in ranks.items()}
+        self.entries = pa.array([self.pieces.get(r) for r in range(max(self.pieces, default=0) + 1)], pa.large_binary())
         self.longest = max(map(len, ranks), default=1)
         self.find = regex.compile(pattern).findall
         size = max(ranks.values(), default=0) + 1
@@ -141,18 +143,30 @@ class ByteBPE:
         runs of white space before or after a space is encoded piece by piece; under another pattern it is taken whole."""
         if not self.splits:
             return b"".join(map(self._token, self.find(text)))
-        pieces = text.split(" ")
-        get, out = self.spaced.get, [b"".join(map(self._token, self.find(pieces[0])))]
-        for p in pieces[1:]:
-            ids = get(p)
-            if ids is None and (ids := self._piece(p)) is None:
-                return b"".join(map(self._token, self.find(text)))
-            out.append(ids)
+        pieces, get = text.split(" "), self.spaced.get
+        out = list(map(get, pieces))
+        out[0] = b"".join(map(self._token, self.find(pieces[0])))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    p = pieces[i]
+                    if (ids := get(p)) is None and (ids := self._piece(p)) is None:
+                        return b"".join(map(self._token, self.find(text)))
+                    out[i] = ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_all(self, ids: list[bytes]) -> pa.Array:
+        """The decoded bytes of every document. The entries of all their ids, taken in order, lie one after the other."""
+        if sum(map(len, ids)) > DECODED_AT_ONCE:
+            return pa.array(list(map(self.decode, ids)), pa.binary())
+        taken = self.entries.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset:taken.offset + len(taken) + 1][ends]
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), taken.buffers()[2]]).cast(pa.binary())
+
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token ids of ``docs(doc_id, text)``: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the
@@ -167,7 +181,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = [coder.encode(t.as_py() or "") for t in b.column("text")]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()),
-                     pa.array([coder.decode(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                     coder.decode_all(ids)], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary"))

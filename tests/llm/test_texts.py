@@ -286,3 +286,17 @@ def test_a_benchmark_of_many_blocks(spark, monkeypatch):
     assert sum(1 for _ in decontaminate.benchmark_blocks(bench)) > 3
     assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole and len(whole) == 60
     assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()) == [*range(30, 40), *range(70, 80)]
+
+
+def test_decoding_together_is_decoding_one_by_one(monkeypatch):
+    import public_tokenizers
+
+    from routelake.llm import byte_bpe
+
+    coder = byte_bpe.ByteBPE.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["", "Plain words, twice: plain words.", "", "é中\U0001f600 mixed  runs\n\n", " " * 50, "new1 new2 new1 new2 " * 40]
+    ids = [coder.encode(t) for t in texts]
+    assert coder.decode_all(ids).to_pylist() == [coder.decode(x) for x in ids] == [t.encode() for t in texts]
+    assert coder.decode_all([]).to_pylist() == []
+    monkeypatch.setattr(byte_bpe, "DECODED_AT_ONCE", 10)
+    assert coder.decode_all(ids).to_pylist() == [t.encode() for t in texts]
