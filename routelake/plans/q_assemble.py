@@ -15,11 +15,10 @@ from routelake.functions.numeric import token_cost
 from routelake.operators import assemble as A
 from routelake.operators import ranking as R
 from routelake.operators import scoring as S
-from routelake.operators.common import r6
+from routelake.operators.common import r6, spread_if_narrow
 from routelake.plans import fixtures as fx
 from routelake.plans.fixtures_sql import R6, with_
 from routelake.plans.registry import register
-from routelake.session import stored
 
 
 def lit_sql(s: str) -> str:
@@ -79,10 +78,11 @@ def a10_choice_prompts(spark, sf_dir):
 
 # ---------------------------------------------------------------- adapters
 def adapter_sources(spark, sf_dir):
-    """Nested benchmark-shaped sources derived from the test tables. Documents and pairs, which several sources read, are written once."""
-    d = stored(fx.f_txt(spark, sf_dir).select("doc_id", "text", "lang"), "adapter-documents")
+    """Nested benchmark-shaped sources derived from the test tables. Five of them read the documents, so these are shuffled only if their
+    scan has fewer tasks than there are cores."""
+    d = spread_if_narrow(fx.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), spark.sparkContext.defaultParallelism)
     part = fx.table(spark, sf_dir, "part")
-    conv = stored(fx.f_pair(spark, sf_dir).select("conv_id", "turn", "ground_truth", "prediction"), "adapter-pairs")
+    conv = fx.f_pair(spark, sf_dir)
     first = F.col("text")
     words = F.split(F.col("text"), " ")
     choices4 = F.array("p_name", "p_brand", "p_type", F.lit("none"))

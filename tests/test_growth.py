@@ -56,5 +56,17 @@ def test_grid_queries_are_spread_before_they_are_expanded(spark, sf_dir):
     assert planned_tasks(fx.f_grid_queries(spark, sf_dir)) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def test_adapters_shuffle_no_text_of_their_own(spark, sf_dir):
-    assert "Exchange" not in plan(adapted_queries(spark, sf_dir))
+def test_adapters_do_not_shuffle_documents_that_many_tasks_read(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("part", "conversations"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)  # a task a file
+    try:
+        shuffles = spark.sparkContext.defaultParallelism + 100
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        assert "RoundRobinPartitioning" not in plan(adapted_queries(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
