@@ -145,19 +145,29 @@ def templates_per_query(queries: DataFrame, templates: DataFrame, qid: str = "qu
     return join_dim(queries.select(qid, desc), n, desc, "left").select(qid, F.coalesce("n_templates", F.lit(0)).cast("bigint").alias("n_templates"))
 
 
-def thought_prompts(queries: DataFrame, templates: DataFrame, k: int = 3, qid: str = "query_id",
-                    tid: str = "template_id", vec: str = "embedding", desc: str = "task_description") -> DataFrame:
+def thought_prompts(queries: DataFrame, templates: DataFrame, k: int = 3, qid: str = "query_id", tid: str = "template_id",
+                    vec: str = "embedding", desc: str = "task_description", searched: tuple[DataFrame, DataFrame] | None = None,
+                    carried=("thought_template",), thought=lambda e: e["thought_template"]) -> DataFrame:
     """``queries`` plus ``thought_prompt_all`` and ``similar_queries``
     (NULL where no template matched).  Vectors must be arrays (parse text
-    with ``functions.numeric.parse_vector`` first)."""
-    m = description_map(queries, templates, desc)
-    t = join_dim(templates, m, F.col(desc) == F.col("t_desc")).select(
-        F.col("q_desc").alias("__key"), F.col(tid).alias("__tid"), F.col(vec).alias("__tvec"),
-        F.col("query").alias("__tq"), F.col("thought_template").alias("__tt"))
-    q = queries.where(F.col(vec).isNotNull()).select(
+    with ``functions.numeric.parse_vector`` first).
+
+    ``searched``: the same rows of both sides with their vectors, if these stand in other tables than the texts (default: ``queries``
+    and ``templates`` themselves).  ``thought`` makes a winner's template text of its ``carried`` columns and its ``query``, after the
+    shuffles, so that a text derived from another one does not travel beside it."""
+    asked, offered = searched or (queries, templates)
+    m = description_map(asked, offered, desc)
+    t = join_dim(offered, m, F.col(desc) == F.col("t_desc")).select(
+        F.col("q_desc").alias("__key"), F.col(tid).alias("__tid"), F.col(vec).alias("__tvec"))
+    q = asked.where(F.col(vec).isNotNull()).select(
         F.col(desc).alias("__key"), F.col(qid).alias("__qid"), F.col(vec).alias("__qvec"))
-    nb = knn_topk(q, t, k, "__qid", "__qvec", "__tid", "__tvec", key="__key", extra_cols=["__tq", "__tt"])
-    g = nb.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "__tq", "__tt"))).alias("__top"))
+    nb = knn_topk(q, t, k, "__qid", "__qvec", "__tid", "__tvec", key="__key").select("__key", "qid", "iid", "rank")
+    # Texts meet the winners by id, once each, and not once per description that leads to them.
+    texts = templates.select(F.col(tid).alias("iid"), F.col(desc).alias("__desc"), "query", *carried)
+    won = join_dim(nb.join(texts, "iid"), m, (F.col("__key") == F.col("q_desc")) & (F.col("__desc") == F.col("t_desc")))
+    g = won.groupBy("qid").agg(F.collect_list(F.struct("rank", "query", *carried)).alias("__top"))
+    g = g.select("qid", F.array_sort(F.transform("__top", lambda e: F.struct(
+        e["rank"].alias("rank"), e["query"].alias("__tq"), thought(e).alias("__tt")))).alias("__top"))
     parts = F.transform("__top", lambda e, i: F.concat(
         F.lit("Question"), (i + 1).cast("string"), F.lit(": "), e["__tq"], F.lit("\n\n"),
         F.lit("Thought Template "), (i + 1).cast("string"), F.lit(": "), e["__tt"], F.lit("\n\n")))

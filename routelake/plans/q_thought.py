@@ -11,7 +11,6 @@ from routelake.plans import fixtures as fx
 from routelake.plans.fixtures_sql import with_
 from routelake.plans.registry import register
 from routelake.plans.q_text import strip_sql
-from routelake.session import stored
 
 
 def lit_sql(s: str) -> str:
@@ -106,29 +105,48 @@ def g10_templates_per_task(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- E15
-def thought_corpus(spark, sf_dir):
-    """Every document with a vector (vectors repeat over the documents) and a task description."""
-    d = fx.f_txt(spark, sf_dir)
+VECTOR_IDS = 2_000_000  # ids of vectors that a join of texts may broadcast
+
+
+def thought_corpus(spark, sf_dir, texts: bool = False):
+    """Every document with a vector (vectors repeat over the documents) and a task description: with its vector, or instead with its
+    text (``texts``), which is then joined to the vectors' ids only and not shuffled where these are few."""
     v = fx.f_vec(spark, sf_dir).select(F.col("vec_id").alias("vec"), "embedding")
-    n = v.count()
-    return (d.withColumn("vec", F.pmod("doc_id", F.lit(n))).join(v, "vec").drop("vec")
-            .withColumn("task_description", F.concat(F.lit("Group "), F.coalesce("lang", F.lit("unknown")), F.lit(" texts"))))
+    vec = F.pmod("doc_id", F.lit(v.count()))
+    if texts:
+        d = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", vec.alias("vec"))
+        c = join_dim(d, v.select("vec"), "vec", max_rows=VECTOR_IDS)
+    else:
+        c = fx.f_txt(spark, sf_dir).select("doc_id", "lang", vec.alias("vec")).join(v, "vec")
+    return c.drop("vec").withColumn("task_description", F.concat(F.lit("Group "), F.coalesce("lang", F.lit("unknown")), F.lit(" texts")))
 
 
-def e15_inputs(spark, sf_dir):
+def _e15_sides(c):
     """A fifth of the documents are queries, all others templates. Spanish templates are described in other words, so Spanish queries
     find no template of their description and fall back on those that hold its first word."""
-    c = stored(thought_corpus(spark, sf_dir).select("doc_id", "text", "lang", "embedding", "task_description"), "thought-corpus")
-    templates = c.where(F.col("doc_id") % 5 != 0).select(
-        F.col("doc_id").alias("template_id"), F.col("text").alias("query"),
-        F.when(F.col("lang") == "es", "Spanish GROUP of texts").otherwise(F.col("task_description")).alias("task_description"),
-        "embedding", F.concat(F.lit("Template: "), F.coalesce("lang", F.lit("unknown")), F.lit(" "), "text").alias("thought_template"))
+    templates = c.where(F.col("doc_id") % 5 != 0).withColumn(
+        "task_description", F.when(F.col("lang") == "es", "Spanish GROUP of texts").otherwise(F.col("task_description")))
+    return c.where(F.col("doc_id") % 5 == 0).withColumnRenamed("doc_id", "query_id"), templates.withColumnRenamed("doc_id", "template_id")
+
+
+def e15_inputs(spark, sf_dir):
+    """(queries, templates) with their descriptions and vectors."""
+    queries, templates = _e15_sides(thought_corpus(spark, sf_dir))
     # Query vectors arrive as text (as in the reference's CSV) and are parsed once.
     qtext = F.concat(F.lit("tensor("), F.to_json("embedding"), F.lit(", device='cuda:0')"))
-    queries = c.where(F.col("doc_id") % 5 == 0).select(
-        F.col("doc_id").alias("query_id"), F.col("text").alias("query"), "task_description",
-        parse_vector(qtext).alias("embedding"))
-    return queries, templates
+    return (queries.select("query_id", "task_description", parse_vector(qtext).alias("embedding")),
+            templates.select("template_id", "task_description", "embedding"))
+
+
+def e15_texts(spark, sf_dir):
+    """(queries, templates): the same rows with their texts (``query``) instead of the vectors."""
+    queries, templates = _e15_sides(thought_corpus(spark, sf_dir, texts=True))
+    return (queries.select("query_id", F.col("text").alias("query"), "task_description"),
+            templates.select("template_id", F.col("text").alias("query"), "lang", "task_description"))
+
+
+def _template(e):
+    return F.concat(F.lit("Template: "), F.coalesce(e["lang"], F.lit("unknown")), F.lit(" "), e["query"])
 
 
 _E15_CTES = {
@@ -159,8 +177,7 @@ SELECT q.qid AS query_id, CASE WHEN agg.shots IS NOT NULL THEN {lit_sql(TH.FEWSH
    || q.query || {lit_sql(TH.FEWSHOT_TAIL)} END AS thought_prompt_all, agg.similar_queries
 FROM q LEFT JOIN agg ON q.qid = agg.qid""")
 def e15_thought_prompts(spark, sf_dir):
-    queries, templates = e15_inputs(spark, sf_dir)
-    out = TH.thought_prompts(queries, templates, k=3)
+    out = TH.thought_prompts(*e15_texts(spark, sf_dir), k=3, searched=e15_inputs(spark, sf_dir), carried=["lang"], thought=_template)
     return out.select("query_id", "thought_prompt_all", "similar_queries")
 
 
