@@ -1,13 +1,23 @@
 """What is copied, broadcast and held by a task grows no faster than the input."""
 
+import gzip
+import glob
+import json
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from routelake.operators import graph as G
 from routelake.operators import knn_join as K
+from routelake.operators import labels as L
 from routelake.operators.common import planned_tasks
+from routelake.operators.vectors import knn_topk
 from routelake.plans import fixtures as fx
 from routelake.plans.q_assemble import adapted_queries
+from routelake.plans.q_routers import _chain
+from routelake.session import ensure_checkpoint_dir, scratch_path
+from routelake.sources import json_array as J
 
 SCHEMA = "id long, v array<double>"
 
@@ -70,3 +80,65 @@ def test_adapters_do_not_shuffle_documents_that_many_tasks_read(spark, sf_dir, t
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_what_a_search_shuffles_at_once_is_bounded():
+    """In vectors: twice both sides, where all tiles at once took 5 to 19 times both."""
+    for n, k in ((100_000, 20), (1_440_000, 20), (3_000_000, 50)):
+        waves, tiles, parts = K._waves(n, 4 * n, k, 2_000, 256, 12)
+        in_wave = -(-n // waves)
+        assert waves > 1 and tiles * 4 * n + parts * in_wave * (1 + k / 12) <= max(K.WAVE_ROWS, 2 * 5 * n)
+        assert in_wave / tiles <= 1.1 * K.HELD_ROWS and tiles * parts >= 12
+    assert K._waves(10_256, 41_026, 50, 2_000, 8_000, 8)[0] == 1
+
+
+def test_waves_find_what_one_search_finds(spark, monkeypatch):
+    r = np.random.RandomState(11)
+    rows = [(i, [0.0] * 8 if i % 97 == 0 else r.randint(-3, 4, 8).astype(float).tolist()) for i in range(700)]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, f"id long, v array<{kind}>")
+        args = (df.where("id % 5 = 0"), df, 6, "id", "v", "id", "v")
+        want = {(x.qid, x.iid, round(x.sim, 12), x["rank"]) for x in knn_topk(*args).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(K, "WAVE_ROWS", 10)
+            assert K._waves(140, 700, 6, 13, 50, spark.sparkContext.defaultParallelism)[0] > 1
+            assert {(x.qid, x.iid, round(x.sim, 12), x["rank"]) for x in knn_topk(*args, tile_rows=13, block_rows=50).collect()} == want
+        assert len(want) == 6 * 140
+
+
+def test_vectors_of_four_bytes_stay_so(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "id long, v array<float>")
+    q, it, dealt, _ = K.prepare(df.where("id < 5"), df, "id", "v", "id", "v")
+    assert {dict(x.dtypes)["vec"] for x in (q, it, dealt)} == {"array<float>"}
+    q, it, *_ = K.prepare(df.select("id", F.col("v").cast("array<double>").alias("v")), df, "id", "v", "id", "v")
+    assert {dict(x.dtypes)["vec"] for x in (q, it)} == {"array<double>"}
+
+
+def test_the_log_is_numbered_without_shuffling_its_texts(spark, sf_dir):
+    assert "hashpartitioning(query_id" not in plan(fx.f_log(spark, sf_dir))
+
+
+def test_candidates_are_shuffled_without_the_scores_that_follow_from_them(spark, sf_dir):
+    p = plan(L.route_records(fx.f_log(spark, sf_dir)))
+    assert not [x for x in p.split("collect_list(")[1:] if "score_cost" in x.split("),")[0].split("))")[0]]
+
+
+def test_an_array_in_gzip_is_one_text(spark):
+    df = spark.range(300).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    for rows, n in ((df, 300), (df.where("false"), 0)):
+        path = scratch_path(spark, f"array-{uuid.uuid4().hex}")
+        J.write_json_array(rows.repartition(3), path, "id", "gzip")
+        whole = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*")))
+        assert [x["id"] for x in json.loads(gzip.decompress(whole))] == list(range(n))
+        assert J.read_json_array(spark, path, df.schema).exceptAll(rows).count() == 0
+
+
+def test_the_chain_keeps_its_array_in_gzip_and_no_log(spark, sf_dir):
+    base = ensure_checkpoint_dir(spark).removeprefix("file://").rstrip("/")
+    before = set(glob.glob(f"{base}/*"))
+    train, test, cand = _chain(spark, sf_dir)
+    new = {x for x in glob.glob(f"{base}/*") if x not in before}
+    assert not [x for x in new if "/f-log-" in x]
+    records = [x for x in new if "/records-" in x]
+    assert len(records) == 1 and all(f.endswith(".gz") for f in glob.glob(f"{records[0]}/part-*"))
+    assert train.count() > 0 and test.count() > 0 and cand.count() > test.count()
