@@ -7,7 +7,7 @@ queries x models work list is a single narrow stage: no join, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -132,11 +132,41 @@ def assemble_log(queries: DataFrame, catalogue: DataFrame, respond, embeddings:
 
 
 # ---------------------------------------------------------------- adapters
-def _query_row(task: str, df: DataFrame, id_col: str, query, query_think, gt, metric: str,
-               task_id=None) -> DataFrame:
+class Shared:
+    """A source whose fields lie in the struct column ``at`` of a table that several sources share (see ``adapt_shared``): an adapter makes one
+    struct of its row instead of a table."""
+
+    def __init__(self, at: str):
+        self.at = at
+
+    def select(self, *cols) -> Column:
+        return F.struct(*cols)
+
+
+def _fields(src):
+    """The columns of a source by name."""
+    return (lambda name: F.col(f"{src.at}.{name}")) if isinstance(src, Shared) else F.col
+
+
+def adapt_shared(df: DataFrame, sources: dict) -> DataFrame:
+    """U3 of sources that read the same table: ``sources[name] = (fields, adapter)``, the fields being columns of ``df``. The table is read once, and the
+    rows that adapters make of one of its rows follow one another, not a table apart: what is written compresses a text that all of them repeat
+    within the same block. A row at a time is built, so no row holds several adapters' texts."""
+    kind = F.explode(F.array(*[F.lit(i) for i in range(len(sources))])).alias("__kind")
+    each = df.select("*", kind)
+    each = each.select("__kind", *[F.struct(*fields).alias(name) for name, (fields, _) in sources.items()])
+    row = None
+    for i, (name, (_, adapter)) in enumerate(sources.items()):
+        made = adapter(Shared(name))
+        row = F.when(F.col("__kind") == i, made) if row is None else row.when(F.col("__kind") == i, made)
+    return each.select(row.alias("__row")).select("__row.*")
+
+
+def _query_row(task: str, df: DataFrame | Shared, id_col: str, query, query_think, gt, metric: str,
+               task_id=None) -> DataFrame | Column:
     from routelake.functions.prompts import TASK_DESCRIPTIONS
     return df.select(
-        F.col(id_col).cast("string").alias("source_id"), F.lit(task).alias("task_name"),
+        _fields(df)(id_col).cast("string").alias("source_id"), F.lit(task).alias("task_name"),
         F.lit(TASK_DESCRIPTIONS[task]).alias("task_description"),
         (task_id if task_id is not None else F.lit(None)).cast("string").alias("task_id"),
         query.alias("query"), query_think.alias("query_think"), gt.cast("string").alias("ground_truth"),
@@ -148,32 +178,36 @@ def _think(c):
     return F.concat(c, F.lit("\n" + THINK))
 
 
-def adapt_natural_qa(src: DataFrame, id_col: str = "id") -> DataFrame:
+def adapt_natural_qa(src: DataFrame | Shared, id_col: str = "id") -> DataFrame | Column:
     """A1: question (+ think line), first golden answer."""
-    q = F.col("question")
-    return _query_row("natural_qa", src, id_col, q, _think(q), F.element_at("golden_answers", 1), "cem")
+    c = _fields(src)
+    q = c("question")
+    return _query_row("natural_qa", src, id_col, q, _think(q), F.element_at(c("golden_answers"), 1), "cem")
 
 
-def adapt_trivia_qa(src: DataFrame, id_col: str = "id") -> DataFrame:
+def adapt_trivia_qa(src: DataFrame | Shared, id_col: str = "id") -> DataFrame | Column:
     """A2: question, first normalized alias."""
-    q = F.col("question")
+    c = _fields(src)
+    q = c("question")
     return _query_row("trivia_qa", src, id_col, q, _think(q),
-                      F.element_at(F.col("answer.normalized_aliases"), 1), "cem")
+                      F.element_at(c("answer.normalized_aliases"), 1), "cem")
 
 
-def adapt_squad(src: DataFrame, id_col: str = "id") -> DataFrame:
+def adapt_squad(src: DataFrame | Shared, id_col: str = "id") -> DataFrame | Column:
     """A3: context prompt, first answer text."""
     from routelake.functions import prompts as P
-    return _query_row("squad", src, id_col, P.qa_prompt("context", "question"),
-                      P.qa_prompt("context", "question", True), F.element_at(F.col("answers.text"), 1), "cem")
+    c = _fields(src)
+    return _query_row("squad", src, id_col, P.qa_prompt(c("context"), c("question")),
+                      P.qa_prompt(c("context"), c("question"), True), F.element_at(c("answers.text"), 1), "cem")
 
 
-def adapt_boolq(src: DataFrame, id_col: str = "id") -> DataFrame:
+def adapt_boolq(src: DataFrame | Shared, id_col: str = "id") -> DataFrame | Column:
     """A4: true/false prompt; truth is Python ``str(bool)`` (True/False)."""
     from routelake.functions import prompts as P
-    gt = F.when(F.col("answer"), F.lit("True")).when(~F.col("answer"), F.lit("False"))
-    return _query_row("boolq", src, id_col, P.bool_prompt("passage", "question"),
-                      P.bool_prompt("passage", "question", True), gt, "cem")
+    c = _fields(src)
+    gt = F.when(c("answer"), F.lit("True")).when(~c("answer"), F.lit("False"))
+    return _query_row("boolq", src, id_col, P.bool_prompt(c("passage"), c("question")),
+                      P.bool_prompt(c("passage"), c("question"), True), gt, "cem")
 
 
 def adapt_mmlu(src: DataFrame, id_col: str = "id") -> DataFrame:
@@ -218,11 +252,12 @@ def adapt_human_eval(src: DataFrame, id_col: str = "task_id") -> DataFrame:
                       task_id=F.col("task_id"))
 
 
-def adapt_gsm8k(src: DataFrame, id_col: str = "id") -> DataFrame:
+def adapt_gsm8k(src: DataFrame | Shared, id_col: str = "id") -> DataFrame | Column:
     """Word problem; truth is the full answer (``#### n`` tail)."""
     from routelake.functions import prompts as P
-    return _query_row("gsm8k", src, id_col, P.gsm8k_prompt("question"), P.gsm8k_prompt("question", True),
-                      F.col("answer"), "GSM8K")
+    c = _fields(src)
+    return _query_row("gsm8k", src, id_col, P.gsm8k_prompt(c("question")), P.gsm8k_prompt(c("question"), True),
+                      c("answer"), "GSM8K")
 
 
 def adapt_labelled_choice(task: str, src: DataFrame, id_col: str = "id", question: str = "question") -> DataFrame:
@@ -233,23 +268,25 @@ def adapt_labelled_choice(task: str, src: DataFrame, id_col: str = "id", questio
                       P.choice_prompt(question, lab, txt, True), F.col("answerKey"), "em_mc")
 
 
-def adapt_math(src: DataFrame, id_col: str = "id") -> DataFrame:
+def adapt_math(src: DataFrame | Shared, id_col: str = "id") -> DataFrame | Column:
     """Boxed-answer prompt; truth is the full solution."""
     from routelake.functions import prompts as P
-    return _query_row("math", src, id_col, P.math_prompt("problem"), P.math_prompt("problem", True),
-                      F.col("solution"), "MATH")
+    c = _fields(src)
+    return _query_row("math", src, id_col, P.math_prompt(c("problem")), P.math_prompt(c("problem"), True),
+                      c("solution"), "MATH")
 
 
-def adapt_hellaswag(src: DataFrame, id_col: str = "id") -> DataFrame:
+def adapt_hellaswag(src: DataFrame | Shared, id_col: str = "id") -> DataFrame | Column:
     """``activity: ctx_a + ' ' + Capitalized(ctx_b)`` and endings, all
     bracket-cleaned (T3); labels A-D; truth = letter of ``label``."""
     from routelake.functions import prompts as P
     from routelake.functions import text as T
-    ctx = F.concat(F.col("ctx_a"), F.lit(" "), T.capitalize(F.col("ctx_b")))
-    query = T.clean_brackets(F.concat(F.col("activity_label"), F.lit(": "), ctx))
-    texts = F.transform("endings", lambda e: T.clean_brackets(e))
+    c = _fields(src)
+    ctx = F.concat(c("ctx_a"), F.lit(" "), T.capitalize(c("ctx_b")))
+    query = T.clean_brackets(F.concat(c("activity_label"), F.lit(": "), ctx))
+    texts = F.transform(c("endings"), lambda e: T.clean_brackets(e))
     labels = F.array(*[F.lit(x) for x in "ABCD"])
-    gt = F.char(F.lit(65) + F.col("label").cast("int"))
+    gt = F.char(F.lit(65) + c("label").cast("int"))
     return _query_row("hellaswag", src, id_col, P.hellaswag_prompt(query, labels, texts),
                       P.hellaswag_prompt(query, labels, texts, True), gt, "em_mc")
 

@@ -78,23 +78,36 @@ def a10_choice_prompts(spark, sf_dir):
 
 # ---------------------------------------------------------------- adapters
 def adapter_sources(spark, sf_dir):
-    """Nested benchmark-shaped sources derived from the test tables. Five of them read the documents, so these are shuffled only if their
-    scan has fewer tasks than there are cores."""
+    """Nested benchmark-shaped sources derived from the test tables: (documents, fields of the five sources that read them, pairs, fields of the two
+    sources that read them, tables of the others). The documents are shuffled only if their scan has fewer tasks than there are cores."""
     d = spread_if_narrow(fx.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), spark.sparkContext.defaultParallelism)
     part = fx.table(spark, sf_dir, "part")
     conv = fx.f_pair(spark, sf_dir)
     first = F.col("text")
     words = F.split(F.col("text"), " ")
     choices4 = F.array("p_name", "p_brand", "p_type", F.lit("none"))
-    return {
-        "natural_qa": conv.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("ground_truth").alias("question"),
-                                  F.array("prediction").alias("golden_answers")),
-        "trivia_qa": conv.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("ground_truth").alias("question"),
-                                 F.struct(F.array("prediction").alias("normalized_aliases")).alias("answer")),
-        "squad": d.select(F.col("doc_id").alias("id"), F.col("text").alias("context"), first.alias("question"),
-                          F.struct(F.array(F.element_at(words, 1)).alias("text")).alias("answers")),
-        "boolq": d.select(F.col("doc_id").alias("id"), F.col("text").alias("passage"), first.alias("question"),
-                          (F.col("doc_id") % 2 == 0).alias("answer")),
+    of_documents = {
+        "squad": [F.col("doc_id").alias("id"), F.col("text").alias("context"), first.alias("question"),
+                  F.struct(F.array(F.element_at(words, 1)).alias("text")).alias("answers")],
+        "boolq": [F.col("doc_id").alias("id"), F.col("text").alias("passage"), first.alias("question"),
+                  (F.col("doc_id") % 2 == 0).alias("answer")],
+        "gsm8k": [F.col("doc_id").alias("id"), first.alias("question"),
+                  F.concat(F.lit("work #### "), (F.col("doc_id") % 100).cast("string")).alias("answer")],
+        "math": [F.col("doc_id").alias("id"), first.alias("problem"),
+                 F.concat(F.lit("so \\boxed{"), (F.col("doc_id") % 9).cast("string"), F.lit("}")).alias("solution")],
+        "hellaswag": [F.col("doc_id").alias("id"), F.concat("text", F.lit(" [title] x")).alias("ctx_a"),
+                      F.col("text").alias("ctx_b"), F.col("lang").alias("activity_label"),
+                      F.array(F.col("text"), F.concat(F.lit("so "), "text"), F.lit("[x] end"),
+                              F.lit("other")).alias("endings"),
+                      (F.col("doc_id") % 4).cast("string").alias("label")],
+    }
+    of_pairs = {
+        "natural_qa": [F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("ground_truth").alias("question"),
+                       F.array("prediction").alias("golden_answers")],
+        "trivia_qa": [F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("ground_truth").alias("question"),
+                      F.struct(F.array("prediction").alias("normalized_aliases")).alias("answer")],
+    }
+    others = {
         "mmlu": part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("Which describes "), "p_name").alias("question"),
                             choices4.alias("choices"), (F.col("p_partkey") % 4).cast("int").alias("answer")),
         "gpqa": part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("Question"),
@@ -105,13 +118,9 @@ def adapter_sources(spark, sf_dir):
         "human_eval": part.select(F.concat(F.lit("HumanEval/"), F.col("p_partkey").cast("string")).alias("task_id"),
                                   F.concat(F.lit("def f():\n    \"\"\""), "p_name", F.lit("\"\"\"\n")).alias("prompt"),
                                   F.lit("f").alias("entry_point"), F.concat(F.lit("assert f() == "), "p_size").alias("test")),
-        "gsm8k": d.select(F.col("doc_id").alias("id"), first.alias("question"),
-                          F.concat(F.lit("work #### "), (F.col("doc_id") % 100).cast("string")).alias("answer")),
         "commonsense_qa": part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question"),
                                       F.struct(F.array(*[F.lit(x) for x in "ABCD"]).alias("label"), choices4.alias("text")).alias("choices"),
                                       F.char(F.lit(65) + F.col("p_partkey") % 4).alias("answerKey")),
-        "math": d.select(F.col("doc_id").alias("id"), first.alias("problem"),
-                         F.concat(F.lit("so \\boxed{"), (F.col("doc_id") % 9).cast("string"), F.lit("}")).alias("solution")),
         "openbook_qa": part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("question_stem"),
                                    F.struct(F.array(*[F.lit(x) for x in "ABCD"]).alias("label"), choices4.alias("text")).alias("choices"),
                                    F.char(F.lit(65) + F.col("p_partkey") % 4).alias("answerKey")),
@@ -119,23 +128,20 @@ def adapter_sources(spark, sf_dir):
                                      F.struct(F.array(*[F.lit(x) for x in "ABC"]).alias("label"),
                                               F.array("p_name", "p_brand", F.lit("none")).alias("text")).alias("choices"),
                                      F.char(F.lit(65) + F.col("p_partkey") % 3).alias("answerKey")),
-        "hellaswag": d.select(F.col("doc_id").alias("id"), F.concat("text", F.lit(" [title] x")).alias("ctx_a"),
-                              F.col("text").alias("ctx_b"), F.col("lang").alias("activity_label"),
-                              F.array(F.col("text"), F.concat(F.lit("so "), "text"), F.lit("[x] end"),
-                                      F.lit("other")).alias("endings"),
-                              (F.col("doc_id") % 4).cast("string").alias("label")),
     }
+    return d, of_documents, conv, of_pairs, others
 
 
 def adapted_queries(spark, sf_dir, gpqa_order=None):
-    src = adapter_sources(spark, sf_dir)
-    frames = [A.adapt_natural_qa(src["natural_qa"]), A.adapt_trivia_qa(src["trivia_qa"]), A.adapt_squad(src["squad"]),
-              A.adapt_boolq(src["boolq"]), A.adapt_mmlu(src["mmlu"]),
-              A.adapt_gpqa(src["gpqa"], order_key=gpqa_order),
-              A.adapt_mbpp(src["mbpp"]), A.adapt_human_eval(src["human_eval"]), A.adapt_gsm8k(src["gsm8k"]),
-              A.adapt_labelled_choice("commonsense_qa", src["commonsense_qa"]), A.adapt_math(src["math"]),
+    d, of_documents, conv, of_pairs, src = adapter_sources(spark, sf_dir)
+    shared = lambda df, fields, **adapters: A.adapt_shared(df, {n: (fields[n], adapter) for n, adapter in adapters.items()})
+    frames = [shared(conv, of_pairs, natural_qa=A.adapt_natural_qa, trivia_qa=A.adapt_trivia_qa),
+              shared(d, of_documents, squad=A.adapt_squad, boolq=A.adapt_boolq, gsm8k=A.adapt_gsm8k, math=A.adapt_math, hellaswag=A.adapt_hellaswag),
+              A.adapt_mmlu(src["mmlu"]), A.adapt_gpqa(src["gpqa"], order_key=gpqa_order),
+              A.adapt_mbpp(src["mbpp"]), A.adapt_human_eval(src["human_eval"]),
+              A.adapt_labelled_choice("commonsense_qa", src["commonsense_qa"]),
               A.adapt_labelled_choice("openbook_qa", src["openbook_qa"], question="question_stem"),
-              A.adapt_labelled_choice("arc_challenge", src["arc_challenge"]), A.adapt_hellaswag(src["hellaswag"])]
+              A.adapt_labelled_choice("arc_challenge", src["arc_challenge"])]
     return A.union_sources(*frames)
 
 

@@ -3,18 +3,20 @@
 import gzip
 import glob
 import json
+import os
 import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from routelake.operators import assemble as A
 from routelake.operators import graph as G
 from routelake.operators import knn_join as K
 from routelake.operators import labels as L
 from routelake.operators.common import planned_tasks
 from routelake.operators.vectors import knn_topk
 from routelake.plans import fixtures as fx
-from routelake.plans.q_assemble import adapted_queries
+from routelake.plans.q_assemble import adapted_queries, adapter_sources
 from routelake.plans.q_routers import _chain
 from routelake.session import ensure_checkpoint_dir, scratch_path
 from routelake.sources import json_array as J
@@ -142,3 +144,30 @@ def test_the_chain_keeps_its_array_in_gzip_and_no_log(spark, sf_dir):
     records = [x for x in new if "/records-" in x]
     assert len(records) == 1 and all(f.endswith(".gz") for f in glob.glob(f"{records[0]}/part-*"))
     assert train.count() > 0 and test.count() > 0 and cand.count() > test.count()
+
+
+def test_documents_adapters_read_them_once_and_lay_their_rows_together(spark, tmp_path):
+    r = np.random.RandomState(3)
+    words = ["".join(chr(97 + c) for c in r.randint(0, 26, 7)) for _ in range(5000)]
+    docs = [(i, " ".join(words[w] for w in r.randint(0, 5000, 250)) if i % 11 else None, "en") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    d, fields, _, _, _ = adapter_sources(spark, _with_others(spark, tmp_path))
+    adapters = {"squad": A.adapt_squad, "boolq": A.adapt_boolq, "gsm8k": A.adapt_gsm8k, "math": A.adapt_math, "hellaswag": A.adapt_hellaswag}
+    shared = A.adapt_shared(d, {n: (fields[n], f) for n, f in adapters.items()})
+    apart = A.union_sources(*[f(d.select(*fields[n])) for n, f in adapters.items()])
+    assert shared.columns == apart.columns and shared.dtypes == apart.dtypes
+    assert shared.exceptAll(apart).count() == 0 and apart.exceptAll(shared).count() == 0
+    assert plan(shared).count("FileScan parquet") == 1
+    ids = [x.source_id for x in shared.select("source_id").collect()]
+    assert len(ids) == 1500 and all(len(set(ids[i:i + 5])) == 1 for i in range(0, 1500, 5))
+    size = {}
+    for name, df in (("shared", shared), ("apart", apart)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        size[name] = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/{name}/*.parquet"))
+    assert size["shared"] < 0.6 * size["apart"]
+
+
+def _with_others(spark, tmp_path) -> str:
+    spark.createDataFrame([(1, "large ring", "Brand#7", "LARGE", 1)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 0, "user", "a?"), (1, 1, "assistant", "b")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
