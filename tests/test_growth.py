@@ -16,6 +16,7 @@ from routelake.operators import labels as L
 from routelake.operators.common import planned_tasks
 from routelake.operators.vectors import knn_topk
 from routelake.plans import fixtures as fx
+from routelake.plans import registry
 from routelake.plans.q_assemble import adapted_queries, adapter_sources
 from routelake.plans.q_routers import _chain
 from routelake.session import ensure_checkpoint_dir, scratch_path
@@ -171,3 +172,12 @@ def _with_others(spark, tmp_path) -> str:
     spark.createDataFrame([(1, "large ring", "Brand#7", "LARGE", 1)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(1, 0, "user", "a?"), (1, 1, "assistant", "b")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     return str(tmp_path)
+
+
+def test_the_routers_ranking_keeps_its_array_in_gzip_and_no_log(spark, sf_dir):
+    base = ensure_checkpoint_dir(spark).removeprefix("file://").rstrip("/")
+    before = set(glob.glob(f"{base}/*"))
+    out = registry.QUERIES["w9_router_ranking"](spark, sf_dir)
+    new = {x for x in glob.glob(f"{base}/*") if x not in before}
+    assert not [x for x in new if "/f-log-" in x] and not [x for x in new if "/records-" in x and glob.glob(f"{x}/part-*.txt")]
+    assert out.count() == 40
